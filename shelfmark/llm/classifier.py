@@ -11,11 +11,13 @@ A null or empty text has the intercept alone and gets its score. Without labelle
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,19 +26,23 @@ from .base import U64, WordTable, mixed, texts, written
 BITS = 18
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 EPOCHS, SHARDS, TRAIN_ROWS = 4, 4, 12_000
+#: Runs of letters, digits and bytes of other alphabets, and runs of ASCII punctuation.
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[!-/:-@\[-`{-~]+")
 #: Scales a text's n-gram shares, as FTRL's steps suit features around 1.
 SCALE = 30.0
 
 
 def features(data: bytes, words: WordTable, bits: int = BITS) -> np.ndarray:
-    """Buckets of all word 1- and 2-grams, repeated as they occur."""
-    w = words.hashes(data.lower().split())
+    """Buckets of all word 1- and 2-grams, as often as they occur; a 2-gram that came before in the text also counts in the
+    bucket of one mark, so that its share tells how much a text repeats itself."""
+    w = words.hashes(_WORD.findall(data))
     pairs = mixed(w[:-1] * U64(0x9E3779B97F4A7C15) + w[1:]) if len(w) > 1 else w[:0]
-    return (np.concatenate([w, pairs]) & U64((1 << bits) - 1)).astype(np.int64)
+    again = np.full(len(pairs) - len(np.unique(pairs)), xxhash.xxh3_64_intdigest(b"\0again"), U64)
+    return (np.concatenate([w, pairs, again]) & U64((1 << bits) - 1)).astype(np.int64)
 
 
 def example(data: bytes, words: WordTable) -> tuple[np.ndarray, np.ndarray]:
-    """A text's distinct buckets and their values; bucket 0 is also the intercept's."""
+    """A text's distinct buckets and their values."""
     at, count = np.unique(features(data, words), return_counts=True)
     return at, count * (SCALE / max(count.sum(), 1))
 

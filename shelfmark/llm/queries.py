@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, classifier, media, pieces, pii, rlz, rules, substring_sa
+from . import chat, classifier, media, near, pieces, pii, rlz, rules, substring_sa
 from .base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return classifier.scored(docs, classifier.fit(docs, table(spark, sf_dir, "labels")))
@@ -57,7 +61,7 @@ def op10_relative_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op2_suffix_array_dedup, op3_quality_rules, op5_quality_classifier, op6_sentencepiece, op7_media_columns, op8_chat_formatting, op9_pii, op10_relative_lempel_ziv]
+    found = [op2_suffix_array_dedup, op3_quality_rules, op4_minhash_near_dedup, op5_quality_classifier, op6_sentencepiece, op7_media_columns, op8_chat_formatting, op9_pii, op10_relative_lempel_ziv]
     return {f.__name__: f for f in found}
 
 
