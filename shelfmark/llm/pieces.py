@@ -14,6 +14,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -62,8 +63,8 @@ class ChunkTable(dict):
         return "".join(x[0] for x in found)[1:] + f" {self.model.eos_id()}", "".join(x[1] for x in found)[1:]
 
 
-def encoded(docs: DataFrame, model_file: str, keep_text: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256), and with ``keep_text`` the ids and the decoded text."""
+def encoded(docs: DataFrame, model_file: str, keep: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), and with ``keep`` the ids and the decoded text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(model_file)
@@ -72,11 +73,11 @@ def encoded(docs: DataFrame, model_file: str, keep_text: bool = False) -> DataFr
             for data in batch.column(1):
                 ids, text = table.encode(data.as_py().decode("utf-8", "replace"))
                 row = ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
-                out.append((*row, list(map(int, ids.split())), text) if keep_text else row)
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()][: 5 if keep_text else 3]
+                out.append((*row, np.fromstring(ids, np.int32, sep=" "), text) if keep else row)
             columns = zip(*out, strict=True) if out else [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 6 if keep_text else 4])
-
-    return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_text)
-
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, (_, k) in zip(columns, kinds, strict=True))], ["doc_id", *(n for n, _ in kinds)])
 
+    kinds = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+    if keep:
+        kinds += [("ids", pa.list_(pa.int32())), ("decoded", pa.string())]
+    return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, classifier, media, near, pieces, pii, rlz, rules, substring_sa
+from . import chat, classifier, media, mixing, near, pieces, pii, rlz, rules, substring_sa
 from .base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_sa.deduplicated(table(spark, sf_dir, "documents"))
 
@@ -61,12 +65,39 @@ def op10_relative_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op2_suffix_array_dedup, op3_quality_rules, op4_minhash_near_dedup, op5_quality_classifier, op6_sentencepiece, op7_media_columns, op8_chat_formatting, op9_pii, op10_relative_lempel_ziv]
+    found = [op1_source_mixing, op2_suffix_array_dedup, op3_quality_rules, op4_minhash_near_dedup, op5_quality_classifier, op6_sentencepiece, op7_media_columns, op8_chat_formatting, op9_pii, op10_relative_lempel_ziv]
     return {f.__name__: f for f in found}
 
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+OP1 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS source, len({WORDS})::BIGINT AS n_tokens, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+s AS (SELECT source, count(*) AS n_docs, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY source),
+t AS (SELECT sum(tokens)::DOUBLE AS b, list(tokens::DOUBLE) FILTER (tokens > 0) AS ts FROM s),
+p AS (SELECT b, ts, list_transform(ts, lambda x: x / b) AS ps FROM t),
+bis AS (SELECT 0 AS k, 0.0::DOUBLE AS low, 4.0::DOUBLE AS high UNION ALL
+        SELECT k + 1, CASE WHEN ok THEN low ELSE mid END, CASE WHEN ok THEN mid ELSE high END FROM (
+          SELECT k, low, high, mid, ln(z) - mid * e / z <= 0.9 * ln(len(ps)) AND r / z * b <= 4.0 AS ok FROM (
+            SELECT k, low, high, (low + high) / 2 AS mid, b, ps, list_sum(list_transform(ps, lambda x: pow(x, (low + high) / 2))) AS z,
+                   list_sum(list_transform(ps, lambda x: pow(x, (low + high) / 2) * ln(x))) AS e,
+                   list_max(list_transform(ts, lambda x: pow(x / b, (low + high) / 2) / x)) AS r
+            FROM bis, p WHERE k < 42))),
+x AS (SELECT round(high, 6) AS x FROM bis WHERE k = 42),
+w AS (SELECT source, n_docs, tokens, CASE WHEN tokens > 0 THEN pow(tokens / b, x) ELSE 0 END AS f, b FROM s, t, x),
+g AS (SELECT *, floor(f / (SELECT sum(f) FROM w) * b)::BIGINT AS goal FROM w),
+q AS (SELECT source, tokens, CASE WHEN tokens > 0 THEN goal // tokens ELSE 0 END AS passes, CASE WHEN tokens > 0 THEN goal % tokens ELSE goal END AS rest,
+      least(ceil(n_docs / 256), 65536)::BIGINT AS n_blocks FROM g),
+pl AS (SELECT d.*, passes, rest, ('0x' || substr(key, 1, 8))::BIGINT % n_blocks AS block FROM d JOIN q USING (source)),
+bl AS (SELECT source, block, passes, rest, sum(n_tokens) AS n, md5(source || ':' || block || ':' || passes) AS spot FROM pl GROUP BY ALL),
+cu AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY spot, block ROWS UNBOUNDED PRECEDING) AS upto FROM bl),
+dd AS (SELECT pl.*, cu.spot, cu.upto - cu.n AS before, sum(pl.n_tokens) OVER (PARTITION BY pl.source, pl.block ORDER BY key RANGE UNBOUNDED PRECEDING) AS within
+       FROM pl JOIN cu USING (source, block)),
+c AS (SELECT *, passes + CASE WHEN rest > 0 AND before <= rest AND before + within <= rest THEN 1 ELSE 0 END AS copies FROM dd)
+SELECT doc_id, source, n_tokens, pass::INT AS pass, block, md5(source || ':' || block || ':' || pass) AS block_key
+FROM (SELECT *, unnest(range(0, copies)) AS pass FROM c)
+"""
+
 OP2 = """
 WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, hex(encode(coalesce(text, ''))) AS h FROM documents),
 w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, octet_length(b) - 49)) AS p FROM d)),
@@ -133,4 +164,4 @@ FROM d LEFT JOIN l USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_array_dedup": OP2, "op3_quality_rules": OP3, "op8_chat_formatting": OP8, "op10_relative_lempel_ziv": OP10}
+    return {"op1_source_mixing": OP1, "op2_suffix_array_dedup": OP2, "op3_quality_rules": OP3, "op8_chat_formatting": OP8, "op10_relative_lempel_ziv": OP10}
