@@ -1,11 +1,545 @@
-"""Registered queries of the catalog engine."""
+"""Registered queries of the catalog engine, each with DuckDB SQL for the same rows where SQL can say it."""
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import intent, names, safety
+from .operators import duplicates, live, maintenance, model, search
+from .sources import catalog as src
+from .storage import shared_dir, table
+from .streaming import journal as stream
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+# The relations in SQL
+
+_LANGS = "['de', 'en', 'es', 'fr']"
+_EXT = str(src.EXTENSIONS)
+_SPECIAL = str(src.SPECIAL)
+C_NAME = f"'doc-' || lpad(doc_id::VARCHAR, 7, '0') || {_EXT}[doc_id % 10 + 1]"
+CATALOG = f"""
+c_docs AS (SELECT doc_id, lang, source, list_position({_LANGS}, lang) - 1 AS lp, substr(source, 4)::BIGINT AS sn FROM documents),
+catalog AS (
+  SELECT 'C' AS volume, 5::BIGINT AS file_id, 5::BIGINT AS parent_id, 0::BIGINT AS size_bytes, 1::INT AS flags, 'C:' AS name
+  UNION ALL SELECT 'C', 9 + i, 5, 0, 1, {_LANGS}[i] FROM (SELECT unnest([1, 2, 3, 4]) AS i)
+  UNION ALL SELECT DISTINCT 'C', 100 + lp * 100 + sn, 10 + lp, 0, 1, source FROM c_docs
+  UNION ALL SELECT 'C', 1000000 + doc_id, 100 + lp * 100 + sn, 0, 0, {C_NAME} FROM c_docs
+  UNION ALL SELECT 'D', 5, 5, 0, 1, 'D:'
+  UNION ALL SELECT DISTINCT 'D', 1000 + split_part(p_brand, '#', 2)::BIGINT, 5, 0, 1, p_brand FROM part
+  UNION ALL SELECT 'D', 1000000 + p_partkey, 1000 + split_part(p_brand, '#', 2)::BIGINT, 0,
+    (p_partkey % 200 = 2)::INT + 2 * (p_partkey % 50 = 11)::INT + 4 * (p_partkey % 75 = 13)::INT,
+    CASE WHEN p_partkey % 200 < 10 THEN {_SPECIAL}[p_partkey % 200 + 1] ELSE replace(p_name, ' ', '-') || '.dat' END FROM part)"""
+CHANGES = """
+changes AS (SELECT 'D' AS volume, event_id AS seq, CASE WHEN event_type = 'error' THEN 'Delete' ELSE 'Upsert' END AS op, 1000000 + user_id AS file_id,
+  5::BIGINT AS parent_id, 0::BIGINT AS size_bytes, 0::INT AS flags, CASE WHEN event_type = 'error' THEN '' ELSE 'renamed-' || event_id || '.txt' END AS name
+  FROM events WHERE event_type IN ('signup', 'purchase', 'error')),
+latest AS (SELECT volume, file_id, max(seq) AS seq, arg_max(op, seq) AS op, arg_max(parent_id, seq) AS parent_id, arg_max(size_bytes, seq) AS size_bytes,
+  arg_max(flags, seq) AS flags, arg_max(name, seq) AS name FROM changes GROUP BY volume, file_id)"""
+LIVE = f"""{CATALOG}, {CHANGES},
+live AS (SELECT *, lower(name) AS nn, CASE WHEN strpos(lower(name), '.') > 0 THEN regexp_extract(lower(name), '^(.*)[.][^.]*$', 1) ELSE lower(name) END AS st FROM (
+  SELECT volume, file_id, parent_id, size_bytes, flags, name FROM catalog WHERE (volume, file_id) NOT IN (SELECT (volume, file_id) FROM latest)
+  UNION ALL SELECT volume, file_id, parent_id, size_bytes, flags, name FROM latest WHERE op = 'Upsert'))"""
+PATHS = r"""
+up AS (SELECT volume, file_id, file_id AS at, parent_id, name AS path, 0 AS d FROM live UNION ALL
+  SELECT u.volume, u.file_id, p.file_id, p.parent_id, p.name || chr(92) || u.path, d + 1 FROM up u JOIN live p ON p.volume = u.volume AND p.file_id = u.parent_id
+  WHERE u.parent_id <> 0 AND u.parent_id <> u.at AND d < 255),
+paths AS (SELECT volume, file_id, CASE WHEN regexp_matches(path, '^[A-Za-z]:') THEN path ELSE volume || ':' || chr(92) || path END AS path
+  FROM (SELECT volume, file_id, arg_max(path, d) AS path FROM up GROUP BY volume, file_id))"""
+ATTRIBUTES = """
+attributes AS (SELECT 'C' AS volume, 1000000 + doc_id AS file_id, n_chars AS size_bytes, 1704067200 + doc_id * 3600 AS modified_unix_secs FROM documents
+  UNION ALL SELECT 'D', 1000000 + p_partkey, p_size::BIGINT * 1000000, 1704067200 + p_partkey * 86400 FROM part)"""
+CONTENTS = f"""
+contents AS (SELECT 'C' AS volume, 1000000 + doc_id AS file_id, {C_NAME} AS name, text FROM documents)"""
+_RUNS = r"list_filter(list_distinct(list_transform(regexp_extract_all(lower(text), '[\p{L}\p{N}_\-]+'), lambda t: CASE WHEN strlen(t) <= 96 THEN t WHEN strlen(t) = length(t) THEN substr(t, 97 * (length(t) // 97) + 1) ELSE '' END)), lambda t: strlen(t) >= 2)"
+
+
+def candidates_sql(extensions: list[str]) -> str:
+    return f"regexp_matches(lower(name), '[.]({'|'.join(extensions)})$')"
+
+
+def postings_sql(extensions: list[str], most: int) -> str:
+    """A file's tokens in DuckDB; its list_distinct has no order, so ``most`` must be more than any file has."""
+    return f"postings AS (SELECT volume, file_id, unnest({_RUNS}) AS token FROM contents WHERE {candidates_sql(extensions)})"
+
+
+def score_sql(q: str) -> str:
+    q = f"'{q}'"
+    return f"""CASE WHEN nn = {q} OR st = {q} OR starts_with(nn, {q}) OR starts_with(st, {q}) OR contains(nn, {q}) THEN
+      CASE WHEN nn = {q} THEN 10000 WHEN st = {q} THEN 9000 WHEN starts_with(nn, {q}) THEN 7000 WHEN starts_with(st, {q}) THEN 6500 ELSE 4000 END
+      + CASE WHEN flags & 1 <> 0 THEN 120 ELSE 0 END - CASE WHEN flags & 2 <> 0 THEN 300 ELSE 0 END - CASE WHEN flags & 4 <> 0 THEN 500 ELSE 0 END
+      - least(500, greatest(0, strlen(nn) - strlen({q}))) ELSE 0 END::INT"""
+
+
+def ranked_sql(q: str, where: str, limit: int, rows: str = "live", extra: str = "") -> str:
+    return f"""SELECT volume, file_id, name, flags, score, row_number() OVER (ORDER BY score DESC, strlen(name), volume, file_id)::INT AS rank FROM (
+      SELECT volume, file_id, name, flags, {score_sql(q)} AS score FROM {rows} {extra} WHERE {where})
+    QUALIFY rank <= {limit}"""
+
+
+def view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live.live_view(src.catalog(spark, sf_dir), src.changes(spark, sf_dir))
+
+
+def index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = src.contents(spark, sf_dir)
+    return search.postings(files.filter(names.is_text_candidate(F.col("name"))))
+
+
+# Scans, changes and the live view
+
+
+@query("s1_catalog_scan", f"WITH {CATALOG} SELECT volume, count(*) AS records, count_if(flags & 1 <> 0) AS directories, sum(file_id)::BIGINT AS id_sum FROM catalog GROUP BY volume")
+def _(spark, sf_dir):
+    rows = src.catalog(spark, sf_dir)
+    return rows.groupBy("volume").agg(F.count("*").alias("records"), F.count_if(F.col("flags").bitwiseAND(1) != 0).alias("directories"), F.sum("file_id").alias("id_sum"))
+
+
+@query("s2_journal_changes", f"WITH {CHANGES} SELECT * FROM changes")
+def _(spark, sf_dir):
+    return src.changes(spark, sf_dir)
+
+
+@query("s10_attributes", f"WITH {CATALOG}, {ATTRIBUTES} SELECT c.volume, c.file_id, a.size_bytes, a.modified_unix_secs FROM catalog c JOIN attributes a USING (volume, file_id) WHERE flags & 1 = 0")
+def _(spark, sf_dir):
+    files = src.catalog(spark, sf_dir).filter(F.col("flags").bitwiseAND(1) == 0).select("volume", "file_id")
+    return files.join(src.attributes(spark, sf_dir), live.KEY)
+
+
+@query("s16_volumes", f"WITH {CATALOG} SELECT DISTINCT upper(volume) AS volume FROM catalog WHERE regexp_matches(volume, '^[A-Za-z]$')")
+def _(spark, sf_dir):
+    return src.catalog(spark, sf_dir).filter(F.col("volume").rlike("^[A-Za-z]$")).select(F.upper("volume").alias("volume")).distinct()
+
+
+@query("a1_latest_changes", f"WITH {CHANGES} SELECT * FROM latest")
+def _(spark, sf_dir):
+    return live.latest_changes(src.changes(spark, sf_dir))
+
+
+@query("j1_live_view", f"WITH {LIVE} SELECT volume, file_id, parent_id, size_bytes, flags, name, nn AS name_norm FROM live")
+def _(spark, sf_dir):
+    return view(spark, sf_dir)
+
+
+@query("j2_live_attributes", f"WITH {LIVE}, {ATTRIBUTES} SELECT l.volume, l.file_id, a.size_bytes AS attr_size, a.modified_unix_secs AS attr_modified FROM live l LEFT JOIN attributes a USING (volume, file_id)")
+def _(spark, sf_dir):
+    return live.with_attributes(view(spark, sf_dir), src.attributes(spark, sf_dir)).select("volume", "file_id", "attr_size", "attr_modified")
+
+
+@query("j3_paths", f"WITH RECURSIVE {LIVE}, {PATHS} SELECT volume, file_id, path FROM paths")
+def _(spark, sf_dir):
+    rows = view(spark, sf_dir)
+    return live.with_paths(rows, rows).select("volume", "file_id", "path")
+
+
+@query("j8_overridden", f"WITH {CATALOG}, {CHANGES} SELECT c.volume, c.file_id, l.file_id IS NOT NULL AS changed FROM catalog c LEFT JOIN latest l USING (volume, file_id)")
+def _(spark, sf_dir):
+    return live.overridden(src.catalog(spark, sf_dir), src.changes(spark, sf_dir)).select("volume", "file_id", "changed")
+
+
+@query("j9_missing_parents", f"WITH {LIVE} SELECT volume, file_id, parent_id FROM live l WHERE parent_id <> 0 AND parent_id <> file_id AND NOT EXISTS (SELECT 1 FROM live p WHERE p.volume = l.volume AND p.file_id = l.parent_id)")
+def _(spark, sf_dir):
+    return maintenance.missing_parents(view(spark, sf_dir))
+
+
+@query("q15_point_lookup", f"WITH RECURSIVE {LIVE}, {PATHS} SELECT volume, file_id, name, path FROM live JOIN paths USING (volume, file_id) WHERE volume = 'C' AND file_id = 1000007")
+def _(spark, sf_dir):
+    rows = view(spark, sf_dir)
+    return live.with_paths(live.by_id(rows, "C", 1_000_007), rows).select("volume", "file_id", "name", "path")
+
+
+# Searches
+
+
+@query("q1_prefix_search", f"WITH {LIVE} SELECT volume, file_id, name, flags, row_number() OVER (ORDER BY nn, volume, file_id)::INT AS rank FROM live WHERE starts_with(nn, 'red') QUALIFY rank <= 50")
+def _(spark, sf_dir):
+    return search.prefix(view(spark, sf_dir), "Red")
+
+
+@query("q2_exact_search", f"WITH {LIVE} SELECT volume, file_id, name, flags, row_number() OVER (ORDER BY nn, volume, file_id)::INT AS rank FROM live WHERE nn = 'node.exe' QUALIFY rank <= 50")
+def _(spark, sf_dir):
+    return search.exact(view(spark, sf_dir), "NODE.EXE")
+
+
+@query("q3_ranked_search", f"WITH {LIVE} " + ranked_sql("red", "starts_with(nn, 'red')", 50))
+def _(spark, sf_dir):
+    return search.ranked(view(spark, sf_dir), "red")
+
+
+_DIST = "least(levenshtein('notpad', nn), levenshtein('notpad', st))"
+
+
+@query(
+    "q4_fuzzy_search",
+    f"""WITH {LIVE} SELECT volume, file_id, name, flags, distance, score, row_number() OVER (ORDER BY distance, score DESC, volume, file_id)::INT AS rank FROM (
+    SELECT volume, file_id, name, flags, {_DIST}::INT AS distance, {score_sql("notpad")} AS score FROM live WHERE starts_with(nn, 'no') AND {_DIST} <= 2) QUALIFY rank <= 50""",
+)
+def _(spark, sf_dir):
+    return search.fuzzy(view(spark, sf_dir), "notpad")
+
+
+_NODE = " OR ".join(f"starts_with(nn, '{a}')" for a in intent.RELATIONS[0][3])
+
+
+@query("q5_related_search", f"WITH {LIVE} " + ranked_sql("node js", _NODE, 100))
+def _(spark, sf_dir):
+    return search.related(view(spark, sf_dir), "node js")
+
+
+@query("q6_filtered_size", f"WITH {LIVE}, {ATTRIBUTES} " + ranked_sql("", "regexp_matches(nn, '[.]md$') AND a.size_bytes >= 501", 50, extra="JOIN (SELECT volume, file_id, size_bytes, modified_unix_secs FROM attributes) a USING (volume, file_id)"))
+def _(spark, sf_dir):
+    return search.filtered(view(spark, sf_dir), src.attributes(spark, sf_dir), "ext:md size:>500")
+
+
+@query(
+    "q6_filtered_path_date",
+    f"WITH RECURSIVE {LIVE}, {PATHS}, {ATTRIBUTES} " + ranked_sql("doc", "starts_with(nn, 'doc') AND contains(lower(path), 'fr') AND a.modified_unix_secs >= 1704844800", 50, extra="JOIN paths USING (volume, file_id) JOIN (SELECT volume, file_id, modified_unix_secs FROM attributes) a USING (volume, file_id)"),
+)
+def _(spark, sf_dir):
+    return search.filtered(view(spark, sf_dir), src.attributes(spark, sf_dir), "doc path:fr date:>=2024-01-10")
+
+
+@query("q6_filtered_type", f"WITH {LIVE} " + ranked_sql("", "flags & 1 <> 0", 50))
+def _(spark, sf_dir):
+    return search.filtered(view(spark, sf_dir), src.attributes(spark, sf_dir), "type:dir")
+
+
+_APP = " OR ".join(f"nn = '{a}' OR contains(lower(path), '{a}')" for a in intent.RELATIONS[0][3])
+
+
+@query("q6_filtered_app", f"WITH RECURSIVE {LIVE}, {PATHS} " + ranked_sql("", f"contains(lower(path), 'node') OR contains(nn, 'node') OR {_APP}", 50, extra="JOIN paths USING (volume, file_id)"))
+def _(spark, sf_dir):
+    return search.filtered(view(spark, sf_dir), src.attributes(spark, sf_dir), "app:node")
+
+
+_CONTENT = f"WITH {LIVE}, {CONTENTS}, " + postings_sql(names.TEXT_EXTENSIONS, 4096)
+
+
+@query("s13_postings", f"WITH {CONTENTS}, {postings_sql(names.TEXT_EXTENSIONS, 4096)} SELECT volume, file_id, token FROM postings WHERE file_id NOT IN (SELECT file_id FROM postings GROUP BY file_id HAVING count(*) > 4096)")
+def _(spark, sf_dir):
+    files = src.contents(spark, sf_dir).filter(names.is_text_candidate(F.col("name")))
+    counts = F.size(F.array_distinct(names.tokens(F.col("text"))))
+    return search.postings(files.filter(counts <= 4096))
+
+
+@query("s14_rich_token_counts", f"WITH {CONTENTS} SELECT volume, file_id, least(len({_RUNS}), 8192)::BIGINT AS tokens FROM contents WHERE {candidates_sql(names.TEXT_EXTENSIONS + names.RICH_EXTENSIONS)} AND len({_RUNS}) > 0")
+def _(spark, sf_dir):
+    files = src.contents(spark, sf_dir).filter(names.is_rich_candidate(F.col("name")))
+    return search.postings(files, 8192).groupBy("volume", "file_id").agg(F.count("*").alias("tokens"))
+
+
+_HITS = "(volume, file_id) IN (SELECT (volume, file_id) FROM postings WHERE token IN ('the', 'of') GROUP BY volume, file_id HAVING count(DISTINCT token) = 2)"
+
+
+@query("q7_content_search", _CONTENT + ranked_sql("of the", _HITS, 100))
+def _(spark, sf_dir):
+    return search.content(view(spark, sf_dir), index(spark, sf_dir), "of the")
+
+
+@query(
+    "q8_ranked_by_volume",
+    f"""WITH {LIVE}, s AS (SELECT volume, file_id, name, flags, {score_sql("r")} AS score FROM live WHERE starts_with(nn, 'r')),
+    o AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY volume ORDER BY score DESC, strlen(name), file_id) <= 20)
+    SELECT *, row_number() OVER (ORDER BY score DESC, strlen(name), volume, file_id)::INT AS rank FROM o QUALIFY rank <= 20""",
+)
+def _(spark, sf_dir):
+    return search.ranked_by_volume(view(spark, sf_dir), "r", 20, 2)
+
+
+@query("q9_smart_content", _CONTENT + ranked_sql("of", _HITS.replace("('the', 'of')", "('of')").replace("= 2", "= 1"), 50))
+def _(spark, sf_dir):
+    return search.smart(view(spark, sf_dir), index(spark, sf_dir), "find files containing of")
+
+
+@query("q9_smart_related", f"WITH {LIVE} " + ranked_sql("node.js", _NODE, 50))
+def _(spark, sf_dir):
+    return search.smart(view(spark, sf_dir), index(spark, sf_dir), "everything related to node js")
+
+
+@query("q9_smart_exact", f"WITH {LIVE} " + ranked_sql("package.json", "starts_with(nn, 'package.json')", 50))
+def _(spark, sf_dir):
+    return search.smart(view(spark, sf_dir), index(spark, sf_dir), "find package.json")
+
+
+@query("q11_mode_folders", f"WITH RECURSIVE {LIVE}, {PATHS} " + ranked_sql("src", "starts_with(nn, 'src') AND flags & 1 <> 0 AND (lower(path) = 'c:' || chr(92) || 'en' OR starts_with(lower(path), 'c:' || chr(92) || 'en' || chr(92)))", 80, extra="JOIN paths USING (volume, file_id)"))
+def _(spark, sf_dir):
+    return search.by_mode(view(spark, sf_dir), index(spark, sf_dir), src.attributes(spark, sf_dir), "Folders", "src", "C:/EN")
+
+
+# Duplicates
+
+
+def _files(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.lit("C").alias("volume"), (F.lit(1_000_000) + F.col("doc_id")).alias("file_id"), F.col("n_chars").alias("size_bytes"), "text")
+
+
+@query("a3_same_size", "SELECT n_chars AS size_bytes, count(*) AS files FROM documents WHERE n_chars >= 1 GROUP BY 1 HAVING count(*) BETWEEN 2 AND 4096")
+def _(spark, sf_dir):
+    return duplicates.same_size(_files(spark, sf_dir), 1)
+
+
+@query("a4_same_size_merged", f"WITH {ATTRIBUTES} SELECT size_bytes, count(*) AS files FROM attributes WHERE size_bytes >= 8 GROUP BY 1 HAVING count(*) BETWEEN 2 AND 4096")
+def _(spark, sf_dir):
+    return duplicates.same_size(src.attributes(spark, sf_dir), 8)
+
+
+@query("a3_group_stats", "WITH g AS (SELECT n_chars, count(*) AS n FROM documents WHERE n_chars >= 1 GROUP BY 1) SELECT count_if(n BETWEEN 2 AND 3)::BIGINT AS groups, coalesce(sum(n) FILTER (n BETWEEN 2 AND 3), 0)::BIGINT AS members, count_if(n > 3)::BIGINT AS oversized_groups_skipped FROM g")
+def _(spark, sf_dir):
+    return duplicates.group_stats(_files(spark, sf_dir), 1, 3)
+
+
+_SETS = """SELECT n_chars AS size_bytes, sha256(text) AS sha256, count(*) AS files, 'C:' || (1000000 + min(doc_id)) AS first_file, n_chars * (count(*) - 1) AS reclaimable
+FROM documents WHERE n_chars IN (SELECT n_chars FROM documents WHERE n_chars >= 1 GROUP BY 1 HAVING count(*) BETWEEN 2 AND 4096) GROUP BY n_chars, text HAVING count(*) >= 2"""
+
+
+@query("q12_duplicate_sets", _SETS)
+def _(spark, sf_dir):
+    return duplicates.duplicate_sets(_files(spark, sf_dir), 1)
+
+
+@query("a7_duplicate_report", f"SELECT count(*) AS sets, coalesce(sum(files), 0)::BIGINT AS files, coalesce(sum(reclaimable), 0)::BIGINT AS reclaimable FROM ({_SETS})")
+def _(spark, sf_dir):
+    return duplicates.report(duplicates.duplicate_sets(_files(spark, sf_dir), 1))
+
+
+# Safety and cleanup
+
+
+def _class_sql(path: str, flags: str) -> str:
+    p = f"replace(lower({path}), '/', chr(92))"
+    lit = lambda x: "'" + x.replace("\\", "' || chr(92) || '") + "'"
+    out = "CASE "
+    for name, _, _, parts, inside, ends in safety.CLASSES:
+        tests = [f"contains({p}, {lit(x)})" for x in inside] + [f"ends_with({p}, {lit(x)})" for x in ends]
+        tests += [f"list_has_any(string_split({p}, chr(92)), {parts})"] if parts else []
+        tests += [f"{flags} & 4 <> 0"] if name == "System" else []
+        out += f"WHEN {' OR '.join(tests)} THEN '{name}' "
+    return out + "ELSE 'Unknown' END"
+
+
+_SURE = "CASE class " + " ".join(f"WHEN '{c[0]}' THEN {c[2]}" for c in safety.CLASSES) + " ELSE 25 END"
+_RISK = "CASE class " + " ".join(f"WHEN '{c[0]}' THEN '{c[1]}'" for c in safety.CLASSES) + " ELSE 'High' END"
+_GUARD = " OR ".join([f"contains(np, '{x}')" for x in safety.PROTECTED_INSIDE] + [f"ends_with(np, '{x}')" for x in safety.PROTECTED_ENDS]).replace("\\", "' || chr(92) || '")
+DECIDED = f"""
+kinds AS (SELECT volume, file_id, path, name, flags, replace(lower(path), '/', chr(92)) AS np, {_class_sql("path", "flags")} AS class FROM live JOIN paths USING (volume, file_id)),
+decided AS (SELECT volume, file_id, path, name, class, {_RISK} AS risk,
+  CASE WHEN {_GUARD} OR class = 'System' THEN 'Deny' WHEN class IN ('Cache', 'Temporary') THEN 'Quarantine' WHEN class IN ('BuildArtifact', 'Log') THEN 'RecommendOnly' WHEN class = 'Unknown' THEN 'Keep' ELSE 'Deny' END AS action,
+  (CASE WHEN {_GUARD} OR class = 'System' THEN 100 WHEN class = 'Unknown' THEN 20 ELSE {_SURE} END)::INT AS confidence FROM kinds)"""
+
+
+@query("f11_safety_decisions", f"WITH RECURSIVE {LIVE}, {PATHS}, {DECIDED} SELECT volume, file_id, path, class, risk, action, confidence FROM decided")
+def _(spark, sf_dir):
+    rows = view(spark, sf_dir)
+    return maintenance.decisions(live.with_paths(rows, rows))
+
+
+_PATTERN = "CASE " + " ".join(f"WHEN starts_with(lower(name), '{p}') THEN {i}" for i, p in enumerate(maintenance.PATTERNS)) + " END"
+CLEANUP = f"""
+found AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY lower(name), volume, file_id) AS nth FROM (SELECT *, {_PATTERN} AS pattern FROM decided) WHERE pattern IS NOT NULL QUALIFY nth <= 128),
+planned AS (SELECT * FROM found WHERE action <> 'Keep' ORDER BY pattern, nth LIMIT 500)"""
+
+
+@query("q13_cleanup", f"WITH RECURSIVE {LIVE}, {PATHS}, {DECIDED}, {CLEANUP} SELECT volume, file_id, path, class, risk, action, confidence FROM planned")
+def _(spark, sf_dir):
+    return maintenance.cleanup(view(spark, sf_dir))
+
+
+@query("m11_quarantine_plan", f"WITH RECURSIVE {LIVE}, {PATHS}, {DECIDED}, {CLEANUP} SELECT volume, file_id, path, 'Q:' || chr(92) || 'quarantine' || chr(92) || replace(path, ':', '') AS target FROM planned WHERE action = 'Quarantine'")
+def _(spark, sf_dir):
+    return maintenance.quarantine_plan(maintenance.cleanup(view(spark, sf_dir)))
+
+
+# Maintenance
+
+
+@query("m1_compact", f"WITH {LIVE} SELECT volume, file_id, parent_id, size_bytes, flags, name, nn AS name_norm FROM live")
+def _(spark, sf_dir):
+    return maintenance.compact(src.catalog(spark, sf_dir), src.changes(spark, sf_dir))
+
+
+@query("m3_verify", f"WITH {CATALOG}, {CHANGES} SELECT volume, count(*) AS records, coalesce(any_value(e), 0) AS delta_entries, coalesce(any_value(u), 0) AS delta_unique FROM catalog LEFT JOIN (SELECT volume, count(*) AS e, count(DISTINCT file_id) AS u FROM changes GROUP BY volume) USING (volume) GROUP BY volume")
+def _(spark, sf_dir):
+    return maintenance.verify(src.catalog(spark, sf_dir), src.changes(spark, sf_dir))
+
+
+_DEEP = """(SELECT volume, count(name) AS names_checked, count(DISTINCT file_id) AS ids_checked, (SELECT count(*) FROM (SELECT 1 FROM {0} r WHERE r.volume = c.volume GROUP BY file_id HAVING count(*) > 1)) AS ids_repeated,
+  count_if(parent_id <> 0 AND parent_id <> file_id AND NOT EXISTS (SELECT 1 FROM {0} p WHERE p.volume = c.volume AND p.file_id = c.parent_id)) AS parent_links_missing FROM {0} c GROUP BY volume)"""
+
+
+@query("m4_deep_verify", f"WITH {LIVE} SELECT volume, names_checked::BIGINT AS names_checked, ids_checked, ids_repeated, parent_links_missing::BIGINT AS parent_links_missing FROM {_DEEP.format('live')}")
+def _(spark, sf_dir):
+    return maintenance.deep_verify(view(spark, sf_dir))
+
+
+@query(
+    "m7_doctor",
+    f"""WITH {CATALOG}, {CHANGES}, {ATTRIBUTES} SELECT volume, count(*) AS records, coalesce(any_value(e), 0) AS delta_entries, coalesce(any_value(u), 0) AS delta_unique, 0::BIGINT AS parent_links_missing,
+    count(a.file_id) AS with_attributes, coalesce(any_value(e), 0) > 0 AS pending_delta FROM catalog c LEFT JOIN (SELECT volume, count(*) AS e, count(DISTINCT file_id) AS u FROM changes GROUP BY volume) d USING (volume)
+    LEFT JOIN attributes a USING (volume, file_id) GROUP BY volume""",
+)
+def _(spark, sf_dir):
+    return maintenance.doctor(src.catalog(spark, sf_dir), src.changes(spark, sf_dir), src.attributes(spark, sf_dir))
+
+
+def _generations(spark, sf_dir):
+    position = src.changes(spark, sf_dir).agg(F.max("seq").alias("next_usn"))
+    current = position.select(F.explode(F.array(F.struct(F.lit("C").alias("volume"), F.lit(None).cast("long").alias("journal_id"), F.lit(None).cast("long").alias("next_usn")), F.struct(F.lit("D").alias("volume"), F.lit(7).cast("long").alias("journal_id"), F.col("next_usn")))).alias("g")).select("g.*")
+    marks = current.select("volume", F.explode(F.array(F.lit("attributes"), F.lit("content"))).alias("kind"), "journal_id", (F.col("next_usn") - F.when(F.col("kind") == "content", 1).otherwise(0)).alias("next_usn"))
+    return marks, current
+
+
+@query("m8_freshness", "SELECT * FROM (VALUES ('C', 'attributes', true), ('C', 'content', true), ('D', 'attributes', true), ('D', 'content', false)) t(volume, kind, fresh)")
+def _(spark, sf_dir):
+    return maintenance.freshness(*_generations(spark, sf_dir))
+
+
+@query("m9_pending", f"WITH {CHANGES} SELECT count(*) > 0 AS pending FROM changes")
+def _(spark, sf_dir):
+    return maintenance.pending(src.changes(spark, sf_dir))
+
+
+# Functions over columns
+
+
+@query("f2_relevance", f"WITH {LIVE} SELECT volume, file_id, {score_sql('e')} AS score FROM live")
+def _(spark, sf_dir):
+    return search.scored(view(spark, sf_dir), "e").select("volume", "file_id", "score")
+
+
+@query("f3_byte_distance", "SELECT p_partkey, CASE WHEN levenshtein('red-blue.dat', n) <= 6 THEN levenshtein('red-blue.dat', n)::INT END AS distance FROM (SELECT p_partkey, replace(p_name, ' ', '-') || '.dat' AS n FROM part)")
+def _(spark, sf_dir):
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit(".dat"))
+    return table(spark, sf_dir, "part").select("p_partkey", names.byte_distance(F.lit("red-blue.dat"), name, 6).alias("distance"))
+
+
+_LOG = "SELECT conv_id, turn, coalesce(text, '') AS q FROM conversations"
+
+
+def _log(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("q"))
+
+
+_WORDS = r"string_split_regex(lower(q), '\s+')"
+_REL = "CASE " + " ".join(f"WHEN {f'''contains(regexp_replace(lower(q), '[ -]', '', 'g'), '{inside}') OR ''' if inside else ''}list_has_any({_WORDS}, {asked}) THEN '{canonical}'" for canonical, inside, asked, _ in intent.RELATIONS) + " END"
+_MEAN = "list_filter(string_split_regex(q, '[\\s,;:\"''()\\[\\]]+'), lambda t: length(t) >= 2 AND NOT list_contains(" + str(intent.STOPWORDS) + ", lower(t)))"
+_PATHY = r"'[.\\/]'"
+_SUBJECT = f"""coalesce({_REL}, list_filter(m, lambda t: regexp_matches(t, {_PATHY}))[1],
+  list_reduce(m, lambda a, b: CASE WHEN length(b) >= length(a) THEN b ELSE a END, ''), lower(q))""".replace("list_reduce(m", "CASE WHEN len(m) > 0 THEN list_reduce(m").replace(", ''), lower(q))", ", '') END, lower(q))")
+
+
+def _intent_sql() -> str:
+    out = "CASE "
+    for name, markers in intent.MARKERS.items():
+        tests = [f"contains(lower(q), '{m}')" for m in markers] + ([f"({_REL}) IS NOT NULL"] if name == "RelatedSearch" else [])
+        out += f"WHEN {' OR '.join(tests)} THEN '{name}' "
+    return out + f"WHEN regexp_matches(subject, {_PATHY}) THEN 'ExactSearch' END"
+
+
+@query("f14_route", f"SELECT conv_id, turn, {_intent_sql()} AS intent, subject, array_to_string(m, ' ') AS terms FROM (SELECT *, {_SUBJECT} AS subject FROM (SELECT *, {_MEAN} AS m FROM ({_LOG})))")
+def _(spark, sf_dir):
+    q = F.col("q")
+    return _log(spark, sf_dir).select("conv_id", "turn", intent.rule_intent(q).alias("intent"), intent.subject(q).alias("subject"), intent.content_terms(q).alias("terms"))
+
+
+@query("f20_routed", f"SELECT conv_id, turn, len(list_filter(string_split_regex(q, '\\s+'), lambda t: t <> '')) >= 3 OR {' OR '.join(f'''contains(lower(q), '{m}')''' for m in intent.NATURAL)} AS routed FROM ({_LOG})")
+def _(spark, sf_dir):
+    return _log(spark, sf_dir).select("conv_id", "turn", intent.routed(F.col("q")).alias("routed"))
+
+
+@query("f18_intent_model")
+def _(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    return model.classified(log, "q", model.trained_on_rules(log, "q")).drop("q")
+
+
+@query("f22_lookup_name", r"SELECT page_id, substr(trim(regexp_extract(url, '[^\\/]*$')), 1, 260) AS filename FROM pages")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", names.lookup_name(F.col("url")).alias("filename"))
+
+
+_BITS = "((CASE event_type WHEN 'signup' THEN 16 WHEN 'purchase' THEN 2 WHEN 'error' THEN 4 WHEN 'click' THEN 1024 ELSE 0 END) | (user_id % 2) * 16)"
+
+
+@query("f24_attribute_flags", f"SELECT event_id, (CASE WHEN {_BITS} & 16 <> 0 THEN 1 ELSE 0 END + CASE WHEN {_BITS} & 2 <> 0 THEN 2 ELSE 0 END + CASE WHEN {_BITS} & 4 <> 0 THEN 4 ELSE 0 END + CASE WHEN {_BITS} & 1024 <> 0 THEN 8 ELSE 0 END)::INT AS flags FROM events")
+def _(spark, sf_dir):
+    bits = F.expr("(case event_type when 'signup' then 16 when 'purchase' then 2 when 'error' then 4 when 'click' then 1024 else 0 end) | (cast(user_id % 2 as int) * 16)")
+    flag = lambda bit, value: F.when(bits.bitwiseAND(bit) != 0, value).otherwise(0)
+    return table(spark, sf_dir, "events").select("event_id", (flag(0x10, 1) + flag(0x02, 2) + flag(0x04, 4) + flag(0x400, 8)).alias("flags"))
+
+
+@query(
+    "f25_visible_text",
+    r"""SELECT page_id, substr(array_to_string(list_transform(list_filter(list_transform(string_split(regexp_replace(html, '<[^>]*(>|$)', chr(1), 'g'), chr(1)),
+    lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> ''),
+    lambda s: replace(replace(replace(replace(replace(s, '&quot;', '"'), '&apos;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), ' '), 1, 2000000) AS visible FROM pages""",
+)
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", names.visible_text(F.col("html")).alias("visible"))
+
+
+_SAMPLE = "SELECT event_id, CASE event_type WHEN 'view' THEN 'ForegroundQuery' WHEN 'click' THEN 'MetadataUpdate' ELSE 'BackgroundIndex' END AS work, (value::BIGINT % 80)::INT AS cpu, (user_id % 100)::INT AS memory, event_id % 4000 AS idle, event_id % 7 = 0 AS battery FROM events"
+
+
+@query("f28_governor", f"SELECT event_id, CASE WHEN work = 'ForegroundQuery' THEN 'Run' WHEN memory >= 88 OR cpu >= 55 THEN 'Pause' WHEN work <> 'MetadataUpdate' AND (idle < 1500 OR battery) THEN 'Pause' WHEN cpu >= 30 THEN 'Throttle' ELSE 'Run' END AS decision FROM ({_SAMPLE.replace('value::BIGINT', 'floor(value)::BIGINT')})")
+def _(spark, sf_dir):
+    work = F.expr("case event_type when 'view' then 'ForegroundQuery' when 'click' then 'MetadataUpdate' else 'BackgroundIndex' end")
+    decision = safety.governor(work, (F.floor("value") % 80).cast("int"), (F.col("user_id") % 100).cast("int"), F.col("event_id") % 4000, F.col("event_id") % 7 == 0)
+    return table(spark, sf_dir, "events").select("event_id", decision.alias("decision"))
+
+
+@query("s19_web_results", "SELECT page_id, url AS link, substr(url, 1, 20) AS title, substr(html, 1, 80) AS snippet FROM pages")
+def _(spark, sf_dir):
+    item = F.struct(F.substring("url", 1, 20).alias("title"), F.col("url").alias("link"), F.substring("html", 1, 80).alias("snippet"))
+    answers = table(spark, sf_dir, "pages").select("page_id", F.to_json(F.struct(F.array(item).alias("items"))).alias("answer"))
+    parsed = answers.select("page_id", F.from_json("answer", "items array<struct<title:string,link:string,snippet:string>>").alias("a"))
+    return parsed.select("page_id", F.inline(F.slice("a.items", 1, 5))).filter("title is not null and link is not null and snippet is not null")
+
+
+@query("s18_web_cache", "SELECT filename, max(page_id) AS last_page, arg_max(url, page_id) AS url FROM (SELECT page_id, url, substr(trim(regexp_extract(url, '[^\\\\/]*$')), 1, 260) AS filename FROM pages) GROUP BY filename")
+def _(spark, sf_dir):
+    cache = table(spark, sf_dir, "pages").select("page_id", "url", names.lookup_name(F.col("url")).alias("filename"))
+    return cache.groupBy("filename").agg(F.max("page_id").alias("last_page"), F.max_by("url", "page_id").alias("url"))
+
+
+# Streaming
+
+
+@query("t1_journal_stream", f"WITH {CHANGES} SELECT * FROM latest")
+def _(spark, sf_dir):
+    """The journal read as a stream until all of it is in; its state equals the batch's."""
+    home = f"{shared_dir(spark)}/stream-{next(tempfile._get_candidate_names())}"
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    rows = stream.journal_stream(spark, f"{path}*", schema)
+    stream.ingest(rows, f"{home}/changes", f"{home}/checkpoint").awaitTermination()
+    return stream.state(spark, f"{home}/changes")
+
+
+def queries() -> dict[str, Query]:
+    for name, f in QUERIES.items():
+        f.__name__ = name
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
