@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from .functions import intent, names, safety
 from .operators import duplicates, live, maintenance, model, search
+from .plans import uri
 from .sources import catalog as src
+from .sources import files
 from .storage import shared_dir, table
 from .streaming import journal as stream
 
@@ -99,8 +101,7 @@ def view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = src.contents(spark, sf_dir)
-    return search.postings(files.filter(names.is_text_candidate(F.col("name"))))
+    return search.postings(src.contents(spark, sf_dir).filter(names.is_text_candidate(F.col("name"))))
 
 
 # Scans, changes and the live view
@@ -283,6 +284,14 @@ def _(spark, sf_dir):
     return search.by_mode(view(spark, sf_dir), index(spark, sf_dir), src.attributes(spark, sf_dir), "Folders", "src", "C:/EN")
 
 
+@query(
+    "q3_ranked_bounded",
+    f"""WITH {LIVE}, b AS (SELECT * FROM live WHERE starts_with(nn, 'red') QUALIFY row_number() OVER (PARTITION BY volume ORDER BY nn, file_id) <= 160) """ + ranked_sql("red", "true", 20, rows="b"),
+)
+def _(spark, sf_dir):
+    return search.ranked_bounded(view(spark, sf_dir), "red", 20)
+
+
 # Duplicates
 
 
@@ -416,6 +425,11 @@ def _(spark, sf_dir):
     return maintenance.pending(src.changes(spark, sf_dir))
 
 
+@query("m6_maintain", f"WITH {LIVE} SELECT volume, names_checked AS records, 0::BIGINT AS delta_entries, 0::BIGINT AS delta_unique, ids_repeated, parent_links_missing::BIGINT AS parent_links_missing FROM {_DEEP.format('live')}")
+def _(spark, sf_dir):
+    return maintenance.maintain(src.catalog(spark, sf_dir), src.changes(spark, sf_dir))[1]
+
+
 # Functions over columns
 
 
@@ -505,6 +519,33 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", decision.alias("decision"))
 
 
+@query("f28_permitted", f"SELECT event_id, CASE WHEN battery THEN 'Run' WHEN idle < 5000 AND cpu % 2 = 0 THEN 'Pause' WHEN memory >= 88 OR cpu >= 55 OR idle < 1500 THEN 'Pause' WHEN cpu >= 30 THEN 'Throttle' ELSE 'Run' END AS decision FROM ({_SAMPLE.replace('value::BIGINT', 'floor(value)::BIGINT')})")
+def _(spark, sf_dir):
+    cpu, battery = (F.floor("value") % 80).cast("int"), F.col("event_id") % 7 == 0
+    decision = safety.permitted(F.when(battery, "Cheap").otherwise("Expensive"), F.when(cpu % 2 == 0, "Hdd").otherwise("Ssd"), cpu, (F.col("user_id") % 100).cast("int"), F.col("event_id") % 4000, F.lit(False))
+    return table(spark, sf_dir, "events").select("event_id", decision.alias("decision"))
+
+
+_URI = "'search:?query=' || replace(p_name, ' ', '%20') || '&crumb=location:C%3A%5C' || replace(p_brand, '#', '%23') || '%5C'"
+
+
+@query("f21_search_links", f"SELECT p_partkey, url_decode(regexp_extract(u, 'query=([^&]*)', 1)) AS query, rtrim(url_decode(regexp_extract(u, 'location:([^&]*)', 1)), chr(92)) AS scope FROM (SELECT p_partkey, {_URI} AS u FROM part)")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", uri.parsed(F.expr(_URI)).alias("u")).select("p_partkey", "u.query", "u.scope")
+
+
+@query("f23_lookup_text", r"SELECT page_id, concat_ws(' ', substr(trim(regexp_extract(url, '[^\\/]*$')), 1, 260), CASE WHEN page_id % 3 > 0 THEN 'publisher' || page_id % 3 END, CASE WHEN page_id % 2 > 0 THEN '2.0' END) AS lookup FROM pages")
+def _(spark, sf_dir):
+    publisher = F.when(F.col("page_id") % 3 > 0, F.concat(F.lit("publisher"), (F.col("page_id") % 3).cast("string")))
+    return table(spark, sf_dir, "pages").select("page_id", F.concat_ws(" ", names.lookup_name(F.col("url")), publisher, F.when(F.col("page_id") % 2 > 0, "2.0")).alias("lookup"))
+
+
+@query("x2_extracted_text", SQL["f25_visible_text"].replace("AS visible", "AS text"))
+def _(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.lit("page.html").alias("name"), F.col("html").cast("binary").alias("content"))
+    return files.extracted(pages, "page_id", "name", "content")
+
+
 @query("s19_web_results", "SELECT page_id, url AS link, substr(url, 1, 20) AS title, substr(html, 1, 80) AS snippet FROM pages")
 def _(spark, sf_dir):
     item = F.struct(F.substring("url", 1, 20).alias("title"), F.col("url").alias("link"), F.substring("html", 1, 80).alias("snippet"))

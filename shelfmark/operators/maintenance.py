@@ -65,6 +65,13 @@ def deep_verify(base: DataFrame) -> DataFrame:
     return counts.join(missing, "volume", "left").fillna(0, ["parent_links_missing"])
 
 
+def maintain(base: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The next base, compacted if any change waits, and its health, a row for each volume."""
+    if pending(changes).first().pending:
+        base, changes = compact(base, changes), changes.limit(0)
+    return base, verify(base, changes).join(deep_verify(base).select("volume", "ids_repeated", "parent_links_missing"), "volume")
+
+
 def missing_parents(base: DataFrame) -> DataFrame:
     ids = base.select("volume", F.col("file_id").alias("parent_id"))
     return base.filter("parent_id != 0 and parent_id != file_id").join(ids, ["volume", "parent_id"], "left_anti").select("volume", "file_id", "parent_id")
