@@ -1,4 +1,4 @@
-"""What the training-data operators share: shared-folder tables, Arrow maps over whole texts, and word splitting.
+"""What the training-data operators share: Arrow maps over whole texts, and word splitting.
 
 Words are maximal runs of bytes outside ``\\x20 \\x09-\\x0D``; ``bytes.split()`` cuts at exactly these, so texts travel as
 UTF-8 binary columns and are never decoded where bytes suffice. A null text counts as an empty one.
@@ -6,47 +6,43 @@ UTF-8 binary columns and are never decoded where bytes suffice. A null text coun
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..storage import shared_dir, table, written
 
-DOCUMENT_COLUMNS = ["doc_id", "text"]
 U64 = np.uint64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; where it is unset (tests), a temporary one is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shelfmark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+#: Bytes of an Arrow batch: it is held by the JVM and by a Python worker, on either way, for each task at once.
+BATCH_BYTES = 8 << 20
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: it survives lost executors and cuts the lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def small_batches(df: DataFrame) -> None:
+    """Lower the session's bytes for each Arrow batch to BATCH_BYTES, where they are still at Spark's default or above."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(key).rstrip("b") or 0) > BATCH_BYTES:
+        conf.set(key, f"{BATCH_BYTES}b")
 
 
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text as UTF-8 binary); null texts become empty. Every other column of ``docs`` is left out."""
+    small_batches(docs)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary")).alias("text"),
     )
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """Apply ``fn`` to every Arrow batch; ``fn`` yields batches of ``schema``."""
+    small_batches(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,7 +56,7 @@ def rows_by_text(fn: Callable[[bytes], tuple], names: list[tuple[str, pa.DataTyp
     """A batch function that adds ``fn(text)``'s values to each doc_id."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        found = [fn(t) for t in batch.column(1).to_pylist()]
+        found = [fn(x.as_py()) for x in batch.column(1)]
         columns = [batch.column(0)] + [pa.array([x[i] for x in found], kind) for i, (_, kind) in enumerate(names)]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id"] + [n for n, _ in names])
 
@@ -70,7 +66,7 @@ def rows_by_text(fn: Callable[[bytes], tuple], names: list[tuple[str, pa.DataTyp
 class WordTable(dict):
     """word bytes -> 64-bit hash, filled on first use and emptied when full, so that its memory stays bounded."""
 
-    def __init__(self, limit: int = 1_000_000, longest: int = 64):
+    def __init__(self, limit: int = 150_000, longest: int = 64):
         super().__init__()
         self.limit, self.longest = limit, longest
 
@@ -105,5 +101,4 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["U64", "WordTable", "map_arrow", "mixed", "rows_by_text", "shared_dir", "shingle_hashes", "small_batches", "table", "texts", "written"]

@@ -54,15 +54,15 @@ def counted(docs: DataFrame) -> DataFrame:
 def exponent(sources: DataFrame, budget: int, entropy_share: float = ENTROPY_SHARE, repeats: float = REPEATS) -> float:
     """The least exponent in [0, HIGHEST] that meets both limits (HIGHEST if none does), to six places. Each pass evaluates
     2 ** HALVINGS exponents on the cluster, and the driver gets one row for each."""
-    spark, low, high, steps = sources.sparkSession, 0.0, HIGHEST, 1 << HALVINGS
+    low, high, steps = 0.0, HIGHEST, 1 << HALVINGS
     total = sources.agg(F.sum("tokens")).first()[0]
     if not total:
         return 1.0
     shares = sources.filter("tokens > 0").select(F.col("tokens").cast("double").alias("t"), (F.col("tokens") / F.lit(float(total))).alias("p"))
     for _ in range(PASSES):
-        grid = F.broadcast(spark.range(1, steps + 1).select((F.lit(low) + F.col("id") * F.lit((high - low) / steps)).alias("x")))
+        grid = F.explode(F.array(*(F.lit(low + k * (high - low) / steps) for k in range(1, steps + 1))))
         power = F.pow("p", F.col("x"))
-        found = shares.join(grid).groupBy("x").agg(F.sum(power).alias("z"), F.sum(power * F.log("p")).alias("e"), F.max(power / F.col("t")).alias("r"), F.count("*").alias("k"))
+        found = shares.withColumn("x", grid).groupBy("x").agg(F.sum(power).alias("z"), F.sum(power * F.log("p")).alias("e"), F.max(power / F.col("t")).alias("r"), F.count("*").alias("k"))
         rows = found.select("x", ((F.log("z") - F.col("x") * F.col("e") / F.col("z") <= entropy_share * F.log("k")) & (F.col("r") / F.col("z") * budget <= repeats)).alias("ok")).orderBy("x").collect()
         high = next((r.x for r in rows if r.ok), high)
         low = max([low, *(r.x for r in rows if r.x < high and not r.ok)])

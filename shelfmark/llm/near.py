@@ -282,6 +282,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is kept, with all their columns."""
-    gone = near_duplicates(docs, size, percent).filter("not kept").select(F.col("doc_id").alias("_gone"))
+    """The rows of ``docs`` whose doc_id is kept, with all their columns. Texts are always joined by a shuffle: what goes
+    grows with the input, so a broadcast would only suit small ones."""
+    gone = near_duplicates(docs, size, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).hint("merge")
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)

@@ -28,7 +28,7 @@ CHUNKS = re.compile("[ ▁]+[^ ▁]*|[^ ▁]+")
 class ChunkTable(dict):
     """chunk -> (its ids as text with a space before each, its decoded text)."""
 
-    def __init__(self, model_file: str, limit: int = 300_000):
+    def __init__(self, model_file: str, limit: int = 150_000):
         import sentencepiece
 
         super().__init__()

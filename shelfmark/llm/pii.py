@@ -22,9 +22,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .base import texts
+from .base import small_batches, texts
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
 BASE = KINDS[:4]
@@ -127,7 +126,7 @@ def candidates(text: str, tokens: list[tuple[int, int]]) -> Iterator[tuple[int,
     hot = [bool(_TRIGGER.search(w)) for w in words]
     solid = [w[0].isalnum() for w in words]
     for i in range(len(tokens)):
-        if not (solid[i] or words[i] == "+"):
+        if not (solid[i] or words[i] in "+("):
             continue
         warm = False
         for j in range(i, min(i + LONGEST, len(tokens))):
@@ -342,11 +341,19 @@ def redacted(docs: DataFrame, w: Weights | None = None) -> DataFrame:
             at = max(at, b)
         return "".join(parts) + text[at:] if parts else text
 
-    @F.pandas_udf("string")
-    def redact(text):
-        return text.map(clean, na_action="ignore")
+    at, size = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
-    out = docs.withColumn("text", redact("text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 512):
+                batch = whole.slice(k, 512)
+                columns = batch.columns
+                text = [None if x is None else clean(x) for x in columns[at].to_pylist()]
+                columns[at] = pa.array(text, columns[at].type)
+                if size is not None:
+                    kept = columns[size].to_pylist()
+                    columns[size] = pa.array([n if t is None else len(t) for t, n in zip(text, kept, strict=True)], columns[size].type)
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    small_batches(docs)
+    return docs.mapInArrow(run, docs.schema)

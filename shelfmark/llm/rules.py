@@ -1,6 +1,6 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule's cost (seconds a text) and selectivity (share rejected) are estimated on a bounded sample by one Spark job; the
+Each rule's cost (seconds a text) and selectivity (share rejected) are estimated on a sample of bounded size by one Spark job; the
 cascade then asks the rules in falling order of rejection per second and stops at a text's first rejection. A verdict is
 the conjunction of all rules, so the order changes the work and never a result.
 
@@ -112,7 +112,7 @@ class Cascade:
 
 
 def measure(docs: DataFrame, rules: list[Rule] = RULES, sample_rows: int = 2000) -> list[dict]:
-    """Cost and selectivity of each rule over at most ``sample_rows`` rows; the driver gets a row for each rule."""
+    """Cost and selectivity of each rule over about ``sample_rows`` rows, chosen by a hash; the driver gets a row for each rule."""
 
     def costs(batch: pa.RecordBatch):
         found = []
@@ -122,7 +122,8 @@ def measure(docs: DataFrame, rules: list[Rule] = RULES, sample_rows: int = 2000)
             found.append((r.name, len(views), rejected, time.perf_counter() - began))
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], ["rule", "n", "rejected", "seconds"])
 
-    sample = texts(docs.limit(sample_rows))
+    share = max(1, docs.count() // sample_rows)
+    sample = texts(docs).filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
     per_batch = map_arrow(sample, costs, "rule string, n long, rejected long, seconds double")
     return [r.asDict() for r in per_batch.groupBy("rule").agg(*(F.sum(c).alias(c) for c in ("n", "rejected", "seconds"))).collect()]
 
@@ -146,7 +147,7 @@ def quality(docs: DataFrame, rules: list[Rule] = RULES, sample_rows: int = 2000)
     kinds = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("rejected_by", pa.string())]
 
     def run(batch: pa.RecordBatch):
-        found = list(zip(*map(judged, batch.column(1).to_pylist()), strict=True))
+        found = list(zip(*(judged(x.as_py()) for x in batch.column(1)), strict=True))
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, (_, k) in zip(found, kinds, strict=True))], ["doc_id", *(n for n, _ in kinds)])
 
     return map_arrow(texts(docs), run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string")
@@ -155,10 +156,10 @@ def quality(docs: DataFrame, rules: list[Rule] = RULES, sample_rows: int = 2000)
 def keep_good(docs: DataFrame, rules: list[Rule] = RULES, sample_rows: int = 2000) -> DataFrame:
     """The rows of ``docs`` that every rule keeps, with all their columns and without a shuffle."""
     cascade = ordered(rules, measure(docs, rules, sample_rows))
+    at = docs.columns.index("text")
 
-    @F.pandas_udf("boolean")
-    def keeps(data):
-        views = (Text(x or b"") for x in data)
-        return data.__class__([not base_failed(t) and cascade.rejected_by(t) is None for t in views], dtype="bool")
+    def run(batch: pa.RecordBatch):
+        views = (Text((x.as_py() or "").encode()) for x in batch.column(at))
+        yield batch.filter(pa.array([not base_failed(t) and cascade.rejected_by(t) is None for t in views], pa.bool_()))
 
-    return docs.filter(keeps(F.col("text").cast("binary")))
+    return map_arrow(docs, run, docs.schema)

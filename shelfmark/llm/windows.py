@@ -366,6 +366,18 @@ def compared_packets(kind: Kind, rows: DataFrame, same_windows: Callable[[list[n
         if not got:
             return
         t = pa.Table.from_batches(got)
+        del got
+        # Equal k-grams stay together; a share of them at a time bounds the windows held.
+        shares = t.num_rows // 16_384 + 1
+        share = mixed(t.column("key").to_numpy().view(U64) + mixed(t.column("next").to_numpy().view(U64))) % U64(shares)
+        for k in range(shares):
+            at = np.flatnonzero(share == k)
+            if len(at):
+                s = compare(t.take(pa.array(at)))
+                if len(s):
+                    yield packets(deal(s, by_document(s, buckets), "span"))
+
+    def compare(t: pa.Table) -> np.ndarray:
         doc, at, more, many = (t.column(c).to_numpy() for c in ("doc_id", "at", "more", "many"))
         number = same_windows([np.frombuffer(x, dtype) for x in t.column("tokens").to_pylist()])
         owner = np.repeat(np.arange(len(doc)), more + 1)
@@ -378,8 +390,7 @@ def compared_packets(kind: Kind, rows: DataFrame, same_windows: Callable[[list[n
             repeat = np.bincount(number, weights=1 + many[owner])[number] > 1
         s = np.zeros(int(repeat.sum()), SPAN)
         s["doc"], s["at"], s["size"] = doc[owner][repeat], start[repeat], kind.window
-        s = merged(s)
-        yield packets(deal(s, by_document(s, buckets), "span"))
+        return merged(s)
 
     return rows.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(run, PACKETS)
 
