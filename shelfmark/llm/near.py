@@ -95,7 +95,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x.as_py(), words, size).tobytes() for x in batch.column(1)], pa.binary())], ["id", "members"])
 
-    return texts(docs).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(run, "id long, members binary").dropDuplicates(["id"])
+    return texts(docs).join(ids.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi").mapInArrow(run, "id long, members binary").dropDuplicates(["id"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
