@@ -4,8 +4,8 @@ Where no piece of a model has a whitespace marker after another character, merge
 markers, so a text's ids are the ids of its marked words in order. Each task segments a distinct marked word once through
 the library, keeps it in a table, and joins ids back by position. A model without that property is run on whole texts.
 
-Null and empty texts give the end id alone and decode to an empty text. The table is emptied when full, which costs time
-and changes no result; chunks over 64 characters are not kept.
+Null and empty texts give the end id alone and decode to an empty text. The table forgets what was not asked for lately,
+which costs time and changes no result.
 """
 
 from __future__ import annotations
@@ -21,46 +21,68 @@ from pyspark.sql import DataFrame
 from .base import texts
 
 MARK = "▁"
-#: A run of markers with what follows up to the next run; only a text's first chunk can lack the markers.
-CHUNKS = re.compile("[ ▁]+[^ ▁]*|[^ ▁]+")
+#: A run of markers with what follows up to the next run.
+CHUNKS = re.compile("[ ▁]+[^ ▁]*")
+#: Code points of the texts whose chunks are looked up together.
+SLICE = 1_000_000
 
 
-class ChunkTable(dict):
-    """chunk -> (its ids as text with a space before each, its decoded text)."""
+class ChunkTable:
+    """chunk -> (its ids as text with a space before each, its decoded text), for the chunks seen lately: when half of
+    ``limit`` is new, what was not asked for since the last time goes."""
 
     def __init__(self, model_file: str, limit: int = 150_000):
         import sentencepiece
 
-        super().__init__()
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.limit = limit
+        self.new: dict[str, tuple[str, str]] = {}
+        self.old: dict[str, tuple[str, str]] = {}
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         # The library's own normalization has to leave texts alone but for the markers and the one added in front.
-        probe = "  ① ﬁ é\t\n　x  "
+        probe = "  ① ﬁ é\t\n　x  "
         self.splits = not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces) and self.model.decode(self.model.encode(probe)) == probe
         self.lead = self.model.encode("a")
 
-    def __missing__(self, chunk: str) -> tuple[str, str]:
-        # Encoded behind the letter "a" and its marker, so that no marker is added in front of the chunk itself.
-        marked = chunk if chunk[0] in (" ", MARK) else None
-        ids = self.model.encode("a" + chunk)[len(self.lead) :] if marked else self.model.encode(chunk)
-        value = "".join(f" {i}" for i in ids), self.model.decode(self.lead + ids)[1:]
-        if len(chunk) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
-            self[chunk] = value
-        return value
-
-    def encode(self, text: str) -> tuple[str, str]:
-        """Ids in decimal joined by spaces, with the end id, and the text that they decode to."""
+    def fill(self, chunks: set[str]) -> None:
+        """Have all of ``chunks`` in ``new``; those never seen are segmented by one call of the library."""
+        if len(self.new) > self.limit // 2:
+            self.new, self.old = {}, self.new
+        missing = [c for c in chunks if c not in self.new]
+        self.new.update((c, self.old[c]) for c in missing if c in self.old)
+        unseen = [c for c in missing if c not in self.old]
+        if unseen:
+            # Encoded behind the letter "a" and its marker, so that no marker is added in front of the chunk itself.
+            ids = [x[len(self.lead) :] for x in self.model.encode(["a" + c for c in unseen], num_threads=1)]
+            texts = self.model.decode([self.lead + x for x in ids], num_threads=1)
+            self.new.update((c, ("".join([f" {i}" for i in x]), t[1:])) for c, x, t in zip(unseen, ids, texts, strict=True))
+
+    def encode(self, texts: list[str]) -> list[tuple[str, str]]:
+        """Each text's ids in decimal joined by spaces, with the end id, and the text that they decode to."""
         if not self.splits:
-            ids = self.model.encode(text, add_eos=True)
-            return " ".join(map(str, ids)), self.model.decode(ids)
-        if not text:
-            return str(self.model.eos_id()), ""
-        # The library puts one marker in front: it joins a leading run of spaces or starts the first word.
-        found = [self[c] for c in CHUNKS.findall(" " + text)]
-        return "".join(x[0] for x in found)[1:] + f" {self.model.eos_id()}", "".join(x[1] for x in found)[1:]
+            every = self.model.encode(texts, add_eos=True, num_threads=1)
+            return [(" ".join(map(str, ids)), self.model.decode(ids)) for ids in every]
+        # The library puts one marker in front of a text: it joins a leading run of spaces or starts the first word.
+        split = [CHUNKS.findall(" " + t) if t else [] for t in texts]
+        self.fill(set().union(*split))
+        out, end, table = [], str(self.model.eos_id()), self.new
+        for chunks in split:
+            found = [table[c] for c in chunks]
+            out.append(("".join([*[x[0] for x in found], " ", end])[1:], "".join([x[1] for x in found])[1:]))
+        return out
+
+
+def sliced(texts: Iterator[str]) -> Iterator[list[str]]:
+    """The texts in lists of about SLICE code points."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= SLICE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def encoded(docs: DataFrame, model_file: str, keep: bool = False) -> DataFrame:
@@ -70,8 +92,8 @@ def encoded(docs: DataFrame, model_file: str, keep: bool = False) -> DataFrame:
         table = ChunkTable(model_file)
         for batch in batches:
             out: list[tuple] = []
-            for data in batch.column(1):
-                ids, text = table.encode(data.as_py().decode("utf-8", "replace"))
+            whole = (x.as_py().decode("utf-8", "replace") for x in batch.column(1))
+            for ids, text in (found for part in sliced(whole) for found in table.encode(part)):
                 row = ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
                 out.append((*row, np.fromstring(ids, np.int32, sep=" "), text) if keep else row)
             columns = zip(*out, strict=True) if out else [[] for _ in kinds]
