@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.safety import classified, cleanup_action
+from ..storage import written
 from .live import KEY, latest_changes, live_view, with_paths
 
 #: Name prefixes that a cleanup looks for, each for so many names at most, and rows in all.
@@ -14,10 +15,10 @@ PATTERNS = ["temp", "cache", "npm-cache", "node_modules", "__pycache__", "target
 PER_PATTERN, IN_ALL = 128, 500
 
 
-def decisions(rows: DataFrame) -> DataFrame:
-    """(volume, file_id, path, class, risk, action, confidence) of rows with paths and flags."""
+def decisions(rows: DataFrame, *keep: str) -> DataFrame:
+    """(volume, file_id, path, class, risk, action, confidence) of rows with paths and flags, and the columns ``keep``."""
     kind = rows.withColumn("kind", classified(F.col("path"), F.col("flags")))
-    return kind.withColumn("do", cleanup_action(F.col("path"), F.col("kind"))).select("volume", "file_id", "path", "kind.class", "kind.risk", "do.action", "do.confidence")
+    return kind.withColumn("do", cleanup_action(F.col("path"), F.col("kind"))).select("volume", "file_id", "path", "kind.class", "kind.risk", "do.action", "do.confidence", *keep)
 
 
 def cleanup(live: DataFrame, per_pattern: int = PER_PATTERN, in_all: int = IN_ALL) -> DataFrame:
@@ -27,8 +28,10 @@ def cleanup(live: DataFrame, per_pattern: int = PER_PATTERN, in_all: int = IN_AL
         number = F.when(F.startswith("name_norm", F.lit(p)), i).otherwise(number)
     order = Window.partitionBy("pattern").orderBy("name_norm", "volume", "file_id")
     found = live.withColumn("pattern", number).filter("pattern is not null").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= per_pattern)
-    planned = decisions(with_paths(found, live)).filter("action != 'Keep'")
-    return planned.join(found.select(*KEY, "pattern", "at"), KEY).orderBy("pattern", "at").limit(in_all).drop("at", "pattern")
+    # The few rows found are written, so that the view is not made again for what follows.
+    found = written(found, "cleanup")
+    planned = decisions(with_paths(found, live), "pattern", "at").filter("action != 'Keep'")
+    return planned.orderBy("pattern", "at").limit(in_all).drop("at", "pattern")
 
 
 def quarantine_plan(planned: DataFrame, root: str = "Q:\\quarantine") -> DataFrame:
