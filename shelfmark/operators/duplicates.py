@@ -1,32 +1,38 @@
-"""Duplicate files: equal sizes, then equal samples, then equal contents; each step only sees what the last left."""
+"""Duplicate files: equal sizes, then equal contents. Groups of every size count, unless a caller bounds them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 65_536
-LARGEST_GROUP = 4_096
 
 
-def same_size(attributes: DataFrame, least: int, largest: int = LARGEST_GROUP) -> DataFrame:
-    """(size_bytes, files) of sizes that two files or more have; groups of more than ``largest`` are skipped whole."""
-    return attributes.filter(F.col("size_bytes") >= least).groupBy("size_bytes").agg(F.count("*").alias("files")).filter((F.col("files") >= 2) & (F.col("files") <= largest))
+def within(largest: int | None) -> Column:
+    return F.lit(True) if largest is None else F.col("files") <= largest
 
 
-def group_stats(attributes: DataFrame, least: int, largest: int = LARGEST_GROUP) -> DataFrame:
+def same_size(attributes: DataFrame, least: int, largest: int | None = None) -> DataFrame:
+    """(size_bytes, files) of sizes that two files or more have; bounded, groups of more than ``largest`` are skipped whole."""
+    return attributes.filter(F.col("size_bytes") >= least).groupBy("size_bytes").agg(F.count("*").alias("files")).filter((F.col("files") >= 2) & within(largest))
+
+
+def group_stats(attributes: DataFrame, least: int, largest: int | None = None) -> DataFrame:
     sizes = attributes.filter(F.col("size_bytes") >= least).groupBy("size_bytes").agg(F.count("*").alias("files"))
-    kept = (F.col("files") >= 2) & (F.col("files") <= largest)
-    return sizes.agg(F.count_if(kept).alias("groups"), F.coalesce(F.sum(F.when(kept, F.col("files"))), F.lit(0)).alias("members"), F.count_if(F.col("files") > largest).alias("oversized_groups_skipped"))
+    kept = (F.col("files") >= 2) & within(largest)
+    return sizes.agg(F.count_if(kept).alias("groups"), F.coalesce(F.sum(F.when(kept, F.col("files"))), F.lit(0)).alias("members"), F.count_if(~within(largest)).alias("oversized_groups_skipped"))
 
 
-def duplicate_sets(files: DataFrame, least: int = 1 << 20, largest: int = LARGEST_GROUP) -> DataFrame:
+def duplicate_sets(files: DataFrame, least: int = 1 << 20, largest: int | None = None) -> DataFrame:
     """(size_bytes, sha256, files, first_file, reclaimable) of (volume, file_id, size_bytes, text) with equal contents.
 
-    Candidates are found by small rows; contents are hashed where they are read, and only hashes are shuffled."""
+    Contents are hashed where they are read, and hashes are counted there before they are shuffled, so that a set of any
+    size is few rows. Equal hashes have equal sizes; only a bound needs the sizes' own counts."""
     sample = F.xxhash64(F.substring("text", 1, SAMPLE), F.when(F.length("text") > SAMPLE, F.right("text", F.lit(SAMPLE))).otherwise(""))
     rows = files.filter(F.col("size_bytes") >= least).select("volume", "file_id", "size_bytes", sample.alias("sample"), F.sha2("text", 256).alias("sha256"))
-    sets = rows.join(same_size(files, least, largest).select("size_bytes"), "size_bytes", "left_semi").groupBy("size_bytes", "sample", "sha256").agg(F.count("*").alias("files"), F.min(F.struct("volume", "file_id")).alias("first"))
+    if largest is not None:
+        rows = rows.join(same_size(files, least, largest).select("size_bytes"), "size_bytes", "left_semi")
+    sets = rows.groupBy("size_bytes", "sample", "sha256").agg(F.count("*").alias("files"), F.min(F.struct("volume", "file_id")).alias("first"))
     return sets.filter("files >= 2").select("size_bytes", "sha256", "files", F.concat(F.col("first.volume"), F.lit(":"), F.col("first.file_id").cast("string")).alias("first_file"), (F.col("size_bytes") * (F.col("files") - 1)).alias("reclaimable"))
 
 
