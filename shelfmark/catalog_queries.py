@@ -235,15 +235,13 @@ _CONTENT = f"WITH {LIVE}, {CONTENTS}, " + postings_sql(names.TEXT_EXTENSIONS, 40
 
 @query("s13_postings", f"WITH {CONTENTS}, {postings_sql(names.TEXT_EXTENSIONS, 4096)} SELECT volume, file_id, token FROM postings WHERE file_id NOT IN (SELECT file_id FROM postings GROUP BY file_id HAVING count(*) > 4096)")
 def _(spark, sf_dir):
-    files = src.contents(spark, sf_dir).filter(names.is_text_candidate(F.col("name")))
-    counts = F.size(F.array_distinct(names.tokens(F.col("text"))))
-    return search.postings(files.filter(counts <= 4096))
+    return index(spark, sf_dir)
 
 
 @query("s14_rich_token_counts", f"WITH {CONTENTS} SELECT volume, file_id, least(len({_RUNS}), 8192)::BIGINT AS tokens FROM contents WHERE {candidates_sql(names.TEXT_EXTENSIONS + names.RICH_EXTENSIONS)} AND len({_RUNS}) > 0")
 def _(spark, sf_dir):
     files = src.contents(spark, sf_dir).filter(names.is_rich_candidate(F.col("name")))
-    return search.postings(files, 8192).groupBy("volume", "file_id").agg(F.count("*").alias("tokens"))
+    return search.postings(files).groupBy("volume", "file_id").agg(F.count("*").alias("tokens"))
 
 
 _HITS = "(volume, file_id) IN (SELECT (volume, file_id) FROM postings WHERE token IN ('the', 'of') GROUP BY volume, file_id HAVING count(DISTINCT token) = 2)"

@@ -70,9 +70,10 @@ def tokens(text: Column) -> Column:
     """Runs of letters, digits, _ and - in lower case, of two bytes at least. A run beyond 96 bytes is cleared each time that
     it passes 96 and goes on, so that its last part alone is a token."""
     runs = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_\-]+"), F.lit(0))
-    rest = lambda t: F.when(F.octet_length(t) <= 96, t).otherwise(F.expr("''"))
-    ascii_tail = lambda t: F.when((F.octet_length(t) > 96) & t.rlike(r"^\p{ASCII}+$"), F.substr(t, F.floor(F.length(t) / 97).cast("int") * 97 + 1)).otherwise(rest(t))
-    return F.filter(F.transform(runs, ascii_tail), lambda t: F.octet_length(t) >= 2)
+    # Over bytes as characters: 97 bytes and what is left of the character that the last one stands in.
+    cleared = lambda t: F.regexp_replace(F.decode(F.encode(t, "UTF-8"), "ISO-8859-1"), r"(?s).{97}[\x80-\xbf]*+", "")
+    tail = lambda t: F.when(F.octet_length(t) <= 96, t).otherwise(F.decode(F.encode(cleared(t), "ISO-8859-1"), "UTF-8"))
+    return F.filter(F.transform(runs, tail), lambda t: F.octet_length(t) >= 2)
 
 
 def visible_text(html: Column, most: int = 2_000_000) -> Column:

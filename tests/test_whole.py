@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from shelfmark.operators import duplicates
+import __spark_entry__ as entry
+from shelfmark.functions import names
+from shelfmark.operators import duplicates, search
+from shelfmark.sources.catalog import named
 
 
 def test_duplicate_groups_of_any_size(spark):
@@ -13,3 +16,32 @@ def test_duplicate_groups_of_any_size(spark):
     assert duplicates.report(duplicates.duplicate_sets(rows, 1)).first().asDict() == {"sets": 1, "files": many, "reclaimable": 4 * (many - 1)}
     assert duplicates.group_stats(rows, 1).first().asDict() == {"groups": 1, "members": many + 1, "oversized_groups_skipped": 0}
     assert duplicates.same_size(rows, 1, 4_096).count() == 0 and duplicates.duplicate_sets(rows, 1, 4_096).count() == 0
+
+
+def runs(text):
+    """Tokens letter by letter, as the reference reads them."""
+    out, now = [], ""
+    for c in text + " ":
+        if c.isalnum() or c in "_-":
+            now = "" if len((now + c).encode()) > 96 else now + c
+        else:
+            out, now = out + [now] * (len(now.encode()) >= 2), ""
+    return out
+
+
+def test_long_runs_keep_their_tail(spark):
+    text = " ".join(["é" * 49 + "ab", "é" * 48, "é" * 49, "xé" * 70, "語" * 33 + "本文", "日本" * 5_000 + "a", "a" + "語" * 40, "𝒳" * 60, "z" * 200])
+    got = spark.createDataFrame([(text,)], "text string").select(names.tokens(F.col("text")).alias("t")).first().t
+    assert got == runs(text) and {"ab", "本文", "z" * 6} <= set(got)
+
+
+def test_every_token_of_a_long_file(spark, tmp_path):
+    words = 9_000
+    text = " ".join(f"w{i}" for i in range(words)) + " last"
+    files = spark.createDataFrame([("C", 1, text)], "volume string, file_id long, text string")
+    live = named(spark.createDataFrame([("C", 1, 5, 0, 0, "n1")], "volume string, file_id long, parent_id long, size_bytes long, flags int, name string"))
+    assert search.postings(files).count() == words + 1
+    assert [r.file_id for r in search.content(live, search.postings(files), "last w1").collect()] == [1]
+    spark.createDataFrame([(1, text, "en", "src1", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert entry.queries()["s13_postings"](spark, str(tmp_path)).count() == words + 1
+    assert [r.tokens for r in entry.queries()["s14_rich_token_counts"](spark, str(tmp_path)).collect()] == [words + 1]
