@@ -371,7 +371,7 @@ def _(spark, sf_dir):
 
 @query("m11_quarantine_plan", f"WITH RECURSIVE {LIVE}, {PATHS}, {DECIDED}, {CLEANUP} SELECT volume, file_id, path, 'Q:' || chr(92) || 'quarantine' || chr(92) || replace(path, ':', '') AS target FROM planned WHERE action = 'Quarantine'")
 def _(spark, sf_dir):
-    return maintenance.quarantine_plan(maintenance.cleanup(view(spark, sf_dir)))
+    return maintenance.quarantine_plan(maintenance.candidates(view(spark, sf_dir)))
 
 
 # Maintenance

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.safety import classified, cleanup_action
-from ..storage import written
 from .live import KEY, latest_changes, live_view, with_paths
 
-#: Name prefixes that a cleanup looks for, each for so many names at most, and rows in all.
+#: Name prefixes that a cleanup looks for, and the report's names of each and rows in all.
 PATTERNS = ["temp", "cache", "npm-cache", "node_modules", "__pycache__", "target", "build", "dist", ".log"]
 PER_PATTERN, IN_ALL = 128, 500
 
@@ -21,21 +20,25 @@ def decisions(rows: DataFrame, *keep: str) -> DataFrame:
     return kind.withColumn("do", cleanup_action(F.col("path"), F.col("kind"))).select("volume", "file_id", "path", "kind.class", "kind.risk", "do.action", "do.confidence", *keep)
 
 
-def cleanup(live: DataFrame, per_pattern: int = PER_PATTERN, in_all: int = IN_ALL) -> DataFrame:
-    """What a cleanup would do with names of the patterns, in the patterns' order, names by name; a top-k report."""
+def candidates(live: DataFrame) -> DataFrame:
+    """The decisions on every live row whose name starts with a pattern, but those to keep it, with the columns ``pattern``
+    and ``name_norm``."""
     number = F.lit(None).cast("int")
     for i, p in reversed(list(enumerate(PATTERNS))):
         number = F.when(F.startswith("name_norm", F.lit(p)), i).otherwise(number)
+    found = live.withColumn("pattern", number).filter("pattern is not null")
+    return decisions(with_paths(found, live), "pattern", "name_norm").filter("action != 'Keep'")
+
+
+def cleanup(live: DataFrame, per_pattern: int = PER_PATTERN, in_all: int = IN_ALL) -> DataFrame:
+    """What a cleanup would do with names of the patterns, in the patterns' order, names by name; a top-k report."""
     order = Window.partitionBy("pattern").orderBy("name_norm", "volume", "file_id")
-    found = live.withColumn("pattern", number).filter("pattern is not null").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= per_pattern)
-    # The few rows found are written, so that the view is not made again for what follows.
-    found = written(found, "cleanup")
-    planned = decisions(with_paths(found, live), "pattern", "at").filter("action != 'Keep'")
-    return planned.orderBy("pattern", "at").limit(in_all).drop("at", "pattern")
+    planned = candidates(live).withColumn("at", F.row_number().over(order)).filter(F.col("at") <= per_pattern)
+    return planned.orderBy("pattern", "at").limit(in_all).drop("at", "pattern", "name_norm")
 
 
 def quarantine_plan(planned: DataFrame, root: str = "Q:\\quarantine") -> DataFrame:
-    """Where each quarantined path would go; its drive becomes a directory, so that a restore finds its place."""
+    """Where each path of ``candidates`` to quarantine would go; its drive becomes a directory, so that a restore finds its place."""
     target = F.concat(F.lit(root + "\\"), F.replace("path", F.lit(":"), F.lit("")))
     return planned.filter("action = 'Quarantine'").select("volume", "file_id", "path", target.alias("target"))
 
@@ -99,4 +102,4 @@ def pending(changes: DataFrame) -> DataFrame:
     return changes.limit(1).agg((F.count("*") > 0).alias("pending"))
 
 
-__all__ = ["cleanup", "compact", "decisions", "deep_verify", "doctor", "freshness", "latest_changes", "missing_parents", "pending", "publish", "quarantine_plan", "verify"]
+__all__ = ["candidates", "cleanup", "compact", "decisions", "deep_verify", "doctor", "freshness", "latest_changes", "missing_parents", "pending", "publish", "quarantine_plan", "verify"]

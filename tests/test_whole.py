@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from shelfmark.functions import names
-from shelfmark.operators import duplicates, search
+from shelfmark.operators import duplicates, maintenance, search
 from shelfmark.sources.catalog import named
 
 
@@ -45,3 +45,18 @@ def test_every_token_of_a_long_file(spark, tmp_path):
     spark.createDataFrame([(1, text, "en", "src1", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert entry.queries()["s13_postings"](spark, str(tmp_path)).count() == words + 1
     assert [r.tokens for r in entry.queries()["s14_rich_token_counts"](spark, str(tmp_path)).collect()] == [words + 1]
+
+
+def test_plans_beyond_the_report(spark, tmp_path):
+    names = ["C:"] + [f"temp{i:04d}" for i in range(130)] + [f"temp-{i:04d}.tmp" for i in range(10)] + [f"cache{i:04d}.tmp" for i in range(600)]
+    rows = [("C", 5 + i, 5, 0, int(i == 0), n) for i, n in enumerate(names)]
+    live = named(spark.createDataFrame(rows, "volume string, file_id long, parent_id long, size_bytes long, flags int, name string"))
+    plan = maintenance.quarantine_plan(maintenance.candidates(live)).collect()
+    assert len({r.file_id for r in plan}) == len(plan) == 610 and "Q:\\quarantine\\C\\cache0599.tmp" in {r.target for r in plan}
+    report = [r.path for r in maintenance.cleanup(live).collect()]
+    assert report[:11] == [f"C:\\temp-{i:04d}.tmp" for i in range(10)] + ["C:\\cache0000.tmp"] and len(report) == 138
+    assert len(maintenance.cleanup(live, 1_000).collect()) == 500
+    spark.createDataFrame([(200 * i + 7, "red blue", "Brand#11") for i in range(700)], "p_partkey long, p_name string, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(1, "a", "en", "src1", 1)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, "view")], "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    assert entry.queries()["m11_quarantine_plan"](spark, str(tmp_path)).count() == 700
