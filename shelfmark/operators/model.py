@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -10,11 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 INTENTS = ["ExactSearch", "FuzzySearch", "RelatedSearch", "ContentSearch", "CleanupAnalysis", "WebLookup", "Help", "Unknown"]
-BUCKETS, MOST = 2_048, 96
+BUCKETS = 2_048
 #: Fixed values of FNV-1a with 64 bits.
 OFFSET, PRIME = 0xCBF29CE484222325, 0x100000001B3
 
 
+@lru_cache(1 << 16)
 def fnv1a(data: bytes) -> int:
     h = OFFSET
     for b in data:
@@ -23,11 +25,11 @@ def fnv1a(data: bytes) -> int:
 
 
 def buckets(query: str) -> list[int]:
-    """At most MOST distinct buckets: each word and its trigrams, then neighbouring words."""
+    """The distinct buckets of the whole text: each word and its trigrams, then neighbouring words."""
     words = "".join(c.lower()[:1] if c.isalnum() else " " for c in query).split()
     names = [n for w in words for n in ["w:" + w, *("c3:" + w[i : i + 3] for i in range(len(w) - 2))]]
     names += [f"b:{a}_{b}" for a, b in zip(words, words[1:], strict=False)]
-    return list(dict.fromkeys(fnv1a(n.encode()) % BUCKETS for n in names))[:MOST]
+    return list(dict.fromkeys(fnv1a(n.encode()) % BUCKETS for n in names))
 
 
 @dataclass

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from shelfmark.functions import names
-from shelfmark.operators import duplicates, maintenance, search
+from shelfmark.operators import duplicates, maintenance, model, search
 from shelfmark.sources.catalog import named
 
 
@@ -60,3 +60,10 @@ def test_plans_beyond_the_report(spark, tmp_path):
     spark.createDataFrame([(1, "a", "en", "src1", 1)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, 1, "view")], "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
     assert entry.queries()["m11_quarantine_plan"](spark, str(tmp_path)).count() == 700
+
+
+def test_intent_reads_the_whole_text():
+    filler = " ".join(f"word{i}" for i in range(60))
+    assert len(model.buckets(filler)) > 96 and set(model.buckets("clean my disk")) <= set(model.buckets(filler + " clean my disk"))
+    m = model.train(["find the file", "clean my disk"], ["ExactSearch", "CleanupAnalysis"])
+    assert [m.classify(f"{filler} {q}")[0] for q in ("clean my disk", "find the file")] == ["CleanupAnalysis", "ExactSearch"]
