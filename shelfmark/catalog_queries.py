@@ -544,14 +544,21 @@ def _(spark, sf_dir):
     return files.extracted(pages, "page_id", "name", "content")
 
 
-@query("s19_web_results", "SELECT page_id, url AS link, substr(url, 1, 20) AS title, substr(html, 1, 80) AS snippet FROM pages")
-def _(spark, sf_dir):
-    item = F.struct(F.substring("url", 1, 20).alias("title"), F.col("url").alias("link"), F.substring("html", 1, 80).alias("snippet"))
-    answers = table(spark, sf_dir, "pages").select("page_id", F.to_json(F.struct(F.array(item).alias("items"))).alias("answer"))
+def web_results(pages: DataFrame) -> DataFrame:
+    """(page_id, title, link, snippet) of the answers a web search would give in JSON, with pages' whole texts."""
+    item = F.struct(F.col("url").alias("title"), F.col("url").alias("link"), F.col("html").alias("snippet"))
+    answers = pages.select("page_id", F.to_json(F.struct(F.array(item).alias("items"))).alias("answer"))
     parsed = answers.select("page_id", F.from_json("answer", "items array<struct<title:string,link:string,snippet:string>>").alias("a"))
     return parsed.select("page_id", F.inline(F.slice("a.items", 1, 5))).filter("title is not null and link is not null and snippet is not null")
 
 
+@query("s19_web_results", "SELECT page_id, url AS link, substr(url, 1, 20) AS title, substr(html, 1, 80) AS snippet FROM pages")
+def _(spark, sf_dir):
+    """Answers are parsed whole; the report shows the start of titles and snippets."""
+    rows = web_results(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", F.substring("title", 1, 20).alias("title"), "link", F.substring("snippet", 1, 80).alias("snippet"))
+
+
 @query("s18_web_cache", "SELECT filename, max(page_id) AS last_page, arg_max(url, page_id) AS url FROM (SELECT page_id, url, substr(trim(regexp_extract(url, '[^\\\\/]*$')), 1, 260) AS filename FROM pages) GROUP BY filename")
 def _(spark, sf_dir):
     cache = table(spark, sf_dir, "pages").select("page_id", "url", names.lookup_name(F.col("url")).alias("filename"))

@@ -76,8 +76,8 @@ def tokens(text: Column) -> Column:
     return F.filter(F.transform(runs, tail), lambda t: F.octet_length(t) >= 2)
 
 
-def visible_text(html: Column, most: int = 2_000_000) -> Column:
-    """Text outside tags: trimmed pieces with five entities decoded (&amp; last), joined by a space and cut at ``most``."""
+def visible_text(html: Column, most: int | None = None) -> Column:
+    """Text outside tags: trimmed pieces with five entities decoded (&amp; last), joined by a space; cut at ``most`` if asked."""
     pieces = F.transform(F.split(F.regexp_replace(html, r"<[^>]*(>|$)", "\0"), "\0"), lambda s: F.regexp_replace(s, r"^[\s  - ]+|[\s  - ]+$", ""))
     kept = F.filter(pieces, lambda s: s != "")
 
@@ -86,7 +86,8 @@ def visible_text(html: Column, most: int = 2_000_000) -> Column:
             s = F.replace(s, F.lit(entity), F.lit(char))
         return s
 
-    return F.substring(F.array_join(F.transform(kept, decoded), " "), 1, most)
+    whole = F.array_join(F.transform(kept, decoded), " ")
+    return whole if most is None else F.substring(whole, 1, most)
 
 
 def lookup_name(path: Column) -> Column:

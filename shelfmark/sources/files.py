@@ -12,7 +12,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-MOST_PLAIN, MOST_PARTS, MOST_XML, MOST_CHARS = 4 << 20, 8192, 16 << 20, 2 << 20
 #: Parts of office packages that hold text.
 PARTS = {"docx": r"word/(document|header\d*|footer\d*|footnotes|endnotes|comments)\.xml", "xlsx": r"xl/(sharedStrings|worksheets/sheet\d+)\.xml", "pptx": r"ppt/(slides/slide|notesSlides/notesSlide)\d+\.xml"}
 ENTITIES = [("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
@@ -60,7 +59,7 @@ def tree(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("shelfmark_tree").load(root)
 
 
-def visible(markup: str, most: int = MOST_CHARS) -> str:
+def visible(markup: str) -> str:
     """Text outside tags, trimmed pieces joined by blanks."""
     pieces = (p.strip() for p in re.split(r"<[^>]*(?:>|$)", markup))
     out = []
@@ -68,20 +67,20 @@ def visible(markup: str, most: int = MOST_CHARS) -> str:
         for entity, char in ENTITIES:
             p = p.replace(entity, char)
         out.append(p)
-    return " ".join(out)[:most]
+    return " ".join(out)
 
 
 def text_of(name: str, data: bytes) -> str | None:
-    """A document's text by its extension; None where it has none that is read here, or is damaged or too large."""
+    """A document's text by its extension; None where it has none that is read here, or is damaged."""
     kind = name.rpartition(".")[2].lower()
     if kind in ("html", "htm", "xml", "mht", "mhtml"):
-        return visible(data[:MOST_PLAIN].decode("utf-8", "replace"))
+        return visible(data.decode("utf-8", "replace"))
     if kind not in PARTS:
-        return None if b"\0" in data[:4096] or len(data) > MOST_PLAIN else data.decode("utf-8", "replace")[:MOST_CHARS]
+        return None if b"\0" in data[:4096] else data.decode("utf-8", "replace")
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
-            inside = [i for i in z.infolist()[:MOST_PARTS] if re.fullmatch(PARTS[kind], i.filename) and i.file_size <= MOST_XML]
-            return " ".join(filter(None, (visible(z.read(i).decode("utf-8", "replace")) for i in inside)))[:MOST_CHARS]
+            inside = [i for i in z.infolist() if re.fullmatch(PARTS[kind], i.filename)]
+            return " ".join(filter(None, (visible(z.read(i).decode("utf-8", "replace")) for i in inside)))
     except (zipfile.BadZipFile, OSError, NotImplementedError, RuntimeError):
         return None
 

@@ -1,10 +1,15 @@
 """The whole job: nothing is dropped by a cap."""
 
+import io
+import zipfile
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from shelfmark.functions import names
 from shelfmark.operators import duplicates, maintenance, model, search
+from shelfmark.catalog_queries import web_results
+from shelfmark.sources import files as documents
 from shelfmark.sources.catalog import named
 
 
@@ -67,3 +72,19 @@ def test_intent_reads_the_whole_text():
     assert len(model.buckets(filler)) > 96 and set(model.buckets("clean my disk")) <= set(model.buckets(filler + " clean my disk"))
     m = model.train(["find the file", "clean my disk"], ["ExactSearch", "CleanupAnalysis"])
     assert [m.classify(f"{filler} {q}")[0] for q in ("clean my disk", "find the file")] == ["CleanupAnalysis", "ExactSearch"]
+
+
+def test_visible_text_of_long_pages(spark, tmp_path):
+    body = "words " * 800_000 + "end"
+    html = f"<p>{body}</p><b>last &amp; least</b>"
+    spark.createDataFrame([(1, "http://a.example/" + "x" * 30, html)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    want = body + " last & least"
+    for name in ("f25_visible_text", "x2_extracted_text"):
+        assert entry.queries()[name](spark, str(tmp_path)).first()[1] == want
+    row = web_results(spark.read.parquet(str(tmp_path / "pages.parquet"))).first()
+    assert row.snippet == html and row.title == row.link
+    assert documents.text_of("a.txt", body.encode()) == body
+    office = io.BytesIO()
+    with zipfile.ZipFile(office, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", f"<p>{'a' * (17 << 20)}</p>")
+    assert len(documents.text_of("a.docx", office.getvalue())) == 17 << 20
