@@ -1,9 +1,7 @@
-"""Substring deduplication over words by relative Lempel-Ziv parsing.
+"""Substring deduplication over words, for what a relative Lempel-Ziv parse would find; no literal parse is made.
 
-The reference is every document, cut into content-defined blocks and indexed by their k-grams (see windows.py); each document
-is factored against all indexed blocks. A block that equals an indexed one extends the factor that it continues; a factor
-ends where a block does not, and there, at the factor's boundary, the block is parsed greedily against the indexed blocks
-with its k-gram, word by word. Factors of at least 35 words are duplicate spans.
+Every document is cut into content-defined blocks, matched by their k-grams and content hashes (see windows.py); where equal
+blocks end, windows of 35 words are counted by their hashes. Runs of repeated windows are duplicate spans.
 
 A word goes if a window of 35 words that covers it also starts anywhere else, in the same document or another. Null and empty
 texts and texts of under 35 words lose nothing.
