@@ -1,10 +1,15 @@
-"""Substring deduplication over words, for what a relative Lempel-Ziv parse would find; no literal parse is made.
+"""Substring deduplication over words by relative Lempel-Ziv parsing.
 
-Every document is cut into content-defined blocks, matched by their k-grams and content hashes (see windows.py); where equal
-blocks end, windows of 35 words are counted by their hashes. Runs of repeated windows are duplicate spans.
+Every document is cut into blocks at sampled words (see windows.py), and every block is indexed: blocks are sorted by their
+words from the anchor on, and by those before it, so that the block that goes on alike for longest stands next to it in one
+of the two orders. A block is parsed greedily: from the anchor, its factor is extended word by word in both directions
+against the reference blocks next to it. A factor of 35 words or more is a duplicate span. Windows at a factor's boundary,
+which it does not hold but which another block may, are checked by their words against the other blocks' windows. A block
+that equals another as a whole is one factor.
 
 A word goes if a window of 35 words that covers it also starts anywhere else, in the same document or another. Null and empty
-texts and texts of under 35 words lose nothing.
+texts and texts of under 35 words lose nothing. A row that repeats another's doc_id and text is a place of its own. Words are
+told apart by 48 bits of their hashes, so that two windows of which one word differs are held for equal once in 3e14 times.
 """
 
 from __future__ import annotations
@@ -16,44 +21,62 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .base import U64, WordTable, mixed, texts
-from .windows import SPAN, Kind, powers, repeated_spans
+from .base import U64, WordTable, mixed
+from .windows import SPAN, Contexts, Kind, agree, repeated_of, repeated_spans
 
 WINDOW, GRAM = 35, 4
+BITS = 48
 _WORDS: list[WordTable] = []
 
 
-def word_hashes(data: bytes) -> np.ndarray:
+def word_codes(data: bytes) -> np.ndarray:
+    """A number of BITS bits for each word, never 0."""
     if not _WORDS:
         _WORDS.append(WordTable())
-    return _WORDS[0].hashes(data.split())
+    return _WORDS[0].hashes(data.split()) & U64((1 << BITS) - 1) | U64(1)
 
 
-def measured(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def grams(words: np.ndarray) -> np.ndarray:
     n = len(words) - GRAM + 1
-    key = words[:n]
+    out = words[:n]
     for k in range(1, GRAM):
-        key = mixed(key * U64(0x9E3779B97F4A7C15) + words[k : n + k])
-    return key, np.zeros(n, U64), mixed(words)
-
-
-def same_windows(tokens: list[np.ndarray]) -> np.ndarray:
-    """A number for each 35-word window, equal for equal words: where a greedy factor can go on by one more word."""
-    words = np.concatenate(tokens)
-    sizes = np.array([len(t) for t in tokens])
-    ends = np.cumsum(sizes)
-    start = np.flatnonzero(np.arange(len(words)) + WINDOW <= np.repeat(ends, sizes))
-    up, down = powers(len(words) + 1)
-    total = np.r_[U64(0), np.cumsum(mixed(words) * up[: len(words)])]
-    return np.unique((total[start + WINDOW] - total[start]) * down[start], return_inverse=True)[1]
-
-
-WORDS = Kind(WINDOW, GRAM, False, word_hashes, measured, 1)
-
-
-def repeated_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, list): packed maximal factors, in words; documents without any have no row."""
-    return repeated_spans(WORDS, docs, same_windows, "u8")
+        out = mixed(out * U64(0x9E3779B97F4A7C15) + words[k : n + k])
+    return out
+
+
+def factors(c: Contexts, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many words of blocks ``x`` their reference blocks ``y`` go on with, before the anchor and from it on; none if their
+    anchors differ."""
+    back = np.minimum(agree(c.left[x], c.left[y]), np.minimum(c.n_left[x], c.n_left[y]))
+    far = np.minimum(agree(c.right[x], c.right[y]), np.minimum(c.n_right[x], c.n_right[y]))
+    alike = c.run[x] == c.run[y]
+    return np.where(alike, back, 0), np.where(alike, far, 0)
+
+
+def parsed(c: Contexts) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of each block that a factor holds, or that another block has at a factor's boundary."""
+    some = c.some
+    row, before = c.windows(some, c.far[some], c.back[some])
+    if len(some) < 2:
+        some = some[:0]
+    held = np.zeros(len(row), bool)
+    place = np.searchsorted(some, row) if len(some) else row
+    for order in (np.arange(len(some)), c.by_left(some)[0] if len(some) else some):
+        for step in (1, -1):
+            reference = np.empty(len(some), np.int64)
+            reference[order] = some[np.roll(order, step)]
+            back, far = factors(c, some, reference)
+            long = (back + far >= WINDOW) & (reference != some)
+            if len(some):
+                held |= long[place] & (before <= back[place]) & (WINDOW - before <= far[place])
+    # At boundaries, what no factor holds is compared with all windows of the blocks that share the anchor.
+    unsure = np.isin(c.run[row], c.run[row[~held]])
+    at = np.flatnonzero(unsure)
+    held[at] |= repeated_of(c, row[at], before[at])
+    return row[held], before[held]
+
+
+WORDS = Kind(WINDOW, GRAM, False, word_codes, grams, parsed, False)
 
 
 def cut(data: bytes, spans: bytes | None) -> tuple[int, int, bytes]:
@@ -83,5 +106,6 @@ def deduplicated(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             columns = zip(*out, strict=True) if out else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: len(kinds) + 1])
 
-    both = texts(docs).join(repeated_words(docs), "doc_id", "left").select("doc_id", "text", "list")
+    rows, found = repeated_spans(WORDS, docs)
+    both = rows.join(found, ["doc", "tie"], "left").select("doc_id", "text", "list")
     return both.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept binary" * keep_text)

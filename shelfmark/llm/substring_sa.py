@@ -1,11 +1,14 @@
-"""Substring deduplication by a sparse suffix array.
+"""Substring deduplication by a sampled suffix array.
 
-Suffixes that start at content-defined positions (see windows.py) are range-partitioned by their leading 16 bytes at sampled
-splitters; each bucket sorts its suffixes by multikey quicksort over 8-byte tokens and compares neighbours. Ranges never cut
-a run of equal leading bytes, and runs at a repeat's border are compared again window by window, also by multikey quicksort.
+Suffixes that start at positions sampled by content (see windows.py) are range-partitioned by their leading bytes at sampled
+splitters. Each range sorts its suffixes, 50 bytes of each and then the bytes before it, by multikey quicksort, and takes
+the common prefixes of neighbours; a second order, of what stands before the suffixes, gives the common endings. Only where
+both together are as long as 50 bytes can a string repeat: these strings, which lie at the borders of repeats, are sorted
+too. Suffixes that agree with the border of their range far enough are compared across it.
 
 A byte goes if a 50-byte string that covers it also starts in a document with a smaller doc_id. Null and empty texts and
-texts of under 50 bytes lose nothing.
+texts of under 50 bytes lose nothing. A null doc_id comes after all others; rows with one doc_id are one document here, so
+that they take nothing from each other. All comparisons are of the bytes themselves.
 """
 
 from __future__ import annotations
@@ -17,45 +20,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .base import U64, mixed, texts
-from .windows import SPAN, Kind, multikey_order, repeated_spans, runs
+from .base import U64, mixed
+from .windows import SPAN, Contexts, Kind, repeated_of, repeated_spans
 
 WINDOW, GRAM = 50, 16
 
 
-def eights(data: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each position on as a big-endian number, which sorts as the bytes do."""
-    return np.lib.stride_tricks.as_strided(data.view(np.uint8), (len(data) - 7, 8), (1, 1)).copy().view(">u8").reshape(-1).astype(U64)
+def grams(data: np.ndarray) -> np.ndarray:
+    """A number for the 16 bytes from each position on."""
+    x = np.lib.stride_tricks.as_strided(data, (len(data) - 7, 8), (1, 1)).copy().view("<u8").reshape(-1)
+    return mixed(x[:-8]) * U64(0x9E3779B97F4A7C15) ^ x[8:]
 
 
-def measured(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = eights(data)
-    return x[:-8], x[8:], mixed(x)
+def shared_strings(c: Contexts) -> tuple[np.ndarray, np.ndarray]:
+    """The 50-byte strings around suffixes that a smaller doc_id has too, among those that common prefixes and endings leave."""
+    row, before = c.windows(c.some, c.far[c.some], c.back[c.some])
+    again = repeated_of(c, row, before)
+    return row[again], before[again]
 
 
-def same_windows(tokens: list[np.ndarray]) -> np.ndarray:
-    """A number for each 50-byte window, equal for equal bytes; the windows are sorted by multikey quicksort."""
-    data = np.concatenate(tokens)
-    sizes = np.array([len(t) for t in tokens])
-    ends = np.cumsum(sizes)
-    start = np.flatnonzero(np.arange(len(data)) + WINDOW <= np.repeat(ends, sizes))
-    x = eights(data)
-    names = [f"t{k}" for k in range(7)]
-    r = np.zeros(len(start), [(n, U64) for n in names])
-    for n, at in zip(names, (0, 8, 16, 24, 32, 40, 42), strict=True):
-        r[n] = x[start + at]
-    order = multikey_order(r, names)
-    number = np.zeros(len(start), np.int64)
-    number[order] = runs(*(r[n][order] for n in names))
-    return number
-
-
-BYTES = Kind(WINDOW, GRAM, True, lambda data: np.frombuffer(data, np.uint8), measured, 8)
-
-
-def repeated_bytes(docs: DataFrame) -> DataFrame:
-    """(doc_id, list): packed maximal spans of bytes to remove; documents that lose nothing have no row."""
-    return repeated_spans(BYTES, docs, same_windows, "u1")
+BYTES = Kind(WINDOW, GRAM, True, lambda data: np.frombuffer(data, np.uint8), grams, shared_strings, True)
 
 
 def cut(data: bytes, spans: bytes | None) -> tuple[bytes, int, int]:
@@ -86,5 +70,6 @@ def deduplicated(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             columns = zip(*out, strict=True) if out else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(kinds) + 1])
 
-    both = texts(docs).join(repeated_bytes(docs), "doc_id", "left").select("doc_id", "text", "list")
+    rows, found = repeated_spans(BYTES, docs)
+    both = rows.join(found, ["doc", "tie"], "left").select("doc_id", "text", "list")
     return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)

@@ -1,20 +1,21 @@
-"""Equal windows of a fixed number of tokens, found across all documents without a row for each window.
+"""Contexts of sampled positions, dealt in sorted order: what the suffix array (op2) and the factor parse (op10) share.
 
 Windows of bytes or words are far too many to shuffle one by one. Every window is given an anchor: the start of the k-gram
 in it with the lowest hash (the first of equals). The anchor depends on the window's content alone, so equal windows have
-equal anchors at equal offsets. Consecutive windows with one anchor make a block, about one for each (window - k) / 2
-tokens, and a block's content is all tokens that its windows touch.
-
-1. Each task makes the blocks of its documents and drops those that it can already settle (equal blocks in its batch).
-   The others are dealt by their anchor's k-gram, as columns packed by numpy, one packet for each task and bucket.
-2. Each bucket sorts its blocks by k-gram and content hash. Equal blocks settle all their windows at once. A block that no
-   other equals, but whose k-gram stands elsewhere too, lies at the border of a repeat: it is open.
-3. Open blocks, and one of each set of equal blocks with the same k-gram, are read again with their tokens, dealt by the
-   k-gram, and compared window by window.
-
-Rows through each shuffle follow the input's size; a k-gram's settled copies never travel twice, and nothing is paired.
-Hashes have 64 bits beside an equal k-gram. Where a block is cut (very long documents are worked in pieces) it only
-becomes open. The two users differ in what repeats: a window of a smaller doc_id, or any other place.
+equal anchors at equal offsets, and looking at anchors alone loses no window. Consecutive windows with one anchor make a
+context: the tokens from the anchor on (at most a window) and those before it (at most a window less a k-gram), as far as
+the context's own windows reach.
+
+1. Each task makes the contexts of its documents, sorts them by their own tokens, settles those that equal another of its
+   own, and deals the others by ranges of that order at sampled splitters.
+2. Each range sorts its contexts. Equal ones settle all their windows at once. What two unlike contexts share is found by
+   the operator's own method (``Kind.repeats``) from how far neighbours in sorted order agree.
+3. A splitter never cuts a run of equal k-grams, unless the run alone fills a range. Contexts of such a run that agree with
+   a splitter far enough to hold a window send these windows on, each range every distinct one once, and they are compared
+   across ranges by their tokens.
+
+Rows through each shuffle follow the input's size, a group of copies of any size travels as one row a batch, and nothing is
+paired. Rows are told apart by their doc_id and 32 bits of a hash of their text; a null doc_id is later than all others.
 """
 
 from __future__ import annotations
@@ -28,40 +29,61 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import U64, mixed, texts, written
+from .base import U64, mixed, texts, tie, written
 
-PIECE = 1 << 17
-#: Odd multiplier of the running content hash, and its inverse modulo 2^64 so that equal content hashes alike anywhere.
-STEP = 0x9E3779B97F4A7C15
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-RECORD = [("key", "<u8"), ("next", "<u8"), ("body", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("more", "<u2"), ("many", "<u1")]
+#: Tokens that are worked on at once; longer documents are cut with an overlap of a window less one.
+PIECE = 1 << 16
+#: Bytes of contexts that a task sorts at once, and bytes of text for each range of their order.
+HELD, RANGE_BYTES = 32 << 20, 6 << 20
+#: The doc_id that a null one counts as.
+LAST = (1 << 63) - 1
+IDS = [("doc", "<i8"), ("tie", "<u4"), ("at", "<u4"), ("many", "<u1")]
+SPAN = [("doc", "<i8"), ("tie", "<u4"), ("at", "<u4"), ("size", "<u4")]
+PACKETS = "kind string, bucket int, packet binary"
 
 
 @dataclass(frozen=True)
 class Kind:
-    """How documents become tokens: ``tokens`` gives one number for each token; ``measured`` gives two sort keys for the k-gram
-    at each position and the numbers, each of ``reach`` tokens, that content hashes add up. ``earlier``: only smaller
-    doc_ids count as a repeat."""
+    """How documents become tokens (bytes, or numbers of 64 bits) and what repeats: with ``earlier`` a window of a smaller
+    doc_id, else any other place. ``grams`` numbers the k-gram at each position; ``repeats``, the operator's method, gives the
+    windows (row, tokens before the anchor) of unlike contexts that repeat."""
 
     window: int
     gram: int
     earlier: bool
     tokens: Callable[[bytes], np.ndarray]
-    measured: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
-    reach: int
+    grams: Callable[[np.ndarray], np.ndarray]
+    repeats: Callable[[Contexts], tuple[np.ndarray, np.ndarray]]
+    bytewise: bool
+
+    @property
+    def left(self) -> int:
+        return self.window - self.gram
+
+    @property
+    def width(self) -> int:
+        """Tokens of a row: right side and its length, left side (nearest first) and its length; bytes filled to eights."""
+        n = self.window + self.left + 2
+        return -(-n // 8) * 8 if self.bytewise else n
+
+    @property
+    def columns(self) -> int:
+        return self.width // 8 if self.bytewise else self.width
+
+    @property
+    def keys(self) -> list[str]:
+        return [f"c{k}" for k in range(self.columns)]
 
+    @property
+    def record(self) -> list[tuple[str, str]]:
+        return [(k, "<u8") for k in self.keys] + IDS
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(n, 1 << 12).bit_length()
-    if size not in _POWERS:
-        _POWERS.clear()
-        with np.errstate(over="ignore"):
-            up = np.full(size, STEP, U64)
-            down = np.full(size, pow(STEP, -1, 1 << 64), U64)
-            up[0] = down[0] = 1
-            _POWERS[size] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _POWERS[size]
+    @property
+    def token(self) -> type:
+        return np.uint8 if self.bytewise else U64
+
+
+# Sampled positions and their contexts
 
 
 def lowest(values: np.ndarray, width: int) -> np.ndarray:
@@ -74,39 +96,57 @@ def lowest(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def blocks(kind: Kind, tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Blocks of the documents that ``bounds`` cuts ``tokens`` into: key, next, body, document, first window's start in the
-    document, and how many windows follow it. Windows that would leave their document are no windows."""
-    n = len(tokens)
-    none = tuple(np.zeros(0, t) for t in (U64, U64, U64, np.int64, np.int64, np.int64))
-    if n < kind.window:
+def sampled(kind: Kind, tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The contexts of the documents that ``bounds`` cuts ``tokens`` into: document, anchor, first and last window's start.
+    Windows that would leave their document are no windows."""
+    none = (np.zeros(0, np.int64),) * 4
+    if len(tokens) < kind.window:
         return none
-    key, following, h = kind.measured(tokens)
-    order = mixed(key ^ (following * U64(0xC2B2AE3D27D4EB4F)))
-    packed = (order & ~U64((1 << 24) - 1)) | np.arange(len(order), dtype=U64)
-    first = lowest(packed, kind.window - kind.gram + 1)
-    anchor = (first & U64((1 << 24) - 1)).astype(np.int64)
+    order = mixed(kind.grams(tokens))
+    low = U64((1 << 24) - 1)
+    first = lowest((order & ~low) | np.arange(len(order), dtype=U64), kind.left + 1)
+    anchor = (first & low).astype(np.int64)
     sizes = np.diff(bounds)
     doc = np.repeat(np.arange(len(sizes)), sizes)[: len(anchor)]
-    valid = np.arange(len(anchor)) + kind.window <= bounds[1:][doc]
-    where = np.flatnonzero(valid)
+    where = np.flatnonzero(np.arange(len(anchor)) + kind.window <= bounds[1:][doc])
     if not len(where):
         return none
     a, d = anchor[where], doc[where]
     starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (d[1:] != d[:-1])])
-    begin = where[starts]
-    end = where[np.r_[starts[1:], len(where)] - 1]
-    up, down = powers(len(h) + 1)
-    total = np.r_[U64(0), np.cumsum(h * up[: len(h)])]
-    stop = end + kind.window - kind.reach + 1
-    body = mixed((total[stop] - total[begin]) * down[begin] + (stop - begin).astype(U64))
-    at = a[starts]
-    return key[at], following[at], body, d[starts], begin - bounds[d[starts]], end - begin
+    return d[starts], a[starts], where[starts], where[np.r_[starts[1:], len(where)] - 1]
+
+
+def rows_of(kind: Kind, tokens: np.ndarray, anchor: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Each context's row of tokens; what lies beyond its windows is 0."""
+    right, left = end + kind.window - anchor, anchor - begin
+    wide = np.concatenate([np.zeros(kind.left, tokens.dtype), tokens, np.zeros(kind.window, tokens.dtype)])
+    out = np.zeros((len(anchor), kind.width), kind.token)
+    ahead, behind = np.arange(kind.window), np.arange(kind.left)
+    around = np.lib.stride_tricks.sliding_window_view(wide, kind.left + kind.window)[anchor]
+    np.multiply(around[:, kind.left :], ahead < right[:, None], out=out[:, : kind.window])
+    out[:, kind.window] = right
+    np.multiply(around[:, kind.left - 1 :: -1], behind < left[:, None], out=out[:, kind.window + 1 : kind.window + 1 + kind.left])
+    out[:, kind.window + 1 + kind.left] = left
+    return out
+
+
+def as_records(kind: Kind, rows: np.ndarray) -> np.ndarray:
+    """Rows of tokens as sortable columns; eight bytes make one number that sorts as they do."""
+    r = np.zeros(len(rows), kind.record)
+    columns = rows.view(">u8") if kind.bytewise else rows
+    for k, name in enumerate(kind.keys):
+        r[name] = columns[:, k]
+    return r
+
+
+def as_rows(kind: Kind, r: np.ndarray) -> np.ndarray:
+    if not kind.bytewise:
+        return np.stack([r[k] for k in kind.keys], axis=1)
+    return np.stack([r[k] for k in kind.keys], axis=1).astype(">u8").view(np.uint8)
 
 
 def pieces(kind: Kind, docs: Iterable[np.ndarray]) -> Iterator[tuple[list[int], list[int], list[np.ndarray]]]:
-    """Documents gathered into pieces of about PIECE tokens, long ones cut with an overlap of a window less one: (indexes,
-    offsets in the documents, tokens)."""
+    """Documents gathered into pieces of about PIECE tokens: (indexes, offsets in the documents, tokens)."""
     index, offset, parts, held = [], [], [], 0
     for i, t in enumerate(docs):
         for at in range(0, max(len(t) - kind.window + 1, 0), PIECE):
@@ -122,15 +162,16 @@ def pieces(kind: Kind, docs: Iterable[np.ndarray]) -> Iterator[tuple[list[int],
         yield index, offset, parts
 
 
-def records(kind: Kind, ids: np.ndarray, docs: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
-    """The blocks of a batch's documents, as structured arrays of a piece each."""
+def records(kind: Kind, ids: np.ndarray, ties: np.ndarray, docs: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
+    """The contexts of a batch's documents, a piece at a time; ``at`` is a context's first window."""
     for index, offset, parts in pieces(kind, docs):
-        bounds = np.r_[0, np.cumsum([len(p) for p in parts])]
-        key, following, body, d, at, more = blocks(kind, np.concatenate(parts), bounds)
-        r = np.zeros(len(key), RECORD)
-        r["key"], r["next"], r["body"], r["more"] = key, following, body, more
-        r["doc"] = ids[np.array(index)[d]]
-        r["at"] = at + np.array(offset)[d]
+        tokens = np.concatenate(parts)
+        d, anchor, begin, end = sampled(kind, tokens, np.r_[0, np.cumsum([len(p) for p in parts])])
+        r = as_records(kind, rows_of(kind, tokens, anchor, begin, end))
+        starts = np.r_[0, np.cumsum([len(p) for p in parts])]
+        row = np.array(index)[d]
+        r["doc"], r["tie"] = ids[row], ties[row]
+        r["at"] = begin - starts[d] + np.array(offset)[d]
         yield r
 
 
@@ -153,272 +194,457 @@ def unpack(data: bytes, dtype: list) -> np.ndarray:
     return r
 
 
-def multikey_order(r: np.ndarray, keys: list[str]) -> np.ndarray:
-    """Multikey quicksort: sort by the first key, then each run of equals by the next."""
-    order = np.argsort(r[keys[0]], kind="quicksort")
-    same = np.zeros(len(r), bool)
-    if len(r):
-        k = r[keys[0]][order]
+def packets(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
+    kinds, buckets, data = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(buckets, pa.int32()), pa.array(data, pa.binary())], ["kind", "bucket", "packet"])
+
+
+def deal(r: np.ndarray, bucket: np.ndarray, name: str) -> Iterator[tuple[str, int, bytes]]:
+    order = np.argsort(bucket, kind="stable")
+    r, bucket = r[order], bucket[order]
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(r) else []
+    for a, b in zip(cuts, np.r_[cuts[1:], len(r)] if len(r) else [], strict=True):
+        yield name, int(bucket[a]), pack(r[a:b])
+
+
+def by_document(s: np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed(s["doc"].astype(U64)) % U64(buckets)).astype(np.int64)
+
+
+# Sorting
+
+
+def multikey_order(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Multikey quicksort: sort by the first column, then each run of equals by the next, while there are runs. Gives the
+    order, and which rows equal the one before them in all columns."""
+    order = np.argsort(columns[0], kind="quicksort")
+    same = np.zeros(len(order), bool)
+    if len(order):
+        k = columns[0][order]
         same[1:] = k[1:] == k[:-1]
-    for name in keys[1:]:
+    for c in columns[1:]:
         tied = same.copy()
         tied[:-1] |= same[1:]
         rows = np.flatnonzero(tied)
         if not len(rows):
             break
         run = np.cumsum(~same)[rows]
-        values = r[name][order[rows]]
+        values = c[order[rows]]
         inner = np.lexsort((values, run))
         order[rows] = order[rows][inner]
-        values = values[inner]
-        same[rows[1:]] &= values[1:] == values[:-1]
-    return order
-
-
-def runs(*columns: np.ndarray) -> np.ndarray:
-    """The number of each row's run of equal rows, from 0."""
-    if not len(columns[0]):
-        return np.zeros(0, np.int64)
-    new = np.zeros(len(columns[0]), bool)
-    for c in columns:
-        new[1:] |= c[1:] != c[:-1]
-    return np.cumsum(new)
-
-
-def settle(kind: Kind, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The records in order, which of them are settled repeats, and which are the first of their equals."""
-    r = r[multikey_order(r, ["key", "next", "body", "doc", "at"])]
-    group = runs(r["key"], r["next"], r["body"])
-    first = np.r_[True, group[1:] != group[:-1]] if len(r) else np.zeros(0, bool)
-    if kind.earlier:
-        least = r["doc"][np.flatnonzero(first)] if len(r) else r["doc"]
-        return r, r["doc"] > least[group] if len(r) else first, first
-    several = np.bincount(group) > 1 if len(r) else first
-    several = several | (np.maximum.reduceat(r["many"], np.flatnonzero(first)) > 0) if len(r) else several
-    return r, several[group] if len(r) else first, first
+        values, new = values[inner], run[1:] != run[:-1]
+        same[rows[1:]] &= (values[1:] == values[:-1]) & ~new
+    return order, same
 
 
-SPAN = [("doc", "<i8"), ("at", "<u4"), ("size", "<u4")]
-OPEN = [("key", "<u8"), ("next", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("more", "<u2"), ("many", "<u1")]
-PACKETS = "kind string, bucket int, packet binary"
+def lower_bound(columns: list[np.ndarray], row: np.ndarray) -> int:
+    """How many of the sorted rows are less than ``row``."""
+    low, high = 0, len(columns[0])
+    for c, v in zip(columns, row, strict=True):
+        if low == high:
+            break
+        low, high = low + int(np.searchsorted(c[low:high], v, "left")), low + int(np.searchsorted(c[low:high], v, "right"))
+    return low
 
 
-def spans_of(kind: Kind, r: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(r), SPAN)
-    out["doc"], out["at"], out["size"] = r["doc"], r["at"], r["more"].astype(np.int64) + kind.window
-    return merged(out)
+def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many leading tokens each pair of rows has in common."""
+    differ = a != b
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
+
+
+def neighbours(rows: np.ndarray) -> np.ndarray:
+    """For rows in sorted order, how many leading tokens each shares with the nearer of the rows before and after it: as
+    many as with any other row."""
+    common = agree(rows[1:], rows[:-1]) if len(rows) > 1 else np.zeros(0, np.int64)
+    return np.maximum(np.r_[0, common], np.r_[common, 0]) if len(rows) else common
+
+
+def settled(kind: Kind, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The records in order, the number of each one's run of equals, and which of them are repeats in all their windows."""
+    order, same = multikey_order([np.ascontiguousarray(r[k]) for k in kind.keys])
+    r, run = r[order], np.cumsum(~same) - 1
+    if not len(r):
+        return r, run, same
+    starts = np.flatnonzero(~same)
+    if kind.earlier:
+        return r, run, r["doc"] > np.minimum.reduceat(r["doc"], starts)[run]
+    return r, run, ((np.bincount(run) > 1) | (np.maximum.reduceat(r["many"], starts) > 0))[run]
+
+
+# Spans
 
 
 def merged(s: np.ndarray) -> np.ndarray:
     """Overlapping or touching spans of a document as one."""
     if not len(s):
         return s
-    s = s[np.lexsort((s["at"], s["doc"]))]
-    base = runs(s["doc"]).astype(np.int64) << 33  # documents apart, so that one running maximum serves all
+    s = s[np.lexsort((s["at"], s["tie"], s["doc"]))]
+    new = np.r_[True, (s["doc"][1:] != s["doc"][:-1]) | (s["tie"][1:] != s["tie"][:-1])]
+    base = np.cumsum(new) << 33  # documents apart, so that one running maximum serves all
     end = np.maximum.accumulate(base + s["at"].astype(np.int64) + s["size"])
-    new = np.r_[True, base[1:] + s["at"][1:] > end[:-1]]
-    first = np.flatnonzero(new)
-    last = np.r_[first[1:], len(s)] - 1
+    first = np.flatnonzero(np.r_[True, base[1:] + s["at"][1:] > end[:-1]])
     out = s[first]
-    out["size"] = end[last] - base[first] - s["at"][first]
+    out["size"] = end[np.r_[first[1:], len(s)] - 1] - base[first] - s["at"][first]
     return out
 
 
-def deal(r: np.ndarray, bucket: np.ndarray, name: str) -> list[tuple[str, int, bytes]]:
-    order = np.argsort(bucket, kind="stable")
-    r, bucket = r[order], bucket[order]
-    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(r) else []
-    ends = np.r_[cuts[1:], len(r)] if len(r) else []
-    return [(name, int(bucket[a]), pack(r[a:b])) for a, b in zip(cuts, ends, strict=True)]
-
-
-def packets(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
-    kinds, buckets, data = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(buckets, pa.int32()), pa.array(data, pa.binary())], ["kind", "bucket", "packet"])
-
-
-def by_document(s: np.ndarray, buckets: int) -> np.ndarray:
-    return (mixed(s["doc"].astype(U64)) % U64(buckets)).astype(np.int64)
-
-
-def doc_ids(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
+def spans(ids: np.ndarray, at: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    out = np.zeros(len(ids), SPAN)
+    out["doc"], out["tie"], out["at"], out["size"] = ids["doc"], ids["tie"], at, size
+    return merged(out)
 
 
-def range_bucket(r: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """The range between ``keys`` that each (key, next) lies in, and where one key fills several, one of these by ``next``."""
-    low, high = np.searchsorted(keys, r["key"], "left"), np.searchsorted(keys, r["key"], "right")
-    return low + (mixed(r["next"]) % (high - low + 1).astype(U64)).astype(np.int64)
+def sides(kind: Kind, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many tokens each record has from its anchor on, and before it."""
+    if kind.bytewise:
+        byte = lambda at: (r[f"c{at // 8}"] >> U64(56 - 8 * (at % 8))) & U64(255)
+        return byte(kind.window).astype(np.int64), byte(kind.window + 1 + kind.left).astype(np.int64)
+    return r[f"c{kind.window}"].astype(np.int64), r[f"c{kind.window + 1 + kind.left}"].astype(np.int64)
+
+
+# A range's contexts
+
+
+class Contexts:
+    """Unlike contexts in sorted order with what is known of each: ``value`` is the least doc_id of its copies if earlier
+    documents count, else whether it has several. A window is named by a context's row and by how many of its tokens lie
+    before the anchor."""
+
+    def __init__(self, kind: Kind, r: np.ndarray, value: np.ndarray):
+        rows = as_rows(kind, r)
+        w, g = kind.window, kind.gram
+        self.kind, self.value = kind, value
+        self.right, self.n_right = rows[:, :w], rows[:, w].astype(np.int64)
+        self.left, self.n_left = rows[:, w + 1 : w + 1 + kind.left], rows[:, w + 1 + kind.left].astype(np.int64)
+        self.far = np.minimum(neighbours(self.right), self.n_right)
+        gram = self.right[:, :g]
+        self.run = np.cumsum(np.r_[True, (gram[1:] != gram[:-1]).any(axis=1)]) if len(rows) else np.zeros(0, np.int64)
+        self.back = np.zeros(len(rows), np.int64)
+        # Only contexts with room for a window in what they share with a neighbour can share one at all.
+        some = np.flatnonzero(self.far + self.n_left >= w)
+        if len(some):
+            order, lengths = self.by_left(some)
+            self.back[some[order]] = np.minimum(lengths, self.n_left[some[order]])
+        self.some = some[self.far[some] + self.back[some] >= w]
+
+    def by_left(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order of rows by k-gram and then by what lies before it, and how far each agrees there with its neighbours."""
+        left = np.zeros((len(some), -(-(1 + self.left.shape[1]) // 8) * 8 if self.kind.bytewise else self.left.shape[1]), self.kind.token)
+        left[:, : self.left.shape[1]] = self.left[some]
+        keys = left.view(">u8").astype(U64) if self.kind.bytewise else left
+        order, _ = multikey_order([self.run[some], *keys.T])
+        sorted_left, run = self.left[some][order], self.run[some][order]
+        common = np.where(run[1:] == run[:-1], agree(sorted_left[1:], sorted_left[:-1]), 0)
+        return order, np.maximum(np.r_[0, common], np.r_[common, 0])
+
+    def windows(self, some: np.ndarray, far: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, tokens before the anchor) of the windows of rows ``some`` that hold at most ``back`` tokens before and ``far``
+        from the anchor on."""
+        low = np.maximum(self.kind.window - far, 0)
+        count = np.maximum(np.minimum(back, self.kind.left) - low + 1, 0)
+        row = np.repeat(some, count)
+        return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count - low, count)
+
+    def tokens(self, row: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """The windows' own tokens, a row each."""
+        whole = np.concatenate([self.left[row, ::-1], self.right[row]], axis=1)
+        return whole[np.arange(len(row))[:, None], (self.kind.left - before)[:, None] + np.arange(self.kind.window)]
+
+
+def numbered(kind: Kind, tokens: np.ndarray) -> np.ndarray:
+    """A number for each window, equal for equal tokens, by multikey quicksort."""
+    if kind.bytewise:
+        wide = np.zeros((len(tokens), -(-kind.window // 8) * 8), np.uint8)
+        wide[:, : kind.window] = tokens
+        tokens = wide.view(">u8").astype(U64)
+    order, same = multikey_order(list(np.ascontiguousarray(tokens.T)))
+    number = np.zeros(len(tokens), np.int64)
+    number[order] = np.cumsum(~same) - 1
+    return number
+
+
+#: Windows that are compared at once.
+AT_ONCE = 200_000
+
+
+def repeated_of(c: Contexts, row: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Which of the windows are repeats among themselves. They are taken in shares by a hash of their tokens."""
+    out = np.zeros(len(row), bool)
+    if not len(row):
+        return out
+    if len(row) <= AT_ONCE:
+        shares = [np.arange(len(row))]
+    else:
+        parts = range(0, len(row), AT_ONCE)
+        share = np.concatenate([hashed(c.tokens(row[a : a + AT_ONCE], before[a : a + AT_ONCE])) for a in parts]) % U64(len(row) // AT_ONCE + 1)
+        shares = [np.flatnonzero(share == k) for k in range(len(row) // AT_ONCE + 1)]
+    for at in shares:
+        if len(at):
+            number, value = numbered(c.kind, c.tokens(row[at], before[at])), c.value[row[at]]
+            if c.kind.earlier:
+                least = np.full(number.max() + 1, LAST)
+                np.minimum.at(least, number, value)
+                out[at] = value > least[number]
+            else:
+                out[at] = (np.bincount(number, weights=1 + value) > 1)[number]
+    return out
 
 
-def block_packets(kind: Kind, docs: DataFrame, splitters: np.ndarray, buckets: int) -> DataFrame:
-    """Step 1: packets of blocks by range of their k-gram, and of spans that a batch settles by itself by document."""
+def hashed(tokens: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(tokens), U64)
+    for k in range(tokens.shape[1]):
+        h = h * U64(0x9E3779B97F4A7C15) + tokens[:, k]
+    return mixed(h)
+
+
+def edge_windows(c: Contexts, borders: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, tokens before the anchor) of the windows that may stand in a neighbouring range too: those of contexts that
+    agree with a splitter inside their run of k-grams as far as the window reaches."""
+    far = np.zeros(len(c.n_right), np.int64)
+    for b in borders:
+        near = np.flatnonzero((c.right[:, : c.kind.gram] == b[: c.kind.gram]).all(axis=1))
+        far[near] = np.maximum(far[near], np.minimum(agree(c.right[near], b[None, : c.kind.window]), c.n_right[near]))
+    some = np.flatnonzero(far + c.n_left >= c.kind.window)
+    return c.windows(some, far[some], c.n_left[some])
+
+
+def edge_record(kind: Kind) -> list[tuple[str, str]]:
+    return [(f"w{k}", "<u1" if kind.bytewise else "<u8") for k in range(kind.window)] + IDS
+
+
+def in_range(kind: Kind, r: np.ndarray, borders: list[np.ndarray], buckets: int) -> Iterator[tuple[str, int, bytes]]:
+    """Step 2 for one range: packets of spans by document, and of windows for step 3 by their tokens."""
+    r, run, gone = settled(kind, r)
+    right, left = sides(kind, r)
+    starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+    value = np.minimum.reduceat(r["doc"], starts) if kind.earlier else gone[starts].astype(np.int64)
+    c = Contexts(kind, r[starts], value)
+    ids = np.zeros(len(r), IDS)
+    for name, _ in IDS:
+        ids[name] = r[name]
+    del r
+    s = spans(ids[gone], ids["at"][gone], (right + left)[gone])
+    yield from deal(s, by_document(s, buckets), "span")
+    # Every copy that is not settled yet has its context's windows.
+    owners = np.flatnonzero(~gone)
+    placed = Copies(ids, owners, np.searchsorted(run[owners], np.arange(len(starts) + 1)), starts, left)
+    row, low, high = stretches(*kind.repeats(c))
+    at, which = placed.of(row)
+    s = spans(ids[at], ids["at"][at] + left[at] - high[which], kind.window + (high - low)[which])
+    yield from deal(s, by_document(s, buckets), "span")
+    row, before = edge_windows(c, borders)
+    for a in range(0, len(row), AT_ONCE):
+        e, tokens = edge_rows(c, placed, row[a : a + AT_ONCE], before[a : a + AT_ONCE])
+        yield from deal(e, (hashed(tokens) % U64(buckets)).astype(np.int64), "edge")
+
+
+def stretches(row: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows, sorted by row and tokens before the anchor, as runs of neighbours: row, least and greatest such number."""
+    if not len(row):
+        return row, before, before
+    first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (before[1:] != before[:-1] + 1)])
+    return row[first], before[first], before[np.r_[first[1:], len(row)] - 1]
+
+
+@dataclass
+class Copies:
+    """Where a range's contexts stand: ``ids`` of all its records in order; ``owners``, those not settled, of which context k
+    has those from first[k] to first[k + 1]; and each context's first record."""
+
+    ids: np.ndarray
+    owners: np.ndarray
+    first: np.ndarray
+    starts: np.ndarray
+    left: np.ndarray
+
+    def of(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The unsettled records of each context in ``row``, and whose they are."""
+        count = self.first[row + 1] - self.first[row]
+        which = np.repeat(np.arange(len(row)), count)
+        return self.owners[self.first[row][which] + np.arange(len(which)) - (np.cumsum(count) - count)[which]], which
+
+
+def edge_rows(c: Contexts, placed: Copies, row: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a range says of the windows: of equal ones those in the least document (all its places), or one, marked if there
+    are several."""
+    tokens = c.tokens(row, before)
+    number = numbered(c.kind, tokens)
+    if c.kind.earlier:
+        least = np.full(number.max() + 1, LAST)
+        np.minimum.at(least, number, c.value[row])
+        send = np.flatnonzero(c.value[row] == least[number])
+        at, which = placed.of(row[send])
+    else:
+        several = np.bincount(number, weights=1 + c.value[row]) > 1
+        send = np.unique(number, return_index=True)[1]
+        at, which = placed.starts[row[send]], np.arange(len(send))
+    send = send[which]
+    e = np.zeros(len(send), edge_record(c.kind))
+    for k in range(c.kind.window):
+        e[f"w{k}"] = tokens[send, k]
+    for name in ("doc", "tie"):
+        e[name] = placed.ids[name][at]
+    e["at"] = placed.ids["at"][at] + placed.left[at] - before[send]
+    if not c.kind.earlier:
+        e["many"] = several[number[send]]
+    return e, tokens[send]
+
+
+# The jobs
+
+
+def columns_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+
+
+def context_packets(kind: Kind, docs: DataFrame, splitters: np.ndarray, buckets: int) -> DataFrame:
+    """Step 1: packets of contexts by range, and of the spans that a batch settles by itself by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        most, size = HELD // np.dtype(kind.record).itemsize, 0
 
         def flush() -> pa.RecordBatch:
-            r, repeat, first = settle(kind, np.concatenate(held))
+            r, number, gone = settled(kind, np.concatenate(held))
             held.clear()
-            if kind.earlier:
-                keep = ~repeat
-            else:  # one of several equals stays, marked, and is settled itself
-                keep = first.copy()
-                r["many"] |= (repeat & first).astype(np.uint8)
-            s, b = spans_of(kind, r[repeat]), r[keep]
-            return packets(deal(s, by_document(s, buckets), "span") + deal(b, range_bucket(b, splitters), "block"))
+            keep = ~gone
+            if not kind.earlier:  # one of several equals stays, marked
+                first = np.r_[True, number[1:] != number[:-1]]
+                r["many"] |= (gone & first).astype(np.uint8)
+                keep |= first
+            right, left = sides(kind, r)
+            s = spans(r[gone], r["at"][gone], (right + left)[gone])
+            r = r[keep]
+            columns = [np.ascontiguousarray(r[k]) for k in kind.keys]
+            cuts = [0, *(lower_bound(columns, x) for x in splitters), len(r)]
+            rows = [("context", k, pack(r[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+            return packets([*rows, *deal(s, by_document(s, buckets), "span")])
 
         for batch in batches:
-            for r in records(kind, doc_ids(batch), (kind.tokens(x.as_py()) for x in batch.column(1))):
+            ids, ties = columns_of(batch)
+            for r in records(kind, ids, ties, (kind.tokens(x.as_py()) for x in batch.column(2))):
                 held.append(r)
-                if sum(map(len, held)) >= 600_000:
+                size += len(r)
+                if size >= most:
                     yield flush()
+                    size = 0
         if held:
             yield flush()
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, PACKETS)
 
 
-def settled_packets(kind: Kind, dealt: DataFrame, buckets: int) -> DataFrame:
-    """Step 2: spans of settled blocks, and open blocks with one of each set of equals beside them, by document."""
+def range_packets(kind: Kind, dealt: DataFrame, splitters: np.ndarray, inside: np.ndarray, buckets: int) -> DataFrame:
+    """Step 2: each range's spans and edge windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
+        number = -1
         for batch in batches:
             for name, bucket, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if name == "span":
                     yield packets([(name, bucket, data)])
                 else:
-                    found.append(unpack(data, RECORD))
-        if not found:
-            return
-        r, repeat, first = settle(kind, np.concatenate(found))
-        found.clear()
-        s = spans_of(kind, r[repeat])
-        yield packets(deal(s, by_document(s, buckets), "span"))
-        gram = runs(r["key"], r["next"])
-        several = np.bincount(gram, weights=first)[gram] > 1
-        keep = several & (first | ~repeat)
-        o = np.zeros(int(keep.sum()), OPEN)
-        for name, _ in OPEN:
-            o[name] = r[name][keep]
-        if not kind.earlier:
-            o["many"] = repeat[keep]
-        yield packets(deal(o, by_document(o, buckets), "open"))
+                    number = bucket
+                    found.append(unpack(data, kind.record))
+        if found:
+            borders = [row_of(kind, splitters[k]) for k in (number - 1, number) if 0 <= k < len(splitters) and inside[k]]
+            r = np.concatenate(found)
+            found.clear()
+            for packet in in_range(kind, r, borders, buckets):
+                yield packets([packet])
+        pa.default_memory_pool().release_unused()
 
     return dealt.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(run, PACKETS)
 
 
-def per_document(rows: DataFrame, name: str, dtype: list, buckets: int, joined: bool) -> DataFrame:
-    """(doc_id, list binary): each document's entries of one kind from its packets, spans merged."""
+def row_of(kind: Kind, columns: np.ndarray) -> np.ndarray:
+    return columns.astype(">u8").view(np.uint8) if kind.bytewise else columns
+
+
+def edge_spans(kind: Kind, rows: DataFrame, buckets: int) -> DataFrame:
+    """Step 3: windows of cut runs, compared across ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [unpack(x, dtype) for b in batches for x in b.column(0).to_pylist()]
+        found = [unpack(x, edge_record(kind)) for b in batches for x in b.column(1).to_pylist()]
         if not found:
             return
-        r = np.concatenate(found)
-        r = merged(r) if joined else r[np.argsort(r["doc"], kind="stable")]
-        cuts = np.flatnonzero(np.r_[True, r["doc"][1:] != r["doc"][:-1]]) if len(r) else np.zeros(0, np.int64)
-        ends = np.r_[cuts[1:], len(r)] if len(r) else cuts
-        for at in range(0, len(cuts), 4096):
-            part = list(zip(cuts[at : at + 4096], ends[at : at + 4096], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(r["doc"][[a for a, _ in part]]), pa.array([r[a:b].tobytes() for a, b in part], pa.binary())], ["doc_id", "list"])
-
-    return rows.filter(F.col("kind") == name).select("packet", "bucket").repartitionById(buckets, F.col("bucket").cast("int")).select("packet").mapInArrow(run, "doc_id long, list binary")
-
+        e = np.concatenate(found)
+        found.clear()
+        number = numbered(kind, np.stack([e[f"w{k}"] for k in range(kind.window)], axis=1))
+        if kind.earlier:
+            least = np.full(number.max() + 1, LAST)
+            np.minimum.at(least, number, e["doc"])
+            again = e["doc"] > least[number]
+        else:
+            again = (np.bincount(number, weights=1.0 + e["many"]) > 1)[number]
+        s = spans(e[again], e["at"][again], kind.window)
+        for packet in deal(s, by_document(s, buckets), "span"):
+            yield packets([packet])
 
-CONTEXT = "bucket long, key long, next long, doc_id long, at long, more int, many int, tokens binary"
+    edges = rows.filter("kind = 'edge'").select("bucket", "packet")
+    return edges.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(run, PACKETS)
 
 
-def contexts(kind: Kind, docs: DataFrame, open_blocks: DataFrame, buckets: int) -> DataFrame:
-    """Step 3: open blocks with their tokens, by k-gram."""
+def per_document(rows: DataFrame, buckets: int) -> DataFrame:
+    """(doc, tie, list binary): each document's spans from its packets, merged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple[np.ndarray, list[bytes]]] = []
-            held = 0
-            for data, entries in zip(batch.column(0), batch.column(1), strict=True):
-                o, tokens = np.frombuffer(entries.as_py(), OPEN), kind.tokens(data.as_py())
-                out.append((o, [tokens[a : a + m + kind.window].tobytes() for a, m in zip(o["at"].tolist(), o["more"].tolist(), strict=True)]))
-                held += len(o)
-                if held >= 20_000:
-                    yield _context_batch(out, buckets)
-                    out, held = [], 0
-            if out:
-                yield _context_batch(out, buckets)
-
-    pairs = docs.join(open_blocks, "doc_id")
-    return pairs.select("text", "list").mapInArrow(run, CONTEXT)
-
-
-def _context_batch(rows: list[tuple[np.ndarray, list[bytes]]], buckets: int) -> pa.RecordBatch:
-    o = np.concatenate([x for x, _ in rows])
-    bucket = (mixed(o["key"] ^ mixed(o["next"])) % U64(buckets)).astype(np.int64)
-    columns = [bucket, o["key"].view(np.int64), o["next"].view(np.int64), o["doc"], o["at"].astype(np.int64), o["more"].astype(np.int32), o["many"].astype(np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns] + [pa.array([b for _, x in rows for b in x], pa.binary())], [c.split()[0] for c in CONTEXT.split(", ")])
-
+        found = [unpack(x, SPAN) for b in batches for x in b.column(0).to_pylist()]
+        if not found:
+            return
+        r = merged(np.concatenate(found))
+        cuts = np.flatnonzero(np.r_[True, (r["doc"][1:] != r["doc"][:-1]) | (r["tie"][1:] != r["tie"][:-1])])
+        ends = np.r_[cuts[1:], len(r)]
+        for at in range(0, len(cuts), 4096):
+            a, z = cuts[at : at + 4096], ends[at : at + 4096]
+            yield pa.RecordBatch.from_arrays([pa.array(r["doc"][a]), pa.array(r["tie"][a].astype(np.int64)), pa.array([r[x:y].tobytes() for x, y in zip(a, z, strict=True)], pa.binary())], ["doc", "tie", "list"])
 
-def compared_packets(kind: Kind, rows: DataFrame, same_windows: Callable[[list[np.ndarray]], np.ndarray], dtype: str, buckets: int) -> DataFrame:
-    """Step 3's comparison. ``same_windows`` numbers the windows of a list of token arrays, equal ones alike."""
+    spans_only = rows.filter("kind = 'span'").select("packet", "bucket").repartitionById(buckets, F.col("bucket").cast("int"))
+    return spans_only.select("packet").mapInArrow(run, "doc long, tie long, list binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        del got
-        # Equal k-grams stay together; a share of them at a time bounds the windows held.
-        shares = t.num_rows // 16_384 + 1
-        share = mixed(t.column("key").to_numpy().view(U64) + mixed(t.column("next").to_numpy().view(U64))) % U64(shares)
-        for k in range(shares):
-            at = np.flatnonzero(share == k)
-            if len(at):
-                s = compare(t.take(pa.array(at)))
-                if len(s):
-                    yield packets(deal(s, by_document(s, buckets), "span"))
-
-    def compare(t: pa.Table) -> np.ndarray:
-        doc, at, more, many = (t.column(c).to_numpy() for c in ("doc_id", "at", "more", "many"))
-        number = same_windows([np.frombuffer(x, dtype) for x in t.column("tokens").to_pylist()])
-        owner = np.repeat(np.arange(len(doc)), more + 1)
-        start = at[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
-        if kind.earlier:
-            least = np.full(number.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, number, doc[owner])
-            repeat = doc[owner] > least[number]
-        else:
-            repeat = np.bincount(number, weights=1 + many[owner])[number] > 1
-        s = np.zeros(int(repeat.sum()), SPAN)
-        s["doc"], s["at"], s["size"] = doc[owner][repeat], start[repeat], kind.window
-        return merged(s)
 
-    return rows.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(run, PACKETS)
+#: Sampled contexts for each range border, and documents that they come from.
+PER_BORDER, SAMPLED_DOCS = 24, 1000
 
 
-def sampled_splitters(kind: Kind, docs: DataFrame, count: int, buckets: int, wanted: int = 2000) -> np.ndarray:
-    """Range borders by the k-grams of about ``wanted`` documents; at most 64 of each document's go to the driver."""
+def sampled_splitters(kind: Kind, docs: DataFrame, count: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Range borders by distinct contexts of about SAMPLED_DOCS documents, and which of them lie inside a run of one k-gram.
+    A sampled text gives contexts of its first 64 KiB: that moves borders, which only sets how evenly ranges fill, and no
+    result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = doc_ids(batch)
-            keys = np.concatenate([np.zeros(0, U64), *(r["key"] for r in records(kind, ids, (kind.tokens(x.as_py()[:65536]) for x in batch.column(1))))])
-            yield pa.RecordBatch.from_arrays([pa.array(keys[:: len(keys) // (64 * max(len(ids), 1)) + 1].view(np.int64))], ["key"])
-
-    share = max(1, count // wanted)
-    keys = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).mapInArrow(run, "key long").toArrow().column(0).to_numpy().view(U64)
-    keys = np.sort(keys)
-    at = (np.arange(1, buckets) * len(keys) / buckets).astype(int)
-    return keys[at] if len(keys) else np.zeros(buckets - 1, U64)
-
-
-def repeated_spans(kind: Kind, documents: DataFrame, same_windows: Callable, dtype: str, bucket_bytes: int = 16 << 20) -> DataFrame:
-    """(doc_id, list binary of SPAN): the tokens of each document that repeated windows cover; documents without any have
-    no row. Rows with a null doc_id or a doc_id that comes again count as documents of that id."""
-    docs = texts(documents)
+            ids, ties = columns_of(batch)
+            r = np.concatenate([np.zeros(0, kind.record), *records(kind, ids, ties, (kind.tokens(x.as_py()[:65536]) for x in batch.column(2)))])
+            r = r[:: len(r) // (each * max(len(ids), 1)) + 1]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in np.stack([r[k] for k in kind.keys], axis=1)], pa.binary())], ["row"])
+
+    share, each = max(1, count // SAMPLED_DOCS), PER_BORDER * buckets // SAMPLED_DOCS + 1
+    found = docs.filter(F.pmod(F.xxhash64("doc"), F.lit(share)) == 0).mapInArrow(run, "row binary").distinct().toArrow().column(0).to_pylist()
+    rows = np.frombuffer(b"".join(found), U64).reshape(-1, kind.columns)
+    if not len(rows):
+        return np.zeros((buckets - 1, kind.columns), U64), np.zeros(buckets - 1, bool)
+    order, _ = multikey_order(list(np.ascontiguousarray(rows.T)))
+    cut = rows[order][(np.arange(1, buckets) * len(rows) / buckets).astype(int)]
+    whole = np.stack([row_of(kind, x) for x in cut])
+    inside = np.r_[False, (whole[1:, : kind.gram] == whole[:-1, : kind.gram]).all(axis=1)]
+    whole[~inside, kind.gram :] = 0  # back to the start of its run
+    return (whole.view(">u8").astype(U64) if kind.bytewise else whole), inside
+
+
+def repeated_spans(kind: Kind, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents as (doc_id, doc, tie, text), and (doc, tie, list binary of SPAN): the tokens of each document that
+    repeated windows cover; documents without any have no row there. Rows with one doc_id and one text share their spans;
+    each of them counts as a place of its own."""
+    docs = texts(documents).select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), tie().bitwiseAND(F.lit((1 << 32) - 1)).alias("tie"), "text")
+    read = docs.select("doc", "tie", "text")
     count, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // bucket_bytes + 1)
-    splitters = sampled_splitters(kind, docs, count, buckets)
-    first = written(settled_packets(kind, block_packets(kind, docs, splitters, buckets), buckets), "blocks")
-    rows = contexts(kind, docs, per_document(first, "open", OPEN, buckets, False), buckets)
-    second = written(compared_packets(kind, rows, same_windows, dtype, buckets), "windows")
-    return per_document(first.unionByName(second), "span", SPAN, buckets, True)
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES + 1)
+    splitters, inside = sampled_splitters(kind, read, count, buckets)
+    first = written(range_packets(kind, context_packets(kind, read, splitters, buckets), splitters, inside, buckets), "ranges")
+    # Written, so that no stage runs two Python maps, each with a worker of its own, at once.
+    second = written(edge_spans(kind, first, buckets), "edges")
+    return docs, per_document(first.filter("kind = 'span'").unionByName(second), buckets)

@@ -78,23 +78,89 @@ def test_kept_text(spark):
     assert {r.doc_id: bytes(r.kept) for r in substring_sa.deduplicated(docs, keep_text=True).collect()} == {1: b"p" * 60, 2: b"ab"}
 
 
-def test_long_documents_are_cut_into_pieces_without_loss(monkeypatch):
+@pytest.mark.parametrize("kind", [substring_sa.BYTES, rlz.WORDS])
+def test_sampled_positions_lose_no_window(monkeypatch, kind):
+    """Every window lies in exactly one context of its document, whole, at the offset that its own content decides."""
     monkeypatch.setattr(windows, "PIECE", 500)
-    data = np.frombuffer(bytes(random.Random(1).choices(range(97, 100), k=4000)), np.uint8)
-    r = np.concatenate(list(windows.records(substring_sa.BYTES, np.array([7]), [data])))
-    covered = Counter(p for a, m in zip(r["at"].tolist(), r["more"].tolist(), strict=True) for p in range(a, a + m + 1))
-    assert covered == Counter(range(4000 - 49)) and set(r["doc"].tolist()) == {7}
+    r = random.Random(1)
+    data = bytes(r.choices(b"abc ", k=6000))
+    data = data[:3000] + data[100:900] + data[3000:]
+    tokens = kind.tokens(data)
+    got = np.concatenate(list(windows.records(kind, np.array([7]), np.array([9]), [tokens])))
+    rows = windows.as_rows(kind, got)
+    w, seen, offsets = kind.window, Counter(), {}
+    right, left = windows.sides(kind, got)
+    for x, at, n, m in zip(rows, got["at"].tolist(), right.tolist(), left.tolist(), strict=True):
+        around = np.r_[x[w + 1 : w + 1 + m][::-1], x[:n]]
+        for k in range(len(around) - w + 1):
+            seen[at + k] += 1
+            assert (around[k : k + w] == tokens[at + k : at + k + w]).all()
+            assert offsets.setdefault(around[k : k + w].tobytes(), m - k) == m - k
+    assert seen == Counter(range(len(tokens) - w + 1)) and set(got["doc"].tolist()) == {7} and set(got["tie"].tolist()) == {9}
 
 
 def test_multikey_order_and_packets():
     r = np.random.default_rng(3)
-    rows = np.zeros(2000, windows.RECORD)
-    for name, code in windows.RECORD:
-        rows[name] = r.integers(0, 5, 2000)
-    order = windows.multikey_order(rows, ["key", "next", "body"])
+    rows = np.zeros(2000, substring_sa.BYTES.record)
+    for name, _ in substring_sa.BYTES.record:
+        rows[name] = r.integers(0, 3, 2000)
+    order, same = windows.multikey_order([rows[c] for c in ("c0", "c1", "c2")])
     got = [tuple(rows[i])[:3] for i in order]
-    assert got == sorted(got)
-    assert (windows.unpack(windows.pack(rows), windows.RECORD) == rows).all()
+    assert got == sorted(got) and same.tolist() == [False] + [a == b for a, b in zip(got, got[1:], strict=False)]
+    columns = [rows[c][order] for c in ("c0", "c1", "c2")]
+    assert [windows.lower_bound(columns, x) for x in ([0, 0, 0], [1, 2, 1], [9, 9, 9])] == [0, sum(x < (1, 2, 1) for x in got), 2000]
+    assert (windows.unpack(windows.pack(rows), substring_sa.BYTES.record) == rows).all()
+
+
+def contexts(kind, texts):
+    r = np.concatenate([x for d, t in enumerate(texts) for x in windows.records(kind, np.array([d]), np.array([0]), [kind.tokens(t)])])
+    r, run, gone = windows.settled(kind, r)
+    starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+    return windows.Contexts(kind, r[starts], np.minimum.reduceat(r["doc"], starts) if kind.earlier else gone[starts].astype(np.int64))
+
+
+@pytest.mark.parametrize("kind", [substring_sa.BYTES, rlz.WORDS])
+def test_common_prefixes_and_endings(kind):
+    """Each context's bounds are the longest agreement with any other context, by brute force."""
+    c = contexts(kind, [(t or "").encode() for t in corpus(4, 25)])
+    common = lambda a, b: next((k for k in range(len(a)) if a[k] != b[k]), len(a))
+    n = len(c.n_right)
+    assert n > 50 and [tuple(x) for x in c.right.tolist()] == sorted(tuple(x) for x in c.right.tolist())
+    far = [max(common(c.right[i], c.right[j]) for j in range(n) if j != i) for i in range(n)]
+    assert c.far.tolist() == np.minimum(far, c.n_right).tolist()
+    for i in c.some:
+        others = [j for j in range(n) if j != i and c.run[j] == c.run[i] and c.far[j] + c.n_left[j] >= kind.window]
+        assert c.back[i] == min(c.n_left[i], max(common(c.left[i], c.left[j]) for j in others))
+
+
+def test_factors_are_what_two_blocks_share():
+    c = contexts(rlz.WORDS, [(t or "").encode() for t in corpus(6, 25)])
+    r = np.random.default_rng(1)
+    x, y = r.integers(0, len(c.n_left), (2, 3000))
+    y[:1500] = np.maximum(x[:1500] - 1, 0)
+    back, far = rlz.factors(c, x, y)
+    for i, j, b, f in zip(x, y, back, far, strict=True):
+        a, z = c.right[i, : c.n_right[i]].tolist(), c.right[j, : c.n_right[j]].tolist()
+        p, q = c.left[i, : c.n_left[i]].tolist(), c.left[j, : c.n_left[j]].tolist()
+        alike = lambda u, v: next((k for k, (s, t) in enumerate(zip(u, v, strict=False)) if s != t), min(len(u), len(v)))
+        assert (b, f) == ((alike(p, q), alike(a, z)) if a[:4] == z[:4] else (0, 0))
+
+
+@pytest.mark.parametrize("ranges", [40, 400])
+def test_runs_that_fill_ranges_are_cut_without_loss(spark, monkeypatch, ranges):
+    """One passage in every document, with other neighbours: its k-grams fill ranges, and repeats lie across their borders."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    passage = [word() for _ in range(60)]
+    rows = []
+    for d in range(90):
+        a, z = sorted(r.sample(range(61), 2))
+        rows.append((d, " ".join([word() for _ in range(r.randint(0, 9))] + passage[a:z] + [word() for _ in range(r.randint(0, 9))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(windows, "RANGE_BYTES", sum(len(t) for _, t in rows) // ranges + 1)
+    monkeypatch.setattr(windows, "PER_BORDER", 400)
+    assert {x.doc_id: tuple(x)[1:] for x in substring_sa.deduplicated(docs).collect()} == bytes_left(rows)
+    assert {x.doc_id: tuple(x)[1:] for x in rlz.deduplicated(docs).collect()} == words_left(rows)
 
 
 # Near duplicates
