@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -40,6 +40,15 @@ def texts(docs: DataFrame) -> DataFrame:
     )
 
 
+def text_hash(text: Column) -> Column:
+    """64 bits of a text, a null one as an empty one: what tells rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce(text.cast("binary"), F.lit(b"").cast("binary")))
+
+
+def tie() -> Column:
+    return text_hash(F.col("text")).alias("tie")
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """Apply ``fn`` to every Arrow batch; ``fn`` yields batches of ``schema``."""
     small_batches(df)
@@ -101,4 +110,4 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-__all__ = ["U64", "WordTable", "map_arrow", "mixed", "rows_by_text", "shared_dir", "shingle_hashes", "small_batches", "table", "texts", "written"]
+__all__ = ["U64", "WordTable", "map_arrow", "mixed", "rows_by_text", "shared_dir", "shingle_hashes", "small_batches", "table", "text_hash", "texts", "tie", "written"]

@@ -1,14 +1,16 @@
 """MinHash near-deduplication with SuperMinHash signatures.
 
-A document's set is its distinct four-word shingles (A-Z lower-cased; fewer words make one shingle of all). SuperMinHash gives
+A document's set is its distinct shingles of ``size`` words (A-Z lower-cased; fewer words make one shingle of all): five unless
+a caller says otherwise, as in the pipeline; op4's contract says four. SuperMinHash gives
 each shingle a permutation of the signature's slots, drawn by Fisher-Yates, and takes the least (level, random) for each
 slot; levels run for all shingles at once and stop as soon as no slot can fall further. Bands of the signature give buckets,
 bucket members are verified on their full sets, and union-find groups what is linked.
 
 Equal sets are one class and are worked on once. Pairs are never listed within a bucket: members are compared with the
 bucket's pivots, and what a pivot links is grouped before the next pivots are chosen (see ``linked``). Documents without
-words have no shingles and are linked with nothing. A null doc_id is left as its own group; rows that share a doc_id are
-grouped by that id. Texts are read whole.
+words have no shingles and are linked with nothing. A null doc_id is left as its own group, linked with nothing. Rows that
+share a doc_id are told apart by their texts: each text is linked by itself, and its group is named by the least doc_id.
+Texts are read whole.
 
 With 24 bands of 4 slots, a pair at the limit of 0.8 shares no bucket with a chance of (1 - 0.8 ** 4) ** 24 = 3e-6.
 """
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import U64, WordTable, mixed, shingle_hashes, texts, written
+from .base import U64, WordTable, mixed, shingle_hashes, text_hash, texts, tie, written
 from .groups import components, find
 
 SLOTS, ROWS = 96, 4
@@ -70,32 +72,40 @@ def shingle_set(data: bytes, words: WordTable, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(words.hashes(data.lower().split()), size))
 
 
+def digest(s: np.ndarray) -> list[int]:
+    """128 bits of a set, as two numbers."""
+    return np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist()
+
+
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, bands): the set's size, a 128-bit digest of it, and its buckets."""
+    """(doc_id, tie, n_shingles, set_a, set_b, bands): a hash of the text, the set's size, a 128-bit digest of it, and its
+    buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTable()
         for batch in batches:
             out = []
-            for data in batch.column(1):
+            for data in batch.column(2):
                 s = shingle_set(data.as_py(), words, size)
-                digest = xxhash.xxh3_128_digest(s.tobytes())
-                out.append((len(s), *np.frombuffer(digest, np.int64).tolist(), bands(superminhash(s)) if len(s) else []))
+                out.append((len(s), *digest(s), bands(superminhash(s)) if len(s) else []))
             kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True))], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+            columns = zip(*out, strict=True) if out else [[] for _ in kinds]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], ["doc_id", "tie", "n_shingles", "set_a", "set_b", "bands"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return texts(docs).select("doc_id", tie(), "text").mapInArrow(run, "doc_id long, tie long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, members binary): the full sets of the documents in ``ids``, one row for each id."""
+def sets_of(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """(id, members binary): the full sets of ``classes`` (id, doc_id, tie), each made from the text that its doc_id and tie name.
+    Rows that repeat that text make the same set, of which one stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTable()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x.as_py(), words, size).tobytes() for x in batch.column(1)], pa.binary())], ["id", "members"])
 
-    return texts(docs).join(ids.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi").mapInArrow(run, "id long, members binary").dropDuplicates(["id"])
+    rows = texts(docs).select("doc_id", tie(), "text").join(classes.hint("merge"), ["doc_id", "tie"])
+    return rows.select("id", "text").mapInArrow(run, "id long, members binary").dropDuplicates(["id"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -251,8 +261,8 @@ def linked(docs: DataFrame, reps: DataFrame, size: int, percent: int, block: int
     members = written(members.join(pivots, "bucket").filter(F.col("rep") != F.col("pivot")), "members")
     alike = 100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")
     pairs = members.filter(alike).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    wanted = members.select(F.col("rep").alias("id")).union(members.select("pivot")).distinct()
-    sets = written(sets_of(docs, wanted, size), "sets")
+    wanted = members.select("rep").union(members.select("pivot")).distinct()
+    sets = written(sets_of(docs, reps.join(wanted, "rep", "left_semi").select(F.col("rep").alias("id"), "doc_id", "tie"), size), "sets")
     links = written(verified(pairs, sets, percent), "links")
     found = components(links)
     # Pivots were compared with everyone, so a bucket of two is done.
@@ -265,24 +275,47 @@ def linked(docs: DataFrame, reps: DataFrame, size: int, percent: int, block: int
     dealt = blocked(rows, block).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     close = written(live(dealt, percent), "close")
     full = close.join(sets.select(F.col("id").alias("rep"), "members"), "rep").select("bucket", "i", "j", "own", "rep", "n", "component", "members")
-    more = links_in_blocks(full.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j"), percent)
+    # Written first: a stage never runs two Python maps, each with a worker of its own, at once.
+    more = written(links_in_blocks(full.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j"), percent), "links")
     return components(found.select(F.col("child").alias("a"), F.col("parent").alias("b")).union(more))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row: kept is the least doc_id of each group."""
+def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc_id, tie, n_shingles, component_id, first_tie) of every row: the least doc_id of its group, and which of that id's
+    texts comes first. Rows without a group have their own doc_id and tie."""
     every = written(signatures(docs, size), "signatures")
-    classes = every.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("least"))
-    reps = written(classes.select("set_a", "set_b", F.col("least.doc_id").alias("rep"), F.col("least.n_shingles").alias("n"), F.col("least.bands").alias("bands")), "classes")
+    classes = every.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "tie", "n_shingles", "bands")).alias("least"))
+    # Two classes can have the same least doc_id, so a class is named by a number of its own; it is fixed once written.
+    numbered = classes.select("set_a", "set_b", F.monotonically_increasing_id().alias("rep"), "least.doc_id", "least.tie", F.col("least.n_shingles").alias("n"), "least.bands")
+    reps = written(numbered, "classes")
     found = linked(docs, reps, size, percent)
-    named = reps.select("set_a", "set_b", "rep").join(found.select(F.col("child").alias("rep"), "parent"), "rep", "left").select("set_a", "set_b", F.coalesce("parent", "rep").alias("group"))
-    out = every.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
-    group = F.when((F.col("n_shingles") > 0) & F.col("group").isNotNull(), F.col("group")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", group.alias("component_id"), F.coalesce(F.col("doc_id") == group, F.lit(True)).alias("kept"))
+    in_group = reps.select("set_a", "set_b", "rep", "doc_id", "tie").join(found.select(F.col("child").alias("rep"), "parent"), "rep", "left").withColumn("group", F.coalesce("parent", "rep"))
+    firsts = in_group.groupBy("group").agg(F.min(F.struct("doc_id", "tie")).alias("first"))
+    named = in_group.join(firsts, "group").select("set_a", "set_b", F.col("first.doc_id").alias("first_id"), F.col("first.tie").alias("first_tie"))
+    out = every.select("doc_id", "tie", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
+    linked_row = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull() & F.col("first_id").isNotNull()
+    return out.select("doc_id", "tie", "n_shingles", F.when(linked_row, F.col("first_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(linked_row, F.col("first_tie")).otherwise(F.col("tie")).alias("first_tie"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row: kept is the least doc_id of each group."""
+    same = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return grouped(docs, size, percent).select("doc_id", "n_shingles", "component_id", same.alias("kept"))
 
 
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is kept, with all their columns. Texts are always joined by a shuffle: what goes
-    grows with the input, so a broadcast would only suit small ones."""
-    gone = near_duplicates(docs, size, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).hint("merge")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    """One row of each group, with all columns of ``docs``: the least doc_id's, and of rows that repeat its text any one. Of
+    texts without words and rows with a null doc_id all stay. Texts are always joined by a shuffle: what goes grows with the
+    input, so a broadcast would only suit small ones."""
+    groups = written(grouped(docs, size, percent), "groups")
+    other = (F.col("doc_id") != F.col("component_id")) | (F.col("tie") != F.col("first_tie"))
+    gone = groups.filter(other).select(F.col("doc_id").alias("id"), F.col("tie").alias("text_hash")).distinct()
+    again = groups.filter(~F.coalesce(other, F.lit(False)) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id"), F.col("tie").alias("text_hash")).count().filter("count > 1").drop("count")
+    # The row as a struct: its columns' names can clash with nothing.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    key = [F.col("row.doc_id").cast("long") == F.col("id"), text_hash(F.col("row.text")) == F.col("text_hash")]
+    kept = rows.join(gone.hint("merge"), key, "left_anti")
+    if not again.isEmpty():
+        once = kept.join(again, key).groupBy("id", "text_hash").agg(F.first("row").alias("row")).select("row")
+        kept = kept.join(again, key, "left_anti").unionByName(once)
+    return kept.select("row.*")
