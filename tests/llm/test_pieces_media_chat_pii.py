@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import random
 import re
@@ -161,6 +162,7 @@ def test_best_segmentation_is_the_best_of_all():
     tokens = next(iter(pii.islands(text)))
     ending = pii.segments(text, tokens, w)
 
+    @functools.cache
     def best(j):
         return 0.0 if j == 0 else max([best(j - 1), *(best(i) + s for i, _, s, _ in ending[j - 1])])
 
