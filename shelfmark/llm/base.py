@@ -10,7 +10,6 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -72,25 +71,6 @@ def rows_by_text(fn: Callable[[bytes], tuple], names: list[tuple[str, pa.DataTyp
     return run
 
 
-class WordTable(dict):
-    """word bytes -> 64-bit hash, filled on first use and emptied when full, so that its memory stays bounded."""
-
-    def __init__(self, limit: int = 150_000, longest: int = 64):
-        super().__init__()
-        self.limit, self.longest = limit, longest
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= self.longest:
-            if len(self) >= self.limit:
-                self.clear()
-            self[word] = value
-        return value
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), U64, len(words))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (multiply and xor-shift), elementwise."""
     x = (x ^ (x >> U64(32))) * U64(0xD6E8FEB86659FD93)
@@ -98,6 +78,43 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
+#: A word's hash adds up a number for each byte, times the byte's place's power of STEP, an odd number.
+STEP, CHUNK = 0x9E3779B97F4A7C15, 1 << 18
+with np.errstate(over="ignore"):
+    _BYTE = mixed(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95))
+    _UP = np.multiply.accumulate(np.r_[U64(1), np.full(CHUNK, STEP, U64)])
+    _DOWN = np.multiply.accumulate(np.r_[U64(1), np.full(CHUNK, pow(STEP, -1, 1 << 64), U64)])
+_INSIDE = np.array([b not in b" \t\n\x0b\x0c\r" for b in range(256)])
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of each word, by sums over the bytes that are worked on CHUNK at a time: a word's sum is that up to its
+    end less that up to its start, divided by the start's power."""
+    every = np.frombuffer(data, np.uint8)
+    sums: list[np.ndarray] = []
+    places: list[np.ndarray] = []
+    roots: list[np.ndarray] = []
+    total, up, down, inside = U64(0), U64(1), U64(1), False
+    with np.errstate(over="ignore"):
+        for at in range(0, len(every), CHUNK):
+            part = every[at : at + CHUNK]
+            in_word = _INSIDE[part]
+            edge = np.flatnonzero(in_word != np.r_[inside, in_word[:-1]])
+            upto = np.cumsum(_BYTE[part] * _UP[: len(part)]) * up + total
+            sums.append(np.where(edge > 0, upto[edge - 1], total))
+            roots.append(_DOWN[edge] * down)
+            places.append(edge + at)
+            total, up, down, inside = upto[-1], up * _UP[CHUNK], down * _DOWN[CHUNK], bool(in_word[-1])
+        if inside:
+            sums.append(np.array([total], U64))
+            roots.append(np.zeros(1, U64))
+            places.append(np.array([len(every)]))
+        if not sums:
+            return np.zeros(0, U64)
+        s, p, r = np.concatenate(sums), np.concatenate(places), np.concatenate(roots)
+        return mixed((s[1::2] - s[::2]) * r[::2] + (p[1::2] - p[::2]).astype(U64))
+
+
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """One hash for each run of ``size`` words; fewer words make one run of all; no words make none."""
     n = len(words)
@@ -110,4 +127,4 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-__all__ = ["U64", "WordTable", "map_arrow", "mixed", "rows_by_text", "shared_dir", "shingle_hashes", "small_batches", "table", "text_hash", "texts", "tie", "written"]
+__all__ = ["U64", "map_arrow", "mixed", "rows_by_text", "shared_dir", "shingle_hashes", "small_batches", "table", "text_hash", "texts", "tie", "word_hashes", "written"]

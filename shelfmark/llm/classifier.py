@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import U64, WordTable, mixed, texts, written
+from .base import U64, mixed, texts, written
 
 BITS = 18
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
@@ -32,6 +32,25 @@ _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[!-/:-@\[-`{-~]+")
 SCALE = 30.0
 
 
+class WordTable(dict):
+    """word bytes -> 64-bit hash, filled on first use and emptied when full, so that its memory stays bounded."""
+
+    def __init__(self, limit: int = 100_000, longest: int = 64):
+        super().__init__()
+        self.limit, self.longest = limit, longest
+
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.longest:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = value
+        return value
+
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), U64, len(words))
+
+
 def features(data: bytes, words: WordTable, bits: int = BITS) -> np.ndarray:
     """Buckets of all word 1- and 2-grams, as often as they occur; a 2-gram that came before in the text also counts in the
     bucket of one mark, so that its share tells how much a text repeats itself."""

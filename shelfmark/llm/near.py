@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import U64, WordTable, mixed, shingle_hashes, text_hash, texts, tie, written
+from .base import U64, mixed, shingle_hashes, text_hash, texts, tie, word_hashes, written
 from .groups import components, find
 
 SLOTS, ROWS = 96, 4
@@ -68,8 +68,8 @@ def bands(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return out.view(np.int64)
 
 
-def shingle_set(data: bytes, words: WordTable, size: int) -> np.ndarray:
-    return np.unique(shingle_hashes(words.hashes(data.lower().split()), size))
+def shingle_set(data: bytes, size: int) -> np.ndarray:
+    return np.unique(shingle_hashes(word_hashes(data.lower()), size))
 
 
 def digest(s: np.ndarray) -> list[int]:
@@ -82,11 +82,10 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTable()
         for batch in batches:
             out = []
             for data in batch.column(2):
-                s = shingle_set(data.as_py(), words, size)
+                s = shingle_set(data.as_py(), size)
                 out.append((len(s), *digest(s), bands(superminhash(s)) if len(s) else []))
             kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())]
             columns = zip(*out, strict=True) if out else [[] for _ in kinds]
@@ -100,9 +99,8 @@ def sets_of(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     Rows that repeat that text make the same set, of which one stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTable()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x.as_py(), words, size).tobytes() for x in batch.column(1)], pa.binary())], ["id", "members"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x.as_py(), size).tobytes() for x in batch.column(1)], pa.binary())], ["id", "members"])
 
     rows = texts(docs).select("doc_id", tie(), "text").join(classes.hint("merge"), ["doc_id", "tie"])
     return rows.select("id", "text").mapInArrow(run, "id long, members binary").dropDuplicates(["id"])

@@ -21,19 +21,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .base import U64, WordTable, mixed
+from .base import U64, mixed, word_hashes
 from .windows import SPAN, Contexts, Kind, agree, repeated_of, repeated_spans
 
 WINDOW, GRAM = 35, 4
 BITS = 48
-_WORDS: list[WordTable] = []
 
 
 def word_codes(data: bytes) -> np.ndarray:
-    """A number of BITS bits for each word, never 0."""
-    if not _WORDS:
-        _WORDS.append(WordTable())
-    return _WORDS[0].hashes(data.split()) & U64((1 << BITS) - 1) | U64(1)
+    """A number of BITS bits for each word."""
+    return word_hashes(data) & U64((1 << BITS) - 1)
 
 
 def grams(words: np.ndarray) -> np.ndarray:

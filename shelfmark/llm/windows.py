@@ -14,12 +14,14 @@ the context's own windows reach.
    a splitter far enough to hold a window send these windows on, each range every distinct one once, and they are compared
    across ranges by their tokens.
 
-Rows through each shuffle follow the input's size, a group of copies of any size travels as one row a batch, and nothing is
-paired. Rows are told apart by their doc_id and 32 bits of a hash of their text; a null doc_id is later than all others.
+Contexts take several times their text's bytes, so steps 1 to 3 are done in PASSES, each for its share of the k-grams: the
+text is read once more for each, and only one share's contexts are on disk at a time. Rows through each shuffle follow the
+input's size, a group of copies of any size travels as one row a batch, and nothing is paired. Rows are told apart by their doc_id and 32 bits of a hash of their text; a null doc_id is later than all others.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -33,8 +35,8 @@ from .base import U64, mixed, texts, tie, written
 
 #: Tokens that are worked on at once; longer documents are cut with an overlap of a window less one.
 PIECE = 1 << 16
-#: Bytes of contexts that a task sorts at once, and bytes of text for each range of their order.
-HELD, RANGE_BYTES = 32 << 20, 6 << 20
+#: Bytes of contexts that a task sorts at once, bytes of text for each range of their order, and passes over the k-grams.
+HELD, RANGE_BYTES, PASSES = 32 << 20, 6 << 20, 2
 #: The doc_id that a null one counts as.
 LAST = (1 << 63) - 1
 IDS = [("doc", "<i8"), ("tie", "<u4"), ("at", "<u4"), ("many", "<u1")]
@@ -44,7 +46,7 @@ PACKETS = "kind string, bucket int, packet binary"
 
 @dataclass(frozen=True)
 class Kind:
-    """How documents become tokens (bytes, or numbers of 64 bits) and what repeats: with ``earlier`` a window of a smaller
+    """How documents become tokens (bytes, or numbers of 48 bits) and what repeats: with ``earlier`` a window of a smaller
     doc_id, else any other place. ``grams`` numbers the k-gram at each position; ``repeats``, the operator's method, gives the
     windows (row, tokens before the anchor) of unlike contexts that repeat."""
 
@@ -71,12 +73,9 @@ class Kind:
         return self.width // 8 if self.bytewise else self.width
 
     @property
-    def keys(self) -> list[str]:
-        return [f"c{k}" for k in range(self.columns)]
-
-    @property
-    def record(self) -> list[tuple[str, str]]:
-        return [(k, "<u8") for k in self.keys] + IDS
+    def sent(self) -> int:
+        """Bytes of a row in a packet."""
+        return self.width if self.bytewise else 6 * self.width
 
     @property
     def token(self) -> type:
@@ -96,9 +95,9 @@ def lowest(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def sampled(kind: Kind, tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The contexts of the documents that ``bounds`` cuts ``tokens`` into: document, anchor, first and last window's start.
-    Windows that would leave their document are no windows."""
+def sampled(kind: Kind, tokens: np.ndarray, bounds: np.ndarray, share: int | None) -> tuple[np.ndarray, ...]:
+    """The contexts of the documents that ``bounds`` cuts ``tokens`` into: document, anchor, first and last window's start; of
+    all k-grams, or of one share of them. Windows that would leave their document are no windows."""
     none = (np.zeros(0, np.int64),) * 4
     if len(tokens) < kind.window:
         return none
@@ -113,7 +112,11 @@ def sampled(kind: Kind, tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndar
         return none
     a, d = anchor[where], doc[where]
     starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (d[1:] != d[:-1])])
-    return d[starts], a[starts], where[starts], where[np.r_[starts[1:], len(where)] - 1]
+    found = d[starts], a[starts], where[starts], where[np.r_[starts[1:], len(where)] - 1]
+    if share is None:
+        return found
+    own = (order[found[1]] & low) % U64(PASSES) == U64(share)
+    return tuple(x[own] for x in found)
 
 
 def rows_of(kind: Kind, tokens: np.ndarray, anchor: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -130,19 +133,13 @@ def rows_of(kind: Kind, tokens: np.ndarray, anchor: np.ndarray, begin: np.ndarra
     return out
 
 
-def as_records(kind: Kind, rows: np.ndarray) -> np.ndarray:
-    """Rows of tokens as sortable columns; eight bytes make one number that sorts as they do."""
-    r = np.zeros(len(rows), kind.record)
-    columns = rows.view(">u8") if kind.bytewise else rows
-    for k, name in enumerate(kind.keys):
-        r[name] = columns[:, k]
-    return r
+def as_keys(kind: Kind, rows: np.ndarray) -> np.ndarray:
+    """Rows of tokens as numbers to sort by: eight bytes make one that sorts as they do."""
+    return rows.view(">u8").astype(U64) if kind.bytewise else rows
 
 
-def as_rows(kind: Kind, r: np.ndarray) -> np.ndarray:
-    if not kind.bytewise:
-        return np.stack([r[k] for k in kind.keys], axis=1)
-    return np.stack([r[k] for k in kind.keys], axis=1).astype(">u8").view(np.uint8)
+def as_rows(kind: Kind, keys: np.ndarray) -> np.ndarray:
+    return keys.astype(">u8").view(np.uint8) if kind.bytewise else keys
 
 
 def pieces(kind: Kind, docs: Iterable[np.ndarray]) -> Iterator[tuple[list[int], list[int], list[np.ndarray]]]:
@@ -162,23 +159,29 @@ def pieces(kind: Kind, docs: Iterable[np.ndarray]) -> Iterator[tuple[list[int],
         yield index, offset, parts
 
 
-def records(kind: Kind, ids: np.ndarray, ties: np.ndarray, docs: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
-    """The contexts of a batch's documents, a piece at a time; ``at`` is a context's first window."""
+def records(kind: Kind, ids: np.ndarray, ties: np.ndarray, docs: Iterable[np.ndarray], share: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The contexts of a batch's documents, a piece at a time: keys, and IDS, of which ``at`` is the first window."""
     for index, offset, parts in pieces(kind, docs):
         tokens = np.concatenate(parts)
-        d, anchor, begin, end = sampled(kind, tokens, np.r_[0, np.cumsum([len(p) for p in parts])])
-        r = as_records(kind, rows_of(kind, tokens, anchor, begin, end))
         starts = np.r_[0, np.cumsum([len(p) for p in parts])]
+        d, anchor, begin, end = sampled(kind, tokens, starts, share)
+        own = np.zeros(len(d), IDS)
         row = np.array(index)[d]
-        r["doc"], r["tie"] = ids[row], ties[row]
-        r["at"] = begin - starts[d] + np.array(offset)[d]
-        yield r
+        own["doc"], own["tie"] = ids[row], ties[row]
+        own["at"] = begin - starts[d] + np.array(offset)[d]
+        yield as_keys(kind, rows_of(kind, tokens, anchor, begin, end)), own
+
 
+def gathered(kind: Kind, parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, ids = zip((np.zeros((0, kind.columns), U64), np.zeros(0, IDS)), *parts, strict=True)
+    return np.concatenate(keys), np.concatenate(ids)
 
-# Packets: columns one after another, bytes of equal weight together, so that they compress
+
+# Packets
 
 
 def pack(r: np.ndarray) -> bytes:
+    """Columns one after another, bytes of equal weight together, so that they compress."""
     planes = b"".join(np.ascontiguousarray(r[n]).view(np.uint8).reshape(len(r), -1).T.tobytes() for n in r.dtype.names)
     return zstandard.ZstdCompressor(level=1).compress(planes)
 
@@ -194,6 +197,24 @@ def unpack(data: bytes, dtype: list) -> np.ndarray:
     return r
 
 
+def pack_rows(rows: np.ndarray, ids: np.ndarray) -> bytes:
+    """Rows of tokens, of numbers the 6 bytes that they use, and their IDS."""
+    sent = rows if rows.dtype == np.uint8 else np.ascontiguousarray(rows).view(np.uint8).reshape(*rows.shape, 8)[:, :, :6]
+    own = pack(ids)
+    return len(own).to_bytes(4, "little") + own + zstandard.ZstdCompressor(level=2).compress(np.ascontiguousarray(sent).tobytes())
+
+
+def unpack_rows(data: bytes, bytewise: bool) -> tuple[np.ndarray, np.ndarray]:
+    size = 4 + int.from_bytes(data[:4], "little")
+    ids = unpack(data[4:size], IDS)
+    sent = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[size:]), np.uint8).reshape(len(ids), -1)
+    if bytewise:
+        return sent, ids
+    wide = np.zeros((len(ids), sent.shape[1] // 6, 8), np.uint8)
+    wide[:, :, :6] = sent.reshape(len(ids), -1, 6)
+    return wide.view(U64)[:, :, 0], ids
+
+
 def packets(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
     kinds, buckets, data = zip(*rows, strict=True) if rows else ((), (), ())
     return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(buckets, pa.int32()), pa.array(data, pa.binary())], ["kind", "bucket", "packet"])
@@ -214,37 +235,40 @@ def by_document(s: np.ndarray, buckets: int) -> np.ndarray:
 # Sorting
 
 
-def multikey_order(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def multikey_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Multikey quicksort: sort by the first column, then each run of equals by the next, while there are runs. Gives the
     order, and which rows equal the one before them in all columns."""
-    order = np.argsort(columns[0], kind="quicksort")
+    order = np.argsort(np.ascontiguousarray(keys[:, 0]), kind="quicksort")
     same = np.zeros(len(order), bool)
-    if len(order):
-        k = columns[0][order]
-        same[1:] = k[1:] == k[:-1]
-    for c in columns[1:]:
+    k = keys[order, 0]
+    same[1:] = k[1:] == k[:-1]
+    for column in range(1, keys.shape[1]):
         tied = same.copy()
         tied[:-1] |= same[1:]
         rows = np.flatnonzero(tied)
         if not len(rows):
             break
         run = np.cumsum(~same)[rows]
-        values = c[order[rows]]
+        values = keys[order[rows], column]
         inner = np.lexsort((values, run))
         order[rows] = order[rows][inner]
-        values, new = values[inner], run[1:] != run[:-1]
-        same[rows[1:]] &= (values[1:] == values[:-1]) & ~new
+        values = values[inner]
+        same[rows[1:]] &= (values[1:] == values[:-1]) & (run[1:] == run[:-1])
     return order, same
 
 
-def lower_bound(columns: list[np.ndarray], row: np.ndarray) -> int:
-    """How many of the sorted rows are less than ``row``."""
-    low, high = 0, len(columns[0])
-    for c, v in zip(columns, row, strict=True):
-        if low == high:
-            break
-        low, high = low + int(np.searchsorted(c[low:high], v, "left")), low + int(np.searchsorted(c[low:high], v, "right"))
-    return low
+def lower_bounds(keys: np.ndarray, rows: np.ndarray) -> list[int]:
+    """How many of the sorted keys are less than each of ``rows``."""
+    first = np.ascontiguousarray(keys[:, 0])
+    found = []
+    for row, low, high in zip(rows, np.searchsorted(first, rows[:, 0], "left").tolist(), np.searchsorted(first, rows[:, 0], "right").tolist(), strict=True):
+        for k in range(1, len(row)):
+            if low == high:
+                break
+            part = keys[low:high, k]
+            low, high = low + int(np.searchsorted(part, row[k], "left")), low + int(np.searchsorted(part, row[k], "right"))
+        found.append(low)
+    return found
 
 
 def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -260,16 +284,16 @@ def neighbours(rows: np.ndarray) -> np.ndarray:
     return np.maximum(np.r_[0, common], np.r_[common, 0]) if len(rows) else common
 
 
-def settled(kind: Kind, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The records in order, the number of each one's run of equals, and which of them are repeats in all their windows."""
-    order, same = multikey_order([np.ascontiguousarray(r[k]) for k in kind.keys])
-    r, run = r[order], np.cumsum(~same) - 1
-    if not len(r):
-        return r, run, same
+def settled(kind: Kind, keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The contexts in order, the number of each one's run of equals, and which of them are repeats in all their windows."""
+    order, same = multikey_order(keys)
+    keys, ids, run = keys[order], ids[order], np.cumsum(~same) - 1
+    if not len(ids):
+        return keys, ids, run, same
     starts = np.flatnonzero(~same)
     if kind.earlier:
-        return r, run, r["doc"] > np.minimum.reduceat(r["doc"], starts)[run]
-    return r, run, ((np.bincount(run) > 1) | (np.maximum.reduceat(r["many"], starts) > 0))[run]
+        return keys, ids, run, ids["doc"] > np.minimum.reduceat(ids["doc"], starts)[run]
+    return keys, ids, run, ((np.bincount(run) > 1) | (np.maximum.reduceat(ids["many"], starts) > 0))[run]
 
 
 # Spans
@@ -295,12 +319,12 @@ def spans(ids: np.ndarray, at: np.ndarray, size: np.ndarray | int) -> np.ndarray
     return merged(out)
 
 
-def sides(kind: Kind, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How many tokens each record has from its anchor on, and before it."""
+def sides(kind: Kind, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many tokens each context has from its anchor on, and before it."""
+    at = kind.window, kind.window + 1 + kind.left
     if kind.bytewise:
-        byte = lambda at: (r[f"c{at // 8}"] >> U64(56 - 8 * (at % 8))) & U64(255)
-        return byte(kind.window).astype(np.int64), byte(kind.window + 1 + kind.left).astype(np.int64)
-    return r[f"c{kind.window}"].astype(np.int64), r[f"c{kind.window + 1 + kind.left}"].astype(np.int64)
+        return tuple(((keys[:, k // 8] >> U64(56 - 8 * (k % 8))) & U64(255)).astype(np.int64) for k in at)
+    return tuple(keys[:, k].astype(np.int64) for k in at)
 
 
 # A range's contexts
@@ -311,8 +335,8 @@ class Contexts:
     documents count, else whether it has several. A window is named by a context's row and by how many of its tokens lie
     before the anchor."""
 
-    def __init__(self, kind: Kind, r: np.ndarray, value: np.ndarray):
-        rows = as_rows(kind, r)
+    def __init__(self, kind: Kind, keys: np.ndarray, value: np.ndarray):
+        rows = as_rows(kind, keys)
         w, g = kind.window, kind.gram
         self.kind, self.value = kind, value
         self.right, self.n_right = rows[:, :w], rows[:, w].astype(np.int64)
@@ -332,8 +356,7 @@ class Contexts:
         """The order of rows by k-gram and then by what lies before it, and how far each agrees there with its neighbours."""
         left = np.zeros((len(some), -(-(1 + self.left.shape[1]) // 8) * 8 if self.kind.bytewise else self.left.shape[1]), self.kind.token)
         left[:, : self.left.shape[1]] = self.left[some]
-        keys = left.view(">u8").astype(U64) if self.kind.bytewise else left
-        order, _ = multikey_order([self.run[some], *keys.T])
+        order, _ = multikey_order(np.column_stack([self.run[some].astype(U64), as_keys(self.kind, left)]))
         sorted_left, run = self.left[some][order], self.run[some][order]
         common = np.where(run[1:] == run[:-1], agree(sorted_left[1:], sorted_left[:-1]), 0)
         return order, np.maximum(np.r_[0, common], np.r_[common, 0])
@@ -357,8 +380,8 @@ def numbered(kind: Kind, tokens: np.ndarray) -> np.ndarray:
     if kind.bytewise:
         wide = np.zeros((len(tokens), -(-kind.window // 8) * 8), np.uint8)
         wide[:, : kind.window] = tokens
-        tokens = wide.view(">u8").astype(U64)
-    order, same = multikey_order(list(np.ascontiguousarray(tokens.T)))
+        tokens = as_keys(kind, wide)
+    order, same = multikey_order(tokens)
     number = np.zeros(len(tokens), np.int64)
     number[order] = np.cumsum(~same) - 1
     return number
@@ -409,21 +432,14 @@ def edge_windows(c: Contexts, borders: list[np.ndarray]) -> tuple[np.ndarray, np
     return c.windows(some, far[some], c.n_left[some])
 
 
-def edge_record(kind: Kind) -> list[tuple[str, str]]:
-    return [(f"w{k}", "<u1" if kind.bytewise else "<u8") for k in range(kind.window)] + IDS
-
-
-def in_range(kind: Kind, r: np.ndarray, borders: list[np.ndarray], buckets: int) -> Iterator[tuple[str, int, bytes]]:
+def in_range(kind: Kind, keys: np.ndarray, ids: np.ndarray, borders: list[np.ndarray], buckets: int) -> Iterator[tuple[str, int, bytes]]:
     """Step 2 for one range: packets of spans by document, and of windows for step 3 by their tokens."""
-    r, run, gone = settled(kind, r)
-    right, left = sides(kind, r)
+    keys, ids, run, gone = settled(kind, keys, ids)
+    right, left = sides(kind, keys)
     starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-    value = np.minimum.reduceat(r["doc"], starts) if kind.earlier else gone[starts].astype(np.int64)
-    c = Contexts(kind, r[starts], value)
-    ids = np.zeros(len(r), IDS)
-    for name, _ in IDS:
-        ids[name] = r[name]
-    del r
+    value = np.minimum.reduceat(ids["doc"], starts) if kind.earlier else gone[starts].astype(np.int64)
+    c = Contexts(kind, keys[starts], value)
+    del keys
     s = spans(ids[gone], ids["at"][gone], (right + left)[gone])
     yield from deal(s, by_document(s, buckets), "span")
     # Every copy that is not settled yet has its context's windows.
@@ -435,8 +451,10 @@ def in_range(kind: Kind, r: np.ndarray, borders: list[np.ndarray], buckets: int)
     yield from deal(s, by_document(s, buckets), "span")
     row, before = edge_windows(c, borders)
     for a in range(0, len(row), AT_ONCE):
-        e, tokens = edge_rows(c, placed, row[a : a + AT_ONCE], before[a : a + AT_ONCE])
-        yield from deal(e, (hashed(tokens) % U64(buckets)).astype(np.int64), "edge")
+        tokens, own = edge_rows(c, placed, row[a : a + AT_ONCE], before[a : a + AT_ONCE])
+        bucket = (hashed(tokens) % U64(buckets)).astype(np.int64)
+        for k in np.unique(bucket):
+            yield "edge", int(k), pack_rows(tokens[bucket == k], own[bucket == k])
 
 
 def stretches(row: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -480,15 +498,11 @@ def edge_rows(c: Contexts, placed: Copies, row: np.ndarray, before: np.ndarray)
         send = np.unique(number, return_index=True)[1]
         at, which = placed.starts[row[send]], np.arange(len(send))
     send = send[which]
-    e = np.zeros(len(send), edge_record(c.kind))
-    for k in range(c.kind.window):
-        e[f"w{k}"] = tokens[send, k]
-    for name in ("doc", "tie"):
-        e[name] = placed.ids[name][at]
-    e["at"] = placed.ids["at"][at] + placed.left[at] - before[send]
+    own = placed.ids[at]
+    own["at"] += (placed.left[at] - before[send]).astype(np.uint32)
     if not c.kind.earlier:
-        e["many"] = several[number[send]]
-    return e, tokens[send]
+        own["many"] = several[number[send]]
+    return tokens[send], own
 
 
 # The jobs
@@ -498,38 +512,37 @@ def columns_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
 
 
-def context_packets(kind: Kind, docs: DataFrame, splitters: np.ndarray, buckets: int) -> DataFrame:
+def context_packets(kind: Kind, docs: DataFrame, splitters: np.ndarray, buckets: int, share: int) -> DataFrame:
     """Step 1: packets of contexts by range, and of the spans that a batch settles by itself by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        most, size = HELD // np.dtype(kind.record).itemsize, 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        most, size = HELD // (8 * kind.columns), 0
 
         def flush() -> pa.RecordBatch:
-            r, number, gone = settled(kind, np.concatenate(held))
+            keys, ids, number, gone = settled(kind, *gathered(kind, held))
             held.clear()
             keep = ~gone
             if not kind.earlier:  # one of several equals stays, marked
                 first = np.r_[True, number[1:] != number[:-1]]
-                r["many"] |= (gone & first).astype(np.uint8)
+                ids["many"] |= (gone & first).astype(np.uint8)
                 keep |= first
-            right, left = sides(kind, r)
-            s = spans(r[gone], r["at"][gone], (right + left)[gone])
-            r = r[keep]
-            columns = [np.ascontiguousarray(r[k]) for k in kind.keys]
-            cuts = [0, *(lower_bound(columns, x) for x in splitters), len(r)]
-            rows = [("context", k, pack(r[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+            right, left = sides(kind, keys)
+            s = spans(ids[gone], ids["at"][gone], (right + left)[gone])
+            keys, ids = keys[keep], ids[keep]
+            cuts = [0, *lower_bounds(keys, splitters), len(ids)]
+            rows = [("context", k, pack_rows(as_rows(kind, keys[a:b]), ids[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
             return packets([*rows, *deal(s, by_document(s, buckets), "span")])
 
         for batch in batches:
-            ids, ties = columns_of(batch)
-            for r in records(kind, ids, ties, (kind.tokens(x.as_py()) for x in batch.column(2))):
-                held.append(r)
-                size += len(r)
+            doc, ties = columns_of(batch)
+            for part in records(kind, doc, ties, (kind.tokens(x.as_py()) for x in batch.column(2)), share):
+                held.append(part)
+                size += len(part[1])
                 if size >= most:
                     yield flush()
                     size = 0
-        if held:
+        if size:
             yield flush()
         pa.default_memory_pool().release_unused()
 
@@ -540,7 +553,7 @@ def range_packets(kind: Kind, dealt: DataFrame, splitters: np.ndarray, inside: n
     """Step 2: each range's spans and edge windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[np.ndarray] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         number = -1
         for batch in batches:
             for name, bucket, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -548,39 +561,36 @@ def range_packets(kind: Kind, dealt: DataFrame, splitters: np.ndarray, inside: n
                     yield packets([(name, bucket, data)])
                 else:
                     number = bucket
-                    found.append(unpack(data, kind.record))
+                    rows, ids = unpack_rows(data, kind.bytewise)
+                    found.append((as_keys(kind, rows), ids))
         if found:
-            borders = [row_of(kind, splitters[k]) for k in (number - 1, number) if 0 <= k < len(splitters) and inside[k]]
-            r = np.concatenate(found)
+            borders = [as_rows(kind, splitters[k]) for k in (number - 1, number) if 0 <= k < len(splitters) and inside[k]]
+            keys, ids = gathered(kind, found)
             found.clear()
-            for packet in in_range(kind, r, borders, buckets):
+            for packet in in_range(kind, keys, ids, borders, buckets):
                 yield packets([packet])
         pa.default_memory_pool().release_unused()
 
     return dealt.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(run, PACKETS)
 
 
-def row_of(kind: Kind, columns: np.ndarray) -> np.ndarray:
-    return columns.astype(">u8").view(np.uint8) if kind.bytewise else columns
-
-
 def edge_spans(kind: Kind, rows: DataFrame, buckets: int) -> DataFrame:
     """Step 3: windows of cut runs, compared across ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [unpack(x, edge_record(kind)) for b in batches for x in b.column(1).to_pylist()]
+        found = [unpack_rows(x, kind.bytewise) for b in batches for x in b.column(1).to_pylist()]
         if not found:
             return
-        e = np.concatenate(found)
+        tokens, ids = (np.concatenate(x) for x in zip(*found, strict=True))
         found.clear()
-        number = numbered(kind, np.stack([e[f"w{k}"] for k in range(kind.window)], axis=1))
+        number = numbered(kind, tokens)
         if kind.earlier:
             least = np.full(number.max() + 1, LAST)
-            np.minimum.at(least, number, e["doc"])
-            again = e["doc"] > least[number]
+            np.minimum.at(least, number, ids["doc"])
+            again = ids["doc"] > least[number]
         else:
-            again = (np.bincount(number, weights=1.0 + e["many"]) > 1)[number]
-        s = spans(e[again], e["at"][again], kind.window)
+            again = (np.bincount(number, weights=1.0 + ids["many"]) > 1)[number]
+        s = spans(ids[again], ids["at"][again], kind.window)
         for packet in deal(s, by_document(s, buckets), "span"):
             yield packets([packet])
 
@@ -617,34 +627,37 @@ def sampled_splitters(kind: Kind, docs: DataFrame, count: int, buckets: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ties = columns_of(batch)
-            r = np.concatenate([np.zeros(0, kind.record), *records(kind, ids, ties, (kind.tokens(x.as_py()[:65536]) for x in batch.column(2)))])
-            r = r[:: len(r) // (each * max(len(ids), 1)) + 1]
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in np.stack([r[k] for k in kind.keys], axis=1)], pa.binary())], ["row"])
+            doc, ties = columns_of(batch)
+            keys, _ = gathered(kind, records(kind, doc, ties, (kind.tokens(x.as_py()[:65536]) for x in batch.column(2))))
+            keys = keys[:: len(keys) // (each * max(len(doc), 1)) + 1]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in keys], pa.binary())], ["row"])
 
     share, each = max(1, count // SAMPLED_DOCS), PER_BORDER * buckets // SAMPLED_DOCS + 1
     found = docs.filter(F.pmod(F.xxhash64("doc"), F.lit(share)) == 0).mapInArrow(run, "row binary").distinct().toArrow().column(0).to_pylist()
-    rows = np.frombuffer(b"".join(found), U64).reshape(-1, kind.columns)
-    if not len(rows):
+    keys = np.frombuffer(b"".join(found), U64).reshape(-1, kind.columns)
+    if not len(keys):
         return np.zeros((buckets - 1, kind.columns), U64), np.zeros(buckets - 1, bool)
-    order, _ = multikey_order(list(np.ascontiguousarray(rows.T)))
-    cut = rows[order][(np.arange(1, buckets) * len(rows) / buckets).astype(int)]
-    whole = np.stack([row_of(kind, x) for x in cut])
-    inside = np.r_[False, (whole[1:, : kind.gram] == whole[:-1, : kind.gram]).all(axis=1)]
+    whole = as_rows(kind, keys[multikey_order(keys)[0]][(np.arange(1, buckets) * len(keys) / buckets).astype(int)])
+    inside = np.r_[False, (whole[1:, : kind.gram] == whole[:-1, : kind.gram]).all(axis=1)][: len(whole)]
     whole[~inside, kind.gram :] = 0  # back to the start of its run
-    return (whole.view(">u8").astype(U64) if kind.bytewise else whole), inside
+    return as_keys(kind, whole), inside
 
 
 def repeated_spans(kind: Kind, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents as (doc_id, doc, tie, text), and (doc, tie, list binary of SPAN): the tokens of each document that
     repeated windows cover; documents without any have no row there. Rows with one doc_id and one text share their spans;
     each of them counts as a place of its own."""
-    docs = texts(documents).select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), tie().bitwiseAND(F.lit((1 << 32) - 1)).alias("tie"), "text")
+    docs = texts(documents).select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text")
+    count, size, ids = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_distinct("doc")).first()
+    # Where every row has its own doc_id, nothing else is needed to tell rows apart.
+    docs = docs.withColumn("tie", F.lit(0).cast("long") if ids == count else tie().bitwiseAND(F.lit((1 << 32) - 1)))
     read = docs.select("doc", "tie", "text")
-    count, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES + 1)
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (RANGE_BYTES * PASSES) + 1)
     splitters, inside = sampled_splitters(kind, read, count, buckets)
-    first = written(range_packets(kind, context_packets(kind, read, splitters, buckets), splitters, inside, buckets), "ranges")
-    # Written, so that no stage runs two Python maps, each with a worker of its own, at once.
-    second = written(edge_spans(kind, first, buckets), "edges")
-    return docs, per_document(first.filter("kind = 'span'").unionByName(second), buckets)
+    found = []
+    for share in range(PASSES):
+        dealt = context_packets(kind, read, splitters, buckets, share)
+        first = written(range_packets(kind, dealt, splitters, inside, buckets), "ranges")
+        # Written, so that no stage runs two Python maps, each with a worker of its own, at once.
+        found += [first.filter("kind = 'span'"), written(edge_spans(kind, first, buckets), "edges")]
+    return docs, per_document(functools.reduce(DataFrame.unionByName, found), buckets)
