@@ -1,13 +1,15 @@
 """Personal data: fixed base patterns, and a semi-Markov conditional random field that adds spans.
 
-The field scores whole candidate segments (their shape, length, digits, checksums, and the words around them), and a
-dynamic program over segments of at most ``LONGEST`` tokens jointly picks boundaries and types. Only segments with a digit
-or an at-sign can be entities, so the program runs over the tokens near these and everything else is outside by
-definition. It is trained once on the driver by the likelihood's gradient, over a fixed number of generated lines, and its
-few thousand weights go to the tasks in the closure. ``train`` takes any other annotated lines.
+The field scores whole candidate segments (their shape, length, digits, checksums, and the words around them) and which type
+follows which, and a dynamic program over segments of at most ``LONGEST`` tokens jointly picks boundaries and types. Segments
+with a digit or an at-sign can be entities, and so can those without, where a word such as "password" and a colon or equals
+sign stand before; the program runs over the tokens near these, and text far from all of them is outside. The field is
+trained once on the driver by the likelihood's gradient, over a fixed number of generated lines, and its few thousand
+weights go to the tasks in the closure. ``train`` takes any other annotated lines.
 
 Base spans always stay; a segment of the field counts where it overlaps none of them. Null and empty texts have no spans.
-Base patterns are matched in time linear in the text, however long its runs are. Offsets are code points, ends exclusive.
+Base patterns are matched in time linear in the text, however long its runs are. Offsets are code points, ends exclusive;
+bytes that are no UTF-8 count as one character each run that a decoder replaces, and redaction leaves them as they are.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from pyspark.sql import DataFrame
 
 from .base import small_batches, texts
 
-KINDS = ["email", "ip", "card", "phone", "secret"]
+#: ``id``: account and social security numbers. Only the first four have base patterns.
+KINDS = ["email", "ip", "card", "phone", "secret", "id"]
 BASE = KINDS[:4]
 LONGEST, NEAR = 12, 4
 Span = tuple[str, int, int]
@@ -35,7 +38,10 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TRIGGER = re.compile("[0-9@]")
+#: Words before a secret.
+HINTS = frozenset(["token", "key", "secret", "password", "passwd", "pwd", "bearer", "apikey", "auth", "credential"])
+_HOT = re.compile("[0-9@]")
+_TRIGGER = re.compile("[0-9@]|(?<![^\\W_])(?i:" + "|".join(sorted(HINTS)) + ")(?![^\\W_])")
 _TOKEN = re.compile(r"[^\W_]+|\S")
 
 
@@ -123,18 +129,30 @@ def shape(text: str) -> str:
 def candidates(text: str, tokens: list[tuple[int, int]]) -> Iterator[tuple[int, int, list[str]]]:
     """(first token, last token, features) of every segment that may be an entity."""
     words = [text[a:b] for a, b in tokens]
-    hot = [bool(_TRIGGER.search(w)) for w in words]
+    hot = [bool(_HOT.search(w)) for w in words]
     solid = [w[0].isalnum() for w in words]
     for i in range(len(tokens)):
         if not (solid[i] or words[i] in "+("):
             continue
+        before = words[max(0, i - 4) : i]
+        asked = any(w.lower() in HINTS for w in before) and ("=" in before or ":" in before)
         warm = False
         for j in range(i, min(i + LONGEST, len(tokens))):
-            if j > i and tokens[j][0] - tokens[j - 1][1] > 1:
+            gap = tokens[j][0] - tokens[j - 1][1] if j > i else 0
+            if gap > 1:
                 break
+            asked = asked and not gap
             warm = warm or hot[j]
-            if warm and solid[j]:
-                yield i, j, segment_features(text[tokens[i][0] : tokens[j][1]], words[max(0, i - 3) : i], words[j + 1 : j + 2], tokens, i, j)
+            if (warm or asked) and solid[j]:
+                yield i, j, segment_features(text[tokens[i][0] : tokens[j][1]], before, words[j + 1 : j + 2], tokens, i, j)
+
+
+def iban(s: str) -> bool:
+    """Whether an account number's check digits are right."""
+    s = s.replace(" ", "").upper()
+    if not (15 <= len(s) <= 34 and s.isascii() and s.isalnum() and s[:2].isalpha() and s[2:4].isdigit()):
+        return False
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
 def segment_features(s: str, before: list[str], after: list[str], tokens: list[tuple[int, int]], i: int, j: int) -> list[str]:
@@ -142,6 +160,9 @@ def segment_features(s: str, before: list[str], after: list[str], tokens: list[t
     plain = s.isalnum()
     hexadecimal = plain and all(c in "0123456789abcdefABCDEF" for c in s)
     apart = i == 0 or tokens[i - 1][1] < tokens[i][0]
+    hint = "yes" if any(w.lower() in HINTS for w in before) else "no"
+    given = "=" in before or ":" in before
+    mixed_case = s.lower() != s and s.upper() != s and not s.istitle()
     return [
         "shape=" + shape(s)[:24],
         f"digits={min(len(digits), 20)}",
@@ -151,85 +172,117 @@ def segment_features(s: str, before: list[str], after: list[str], tokens: list[t
         f"card={plain and 16 <= len(digits) <= 19 and len(digits) == len(s) and luhn(digits)}",
         f"ip={s.count('.') == 3 and all(x.isascii() and x.isdigit() and small(x) for x in s.split('.'))}",
         f"hex={hexadecimal and len(digits) < len(s)}:{min(len(s), 40) // 8}",
+        f"letters={s.isalpha()}:{mixed_case}:{min(len(s), 24) // 4}",
+        f"iban={iban(s)}",
         f"apart={apart}",
         "before=" + "".join(before[-1:]).lower()[:12],
-        "hint=" + ("yes" if any(w.lower() in HINTS for w in before) else "no"),
+        f"hint={hint}:{given}",
         "after=" + ("".join(after) if after and not after[0].isalnum() else "word" if after else "end"),
     ]
 
 
-#: Words before a secret.
-HINTS = frozenset(["token", "key", "secret", "password", "passwd", "pwd", "bearer", "apikey", "auth", "credential"])
-
+#: Weights by (kind, feature), and by ("", "kind>kind") for a type after another; "" is outside.
 Weights = dict[tuple[str, str], float]
+LABELS = ["", *KINDS]
 
 
-def segments(text: str, tokens: list[tuple[int, int]], w: Weights) -> list[list[tuple[int, str, float, list[str]]]]:
-    """For each last token, the entity segments that end there with their types and scores."""
-    out: list[list] = [[] for _ in tokens]
-    for i, j, feats in candidates(text, tokens):
-        for kind in KINDS:
-            out[j].append((i, kind, w.get((kind, "bias"), 0.0) + sum(w.get((kind, f), 0.0) for f in feats), feats))
-    return out
+def score(w: Weights, kind: str, feats: list[str]) -> float:
+    return w.get((kind, "bias"), 0.0) + sum(w.get((kind, f), 0.0) for f in feats)
+
+
+def moves(w: Weights) -> list[list[float]]:
+    """What each label (a row) adds before each other."""
+    return [[w.get(("", f"{a}>{b}"), 0.0) for b in LABELS] for a in LABELS]
 
 
 def decode(text: str, tokens: list[tuple[int, int]], w: Weights) -> list[Span]:
-    """The best segmentation's entities; a token outside scores 0. Segments come by their first token, where the best
-    score of what lies before is final, so nothing is kept of them but the best end."""
-    n = len(tokens)
-    best, back = [0.0] + [-math.inf] * n, [(0, "")] * (n + 1)
-    at = 0
-
-    def close(upto: int) -> None:
-        nonlocal at
+    """The best segmentation's entities. Segments come by their first token, where the best scores of what lies before are
+    final, so nothing is kept of them but each end's best of every label."""
+    n, m, move = len(tokens), len(LABELS), moves(w)
+    best = [[-math.inf] * m for _ in range(n + 1)]
+    back: list[list[tuple[int, int]]] = [[(0, 0)] * m for _ in range(n + 1)]
+    best[0][0] = 0.0
+    enter: list[tuple[float, int]] = []
+    at = -1
+
+    def reach(upto: int) -> None:
+        """Make ``upto`` the first token: close those before it as outside, and find what each label has before it."""
+        nonlocal at, enter
         while at < upto:
-            if best[at] >= best[at + 1]:
-                best[at + 1], back[at + 1] = best[at], (at, "")
             at += 1
+            enter = [max((best[at][a] + move[a][b], a) for a in range(m)) for b in range(m)]
+            if at < n and enter[0][0] > best[at + 1][0]:
+                best[at + 1][0], back[at + 1][0] = enter[0][0], (at, enter[0][1])
 
     for i, j, feats in candidates(text, tokens):
-        close(i)
-        for kind in KINDS:
-            score = best[i] + w.get((kind, "bias"), 0.0) + sum(w.get((kind, f), 0.0) for f in feats)
-            if score > best[j + 1]:
-                best[j + 1], back[j + 1] = score, (i, kind)
-    close(n)
-    found, j = [], n
+        reach(i)
+        for k, kind in enumerate(KINDS, 1):
+            s = enter[k][0] + score(w, kind, feats)
+            if s > best[j + 1][k]:
+                best[j + 1][k], back[j + 1][k] = s, (i, enter[k][1])
+    reach(n)
+    found, j, k = [], n, max(range(m), key=lambda k: best[n][k])
     while j:
-        i, kind = back[j]
-        if kind:
-            found.append((kind, tokens[i][0], tokens[j - 1][1]))
-        j = i
+        i, before = back[j][k]
+        if k:
+            found.append((LABELS[k], tokens[i][0], tokens[j - 1][1]))
+        j, k = i, before
     return found[::-1]
 
 
-def _log_add(a: float, b: float) -> float:
-    return max(a, b) + math.log1p(math.exp(-abs(a - b)))
+def _log_sum(xs: list[float]) -> float:
+    top = max(xs)
+    return top if top == -math.inf else top + math.log(sum(math.exp(x - top) for x in xs))
 
 
 def gradient(text: str, tokens: list[tuple[int, int]], gold: set[Span], w: Weights, step: float) -> None:
-    """One likelihood step: gold segments' features up, expected segments' features down."""
-    ending, n = segments(text, tokens, w), len(tokens)
-    ahead, behind = [0.0] * (n + 1), [0.0] * (n + 1)
-    for j in range(n):
-        ahead[j + 1] = ahead[j]
-        for i, _, s, _ in ending[j]:
-            ahead[j + 1] = _log_add(ahead[j + 1], ahead[i] + s)
-    starting = defaultdict(list)
-    for j in range(n):
-        for i, _, s, _ in ending[j]:
-            starting[i].append((j, s))
+    """One likelihood step: what the annotated segmentation has goes up, what is expected of all goes down."""
+    n, m, move = len(tokens), len(LABELS), moves(w)
+    parts = [[(i, i, 0, 0.0, [])] for i in range(n)]  # by first token: last token, label, score, features
+    for i, j, feats in candidates(text, tokens):
+        parts[i] += ((i, j, k, score(w, kind, feats), feats) for k, kind in enumerate(KINDS, 1))
+    into: list[list[list[float]]] = [[[] for _ in range(m)] for _ in range(n + 1)]
+    into[0][0].append(0.0)
+    enter = []
+    ahead = []
+    for i in range(n + 1):
+        ahead.append([_log_sum(x) if x else -math.inf for x in into[i]])
+        enter.append([_log_sum([ahead[i][a] + move[a][b] for a in range(m)]) for b in range(m)])
+        for _, j, k, s, _ in parts[i] if i < n else ():
+            into[j + 1][k].append(enter[i][k] + s)
+    total = _log_sum(ahead[n])
+    behind = [[-math.inf] * m for _ in range(n)] + [[0.0] * m]
+    change: Weights = defaultdict(float)
     for i in range(n - 1, -1, -1):
-        behind[i] = behind[i + 1]
-        for j, s in starting[i]:
-            behind[i] = _log_add(behind[i], s + behind[j + 1])
-    for j in range(n):
-        for i, kind, s, feats in ending[j]:
-            expected = math.exp(min(0.0, ahead[i] + s + behind[j + 1] - ahead[n]))
-            change = step * (((kind, tokens[i][0], tokens[j][1]) in gold) - expected)
-            if abs(change) > 1e-5:
-                for f in ("bias", *feats):
-                    w[kind, f] = w.get((kind, f), 0.0) + change
+        out: list[list[float]] = [[] for _ in range(m)]
+        for _, j, k, s, feats in parts[i]:
+            out[k].append(s + behind[j + 1][k])
+            if k:
+                right = (LABELS[k], tokens[i][0], tokens[j][1]) in gold
+                gap = right - math.exp(min(0.0, enter[i][k] + s + behind[j + 1][k] - total))
+                if abs(gap) > 1e-5:
+                    for f in ("bias", *feats):
+                        change[LABELS[k], f] += gap
+        leave = [_log_sum(x) if x else -math.inf for x in out]
+        behind[i] = [_log_sum([move[a][b] + leave[b] for b in range(m)]) for a in range(m)]
+        for a in range(m):
+            for b in range(m):
+                expected = math.exp(min(0.0, ahead[i][a] + move[a][b] + leave[b] - total))
+                if expected > 1e-5:
+                    change["", f"{LABELS[a]}>{LABELS[b]}"] -= expected
+    by_start = {(a, k): b for k, a, b in gold}
+    at, before = 0, ""
+    while at < n:
+        found = next(((k, by_start[tokens[at][0], k]) for k in KINDS if (tokens[at][0], k) in by_start), None)
+        label = found[0] if found else ""
+        change["", f"{before}>{label}"] += 1
+        end = found[1] if found else tokens[at][1]
+        at += 1
+        while at < n and tokens[at][1] <= end:
+            at += 1
+        before = label
+    for key, x in change.items():
+        w[key] = w.get(key, 0.0) + step * x
 
 
 def examples(count: int, seed: int = 11) -> Iterator[tuple[str, set[Span]]]:
@@ -237,28 +290,39 @@ def examples(count: int, seed: int = 11) -> Iterator[tuple[str, set[Span]]]:
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdefghilmnorstuvé") for _ in range(r.randint(1, 9)))
     number = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
     def card() -> str:
         body = r.choice("3456") + number(r.randint(14, 17))
         return next(body + d for d in "0123456789" if luhn(body + d))
 
+    def account() -> str:
+        country, body = r.choice(letters[26:]) + r.choice(letters[26:]), number(r.choice([11, 14, 16, 18]))
+        check = next(f"{c:02}" for c in range(2, 99) if iban(f"{country}{c:02}{body}"))
+        whole = country + check + body
+        return r.choice([whole, " ".join(whole[i : i + 4] for i in range(0, len(whole), 4))])
+
+    def secret() -> str:
+        return r.choice(["".join(r.choice("0123456789abcdef") for _ in range(r.choice([32, 40, 40, 64]))), "".join(r.choice(letters) for _ in range(r.randint(10, 24))), "".join(r.choice(letters + "0123456789") for _ in range(r.randint(12, 40)))])
+
     makers = {
         "email": lambda: f"{word().replace('é', 'e')}.{number(2)}@{word().replace('é', 'e')}{r.choice(['', number(1)])}.{r.choice(['example.com', 'org', 'net'])}",
         "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)),
         "card": card,
-        "phone": lambda: r.choice([f"+1 ({number(3)}) {number(3)}-{number(4)}", f"+{number(2)} {number(3)} {number(3)} {number(4)}", f"({number(3)}) {number(3)}-{number(4)}"]),
-        "secret": lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.choice([32, 40, 40, 64]))),
-        "": lambda: r.choice([number(r.randint(1, 8)), f"version {r.randint(1, 9)}.{r.randint(0, 20)}", f"{r.randint(1, 9)}.{r.randint(0, 9)}.{r.randint(0, 9)}", f"{r.randint(1900, 2030)}-{number(2)}-{number(2)}", f"{word()}{number(2)}", f"{number(2)}:{number(2)}", f"{number(3)},{number(3)}", number(16)[:15] + word(), f"{number(1)},{number(3)},{number(3)}", "@" + word()]),
+        "phone": lambda: r.choice([f"+1 ({number(3)}) {number(3)}-{number(4)}", f"+{number(2)} {number(3)} {number(3)} {number(4)}", f"({number(3)}) {number(3)}-{number(4)}", f"{number(3)}-{number(3)}-{number(4)}", f"{number(3)}.{number(3)}.{number(4)}"]),
+        "secret": secret,
+        "id": lambda: r.choice([f"{number(3)}-{number(2)}-{number(4)}", account(), account()]),
+        "": lambda: r.choice([number(r.randint(1, 8)), f"version {r.randint(1, 9)}.{r.randint(0, 20)}", f"{r.randint(1, 9)}.{r.randint(0, 9)}.{r.randint(0, 9)}", f"{r.randint(1900, 2030)}-{number(2)}-{number(2)}", f"{word()}{number(2)}", f"{number(2)}:{number(2)}", f"{number(3)},{number(3)}", number(16)[:15] + word(), f"{number(1)},{number(3)},{number(3)}", "@" + word(), f"the {r.choice(sorted(HINTS))} {word()}", f"{r.choice(sorted(HINTS))}: {word()[:6]} {word()}"]),
     }
     for _ in range(count):
         text, gold = "", set()
         for _ in range(r.randint(1, 3)):
             text += " ".join(word() for _ in range(r.randint(1, 6))) + " "
-            kind = r.choice([*KINDS, "", ""])
+            kind = r.choice([*KINDS, "", "", ""])
             value = makers[kind]()
             wrap = ("", "")
             if kind == "secret":
-                wrap = r.choice([('token = "', '"'), ("api_key: ", ""), ("secret=", ""), ('"password": "', '"')])
+                wrap = r.choice([('token = "', '"'), ("api_key: ", ""), ("secret=", ""), ('"password": "', '"'), ("password: ", "")])
             elif r.random() < 0.2:
                 wrap = r.choice([("(", ")"), ('"', '"'), ("", "###"), ("", ".")])
             text += wrap[0]
@@ -280,7 +344,7 @@ def train(lines: Iterator[tuple[str, set[Span]]], epochs: int = 4) -> Weights:
 _MODEL: list[Weights] = []
 
 
-def model(lines: int = 300) -> Weights:
+def model(lines: int = 500) -> Weights:
     """The default weights, trained once in a process."""
     if not _MODEL:
         _MODEL.append(train(examples(lines)))
@@ -313,7 +377,7 @@ def joined(spans: list[Span]) -> str:
 
 
 def found(docs: DataFrame, w: Weights | None = None) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every document."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans) of every document."""
     weights = w or model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,11 +385,12 @@ def found(docs: DataFrame, w: Weights | None = None) -> DataFrame:
             out = []
             for data in batch.column(1):
                 base, every = all_spans(data.as_py().decode("utf-8", "replace"), weights)
-                out.append((*(sum(s[0] == k for s in base) for k in BASE), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every)))
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True))], ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
+                out.append((*(sum(s[0] == k for s in base) for k in BASE), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(every)))
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+            columns = zip(*out, strict=True) if out else [[] for _ in kinds]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_spans"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return texts(docs).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def redacted(docs: DataFrame, w: Weights | None = None) -> DataFrame:
@@ -347,9 +412,10 @@ def redacted(docs: DataFrame, w: Weights | None = None) -> DataFrame:
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
                 batch = whole.slice(k, 512)
-                columns = batch.columns
-                text = [None if x is None else clean(x) for x in columns[at].to_pylist()]
-                columns[at] = pa.array(text, columns[at].type)
+                columns, kind = batch.columns, batch.column(at).type
+                # As bytes, since a string column may hold what is no UTF-8.
+                text = [None if x is None else clean(x.decode("utf-8", "surrogateescape")) for x in columns[at].cast(pa.binary()).to_pylist()]
+                columns[at] = pa.array([None if t is None else t.encode("utf-8", "surrogateescape") for t in text], pa.binary()).cast(pa.large_binary() if pa.types.is_large_string(kind) else pa.binary()).view(kind)
                 if size is not None:
                     kept = columns[size].to_pylist()
                     columns[size] = pa.array([n if t is None else len(t) for t, n in zip(text, kept, strict=True)], columns[size].type)
