@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import intent, names, safety
+from .functions import intent, names, safety, web
 from .operators import duplicates, live, maintenance, model, search
+from .operators.published import catalog as published
 from .plans import uri
 from .sources import catalog as src
 from .sources import files
@@ -70,15 +71,17 @@ attributes AS (SELECT 'C' AS volume, 1000000 + doc_id AS file_id, n_chars AS siz
   UNION ALL SELECT 'D', 1000000 + p_partkey, p_size::BIGINT * 1000000, 1704067200 + p_partkey * 86400 FROM part)"""
 CONTENTS = f"""
 contents AS (SELECT 'C' AS volume, 1000000 + doc_id AS file_id, {C_NAME} AS name, text FROM documents)"""
-_RUNS = r"list_filter(list_distinct(list_transform(regexp_extract_all(lower(text), '[\p{L}\p{N}_\-]+'), lambda t: CASE WHEN strlen(t) <= 96 THEN t WHEN strlen(t) = length(t) THEN substr(t, 97 * (length(t) // 97) + 1) ELSE '' END)), lambda t: strlen(t) >= 2)"
+#: A run of more than 96 bytes is read letter by letter, and cleared each time that it passes 96.
+_RUN = r"CASE WHEN strlen(t) <= 96 THEN t ELSE list_reduce(string_split(t, ''), lambda a, c: CASE WHEN strlen(a || c) > 96 THEN '' ELSE a || c END, '') END"
+_RUNS = rf"list_filter(list_distinct(list_transform(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_\-]+'), lambda t: {_RUN})), lambda t: strlen(t) >= 2)"
 
 
 def candidates_sql(extensions: list[str]) -> str:
     return f"regexp_matches(lower(name), '[.]({'|'.join(extensions)})$')"
 
 
-def postings_sql(extensions: list[str], most: int) -> str:
-    """A file's tokens in DuckDB; its list_distinct has no order, so ``most`` must be more than any file has."""
+def postings_sql(extensions: list[str]) -> str:
+    """A file's distinct tokens in DuckDB."""
     return f"postings AS (SELECT volume, file_id, unnest({_RUNS}) AS token FROM contents WHERE {candidates_sql(extensions)})"
 
 
@@ -97,6 +100,7 @@ def ranked_sql(q: str, where: str, limit: int, rows: str = "live", extra: str =
 
 
 def view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live view made from the sources."""
     return live.live_view(src.catalog(spark, sf_dir), src.changes(spark, sf_dir))
 
 
@@ -104,6 +108,11 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.postings(src.contents(spark, sf_dir).filter(names.is_text_candidate(F.col("name"))))
 
 
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live view over the published base and overlay, as searches read it."""
+    return published(spark, sf_dir).live()
+
+
 # Scans, changes and the live view
 
 
@@ -146,8 +155,8 @@ def _(spark, sf_dir):
 
 @query("j3_paths", f"WITH RECURSIVE {LIVE}, {PATHS} SELECT volume, file_id, path FROM paths")
 def _(spark, sf_dir):
-    rows = view(spark, sf_dir)
-    return live.with_paths(rows, rows).select("volume", "file_id", "path")
+    found = published(spark, sf_dir)
+    return found.with_paths(found.live()).select("volume", "file_id", "path")
 
 
 @query("j8_overridden", f"WITH {CATALOG}, {CHANGES} SELECT c.volume, c.file_id, l.file_id IS NOT NULL AS changed FROM catalog c LEFT JOIN latest l USING (volume, file_id)")
@@ -162,8 +171,8 @@ def _(spark, sf_dir):
 
 @query("q15_point_lookup", f"WITH RECURSIVE {LIVE}, {PATHS} SELECT volume, file_id, name, path FROM live JOIN paths USING (volume, file_id) WHERE volume = 'C' AND file_id = 1000007")
 def _(spark, sf_dir):
-    rows = view(spark, sf_dir)
-    return live.with_paths(live.by_id(rows, "C", 1_000_007), rows).select("volume", "file_id", "name", "path")
+    found = published(spark, sf_dir)
+    return found.with_paths(live.by_id(found.live("by_id"), "C", 1_000_007)).select("volume", "file_id", "name", "path")
 
 
 # Searches
@@ -171,17 +180,17 @@ def _(spark, sf_dir):
 
 @query("q1_prefix_search", f"WITH {LIVE} SELECT volume, file_id, name, flags, row_number() OVER (ORDER BY nn, volume, file_id)::INT AS rank FROM live WHERE starts_with(nn, 'red') QUALIFY rank <= 50")
 def _(spark, sf_dir):
-    return search.prefix(view(spark, sf_dir), "Red")
+    return search.prefix(stored(spark, sf_dir), "Red")
 
 
 @query("q2_exact_search", f"WITH {LIVE} SELECT volume, file_id, name, flags, row_number() OVER (ORDER BY nn, volume, file_id)::INT AS rank FROM live WHERE nn = 'node.exe' QUALIFY rank <= 50")
 def _(spark, sf_dir):
-    return search.exact(view(spark, sf_dir), "NODE.EXE")
+    return search.exact(stored(spark, sf_dir), "NODE.EXE")
 
 
 @query("q3_ranked_search", f"WITH {LIVE} " + ranked_sql("red", "starts_with(nn, 'red')", 50))
 def _(spark, sf_dir):
-    return search.ranked(view(spark, sf_dir), "red")
+    return search.ranked(stored(spark, sf_dir), "red")
 
 
 _DIST = "least(levenshtein('notpad', nn), levenshtein('notpad', st))"
@@ -193,7 +202,7 @@ _DIST = "least(levenshtein('notpad', nn), levenshtein('notpad', st))"
     SELECT volume, file_id, name, flags, {_DIST}::INT AS distance, {score_sql("notpad")} AS score FROM live WHERE starts_with(nn, 'no') AND {_DIST} <= 2) QUALIFY rank <= 50""",
 )
 def _(spark, sf_dir):
-    return search.fuzzy(view(spark, sf_dir), "notpad")
+    return search.fuzzy(stored(spark, sf_dir), "notpad")
 
 
 _NODE = " OR ".join(f"starts_with(nn, '{a}')" for a in intent.RELATIONS[0][3])
@@ -201,12 +210,12 @@ _NODE = " OR ".join(f"starts_with(nn, '{a}')" for a in intent.RELATIONS[0][3])
 
 @query("q5_related_search", f"WITH {LIVE} " + ranked_sql("node js", _NODE, 100))
 def _(spark, sf_dir):
-    return search.related(view(spark, sf_dir), "node js")
+    return search.related(stored(spark, sf_dir), "node js")
 
 
 @query("q6_filtered_size", f"WITH {LIVE}, {ATTRIBUTES} " + ranked_sql("", "regexp_matches(nn, '[.]md$') AND a.size_bytes >= 501", 50, extra="JOIN (SELECT volume, file_id, size_bytes, modified_unix_secs FROM attributes) a USING (volume, file_id)"))
 def _(spark, sf_dir):
-    return search.filtered(view(spark, sf_dir), src.attributes(spark, sf_dir), "ext:md size:>500")
+    return search.filtered(stored(spark, sf_dir), published(spark, sf_dir).table("attributes"), "ext:md size:>500")
 
 
 @query(
@@ -214,12 +223,12 @@ def _(spark, sf_dir):
     f"WITH RECURSIVE {LIVE}, {PATHS}, {ATTRIBUTES} " + ranked_sql("doc", "starts_with(nn, 'doc') AND contains(lower(path), 'fr') AND a.modified_unix_secs >= 1704844800", 50, extra="JOIN paths USING (volume, file_id) JOIN (SELECT volume, file_id, modified_unix_secs FROM attributes) a USING (volume, file_id)"),
 )
 def _(spark, sf_dir):
-    return search.filtered(view(spark, sf_dir), src.attributes(spark, sf_dir), "doc path:fr date:>=2024-01-10")
+    return search.filtered(stored(spark, sf_dir), published(spark, sf_dir).table("attributes"), "doc path:fr date:>=2024-01-10", directories=published(spark, sf_dir).table("directories"))
 
 
 @query("q6_filtered_type", f"WITH {LIVE} " + ranked_sql("", "flags & 1 <> 0", 50))
 def _(spark, sf_dir):
-    return search.filtered(view(spark, sf_dir), src.attributes(spark, sf_dir), "type:dir")
+    return search.filtered(stored(spark, sf_dir), published(spark, sf_dir).table("attributes"), "type:dir")
 
 
 _APP = " OR ".join(f"nn = '{a}' OR contains(lower(path), '{a}')" for a in intent.RELATIONS[0][3])
@@ -227,18 +236,18 @@ _APP = " OR ".join(f"nn = '{a}' OR contains(lower(path), '{a}')" for a in intent
 
 @query("q6_filtered_app", f"WITH RECURSIVE {LIVE}, {PATHS} " + ranked_sql("", f"contains(lower(path), 'node') OR contains(nn, 'node') OR {_APP}", 50, extra="JOIN paths USING (volume, file_id)"))
 def _(spark, sf_dir):
-    return search.filtered(view(spark, sf_dir), src.attributes(spark, sf_dir), "app:node")
+    return search.filtered(stored(spark, sf_dir), published(spark, sf_dir).table("attributes"), "app:node", directories=published(spark, sf_dir).table("directories"))
 
 
-_CONTENT = f"WITH {LIVE}, {CONTENTS}, " + postings_sql(names.TEXT_EXTENSIONS, 4096)
+_CONTENT = f"WITH {LIVE}, {CONTENTS}, " + postings_sql(names.TEXT_EXTENSIONS)
 
 
-@query("s13_postings", f"WITH {CONTENTS}, {postings_sql(names.TEXT_EXTENSIONS, 4096)} SELECT volume, file_id, token FROM postings WHERE file_id NOT IN (SELECT file_id FROM postings GROUP BY file_id HAVING count(*) > 4096)")
+@query("s13_postings", f"WITH {CONTENTS}, {postings_sql(names.TEXT_EXTENSIONS)} SELECT volume, file_id, token FROM postings")
 def _(spark, sf_dir):
     return index(spark, sf_dir)
 
 
-@query("s14_rich_token_counts", f"WITH {CONTENTS} SELECT volume, file_id, least(len({_RUNS}), 8192)::BIGINT AS tokens FROM contents WHERE {candidates_sql(names.TEXT_EXTENSIONS + names.RICH_EXTENSIONS)} AND len({_RUNS}) > 0")
+@query("s14_rich_token_counts", f"WITH {CONTENTS} SELECT volume, file_id, len({_RUNS})::BIGINT AS tokens FROM contents WHERE {candidates_sql(names.TEXT_EXTENSIONS + names.RICH_EXTENSIONS)} AND len({_RUNS}) > 0")
 def _(spark, sf_dir):
     files = src.contents(spark, sf_dir).filter(names.is_rich_candidate(F.col("name")))
     return search.postings(files).groupBy("volume", "file_id").agg(F.count("*").alias("tokens"))
@@ -249,7 +258,7 @@ _HITS = "(volume, file_id) IN (SELECT (volume, file_id) FROM postings WHERE toke
 
 @query("q7_content_search", _CONTENT + ranked_sql("of the", _HITS, 100))
 def _(spark, sf_dir):
-    return search.content(view(spark, sf_dir), index(spark, sf_dir), "of the")
+    return search.content(stored(spark, sf_dir), published(spark, sf_dir).table("postings"), "of the")
 
 
 @query(
@@ -259,27 +268,7 @@ def _(spark, sf_dir):
     SELECT *, row_number() OVER (ORDER BY score DESC, strlen(name), volume, file_id)::INT AS rank FROM o QUALIFY rank <= 20""",
 )
 def _(spark, sf_dir):
-    return search.ranked_by_volume(view(spark, sf_dir), "r", 20, 2)
-
-
-@query("q9_smart_content", _CONTENT + ranked_sql("of", _HITS.replace("('the', 'of')", "('of')").replace("= 2", "= 1"), 50))
-def _(spark, sf_dir):
-    return search.smart(view(spark, sf_dir), index(spark, sf_dir), "find files containing of")
-
-
-@query("q9_smart_related", f"WITH {LIVE} " + ranked_sql("node.js", _NODE, 50))
-def _(spark, sf_dir):
-    return search.smart(view(spark, sf_dir), index(spark, sf_dir), "everything related to node js")
-
-
-@query("q9_smart_exact", f"WITH {LIVE} " + ranked_sql("package.json", "starts_with(nn, 'package.json')", 50))
-def _(spark, sf_dir):
-    return search.smart(view(spark, sf_dir), index(spark, sf_dir), "find package.json")
-
-
-@query("q11_mode_folders", f"WITH RECURSIVE {LIVE}, {PATHS} " + ranked_sql("src", "starts_with(nn, 'src') AND flags & 1 <> 0 AND (lower(path) = 'c:' || chr(92) || 'en' OR starts_with(lower(path), 'c:' || chr(92) || 'en' || chr(92)))", 80, extra="JOIN paths USING (volume, file_id)"))
-def _(spark, sf_dir):
-    return search.by_mode(view(spark, sf_dir), index(spark, sf_dir), src.attributes(spark, sf_dir), "Folders", "src", "C:/EN")
+    return search.ranked_by_volume(stored(spark, sf_dir), "r", 20, 2)
 
 
 @query(
@@ -287,7 +276,7 @@ def _(spark, sf_dir):
     f"""WITH {LIVE}, b AS (SELECT * FROM live WHERE starts_with(nn, 'red') QUALIFY row_number() OVER (PARTITION BY volume ORDER BY nn, file_id) <= 160) """ + ranked_sql("red", "true", 20, rows="b"),
 )
 def _(spark, sf_dir):
-    return search.ranked_bounded(view(spark, sf_dir), "red", 20)
+    return search.ranked_bounded(stored(spark, sf_dir), "red", 20)
 
 
 # Duplicates
@@ -298,12 +287,12 @@ def _files(spark, sf_dir):
     return docs.select(F.lit("C").alias("volume"), (F.lit(1_000_000) + F.col("doc_id")).alias("file_id"), F.col("n_chars").alias("size_bytes"), "text")
 
 
-@query("a3_same_size", "SELECT n_chars AS size_bytes, count(*) AS files FROM documents WHERE n_chars >= 1 GROUP BY 1 HAVING count(*) BETWEEN 2 AND 4096")
+@query("a3_same_size", "SELECT n_chars AS size_bytes, count(*) AS files FROM documents WHERE n_chars >= 1 GROUP BY 1 HAVING count(*) >= 2")
 def _(spark, sf_dir):
     return duplicates.same_size(_files(spark, sf_dir), 1)
 
 
-@query("a4_same_size_merged", f"WITH {ATTRIBUTES} SELECT size_bytes, count(*) AS files FROM attributes WHERE size_bytes >= 8 GROUP BY 1 HAVING count(*) BETWEEN 2 AND 4096")
+@query("a4_same_size_merged", f"WITH {ATTRIBUTES} SELECT size_bytes, count(*) AS files FROM attributes WHERE size_bytes >= 8 GROUP BY 1 HAVING count(*) >= 2")
 def _(spark, sf_dir):
     return duplicates.same_size(src.attributes(spark, sf_dir), 8)
 
@@ -314,7 +303,7 @@ def _(spark, sf_dir):
 
 
 _SETS = """SELECT n_chars AS size_bytes, sha256(text) AS sha256, count(*) AS files, 'C:' || (1000000 + min(doc_id)) AS first_file, n_chars * (count(*) - 1) AS reclaimable
-FROM documents WHERE n_chars IN (SELECT n_chars FROM documents WHERE n_chars >= 1 GROUP BY 1 HAVING count(*) BETWEEN 2 AND 4096) GROUP BY n_chars, text HAVING count(*) >= 2"""
+FROM documents WHERE n_chars IN (SELECT n_chars FROM documents WHERE n_chars >= 1 GROUP BY 1 HAVING count(*) >= 2) GROUP BY n_chars, text HAVING count(*) >= 2"""
 
 
 @query("q12_duplicate_sets", _SETS)
@@ -354,24 +343,35 @@ decided AS (SELECT volume, file_id, path, name, class, {_RISK} AS risk,
 
 @query("f11_safety_decisions", f"WITH RECURSIVE {LIVE}, {PATHS}, {DECIDED} SELECT volume, file_id, path, class, risk, action, confidence FROM decided")
 def _(spark, sf_dir):
-    rows = view(spark, sf_dir)
-    return maintenance.decisions(live.with_paths(rows, rows))
+    found = published(spark, sf_dir)
+    return maintenance.decisions(found.with_paths(found.live()))
 
 
 _PATTERN = "CASE " + " ".join(f"WHEN starts_with(lower(name), '{p}') THEN {i}" for i, p in enumerate(maintenance.PATTERNS)) + " END"
-CLEANUP = f"""
-found AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY lower(name), volume, file_id) AS nth FROM (SELECT *, {_PATTERN} AS pattern FROM decided) WHERE pattern IS NOT NULL QUALIFY nth <= 128),
-planned AS (SELECT * FROM found WHERE action <> 'Keep' ORDER BY pattern, nth LIMIT 500)"""
+FOUND = f"found AS (SELECT *, {_PATTERN} AS pattern FROM decided WHERE action <> 'Keep' AND {_PATTERN} IS NOT NULL)"
+CLEANUP = f"""{FOUND},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY lower(name), volume, file_id) AS nth FROM found QUALIFY nth <= 128),
+planned AS (SELECT * FROM ranked ORDER BY pattern, nth LIMIT 500)"""
+#: The whole quarantine plan, its records once carried out, and how a record is named.
+PLAN = f"""WITH RECURSIVE {LIVE}, {PATHS}, {DECIDED}, {FOUND}, {ATTRIBUTES},
+plan AS (SELECT volume, file_id, path, 'Q:' || chr(92) || 'quarantine' || chr(92) || replace(path, ':', '') AS target FROM found WHERE action = 'Quarantine'),
+entries AS (SELECT substr(sha256(volume || ':' || file_id || ':' || path), 1, 40) AS id, volume, file_id, path, target, coalesce(a.size_bytes, 0) AS size_bytes FROM plan LEFT JOIN attributes a USING (volume, file_id))"""
 
 
 @query("q13_cleanup", f"WITH RECURSIVE {LIVE}, {PATHS}, {DECIDED}, {CLEANUP} SELECT volume, file_id, path, class, risk, action, confidence FROM planned")
 def _(spark, sf_dir):
-    return maintenance.cleanup(view(spark, sf_dir))
+    found = published(spark, sf_dir)
+    return maintenance.cleanup(found.live(), directories=found.table("directories"))
+
 
+def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = published(spark, sf_dir)
+    return maintenance.quarantine_plan(maintenance.candidates(found.live(), found.table("directories")))
 
-@query("m11_quarantine_plan", f"WITH RECURSIVE {LIVE}, {PATHS}, {DECIDED}, {CLEANUP} SELECT volume, file_id, path, 'Q:' || chr(92) || 'quarantine' || chr(92) || replace(path, ':', '') AS target FROM planned WHERE action = 'Quarantine'")
+
+@query("m11_quarantine_plan", f"{PLAN} SELECT * FROM plan")
 def _(spark, sf_dir):
-    return maintenance.quarantine_plan(maintenance.candidates(view(spark, sf_dir)))
+    return _plan(spark, sf_dir)
 
 
 # Maintenance
@@ -406,15 +406,26 @@ def _(spark, sf_dir):
     return maintenance.doctor(src.catalog(spark, sf_dir), src.changes(spark, sf_dir), src.attributes(spark, sf_dir))
 
 
-def _generations(spark, sf_dir):
-    position = src.changes(spark, sf_dir).agg(F.max("seq").alias("next_usn"))
-    current = position.select(F.explode(F.array(F.struct(F.lit("C").alias("volume"), F.lit(None).cast("long").alias("journal_id"), F.lit(None).cast("long").alias("next_usn")), F.struct(F.lit("D").alias("volume"), F.lit(7).cast("long").alias("journal_id"), F.col("next_usn")))).alias("g")).select("g.*")
-    marks = current.select("volume", F.explode(F.array(F.lit("attributes"), F.lit("content"))).alias("kind"), "journal_id", (F.col("next_usn") - F.when(F.col("kind") == "content", 1).otherwise(0)).alias("next_usn"))
-    return marks, current
+def _generations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Positions of derived tables: attributes were built at the journal's end, content before its last tenth. Users whose
+    files did not change in it are as fresh as before."""
+    changes = src.changes(spark, sf_dir)
+    end = changes.agg(F.max("seq").alias("end"))
+    at = lambda rows: rows.groupBy(F.col("file_id").cast("string").alias("volume")).agg(F.max("seq").alias("next_usn"))
+    now = at(changes)
+    earlier = at(changes.crossJoin(F.broadcast(end)).filter("seq * 10 <= end * 9"))
+    marks = now.withColumn("kind", F.lit("attributes")).unionByName(now.select("volume").join(earlier, "volume", "left").withColumn("kind", F.lit("content")))
+    journal = F.lit(7).cast("long").alias("journal_id")
+    return marks.select("volume", "kind", journal, "next_usn"), now.select("volume", journal, "next_usn")
 
 
-@query("m8_freshness", "SELECT * FROM (VALUES ('C', 'attributes', true), ('C', 'content', true), ('D', 'attributes', true), ('D', 'content', false)) t(volume, kind, fresh)")
+@query(
+    "m8_freshness",
+    f"""WITH {CHANGES}, n AS (SELECT file_id::VARCHAR AS volume, max(seq) AS now, max(seq) FILTER (seq * 10 <= (SELECT max(seq) FROM changes) * 9) AS old FROM changes GROUP BY file_id)
+    SELECT volume, 'attributes' AS kind, true AS fresh FROM n UNION ALL SELECT volume, 'content', now IS NOT DISTINCT FROM old FROM n""",
+)
 def _(spark, sf_dir):
+    """Freshness of two derived tables for every file's own journal, as if each were a volume."""
     return maintenance.freshness(*_generations(spark, sf_dir))
 
 
@@ -467,8 +478,7 @@ def _intent_sql() -> str:
 
 @query("f14_route", f"SELECT conv_id, turn, {_intent_sql()} AS intent, subject, array_to_string(m, ' ') AS terms FROM (SELECT *, {_SUBJECT} AS subject FROM (SELECT *, {_MEAN} AS m FROM ({_LOG})))")
 def _(spark, sf_dir):
-    q = F.col("q")
-    return _log(spark, sf_dir).select("conv_id", "turn", intent.rule_intent(q).alias("intent"), intent.subject(q).alias("subject"), intent.content_terms(q).alias("terms"))
+    return intent.routes(_log(spark, sf_dir), "q").select("conv_id", "turn", "intent", "subject", "terms")
 
 
 @query("f20_routed", f"SELECT conv_id, turn, len(list_filter(string_split_regex(q, '\\s+'), lambda t: t <> '')) >= 3 OR {' OR '.join(f'''contains(lower(q), '{m}')''' for m in intent.NATURAL)} AS routed FROM ({_LOG})")
@@ -478,8 +488,9 @@ def _(spark, sf_dir):
 
 @query("f18_intent_model")
 def _(spark, sf_dir):
+    """Learned on conversations with an even number, applied to the others."""
     log = _log(spark, sf_dir)
-    return model.classified(log, "q", model.trained_on_rules(log, "q")).drop("q")
+    return model.classified(log.filter("conv_id % 2 = 1"), "q", model.trained_on_rules(log.filter("conv_id % 2 = 0"), "q")).drop("q")
 
 
 @query("f22_lookup_name", r"SELECT page_id, substr(trim(regexp_extract(url, '[^\\/]*$')), 1, 260) AS filename FROM pages")
@@ -493,35 +504,49 @@ _BITS = "((CASE event_type WHEN 'signup' THEN 16 WHEN 'purchase' THEN 2 WHEN 'er
 @query("f24_attribute_flags", f"SELECT event_id, (CASE WHEN {_BITS} & 16 <> 0 THEN 1 ELSE 0 END + CASE WHEN {_BITS} & 2 <> 0 THEN 2 ELSE 0 END + CASE WHEN {_BITS} & 4 <> 0 THEN 4 ELSE 0 END + CASE WHEN {_BITS} & 1024 <> 0 THEN 8 ELSE 0 END)::INT AS flags FROM events")
 def _(spark, sf_dir):
     bits = F.expr("(case event_type when 'signup' then 16 when 'purchase' then 2 when 'error' then 4 when 'click' then 1024 else 0 end) | (cast(user_id % 2 as int) * 16)")
-    flag = lambda bit, value: F.when(bits.bitwiseAND(bit) != 0, value).otherwise(0)
-    return table(spark, sf_dir, "events").select("event_id", (flag(0x10, 1) + flag(0x02, 2) + flag(0x04, 4) + flag(0x400, 8)).alias("flags"))
+    return table(spark, sf_dir, "events").select("event_id", names.flags_of(bits).alias("flags"))
 
 
 @query(
     "f25_visible_text",
-    r"""SELECT page_id, substr(array_to_string(list_transform(list_filter(list_transform(string_split(regexp_replace(html, '<[^>]*(>|$)', chr(1), 'g'), chr(1)),
+    r"""SELECT page_id, array_to_string(list_transform(list_filter(list_transform(string_split(regexp_replace(html, '<[^>]*(>|$)', chr(1), 'g'), chr(1)),
     lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> ''),
-    lambda s: replace(replace(replace(replace(replace(s, '&quot;', '"'), '&apos;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), ' '), 1, 2000000) AS visible FROM pages""",
+    lambda s: replace(replace(replace(replace(replace(s, '&quot;', '"'), '&apos;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), ' ') AS visible FROM pages""",
 )
 def _(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", names.visible_text(F.col("html")).alias("visible"))
 
 
-_SAMPLE = "SELECT event_id, CASE event_type WHEN 'view' THEN 'ForegroundQuery' WHEN 'click' THEN 'MetadataUpdate' ELSE 'BackgroundIndex' END AS work, (value::BIGINT % 80)::INT AS cpu, (user_id % 100)::INT AS memory, event_id % 4000 AS idle, event_id % 7 = 0 AS battery FROM events"
+#: Loads by user and hour: views, events and distinct kinds of them; the busiest hour stands for a processor's load.
+_LOADS = """SELECT user_id, h, n, u.total, 100 * n // u.top AS cpu, least(99, 100 * kinds // 5)::INT AS memory, gap FROM (
+  SELECT user_id, date_trunc('hour', ts) AS h, count(*) AS n, count(DISTINCT event_type) AS kinds, (date_diff('millisecond', date_trunc('hour', ts), min(ts)))::BIGINT AS gap FROM events GROUP BY 1, 2)
+  JOIN (SELECT user_id, max(n) AS top, sum(n)::BIGINT AS total FROM (SELECT user_id, date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1) u USING (user_id)"""
+
 
+def loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, hour, n, total, cpu, memory, gap): each user's events by the hour, in percent of that user's busiest hour and of
+    the kinds of events, and the milliseconds before the hour's first."""
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp"))
+    first = (F.unix_millis(F.min(F.col("ts").cast("timestamp"))) - F.unix_millis(F.col("hour"))).alias("gap")
+    hours = table(spark, sf_dir, "events").select("user_id", hour.alias("hour"), "ts", "event_type").groupBy("user_id", "hour").agg(F.count("*").alias("n"), F.count_distinct("event_type").alias("kinds"), first)
+    users = hours.groupBy("user_id").agg(F.max("n").alias("top"), F.sum("n").alias("total"))
+    return hours.join(users, "user_id").select("user_id", "hour", "n", "total", F.floor(100 * F.col("n") / F.col("top")).cast("int").alias("cpu"), F.least(F.lit(99), F.floor(100 * F.col("kinds") / 5)).cast("int").alias("memory"), "gap")
 
-@query("f28_governor", f"SELECT event_id, CASE WHEN work = 'ForegroundQuery' THEN 'Run' WHEN memory >= 88 OR cpu >= 55 THEN 'Pause' WHEN work <> 'MetadataUpdate' AND (idle < 1500 OR battery) THEN 'Pause' WHEN cpu >= 30 THEN 'Throttle' ELSE 'Run' END AS decision FROM ({_SAMPLE.replace('value::BIGINT', 'floor(value)::BIGINT')})")
+
+@query("f28_governor", f"SELECT user_id, epoch_ms(h) AS hour_ms, CASE WHEN memory >= 88 OR cpu >= 55 THEN 'Pause' WHEN total % 2 = 1 AND gap < 1500 THEN 'Pause' WHEN cpu >= 30 THEN 'Throttle' ELSE 'Run' END AS decision FROM ({_LOADS})")
 def _(spark, sf_dir):
-    work = F.expr("case event_type when 'view' then 'ForegroundQuery' when 'click' then 'MetadataUpdate' else 'BackgroundIndex' end")
-    decision = safety.governor(work, (F.floor("value") % 80).cast("int"), (F.col("user_id") % 100).cast("int"), F.col("event_id") % 4000, F.col("event_id") % 7 == 0)
-    return table(spark, sf_dir, "events").select("event_id", decision.alias("decision"))
+    """What a background job may do in each hour under a user's load; users with an even number of events count as idle."""
+    rows = loads(spark, sf_dir)
+    work = F.when(F.col("total") % 2 == 1, "BackgroundIndex").otherwise("MetadataUpdate")
+    decision = safety.governor(work, F.col("cpu"), F.col("memory"), F.col("gap"), F.lit(False))
+    return rows.select("user_id", F.unix_millis("hour").alias("hour_ms"), decision.alias("decision"))
 
 
-@query("f28_permitted", f"SELECT event_id, CASE WHEN battery THEN 'Run' WHEN idle < 5000 AND cpu % 2 = 0 THEN 'Pause' WHEN memory >= 88 OR cpu >= 55 OR idle < 1500 THEN 'Pause' WHEN cpu >= 30 THEN 'Throttle' ELSE 'Run' END AS decision FROM ({_SAMPLE.replace('value::BIGINT', 'floor(value)::BIGINT')})")
+@query("f28_permitted", f"SELECT user_id, epoch_ms(h) AS hour_ms, CASE WHEN n = 1 THEN 'Run' WHEN total % 2 = 0 AND gap < 5000 THEN 'Pause' WHEN memory >= 88 OR cpu >= 55 OR gap < 1500 THEN 'Pause' WHEN cpu >= 30 THEN 'Throttle' ELSE 'Run' END AS decision FROM ({_LOADS})")
 def _(spark, sf_dir):
-    cpu, battery = (F.floor("value") % 80).cast("int"), F.col("event_id") % 7 == 0
-    decision = safety.permitted(F.when(battery, "Cheap").otherwise("Expensive"), F.when(cpu % 2 == 0, "Hdd").otherwise("Ssd"), cpu, (F.col("user_id") % 100).cast("int"), F.col("event_id") % 4000, F.lit(False))
-    return table(spark, sf_dir, "events").select("event_id", decision.alias("decision"))
+    rows = loads(spark, sf_dir)
+    decision = safety.permitted(F.when(F.col("n") == 1, "Cheap").otherwise("Expensive"), F.when(F.col("total") % 2 == 0, "Hdd").otherwise("Ssd"), F.col("cpu"), F.col("memory"), F.col("gap"), F.lit(False))
+    return rows.select("user_id", F.unix_millis("hour").alias("hour_ms"), decision.alias("decision"))
 
 
 _URI = "'search:?query=' || replace(p_name, ' ', '%20') || '&crumb=location:C%3A%5C' || replace(p_brand, '#', '%23') || '%5C'"
@@ -532,37 +557,67 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", uri.parsed(F.expr(_URI)).alias("u")).select("p_partkey", "u.query", "u.scope")
 
 
-@query("f23_lookup_text", r"SELECT page_id, concat_ws(' ', substr(trim(regexp_extract(url, '[^\\/]*$')), 1, 260), CASE WHEN page_id % 3 > 0 THEN 'publisher' || page_id % 3 END, CASE WHEN page_id % 2 > 0 THEN '2.0' END) AS lookup FROM pages")
+_NAME = r"substr(trim(regexp_extract(url, '[^\\/]*$')), 1, 260)"
+_LOOKUP = f"concat_ws(' ', {_NAME}, CASE WHEN page_id % 3 > 0 THEN 'publisher' || page_id % 3 END, nullif(regexp_extract(url, '://([^/]*)', 1), ''), CASE WHEN page_id % 2 > 0 THEN '2.0' END)"
+
+
+@query("f23_lookup_text", f"SELECT page_id, {_LOOKUP} AS lookup, count(*) OVER (PARTITION BY {_LOOKUP}) AS sharing FROM pages")
 def _(spark, sf_dir):
+    """Texts of lookups, and how many pages share their cache key: as many as share the text."""
     publisher = F.when(F.col("page_id") % 3 > 0, F.concat(F.lit("publisher"), (F.col("page_id") % 3).cast("string")))
-    return table(spark, sf_dir, "pages").select("page_id", F.concat_ws(" ", names.lookup_name(F.col("url")), publisher, F.when(F.col("page_id") % 2 > 0, "2.0")).alias("lookup"))
+    text = web.search_text(F.col("url"), publisher, F.regexp_extract("url", "://([^/]*)", 1), F.when(F.col("page_id") % 2 > 0, "2.0"))
+    rows = table(spark, sf_dir, "pages").select("page_id", text.alias("lookup")).withColumn("key", web.cache_key(F.col("lookup")))
+    return rows.join(rows.groupBy("key").agg(F.count("*").alias("sharing")), "key").drop("key")
 
 
 @query("x2_extracted_text", SQL["f25_visible_text"].replace("AS visible", "AS text"))
 def _(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", F.lit("page.html").alias("name"), F.col("html").cast("binary").alias("content"))
-    return files.extracted(pages, "page_id", "name", "content")
+    """Pages inside office packages, read back from the packages' bytes."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    return files.extracted(files.packaged(pages, "page_id", "html"), "page_id", "name", "content")
+
+
+def web_answers(pages: DataFrame, kind: str) -> DataFrame:
+    """(page_id, answer) as a web search would give pages in JSON: each with its whole text and, after every seventh, one item
+    without a title and one more."""
+    items, link, snippet, _ = web.FORMATS[kind]
+    item = F.struct(F.col("url").alias("title"), F.col("url").alias(link), F.col("html").alias(snippet))
+    bad = F.struct(F.lit(None).cast("string").alias("title"), F.col("url").alias(link), F.col("html").alias(snippet))
+    return pages.select("page_id", F.to_json(F.struct(F.when(F.col("page_id") % 7 == 0, F.array(item, item, bad, item)).otherwise(F.array(item, item, item, item, item, item)).alias(items))).alias("answer"))
 
 
-def web_results(pages: DataFrame) -> DataFrame:
-    """(page_id, title, link, snippet) of the answers a web search would give in JSON, with pages' whole texts."""
-    item = F.struct(F.col("url").alias("title"), F.col("url").alias("link"), F.col("html").alias("snippet"))
-    answers = pages.select("page_id", F.to_json(F.struct(F.array(item).alias("items"))).alias("answer"))
-    parsed = answers.select("page_id", F.from_json("answer", "items array<struct<title:string,link:string,snippet:string>>").alias("a"))
-    return parsed.select("page_id", F.inline(F.slice("a.items", 1, 5))).filter("title is not null and link is not null and snippet is not null")
+def web_results(pages: DataFrame, kind: str = "custom") -> DataFrame:
+    """(page_id, title, link, snippet) of the first five whole items of each answer."""
+    return web_answers(pages, kind).select("page_id", F.inline(web.answers(F.col("answer"), kind)))
 
 
-@query("s19_web_results", "SELECT page_id, url AS link, substr(url, 1, 20) AS title, substr(html, 1, 80) AS snippet FROM pages")
+_RESULTS = "SELECT page_id, url AS link, url AS title, html AS snippet FROM (SELECT *, unnest(range(CASE WHEN page_id % 7 = 0 THEN 2 ELSE 5 END)) FROM pages)"
+
+
+@query("s19_web_results", _RESULTS)
 def _(spark, sf_dir):
-    """Answers are parsed whole; the report shows the start of titles and snippets."""
-    rows = web_results(table(spark, sf_dir, "pages"))
-    return rows.select("page_id", F.substring("title", 1, 20).alias("title"), "link", F.substring("snippet", 1, 80).alias("snippet"))
+    return web_results(table(spark, sf_dir, "pages"))
 
 
-@query("s18_web_cache", "SELECT filename, max(page_id) AS last_page, arg_max(url, page_id) AS url FROM (SELECT page_id, url, substr(trim(regexp_extract(url, '[^\\\\/]*$')), 1, 260) AS filename FROM pages) GROUP BY filename")
+@query("s19_web_results_meta", _RESULTS)
 def _(spark, sf_dir):
-    cache = table(spark, sf_dir, "pages").select("page_id", "url", names.lookup_name(F.col("url")).alias("filename"))
-    return cache.groupBy("filename").agg(F.max("page_id").alias("last_page"), F.max_by("url", "page_id").alias("url"))
+    return web_results(table(spark, sf_dir, "pages"), "meta")
+
+
+_PAGE_NAME = "substr(trim(regexp_extract(url, '[^\\\\/]*$')), 1, 260)"
+
+
+@query("s18_web_cache", f"SELECT max(page_id) AS last_page, arg_max(url, page_id) AS url FROM pages GROUP BY {_PAGE_NAME}")
+def _(spark, sf_dir):
+    cache = web.latest(web.page_cache(spark, sf_dir))
+    return cache.select(F.col("seq").alias("last_page"), F.col("results")[0]["link"].alias("url"))
+
+
+@query("q14_web_lookup", f"SELECT f.doc_id, p.url AS link FROM (SELECT doc_id, {C_NAME} AS name, 'page-' || (doc_id % 50) AS target FROM documents) f LEFT JOIN (SELECT {_PAGE_NAME} AS target, arg_max(url, page_id) AS url FROM pages GROUP BY 1) p USING (target)")
+def _(spark, sf_dir):
+    """What the cache of answers has for each document's page; nothing is asked of a network."""
+    asked = table(spark, sf_dir, "documents").select("doc_id", web.cache_key(web.search_text(F.concat(F.lit("C:\\pages\\page-"), (F.col("doc_id") % 50).cast("string")))).alias("key"))
+    return asked.join(web.latest(web.page_cache(spark, sf_dir)), "key", "left").select("doc_id", F.col("results")[0]["link"].alias("link"))
 
 
 # Streaming
@@ -571,21 +626,26 @@ def _(spark, sf_dir):
 @query("t1_journal_stream", f"WITH {CHANGES} SELECT * FROM latest")
 def _(spark, sf_dir):
     """The journal read as a stream until all of it is in; its state equals the batch's."""
-    home = f"{shared_dir(spark)}/stream-{next(tempfile._get_candidate_names())}"
+    home = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     rows = stream.journal_stream(spark, f"{path}*", schema)
-    stream.ingest(rows, f"{home}/changes", f"{home}/checkpoint").awaitTermination()
+    started = stream.ingest(rows, f"{home}/changes", f"{home}/checkpoint")
+    if not started.awaitTermination(3600):
+        started.stop()
+        raise TimeoutError("the journal was not read within an hour")
     return stream.state(spark, f"{home}/changes")
 
 
 def queries() -> dict[str, Query]:
+    from . import service_queries  # noqa: F401  registers its own
+
     for name, f in QUERIES.items():
         f.__name__ = name
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
-
+    from . import service_queries  # noqa: F401
 
+    return dict(SQL)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .names import normalized
@@ -38,7 +38,11 @@ SEPARATORS = r"""[\s,;:"'()\[\]]+"""
 
 def relation(query: Column) -> Column:
     """The canonical name of the alias set that a query asks for, or null. A canonical name asks for its own set."""
-    q = normalized(query)
+    return relation_of(normalized(query))
+
+
+def relation_of(q: Column) -> Column:
+    """``relation`` of a query in its normal form."""
     packed = F.regexp_replace(q, "[ -]", "")
     words = F.split(q, r"\s+")
     out = F.lit(None).cast("string")
@@ -74,24 +78,40 @@ def path_like(text: Column) -> Column:
 
 def subject(query: Column) -> Column:
     """An alias set's name, else the first token like a path, else the last of the longest tokens, else the query."""
-    parts = meaningful(query)
+    return subject_of(meaningful(query), relation(query), normalized(query))
+
+
+def subject_of(parts: Column, canonical: Column, q: Column) -> Column:
     paths = F.filter(parts, path_like)
     longest = F.reduce(parts, F.lit(""), lambda best, t: F.when(F.length(t) >= F.length(best), t).otherwise(best))
-    return F.coalesce(relation(query), F.when(F.size(paths) > 0, F.element_at(paths, 1)), F.when(F.size(parts) > 0, longest), normalized(query))
+    return F.coalesce(canonical, F.when(F.size(paths) > 0, F.element_at(paths, 1)), F.when(F.size(parts) > 0, longest), q)
 
 
 def rule_intent(query: Column) -> Column:
     """The first intent whose markers the query has; null if no rule decides."""
-    q = normalized(query)
-    out = F.when(path_like(subject(query)), "ExactSearch")
+    return intent_of(normalized(query), relation(query), subject(query))
+
+
+def intent_of(q: Column, canonical: Column, about: Column) -> Column:
+    out = F.when(path_like(about), "ExactSearch")
     for name in reversed(MARKERS):
         fits = any_of([F.contains(q, F.lit(m)) for m in MARKERS[name]])
         if name == "RelatedSearch":
-            fits = fits | relation(query).isNotNull()
+            fits = fits | canonical.isNotNull()
         out = F.when(fits, name).otherwise(out)
     return out
 
 
+def routes(log: DataFrame, column: str) -> DataFrame:
+    """``log`` with rule_intent, subject and content_terms of a column, as intent, subject and terms. The tokens, the alias set
+    and the subject are columns of selects below each other: Spark makes each once a row, as it is used more than once above."""
+    q = normalized(F.col(column))
+    rows = log.withColumn("_q", q).withColumn("_parts", meaningful(F.col(column)))
+    rows = rows.withColumn("_set", relation_of(F.col("_q")))
+    rows = rows.withColumn("subject", subject_of(F.col("_parts"), F.col("_set"), F.col("_q")))
+    return rows.select(*log.columns, intent_of(F.col("_q"), F.col("_set"), F.col("subject")).alias("intent"), "subject", F.array_join("_parts", " ").alias("terms"))
+
+
 def routed(query: Column) -> Column:
     """Whether the user interface routes a query as natural language."""
     q = F.lower(query)

@@ -49,6 +49,17 @@ def fuzzy_distance(query: str, name: Column, most: int) -> Column:
     return F.least(byte_distance(F.lit(query), name, most), byte_distance(F.lit(query), stem(name), most))
 
 
+def absolute(volume: Column, path: Column) -> Column:
+    """``qualified`` for a path that may come with either slash in front."""
+    return F.when(path.rlike("^[A-Za-z]:"), path).otherwise(F.concat(volume, F.lit(":\\"), F.ltrim(path, F.lit("\\/"))))
+
+
+def flags_of(bits: Column) -> Column:
+    """A catalog's flags of a file system's attribute bits: directory, hidden, system, reparse point."""
+    flag = lambda bit, value: F.when(bits.bitwiseAND(bit) != 0, value).otherwise(0)
+    return flag(0x10, 1) + flag(0x02, 2) + flag(0x04, 4) + flag(0x400, 8)
+
+
 def qualified(volume: Column, path: Column) -> Column:
     """A path with its drive in front, unless it has one."""
     return F.when(path.rlike("^[A-Za-z]:"), path).otherwise(F.concat(volume, F.lit(":\\"), F.ltrim(path, F.lit("\\"))))

@@ -23,8 +23,8 @@ def group_stats(attributes: DataFrame, least: int, largest: int | None = None) -
     return sizes.agg(F.count_if(kept).alias("groups"), F.coalesce(F.sum(F.when(kept, F.col("files"))), F.lit(0)).alias("members"), F.count_if(~within(largest)).alias("oversized_groups_skipped"))
 
 
-def duplicate_sets(files: DataFrame, least: int = 1 << 20, largest: int | None = None) -> DataFrame:
-    """(size_bytes, sha256, files, first_file, reclaimable) of (volume, file_id, size_bytes, text) with equal contents.
+def hashed(files: DataFrame, least: int, largest: int | None) -> DataFrame:
+    """(volume, file_id, size_bytes, sample, sha256) of (volume, file_id, size_bytes, text).
 
     Contents are hashed where they are read, and hashes are counted there before they are shuffled, so that a set of any
     size is few rows. Equal hashes have equal sizes; only a bound needs the sizes' own counts."""
@@ -32,9 +32,23 @@ def duplicate_sets(files: DataFrame, least: int = 1 << 20, largest: int | None =
     rows = files.filter(F.col("size_bytes") >= least).select("volume", "file_id", "size_bytes", sample.alias("sample"), F.sha2("text", 256).alias("sha256"))
     if largest is not None:
         rows = rows.join(same_size(files, least, largest).select("size_bytes"), "size_bytes", "left_semi")
-    sets = rows.groupBy("size_bytes", "sample", "sha256").agg(F.count("*").alias("files"), F.min(F.struct("volume", "file_id")).alias("first"))
+    return rows
+
+
+def duplicate_sets(files: DataFrame, least: int = 1 << 20, largest: int | None = None) -> DataFrame:
+    """(size_bytes, sha256, files, first_file, reclaimable) of files with equal contents."""
+    sets = hashed(files, least, largest).groupBy("size_bytes", "sample", "sha256").agg(F.count("*").alias("files"), F.min(F.struct("volume", "file_id")).alias("first"))
     return sets.filter("files >= 2").select("size_bytes", "sha256", "files", F.concat(F.col("first.volume"), F.lit(":"), F.col("first.file_id").cast("string")).alias("first_file"), (F.col("size_bytes") * (F.col("files") - 1)).alias("reclaimable"))
 
 
+def duplicate_files(files: DataFrame, least: int = 1 << 20, largest: int | None = None) -> DataFrame:
+    """(size_bytes, sha256, copies, volume, file_id): every member of every set. Sets are counted first, with one partial row a
+    task for each, and members are then joined to the few hashes that repeat; a hash of very many members is split by
+    Spark's skew join."""
+    rows = hashed(files, least, largest)
+    sets = rows.groupBy("size_bytes", "sample", "sha256").agg(F.count("*").alias("copies")).filter("copies >= 2")
+    return rows.join(sets, ["size_bytes", "sample", "sha256"]).select("size_bytes", "sha256", "copies", "volume", "file_id")
+
+
 def report(sets: DataFrame) -> DataFrame:
     return sets.agg(F.count("*").alias("sets"), F.coalesce(F.sum("files"), F.lit(0)).alias("files"), F.coalesce(F.sum("reclaimable"), F.lit(0)).alias("reclaimable"))

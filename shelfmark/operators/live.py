@@ -31,30 +31,37 @@ def by_id(live: DataFrame, volume: str, file_id: int) -> DataFrame:
 
 
 def directory_paths(live: DataFrame) -> DataFrame:
-    """(volume, file_id, path) of every row that is some row's parent, by pointer doubling over these rows alone: eight
-    joins reach 256 levels. A chain that comes back to itself is cut where it first does; empty names are left out."""
+    """(volume, file_id, path) of every row that is some row's parent, by pointer doubling over these rows alone: three
+    doublings a table, so that trees of eight levels take one and those of CHAIN levels three. A chain that comes back to
+    itself is cut where it first does; empty names are left out."""
     parents = live.select("volume", F.col("parent_id").alias("file_id")).distinct()
     up = F.when((F.col("parent_id") != 0) & (F.col("parent_id") != F.col("file_id")), F.col("parent_id"))
     nodes = written(live.join(parents, KEY, "left_semi").select(*KEY, up.alias("next"), F.array(F.struct("file_id", "name")).alias("chain")), "directories")
-    for _ in range(CHAIN.bit_length() - 1):
-        above = nodes.select("volume", F.col("file_id").alias("next"), F.col("next").alias("beyond"), F.col("chain").alias("more"))
-        joined = nodes.join(above, ["volume", "next"], "left")
-        chain = F.slice(F.concat("chain", F.coalesce("more", F.array().cast("array<struct<file_id:bigint,name:string>>"))), 1, CHAIN)
-        nodes = written(joined.select(*KEY, F.when(F.col("more").isNotNull(), F.col("beyond")).alias("next"), chain.alias("chain")), "directories")
+    for _ in range(-(-CHAIN.bit_length() // 3)):
         if nodes.filter("next is not null").isEmpty():
             break
+        nodes = written(doubled(doubled(doubled(nodes))), "directories")
     return nodes.select(*KEY, joined_names(F.col("chain")).alias("path"))
 
 
+def doubled(nodes: DataFrame) -> DataFrame:
+    """Each chain with the one of where it ends."""
+    above = nodes.select("volume", F.col("file_id").alias("next"), F.col("next").alias("beyond"), F.col("chain").alias("more"))
+    joined = nodes.join(above, ["volume", "next"], "left")
+    chain = F.slice(F.concat("chain", F.coalesce("more", F.array().cast("array<struct<file_id:bigint,name:string>>"))), 1, CHAIN)
+    return joined.select(*KEY, F.when(F.col("more").isNotNull(), F.col("beyond")).alias("next"), chain.alias("chain"))
+
+
 def joined_names(chain) -> F.Column:
     ids = F.transform(chain, lambda x: x["file_id"])
     fresh = F.filter(chain, lambda x, i: (F.array_position(ids, x["file_id"]) == i + 1) & (x["name"] != ""))
     return F.array_join(F.reverse(F.transform(fresh, lambda x: x["name"])), "\\")
 
 
-def with_paths(rows: DataFrame, live: DataFrame) -> DataFrame:
-    """``rows`` of the live view with their paths, each with its drive."""
-    above = directory_paths(live).select("volume", F.col("file_id").alias("parent_id"), F.col("path").alias("above"))
+def with_paths(rows: DataFrame, live: DataFrame, directories: DataFrame | None = None) -> DataFrame:
+    """``rows`` of the live view with their paths, each with its drive; ``directories`` are its ``directory_paths``, made here
+    if they are not given."""
+    above = (directory_paths(live) if directories is None else directories).select("volume", F.col("file_id").alias("parent_id"), F.col("path").alias("above"))
     found = rows.join(above, ["volume", "parent_id"], "left")
     alone = (F.col("parent_id") == 0) | (F.col("parent_id") == F.col("file_id")) | F.col("above").isNull()
     path = F.when(alone, F.col("name")).otherwise(F.concat_ws("\\", F.when(F.col("above") != "", F.col("above")), F.when(F.col("name") != "", F.col("name"))))

@@ -20,20 +20,20 @@ def decisions(rows: DataFrame, *keep: str) -> DataFrame:
     return kind.withColumn("do", cleanup_action(F.col("path"), F.col("kind"))).select("volume", "file_id", "path", "kind.class", "kind.risk", "do.action", "do.confidence", *keep)
 
 
-def candidates(live: DataFrame) -> DataFrame:
+def candidates(live: DataFrame, directories: DataFrame | None = None) -> DataFrame:
     """The decisions on every live row whose name starts with a pattern, but those to keep it, with the columns ``pattern``
     and ``name_norm``."""
     number = F.lit(None).cast("int")
     for i, p in reversed(list(enumerate(PATTERNS))):
         number = F.when(F.startswith("name_norm", F.lit(p)), i).otherwise(number)
     found = live.withColumn("pattern", number).filter("pattern is not null")
-    return decisions(with_paths(found, live), "pattern", "name_norm").filter("action != 'Keep'")
+    return decisions(with_paths(found, live, directories), "pattern", "name_norm").filter("action != 'Keep'")
 
 
-def cleanup(live: DataFrame, per_pattern: int = PER_PATTERN, in_all: int = IN_ALL) -> DataFrame:
+def cleanup(live: DataFrame, per_pattern: int = PER_PATTERN, in_all: int = IN_ALL, directories: DataFrame | None = None) -> DataFrame:
     """What a cleanup would do with names of the patterns, in the patterns' order, names by name; a top-k report."""
     order = Window.partitionBy("pattern").orderBy("name_norm", "volume", "file_id")
-    planned = candidates(live).withColumn("at", F.row_number().over(order)).filter(F.col("at") <= per_pattern)
+    planned = candidates(live, directories).withColumn("at", F.row_number().over(order)).filter(F.col("at") <= per_pattern)
     return planned.orderBy("pattern", "at").limit(in_all).drop("at", "pattern", "name_norm")
 
 
@@ -43,16 +43,46 @@ def quarantine_plan(planned: DataFrame, root: str = "Q:\\quarantine") -> DataFra
     return planned.filter("action = 'Quarantine'").select("volume", "file_id", "path", target.alias("target"))
 
 
+#: A quarantined file's record: its id, where it was and is, and its size.
+ENTRY = ["id", "volume", "file_id", "path", "target", "size_bytes"]
+
+
+def quarantined(plan: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The records of a carried-out plan; ids are a hash of the place, so that a plan that is carried out again names its
+    files alike."""
+    known = sizes.select(*KEY, "size_bytes")
+    return plan.join(known, KEY, "left").withColumn("id", F.sha2(F.concat_ws(":", "volume", F.col("file_id").cast("string"), "path"), 256).substr(1, 40)).fillna(0, ["size_bytes"]).select(*ENTRY)
+
+
+def listed(entries: DataFrame, limit: int | None = 100) -> DataFrame:
+    """Quarantined files by falling id; a limit of 0 shows one, None all."""
+    rows = entries.orderBy(F.desc("id"))
+    return rows if limit is None else rows.limit(max(limit, 1))
+
+
+def restore_plan(entries: DataFrame, live: DataFrame, directories: DataFrame | None = None) -> DataFrame:
+    """(id, source, target, action) for each record: back to its path, or refused where a live file has that path."""
+    taken = with_paths(live, live, directories).select(F.lower("path").alias("taken")).distinct()
+    found = entries.join(taken, F.lower("path") == F.col("taken"), "left")
+    return found.select("id", F.col("target").alias("source"), F.col("path").alias("target"), F.when(F.col("taken").isNull(), "Restore").otherwise("Refuse").alias("action"))
+
+
+def purge_plan(entries: DataFrame) -> DataFrame:
+    """(id, target, size_bytes) of what a purge would remove for good: only what lies in quarantine."""
+    return entries.select("id", "target", "size_bytes")
+
+
 def compact(base: DataFrame, changes: DataFrame) -> DataFrame:
-    """The next base: what the live view shows, sorted within partitions by name so that Parquet's statistics can skip."""
-    return live_view(base, changes).repartition("volume", F.pmod(F.xxhash64("file_id"), F.lit(64))).sortWithinPartitions("volume", "name_norm")
+    """The next base: what the live view shows, in ranges of names and sorted, so that Parquet's statistics can skip."""
+    return live_view(base, changes).repartitionByRange("volume", "name_norm").sortWithinPartitions("volume", "name_norm")
 
 
-def publish(base: DataFrame, path: str, generation: int) -> str:
-    """Write a generation's directory; Spark's commit makes it whole or absent, and readers take the highest whole one."""
-    target = f"{path}/generation={generation:010d}"
-    base.write.mode("errorifexists").partitionBy("volume").parquet(target)
-    return target
+def rebuilt(snapshot: DataFrame, changes: DataFrame, position: int, lowest: int) -> DataFrame:
+    """A new base from a snapshot that was begun at ``position`` of the journal: changes from there on are laid over it, so
+    that what happened during the scan is not lost. Raises if the journal no longer goes back that far."""
+    if position < lowest:
+        raise ValueError(f"the journal starts at {lowest}, after the snapshot's position {position}: scan again")
+    return live_view(snapshot, changes.filter(F.col("seq") >= position))
 
 
 def verify(base: DataFrame, changes: DataFrame) -> DataFrame:
@@ -102,4 +132,4 @@ def pending(changes: DataFrame) -> DataFrame:
     return changes.limit(1).agg((F.count("*") > 0).alias("pending"))
 
 
-__all__ = ["candidates", "cleanup", "compact", "decisions", "deep_verify", "doctor", "freshness", "latest_changes", "missing_parents", "pending", "publish", "quarantine_plan", "verify"]
+__all__ = ["candidates", "cleanup", "compact", "decisions", "deep_verify", "doctor", "freshness", "latest_changes", "missing_parents", "pending", "purge_plan", "quarantine_plan", "rebuilt", "restore_plan", "verify"]

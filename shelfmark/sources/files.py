@@ -1,62 +1,26 @@
-"""Files on disk: a directory walk as a Spark data source, and text from documents' bytes."""
+"""Files: a folder's tree, text from documents' bytes, and made-up volumes."""
 
 from __future__ import annotations
 
 import io
-import os
 import re
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
 
 #: Parts of office packages that hold text.
 PARTS = {"docx": r"word/(document|header\d*|footer\d*|footnotes|endnotes|comments)\.xml", "xlsx": r"xl/(sharedStrings|worksheets/sheet\d+)\.xml", "pptx": r"ppt/(slides/slide|notesSlides/notesSlide)\d+\.xml"}
 ENTITIES = [("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
 
 
-class DirectoryTree(DataSource):
-    """``spark.read.format("shelfmark_tree").load(root)``: (path, is_directory, size_bytes, modified_unix_secs), one
-    partition for each entry of the root."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "shelfmark_tree"
-
-    def schema(self) -> str:
-        return "path string, is_directory boolean, size_bytes long, modified_unix_secs long"
-
-    def reader(self, schema) -> DataSourceReader:
-        return TreeReader(self.options["path"])
-
-
-class TreeReader(DataSourceReader):
-    def __init__(self, root: str):
-        self.root = root
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(e) for e in sorted(os.listdir(self.root))] or [InputPartition("")]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        top = os.path.join(self.root, partition.value) if partition.value else None
-        todo = [top] if top else []
-        while todo:
-            path = todo.pop()
-            try:
-                found = os.lstat(path)
-            except OSError:
-                continue  # gone meanwhile
-            folder = os.path.isdir(path) and not os.path.islink(path)
-            yield path, folder, found.st_size, int(found.st_mtime)
-            if folder:
-                todo += [os.path.join(path, x) for x in os.listdir(path)]
-
-
 def tree(spark: SparkSession, root: str) -> DataFrame:
-    spark.dataSource.register(DirectoryTree)
-    return spark.read.format("shelfmark_tree").load(root)
+    """(path, size_bytes, modified_unix_secs) of every file below a folder on any file system that Spark reads; files are dealt
+    to tasks by their sizes, and their contents are left alone."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return found.select("path", F.col("length").alias("size_bytes"), F.unix_timestamp("modificationTime").alias("modified_unix_secs"))
 
 
 def visible(markup: str) -> str:
@@ -97,7 +61,37 @@ def extracted(files: DataFrame, key: str, name: str, content: str) -> DataFrame:
     return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, text string")
 
 
-def synthetic(spark: SparkSession, rows: int) -> DataFrame:
-    """A made-up volume for load tests: names in 4,096 families, directories at every 97th row."""
-    name = "concat('file-', lpad(lower(hex(id % 4096)), 4, '0'), '-', lpad(cast(id as string), 10, '0'), '.dat')"
-    return spark.range(rows).selectExpr("'S' as volume", "id as file_id", "if(id < 256, 0, id % 255 + 1) as parent_id", "(id * 4099) & 17179869183 as size_bytes", "if(id % 97 = 0, 1, 0) as flags", f"{name} as name")
+def packaged(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, name, content): texts as word-processor packages of one part, for tests and as a sink of extracted corpora."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            packed = []
+            for data in b.column(1).to_pylist():
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
+                    z.writestr("word/document.xml", data or "")
+                packed.append(out.getvalue())
+            names = pa.array([f"page-{k}.docx" for k in b.column(0).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), names, pa.array(packed, pa.binary())], [key, "name", "content"])
+
+    rows = texts.select(key, text)
+    return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, name string, content binary")
+
+
+def synthetic(spark: SparkSession, rows: int, seed: int = 1) -> DataFrame:
+    """A made-up volume for load tests: one directory in sixteen, of which number k lies in number k // 8, so that depths grow
+    with the logarithm of the rows; files in a directory by a hash; sizes of a log-normal distribution; names of one to four
+    syllables, a number and one of a few endings."""
+    pick = lambda salt, n: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "id"), F.lit(n))
+    syllables = F.array(*map(F.lit, "ba ce di fo gu ka le mi no pu ra se ti vo xu za".split()))
+    word = F.array_join(F.transform(F.sequence(F.lit(0), pick("length", 4)), lambda k: F.element_at(syllables, (F.pmod(F.xxhash64(F.lit(seed), k, "id"), F.lit(16)) + 1).cast("int"))), "")
+    folders = max(rows // 16, 1)
+    is_folder = F.col("id") < folders
+    ending = F.element_at(F.array(*map(F.lit, [".txt", ".md", ".py", ".dat", ".log"])), (pick("ending", 5) + 1).cast("int"))
+    size = F.floor(F.exp(8 + 2 * F.randn(seed))).cast("long")
+    return spark.range(rows).select(
+        F.lit("S").alias("volume"), F.col("id").alias("file_id"), F.when(is_folder, F.floor(F.col("id") / 8)).otherwise(pick("folder", folders)).cast("long").alias("parent_id"),
+        F.when(is_folder, F.lit(0)).otherwise(size).cast("long").alias("size_bytes"), is_folder.cast("int").alias("flags"),
+        F.concat(word, F.lit("-"), F.col("id").cast("string"), F.when(is_folder, F.lit("")).otherwise(ending)).alias("name"),
+    )

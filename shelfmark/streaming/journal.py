@@ -7,9 +7,9 @@ are seen whole.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from ..operators.live import latest_changes
@@ -53,3 +53,36 @@ def needs_rebuild(position: DataFrame, journals: DataFrame) -> DataFrame:
 def throttle_seconds(decision: str, spinning_disk: bool = False) -> int:
     """The trigger's interval under a governor's decision."""
     return max(3, 5 * spinning_disk) * {"Run": 1, "Throttle": 2, "Pause": 4}[decision]
+
+
+#: Bytes of changes that may wait while a user is active, and idle milliseconds from which a compaction may run.
+WAITING_BYTES, IDLE_MS = 2 << 20, 30_000
+
+
+def next_step(waiting_bytes: Column, idle_ms: Column) -> Column:
+    """What ingestion does next: Compact what waits if nobody is there, Wait while too much does, Ingest otherwise."""
+    idle = idle_ms >= IDLE_MS
+    return F.when(idle & (waiting_bytes > 0), "Compact").when(waiting_bytes >= WAITING_BYTES, "Wait").otherwise("Ingest")
+
+
+class ServiceState(StreamingQueryListener):
+    """Keeps the transitions of an application's streams: Started, Progress with its batch and rows, Stopped or Failed."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+
+    def onQueryStarted(self, event) -> None:
+        self.rows.append((str(event.runId), "Started", None, None, None))
+
+    def onQueryProgress(self, event) -> None:
+        self.rows.append((str(event.progress.runId), "Progress", event.progress.batchId, event.progress.numInputRows, None))
+
+    def onQueryIdle(self, event) -> None:
+        self.rows.append((str(event.runId), "Idle", None, None, None))
+
+    def onQueryTerminated(self, event) -> None:
+        self.rows.append((str(event.runId), "Failed" if event.exception else "Stopped", None, None, event.exception))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(run, state, batch, rows, error), as it happened."""
+        return spark.createDataFrame(self.rows, "run string, state string, batch long, rows long, error string")

@@ -183,11 +183,3 @@ def test_stream_in_pieces_equals_batch(spark, tmp_path):
         stream.ingest(rows, str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
     want = live.latest_changes(changes_of(journal(events)))
     assert {tuple(r) for r in stream.state(spark, str(tmp_path / "out")).collect()} == {tuple(r) for r in want.collect()}
-
-
-def test_publish(spark, tmp_path):
-    rows = programs(spark)
-    none = spark.createDataFrame([], CHANGE)
-    target = maintenance.publish(maintenance.compact(rows, none), str(tmp_path), 1)
-    assert spark.read.parquet(target).count() == 4
-    assert not maintenance.pending(none).first().pending

@@ -34,10 +34,18 @@ def test_directory_tree(spark, tmp_path):
     (tmp_path / "a/b").mkdir(parents=True)
     (tmp_path / "a/b/f.txt").write_text("12345")
     (tmp_path / "g").write_text("1")
-    got = {r.path.removeprefix(str(tmp_path)): (r.is_directory, r.size_bytes) for r in files.tree(spark, str(tmp_path)).collect()}
-    assert set(got) == {"/a", "/a/b", "/a/b/f.txt", "/g"} and got["/a/b/f.txt"] == (False, 5) and got["/a"][0]
+    got = {r.path.removeprefix(f"file:{tmp_path}"): r.size_bytes for r in files.tree(spark, str(tmp_path)).collect()}
+    assert got == {"/a/b/f.txt": 5, "/g": 1}
 
 
 def test_synthetic_rows(spark):
-    rows = files.synthetic(spark, 1000).collect()
-    assert rows[97].flags == 1 and rows[300].parent_id == 300 % 255 + 1 and rows[3].name == "file-0003-0000000003.dat"
+    rows = {r.file_id: r for r in files.synthetic(spark, 3200).collect()}
+    folders = {k for k, r in rows.items() if r.flags}
+    assert len(folders) == 200 and all(r.parent_id in folders for r in rows.values()) and len({r.name for r in rows.values()}) == 3200
+    assert sum(r.size_bytes > 0 for r in rows.values()) > 2900 and all(r.parent_id <= k for k, r in rows.items() if r.flags)
+
+
+def test_packages_are_read_back(spark):
+    rows = spark.createDataFrame([(1, "<p>a &amp; b</p>"), (2, None)], "page_id long, html string")
+    got = files.extracted(files.packaged(rows, "page_id", "html"), "page_id", "name", "content").collect()
+    assert {r.page_id: r.text for r in got} == {1: "a & b", 2: ""}
