@@ -4,10 +4,13 @@ A template is any function from a list of (role, text) turns to a string. Succes
 rendered and consecutive outputs compared: what a prefix adds is its last turn's span; an output that does not start with
 the one before shows a template that rewrites history, and spans are then null.
 
-Beyond ``PREFIXES`` turns, prefixes would cost the square of a conversation's length, so only the last turns are rendered
-before and after each new one and the pieces are held against a rendering of the whole; where these differ, every prefix
-is rendered after all. Turns are sorted by (turn, role, text), nulls first; a null role or text counts as empty. Repeated
-rows are turns of their own. Conversations are streamed from sorted partitions, one at a time.
+Rendering every prefix costs the square of a conversation's length. A template may declare (by an attribute ``local``) that
+what a turn adds depends on so many turns before it only; then these are rendered with and without the turn, at every
+length, and the pieces are held against a rendering of the whole. Where they differ, the declaration was wrong, and every
+prefix is rendered after all. ``marked`` is local, as it writes each turn by itself.
+
+Turns are sorted by (turn, role, text), nulls first; a null role or text counts as empty. Repeated rows are turns of their
+own. Rows with a null conv_id are one conversation. Conversations are streamed from sorted partitions, one at a time.
 """
 
 from __future__ import annotations
@@ -24,7 +27,6 @@ from pyspark.sql import functions as F
 Turns = list[tuple[str, str]]
 Template = Callable[[Turns], str]
 START, END = "<|im_start|>", "<|im_end|>"
-PREFIXES, CONTEXT = 128, 3
 
 
 def escape(text: str) -> str:
@@ -50,6 +52,9 @@ def marked(turns: Turns) -> str:
     return "".join(f"{START}{escape_role(role)}\n{escape(text)}{END}\n" for role, text in turns)
 
 
+marked.local = 0
+
+
 def parse_marked(output: str) -> Turns:
     """The turns of ``marked``'s output."""
     found = []
@@ -61,38 +66,34 @@ def parse_marked(output: str) -> Turns:
 
 def spans(turns: Turns, template: Template) -> tuple[str, list[tuple[int, int]] | None]:
     """The whole rendering and each turn's [start, end) in it; None if the template rewrites history."""
-
-    def by_prefix(last: int) -> tuple[str, list[tuple[int, int]] | None]:
-        before, found = template([]), []
-        for k in range(1, last + 1):
-            output = template(turns[:k])
-            if not output.startswith(before):
-                return template(turns), None
-            found.append((len(before), len(output)))
-            before = output
-        return before, found
-
-    if len(turns) <= PREFIXES:
-        return by_prefix(len(turns))
-    before, found = by_prefix(PREFIXES)
-    if found is not None:
+    before, found = template([]), []
+    local = getattr(template, "local", None)
+    if local is not None:
         pieces, at = [before], len(before)
-        for k in range(PREFIXES, len(turns)):
-            near, more = template(turns[k - CONTEXT : k]), template(turns[k - CONTEXT : k + 1])
-            if not more.startswith(near):
+        for k in range(len(turns)):
+            near = turns[max(0, k - local) : k + 1]
+            without, more = template(near[:-1]), template(near)
+            if not more.startswith(without):
                 break
-            pieces.append(more[len(near) :])
+            pieces.append(more[len(without) :])
             found.append((at, at + len(pieces[-1])))
             at = found[-1][1]
         else:
             if (output := template(turns)) == "".join(pieces):
                 return output, found
-    return by_prefix(len(turns))
+        found = []
+    for k in range(1, len(turns) + 1):
+        output = template(turns[:k])
+        if not output.startswith(before):
+            return template(turns), None
+        found.append((len(before), len(output)))
+        before = output
+    return before, found
 
 
 def formatted(conversations: DataFrame, template: Template = marked, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """(conv_id, output, spans, roles, stable): each conversation's rendering, its turns' spans, and whether prefixes stay
-    as they were. ``trained`` turns are those under the loss mask."""
+    """(conv_id, output, spans, trained, stable): each conversation's rendering, its turns' spans (null where prefixes do not stay
+    as they were, and ``stable`` is false), and which turns are under the loss mask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
@@ -100,7 +101,7 @@ def formatted(conversations: DataFrame, template: Template = marked, trained: tu
         for conv, group in groupby(rows, key=lambda r: r[0]):
             turns = [(role, text) for _, role, text in group]
             output, where = spans(turns, template)
-            out.append((conv, output, [[a, b] for a, b in where or []], [role in trained for role, _ in turns], where is not None))
+            out.append((conv, output, None if where is None else [list(x) for x in where], [role in trained for role, _ in turns], where is not None))
             held += len(output)
             if held > 4_000_000:
                 yield _batch(out)
@@ -119,13 +120,17 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def digests(rendered: DataFrame) -> DataFrame:
-    """What ``marked``'s output holds, read back from it; the loss mask is the trained turns' texts inside their spans."""
+    """What ``marked``'s output holds, read back from it; the loss mask is the trained turns' texts inside their spans. Without
+    spans there are only the conv_id and the output's length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for row in batch.to_pylist():
                 output, every, loss, size, n = row["output"], hashlib.sha256(), hashlib.sha256(), 0, 0
+                if row["spans"] is None:
+                    found.append((row["conv_id"], None, None, None, None, len(output)))
+                    continue
                 for (a, b), learn in zip(row["spans"], row["trained"], strict=True):
                     for role, text in parse_marked(output[a:b]):
                         n += 1

@@ -26,51 +26,86 @@ _HEADER = re.compile(rb"(P[1-6])((?:[\x20\x09-\x0D]|#[^\n\r]*[\n\r])+)")
 _NUMBER = re.compile(rb"(?:[\x20\x09-\x0D]|#[^\n\r]*[\n\r])*([0-9]+)")
 
 
+#: Pixels of the largest image that is read.
+MOST_PIXELS = 1 << 28
+
+
+def sized(width: int, height: int) -> None:
+    if not (0 < width and 0 < height and width * height <= MOST_PIXELS):
+        raise ValueError("an image of this size is not read")
+
+
+def taken(data: bytes, size: int, at: int) -> np.ndarray:
+    """``size`` bytes from ``at`` on, if there are as many."""
+    if at < 0 or at + size > len(data):
+        raise ValueError("an image's samples end early")
+    return np.frombuffer(data, np.uint8, size, at)
+
+
 def decode_netpbm(data: bytes) -> np.ndarray:
-    """P1 to P6 with at most 8 bits a sample, as (height, width, channels); bitmaps give 0 for black and 255 for white."""
+    """P1 to P6 with at most 8 bits a sample, as (height, width, channels); bitmaps give 0 for black and 255 for white. Samples
+    above the maximum that the header gives are an error."""
     head = _HEADER.match(data)
     if not head:
         raise ValueError("not a Netpbm image")
     kind, at, sizes = head[1], head.end(), []
     for _ in range(2 if kind in (b"P1", b"P4") else 3):
         m = _NUMBER.match(data, at)
-        if not m:
-            raise ValueError("a Netpbm header ends early")
+        if not m or len(m[1]) > 9:
+            raise ValueError("a Netpbm header ends early or has a number too long")
         sizes.append(int(m[1]))
         at = m.end()
     width, height = sizes[:2]
-    channels = 3 if kind in (b"P3", b"P6") else 1
-    if kind in (b"P1", b"P4"):
-        if kind == b"P4":
-            row = (width + 7) // 8
-            bits = np.unpackbits(np.frombuffer(data, np.uint8, row * height, at + 1).reshape(height, row), axis=1)[:, :width]
-        else:
-            bits = np.frombuffer(re.sub(rb"#[^\n\r]*|[\x20\x09-\x0D]", b"", data[at:])[: width * height], np.uint8).reshape(height, width) - 48
+    sized(width, height)
+    if kind == b"P4":
+        row = (width + 7) // 8
+        bits = np.unpackbits(taken(data, row * height, at + 1).reshape(height, row), axis=1)[:, :width]
+        return ((1 - bits) * 255).astype(np.uint8)[..., None]
+    if kind == b"P1":
+        digits = re.sub(rb"#[^\n\r]*|[\x20\x09-\x0D]", b"", data[at:])
+        bits = taken(digits, width * height, 0).reshape(height, width) - np.uint8(48)
+        if (bits > 1).any():
+            raise ValueError("a bitmap's samples are 0 or 1")
         return ((1 - bits) * 255).astype(np.uint8)[..., None]
     if not 0 < sizes[2] < 256:
         raise ValueError("only 8-bit samples are read")
+    size = width * height * (3 if kind in (b"P3", b"P6") else 1)
     if kind in (b"P2", b"P3"):
-        flat = np.array(data[at:].split()[: width * height * channels], dtype=np.int64).astype(np.uint8)
+        words = data[at:].split(None, size)[:size]
+        if len(words) < size or max(map(len, words)) > 9:
+            raise ValueError("an image's samples end early or are too long")
+        flat = np.array(words, dtype=np.int64)
     else:
-        flat = np.frombuffer(data, np.uint8, width * height * channels, at + 1)
-    return flat.reshape(height, width, channels)
+        flat = taken(data, size, at + 1)
+    if flat.min() < 0 or flat.max() > sizes[2]:
+        raise ValueError("a sample is above the maximum")
+    return flat.astype(np.uint8).reshape(height, width, -1)
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed 8-bit (with its palette), 24-bit and 32-bit bitmaps, as (height, width, channels) in RGB order."""
-    if data[:2] != b"BM":
+    """Uncompressed 8-bit (with its palette), 24-bit and 32-bit bitmaps, these with channel masks of whole bytes too, as
+    (height, width, channels) in RGB order."""
+    if data[:2] != b"BM" or len(data) < 54:
         raise ValueError("not a BMP image")
     number = lambda at, n, signed=False: int.from_bytes(data[at : at + n], "little", signed=signed)
     start, header, width, height, bits, packed = number(10, 4), number(14, 4), number(18, 4, True), number(22, 4, True), number(28, 2), number(30, 4)
-    if header < 40 or packed not in (0, 3) or bits not in (8, 24, 32) or width <= 0:
+    if header < 40 or packed not in (0, 3) or bits not in (8, 24, 32) or (packed == 3 and bits != 32):
         raise ValueError("this kind of BMP is not read")
+    sized(width, abs(height))
     row = (width * bits // 8 + 3) // 4 * 4
-    rows = np.frombuffer(data, np.uint8, row * abs(height), start).reshape(abs(height), row)[:, : width * bits // 8]
+    rows = taken(data, row * abs(height), start).reshape(abs(height), row)[:, : width * bits // 8]
     rows = rows[::-1] if height > 0 else rows
     if bits == 8:
-        palette = np.frombuffer(data, np.uint8, 4 * (number(46, 4) or 256), 14 + header).reshape(-1, 4)
+        palette = taken(data, 4 * (number(46, 4) or 256), 14 + header).reshape(-1, 4)
         return palette[rows][..., 2::-1]
-    return rows.reshape(abs(height), width, bits // 8)[..., 2::-1]
+    channels = [2, 1, 0]
+    if packed == 3:
+        places = {0xFF << (8 * k): k for k in range(4)}
+        masks = [number(54 + 4 * k, 4) for k in range(3)]
+        if len(data) < 66 or any(m not in places for m in masks):
+            raise ValueError("channel masks of whole bytes only are read")
+        channels = [places[m] for m in masks]
+    return rows.reshape(abs(height), width, bits // 8)[..., channels]
 
 
 def decode(data: bytes) -> np.ndarray:
@@ -130,7 +165,7 @@ def media(images: DataFrame, key: str, image: str, height: int = 32, width: int
             array = decode(data)
             small = np.rint(resize(array, height, width)).astype(np.uint8)
             return (*array.shape, npy_tiles(array), npy_tiles(small), difference_hash(array))
-        except (ValueError, IndexError):
+        except (ValueError, IndexError):  # what decoding raises for damaged, unknown and oversized images
             return (None,) * 6
 
     names = [("height", pa.int64()), ("width", pa.int64()), ("channels", pa.int64()), ("tiles", pa.binary()), ("thumbnail", pa.binary()), ("feature", pa.string())]

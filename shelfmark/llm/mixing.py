@@ -126,11 +126,13 @@ def mixture(docs: DataFrame, budget: int | None = None, entropy_share: float = E
 
 
 def mixed_rows(docs: DataFrame, budget: int | None = None, entropy_share: float = ENTROPY_SHARE, repeats: float = REPEATS) -> DataFrame:
-    """The rows of ``docs``, each as often as the mixture takes it, with the same columns and without a shuffle of texts."""
+    """The rows of ``docs``, each as often as the mixture takes it, with the same columns and without a shuffle of texts. Rows
+    travel as one struct, so that their columns may have any names."""
     chosen = plan(written(counted(docs), "tokens"), budget, entropy_share, repeats).drop("n_docs", "tokens", "goal", "weight")
-    chosen = chosen.select(F.struct(*chosen.columns).alias("_plan"), F.col("source").alias("_source"))
+    chosen = chosen.select(F.col("source").alias("name"), F.struct(*chosen.columns).alias("plan"))
     few = chosen.limit(BROADCAST + 1).count() <= BROADCAST
-    rows = docs.withColumn("_key", doc_key()).withColumn("_own", source_key()).join(F.broadcast(chosen) if few else chosen, F.col("_own") == F.col("_source"))
-    _, taken = copies(F.col("_own"), F.col("_key"), lambda c: F.col(f"_plan.{c}"))
-    return rows.withColumn("_copies", taken).filter("_copies > 0").withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
-
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), doc_key().alias("key"), source_key().alias("own"))
+    rows = rows.join(F.broadcast(chosen) if few else chosen, F.col("own") == F.col("name"))
+    _, taken = copies(F.col("own"), F.col("key"), lambda c: F.col(f"plan.{c}"))
+    taken = rows.select("row", taken.alias("copies")).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("number")).select("row.*")

@@ -121,17 +121,22 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
 tri AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS c FROM (
         SELECT doc_id, i, list_slice(w, i, i + 2) AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d))),
 rep AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, i + unnest([0, 1, 2]) AS k FROM tri WHERE c > 1) GROUP BY doc_id),
-lin AS (SELECT doc_id, count(*) AS n, count(DISTINCT l) AS u FROM (
+lin AS (SELECT doc_id, count(*) AS n, count(DISTINCT l) AS u, count_if(regexp_matches(l, '^[\\x20\\x09-\\x0D]*(-|\\*|•)')) AS bullets,
+        count_if(regexp_matches(l, '([.]{{3}}|…)[\\x20\\x09-\\x0D]*$')) AS ellipses FROM (
         SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+top AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x FROM d) GROUP BY doc_id, x) GROUP BY doc_id),
 b AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,
       (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
       coalesce(lin.n - lin.u, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(lin.n, 0) AS n_lines,
+      coalesce(bullets, 0) AS bullets, coalesce(ellipses, 0) AS ellipses, coalesce(top.n, 0) AS most_common,
+      len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\\x00-\\x7F]'))) AS lettered,
       length(regexp_replace(t, '[^A-Z]', '', 'g')) AS capitals, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS letters
-      FROM d LEFT JOIN lin USING (doc_id) LEFT JOIN rep USING (doc_id)),
+      FROM d LEFT JOIN lin USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN top USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR n_symbols * 100 > 10 * n_words OR n_dup_lines * 100 > 40 * greatest(n_lines, 1)
-            OR word_chars < 2 * n_words OR word_chars > 12 * n_words OR 2 * capitals > letters) AS kept
+            OR word_chars < 2 * n_words OR word_chars > 12 * n_words OR 2 * capitals > letters OR 100 * lettered < 60 * n_words
+            OR 100 * bullets > 90 * greatest(n_lines, 1) OR 100 * ellipses > 30 * greatest(n_lines, 1) OR 100 * most_common > 50 * n_words) AS kept
 FROM f
 """
 

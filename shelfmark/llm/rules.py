@@ -1,15 +1,19 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule's cost (seconds a text) and selectivity (share rejected) are estimated on a sample of bounded size by one Spark job; the
-cascade then asks the rules in falling order of rejection per second and stops at a text's first rejection. A verdict is
-the conjunction of all rules, so the order changes the work and never a result.
-
-Empty and null texts have no words and fail the base rule. Repeated rows are each judged by themselves; an empty table
-gives no rows. Texts of any length are read whole.
+What each measurement costs (seconds a text) and which rules reject which share of the texts are estimated on a sample of
+bounded size by one Spark job. The cascade is then put together greedily: of the rules left, the next is the one with most
+rejections per cost among the texts that the rules before it keep, where measurements that these have made already cost
+nothing more. A text's first rejection ends its cascade. A verdict is the conjunction of all rules, so the order changes the
+work and never a result.
+
+Empty and null texts have no words and fail the base rules. Repeated rows are each judged by themselves; an empty table
+gives no rows. Texts of any length are read whole. Bytes that are no UTF-8 count like others; of them, those from 0x80 to 0xBF
+are no characters.
 """
 
 from __future__ import annotations
 
+import re
 import time
 from collections import Counter
 from collections.abc import Callable
@@ -24,6 +28,7 @@ from .base import map_arrow, texts
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
+_LETTERED = re.compile(rb"[^\x20\x09-\x0DA-Za-z\x80-\xff]*+[A-Za-z\x80-\xff][^\x20\x09-\x0D]*+")
 
 
 class Text:
@@ -76,6 +81,24 @@ class Text:
                 end = i + 3
         return count
 
+    @cached_property
+    def n_lettered(self) -> int:
+        """Words with an ASCII letter or a byte beyond ASCII."""
+        return len(_LETTERED.findall(self.data))
+
+    @cached_property
+    def n_bullets(self) -> int:
+        return sum(x.lstrip().startswith(BULLETS) for x in self.lines)
+
+    @cached_property
+    def n_ellipses(self) -> int:
+        return sum(x.rstrip().endswith(ELLIPSES) for x in self.lines)
+
+    @cached_property
+    def most_common(self) -> int:
+        """How often the most common word stands."""
+        return max(Counter(self.words).values(), default=0)
+
     @cached_property
     def shouting(self) -> tuple[int, int]:
         """ASCII capitals and ASCII letters."""
@@ -83,23 +106,39 @@ class Text:
         return capitals, capitals + len(self.data) - len(self.data.translate(None, bytes(range(97, 123))))
 
 
+#: Line starts that mark a list, and line ends that break off.
+BULLETS, ELLIPSES = (b"-", b"*", "•".encode()), (b"...", "…".encode())
+
+
 @dataclass(frozen=True)
 class Rule:
+    """``needs``: the measurements of Text that it asks for, each after those that it is made from."""
+
     name: str
     rejects: Callable[[Text], bool]
+    needs: tuple[str, ...]
 
 
+#: The base: together they are ``base_failed``.
+BASE = [
+    Rule("few_words", lambda t: t.n_words < 50, ("words", "n_words")),
+    Rule("repeated_words", lambda t: 100 * t.n_repeat_words > 50 * t.n_words, ("words", "n_words", "n_repeat_words")),
+]
 #: Rejections in whole numbers, so that any engine decides alike.
 RULES = [
-    Rule("symbols_per_word", lambda t: t.n_symbols * 100 > 10 * t.n_words),
-    Rule("duplicate_lines", lambda t: t.n_dup_lines * 100 > 40 * max(len(t.lines), 1)),
-    Rule("word_length", lambda t: t.word_chars < 2 * t.n_words or t.word_chars > 12 * t.n_words),
-    Rule("capitals", lambda t: 2 * t.shouting[0] > t.shouting[1]),
+    Rule("symbols_per_word", lambda t: t.n_symbols * 100 > 10 * t.n_words, ("words", "n_words", "n_symbols")),
+    Rule("duplicate_lines", lambda t: t.n_dup_lines * 100 > 40 * max(len(t.lines), 1), ("lines", "n_dup_lines")),
+    Rule("word_length", lambda t: t.word_chars < 2 * t.n_words or t.word_chars > 12 * t.n_words, ("words", "n_words", "word_chars")),
+    Rule("capitals", lambda t: 2 * t.shouting[0] > t.shouting[1], ("shouting",)),
+    Rule("words_with_letters", lambda t: 100 * t.n_lettered < 60 * t.n_words, ("words", "n_words", "n_lettered")),
+    Rule("bullet_lines", lambda t: 100 * t.n_bullets > 90 * max(len(t.lines), 1), ("lines", "n_bullets")),
+    Rule("broken_lines", lambda t: 100 * t.n_ellipses > 30 * max(len(t.lines), 1), ("lines", "n_ellipses")),
+    Rule("most_common_word", lambda t: 100 * t.most_common > 50 * t.n_words, ("words", "n_words", "most_common")),
 ]
 
 
 def base_failed(t: Text) -> bool:
-    return t.n_words < 50 or 100 * t.n_repeat_words > 50 * t.n_words
+    return any(r.rejects(t) for r in BASE)
 
 
 @dataclass(frozen=True)
@@ -111,38 +150,67 @@ class Cascade:
         return next((r.name for r in self.rules if r.rejects(t)), None)
 
 
-def measure(docs: DataFrame, rules: list[Rule] = RULES, sample_rows: int = 2000) -> list[dict]:
-    """Cost and selectivity of each rule over about ``sample_rows`` rows, chosen by a hash; the driver gets a row for each rule."""
+@dataclass(frozen=True)
+class Measured:
+    """Texts by which rules reject them (bit k for the k-th rule), and seconds for each measurement over all of them."""
+
+    patterns: dict[int, int]
+    seconds: dict[str, float]
+
+
+def measure(docs: DataFrame, rules: list[Rule], sample_rows: int = 2000) -> Measured:
+    """Over about ``sample_rows`` rows, chosen by a hash. The driver gets a row for each pattern of rejections and one for each
+    measurement."""
+    steps = list(dict.fromkeys(x for r in rules for x in r.needs))
 
     def costs(batch: pa.RecordBatch):
+        views = [Text(x) for x in batch.column(1).to_pylist()]
         found = []
-        for r in rules:
-            views, began = [Text(x) for x in batch.column(1).to_pylist()], time.perf_counter()
-            rejected = sum(map(r.rejects, views))
-            found.append((r.name, len(views), rejected, time.perf_counter() - began))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], ["rule", "n", "rejected", "seconds"])
+        for x in steps:
+            began = time.perf_counter()
+            for v in views:
+                getattr(v, x)
+            found.append((x, None, 0, time.perf_counter() - began))
+        found += ((None, k, n, 0.0) for k, n in Counter(sum(r.rejects(v) << k for k, r in enumerate(rules)) for v in views).items())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["step", "pattern", "n", "seconds"])
 
     share = max(1, docs.count() // sample_rows)
-    sample = texts(docs).filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
-    per_batch = map_arrow(sample, costs, "rule string, n long, rejected long, seconds double")
-    return [r.asDict() for r in per_batch.groupBy("rule").agg(*(F.sum(c).alias(c) for c in ("n", "rejected", "seconds"))).collect()]
+    sample = texts(docs).filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0)
+    per_batch = map_arrow(sample, costs, "step string, pattern long, n long, seconds double")
+    rows = per_batch.groupBy("step", "pattern").agg(*(F.sum(c).alias(c) for c in ("n", "seconds"))).collect()
+    return Measured({r.pattern: r.n for r in rows if r.step is None}, {r.step: r.seconds for r in rows if r.step is not None})
+
 
+def ordered(rules: list[Rule], measured: Measured) -> Cascade:
+    """The greedy cascade; where nothing was measured, rules stand as they were given."""
+    left, order, made = dict(measured.patterns), [], set()
+    rest = list(range(len(rules)))
+    while rest:
+        remain = sum(left.values())
 
-def ordered(rules: list[Rule], measured: list[dict]) -> Cascade:
-    """Rules by falling rejections a second; unmeasured rules come last, as they were given."""
-    rate = {m["rule"]: m["rejected"] / max(m["seconds"], 1e-9) for m in measured}
-    return Cascade(tuple(sorted(rules, key=lambda r: -rate.get(r.name, -1.0))))
+        def rate(k: int) -> float:
+            rejected = sum(n for p, n in left.items() if p >> k & 1)  # noqa: B023
+            return rejected / (1e-9 + sum(measured.seconds.get(x, 0.0) for x in rules[k].needs if x not in made) + 1e-7 * remain)  # noqa: B023
+
+        best = max(rest, key=lambda k: (rate(k), -k))
+        rest.remove(best)
+        order.append(rules[best])
+        made.update(rules[best].needs)
+        left = {p: n for p, n in left.items() if not p >> best & 1}
+    return Cascade(tuple(order))
 
 
 def quality(docs: DataFrame, rules: list[Rule] = RULES, sample_rows: int = 2000) -> DataFrame:
-    """One row per document: the base counts, base_failed, kept, and rejected_by (null if kept)."""
+    """One row per document: the base counts, base_failed, kept, and rejected_by (null if kept). The counts are wanted of every
+    text, so that only the rules beyond the base are a cascade here."""
     cascade = ordered(rules, measure(docs, rules, sample_rows))
 
     def judged(data: bytes) -> tuple:
         t = Text(data)
+        counts = t.n_words, t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words
         failed = base_failed(t)
         by = "base" if failed else cascade.rejected_by(t)
-        return t.n_words, t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words, failed, by is None, by
+        return *counts, failed, by is None, by
 
     kinds = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("rejected_by", pa.string())]
 
@@ -154,12 +222,15 @@ def quality(docs: DataFrame, rules: list[Rule] = RULES, sample_rows: int = 2000)
 
 
 def keep_good(docs: DataFrame, rules: list[Rule] = RULES, sample_rows: int = 2000) -> DataFrame:
-    """The rows of ``docs`` that every rule keeps, with all their columns and without a shuffle."""
-    cascade = ordered(rules, measure(docs, rules, sample_rows))
+    """The rows of ``docs`` that every rule keeps, with all their columns and without a shuffle. No counts are asked for, so the
+    base rules are part of the cascade."""
+    every = [*BASE, *rules]
+    cascade = ordered(every, measure(docs, every, sample_rows))
     at = docs.columns.index("text")
 
     def run(batch: pa.RecordBatch):
-        views = (Text((x.as_py() or "").encode()) for x in batch.column(at))
-        yield batch.filter(pa.array([not base_failed(t) and cascade.rejected_by(t) is None for t in views], pa.bool_()))
+        # As bytes, since a string column may hold what is no UTF-8.
+        views = (Text(x.as_py() or b"") for x in batch.column(at).cast(pa.binary()))
+        yield batch.filter(pa.array([cascade.rejected_by(t) is None for t in views], pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)

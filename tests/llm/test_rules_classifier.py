@@ -34,8 +34,35 @@ def test_order_never_changes_verdicts():
     t = [rules.Text((cases.CLEAN + x).encode()) for x in ("", " # " * 90, "A" * 900)]
     forward, backward = rules.Cascade(tuple(rules.RULES)), rules.Cascade(tuple(reversed(rules.RULES)))
     assert [forward.rejected_by(x) is None for x in t] == [backward.rejected_by(x) is None for x in t] == [True, False, False]
-    cheap = [{"rule": "capitals", "n": 9, "rejected": 5, "seconds": 0.1}, {"rule": "word_length", "n": 9, "rejected": 5, "seconds": 0.5}]
-    assert [r.name for r in rules.ordered(rules.RULES, cheap).rules][:2] == ["capitals", "word_length"]
+
+
+def test_cascade_is_greedy_by_rejections_per_cost():
+    """Rule a rejects most, b costs least; c shares a's measurement, so that it costs nothing more once a has run."""
+    make = lambda n, *needs: rules.Rule(n, lambda t: False, needs)
+    several = [make("a", "words"), make("b", "lines"), make("c", "words", "n_words"), make("d", "shouting")]
+    seen = rules.Measured({0b0001: 50, 0b0010: 20, 0b0101: 10, 0b0100: 5, 0b1000: 1, 0: 14}, {"words": 10.0, "lines": 1.0, "n_words": 0.1, "shouting": 0.5})
+    assert [r.name for r in rules.ordered(several, seen).rules] == ["b", "a", "c", "d"]
+    assert [r.name for r in rules.ordered(several, rules.Measured({}, {})).rules] == ["a", "b", "c", "d"]
+
+
+def test_measured_patterns(spark):
+    docs = spark.createDataFrame([(i, cases.CLEAN.upper() if i % 4 == 0 else cases.CLEAN) for i in range(40)], "doc_id long, text string")
+    seen = rules.measure(docs, rules.RULES)
+    k = [r.name for r in rules.RULES].index("capitals")
+    assert seen.patterns == {0: 30, 1 << k: 10} and set(seen.seconds) == {x for r in rules.RULES for x in r.needs}
+
+
+def test_more_rules_by_brute_force():
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
+    r = __import__("random").Random(2)
+    for _ in range(2000):
+        text = "".join(r.choice(["a ", "1 ", "é", "- ", "...", "… ", "\n", "• ", "* ", "ab ", "\x0b"]) for _ in range(r.randint(0, 25)))
+        t, w = rules.Text(text.encode()), words(text)
+        lines = [x for x in text.split("\n") if words(x)]
+        assert t.n_lettered == sum(bool(re.search(r"[A-Za-z]|[^\x00-\x7f]", x)) for x in w)
+        assert t.n_bullets == sum(words(x)[0][0] in "-*•" for x in lines)
+        assert t.n_ellipses == sum(words(x)[-1].endswith(("...", "…")) for x in lines)
+        assert t.most_common == max(Counter(w).values(), default=0)
 
 
 def test_stage_keeps_columns(spark):
@@ -63,3 +90,43 @@ def test_classifier_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in classifier.scored(cases.frame(spark), classifier.fit(cases.frame(spark), labels)).collect()} == {0.5}
     assert classifier.scored(cases.empty(spark), classifier.fit(cases.empty(spark), labels)).count() == 0
+
+
+def test_training_is_follow_the_regularised_leader():
+    """Weights against a plain form: one coordinate at a time, dictionaries, the same order of examples."""
+    r = np.random.default_rng(4)
+    examples, labels = [], []
+    for _ in range(30):
+        at = np.unique(r.integers(0, 40, 8))
+        examples.append((at, r.random(len(at)) * 3))
+        labels.append(int(r.integers(0, 2)))
+    got, bias = classifier.train(examples, labels, epochs=3, seed=5)
+    z, n, b, bn = {}, {}, 0.0, 0.0
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= classifier.L1:
+            return 0.0
+        sign = 1 if z[i] > 0 else -1
+        return -(z[i] - sign * classifier.L1) / ((classifier.BETA + n[i] ** 0.5) / classifier.ALPHA + classifier.L2)
+
+    order = np.random.default_rng(5)
+    for _ in range(3):
+        for k in order.permutation(len(labels)):
+            at, value = examples[k]
+            w = {int(i): weight(int(i)) for i in at}
+            p = 1 / (1 + np.exp(-(sum(w[int(i)] * v for i, v in zip(at, value, strict=True)) + b)))
+            for i, v in zip(at.tolist(), value.tolist(), strict=True):
+                g = (p - labels[k]) * v
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / classifier.ALPHA
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+            bn += (p - labels[k]) ** 2
+            b -= 0.1 * (p - labels[k]) / (1 + bn**0.5)
+    assert np.allclose([got[i] for i in range(40)], [weight(i) for i in range(40)]) and abs(b - bias) < 1e-12 and not got[40:].any()
+
+
+def test_a_document_labelled_twice_counts_twice(spark):
+    docs = spark.createDataFrame([(1, "good words"), (1, "other words"), (2, "bad ###")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0)], "doc_id long, quality int")
+    w, bias = classifier.fit(docs, labels)
+    assert np.abs(w).sum() > 0 and {r.doc_id for r in classifier.scored(docs, (w, bias)).collect()} == {1, 2}
