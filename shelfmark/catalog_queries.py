@@ -164,9 +164,17 @@ def _(spark, sf_dir):
     return live.overridden(src.catalog(spark, sf_dir), src.changes(spark, sf_dir)).select("volume", "file_id", "changed")
 
 
-@query("j9_missing_parents", f"WITH {LIVE} SELECT volume, file_id, parent_id FROM live l WHERE parent_id <> 0 AND parent_id <> file_id AND NOT EXISTS (SELECT 1 FROM live p WHERE p.volume = l.volume AND p.file_id = l.parent_id)")
+#: A view that lost the directories with odd ids, so that links are missing.
+DAMAGED = f"{LIVE}, damaged AS (SELECT * FROM live WHERE flags & 1 = 0 OR file_id % 2 = 0)"
+
+
+def damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir).filter((F.col("flags").bitwiseAND(1) == 0) | (F.col("file_id") % 2 == 0))
+
+
+@query("j9_missing_parents", f"WITH {DAMAGED} SELECT volume, file_id, parent_id FROM damaged l WHERE parent_id <> 0 AND parent_id <> file_id AND NOT EXISTS (SELECT 1 FROM damaged p WHERE p.volume = l.volume AND p.file_id = l.parent_id)")
 def _(spark, sf_dir):
-    return maintenance.missing_parents(view(spark, sf_dir))
+    return maintenance.missing_parents(damaged(spark, sf_dir))
 
 
 @query("q15_point_lookup", f"WITH RECURSIVE {LIVE}, {PATHS} SELECT volume, file_id, name, path FROM live JOIN paths USING (volume, file_id) WHERE volume = 'C' AND file_id = 1000007")
@@ -391,19 +399,24 @@ _DEEP = """(SELECT volume, count(name) AS names_checked, count(DISTINCT file_id)
   count_if(parent_id <> 0 AND parent_id <> file_id AND NOT EXISTS (SELECT 1 FROM {0} p WHERE p.volume = c.volume AND p.file_id = c.parent_id)) AS parent_links_missing FROM {0} c GROUP BY volume)"""
 
 
-@query("m4_deep_verify", f"WITH {LIVE} SELECT volume, names_checked::BIGINT AS names_checked, ids_checked, ids_repeated, parent_links_missing::BIGINT AS parent_links_missing FROM {_DEEP.format('live')}")
+@query("m4_deep_verify", f"WITH {DAMAGED}, twice AS (SELECT * FROM damaged UNION ALL SELECT * FROM damaged WHERE file_id % 10 = 3) SELECT volume, names_checked::BIGINT AS names_checked, ids_checked, ids_repeated, parent_links_missing::BIGINT AS parent_links_missing FROM {_DEEP.format('twice')}")
 def _(spark, sf_dir):
-    return maintenance.deep_verify(view(spark, sf_dir))
+    """Of a damaged view in which some rows stand twice."""
+    rows = damaged(spark, sf_dir)
+    return maintenance.deep_verify(rows.unionByName(rows.filter("file_id % 10 = 3")))
 
 
 @query(
     "m7_doctor",
-    f"""WITH {CATALOG}, {CHANGES}, {ATTRIBUTES} SELECT volume, count(*) AS records, coalesce(any_value(e), 0) AS delta_entries, coalesce(any_value(u), 0) AS delta_unique, 0::BIGINT AS parent_links_missing,
-    count(a.file_id) AS with_attributes, coalesce(any_value(e), 0) > 0 AS pending_delta FROM catalog c LEFT JOIN (SELECT volume, count(*) AS e, count(DISTINCT file_id) AS u FROM changes GROUP BY volume) d USING (volume)
-    LEFT JOIN attributes a USING (volume, file_id) GROUP BY volume""",
+    f"""WITH {CATALOG}, {CHANGES}, {ATTRIBUTES}, damaged AS (SELECT * FROM catalog WHERE flags & 1 = 0 OR file_id % 2 = 0)
+    SELECT c.volume, count(*) AS records, coalesce(any_value(e), 0) AS delta_entries, coalesce(any_value(u), 0) AS delta_unique, any_value(parent_links_missing)::BIGINT AS parent_links_missing,
+    count(a.file_id) AS with_attributes, coalesce(any_value(e), 0) > 0 AS pending_delta FROM damaged c LEFT JOIN (SELECT volume, count(*) AS e, count(DISTINCT file_id) AS u FROM changes GROUP BY volume) d USING (volume)
+    LEFT JOIN attributes a USING (volume, file_id) JOIN {_DEEP.format("damaged")} USING (volume) GROUP BY c.volume""",
 )
 def _(spark, sf_dir):
-    return maintenance.doctor(src.catalog(spark, sf_dir), src.changes(spark, sf_dir), src.attributes(spark, sf_dir))
+    """Of a base that lost some directories."""
+    base = src.catalog(spark, sf_dir).filter((F.col("flags").bitwiseAND(1) == 0) | (F.col("file_id") % 2 == 0))
+    return maintenance.doctor(base, src.changes(spark, sf_dir), src.attributes(spark, sf_dir))
 
 
 def _generations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ from .functions import names, safety
 from .operators import duplicates, maintenance, model, search
 from .operators.published import catalog as published
 from .sources import catalog as src
+from .storage import table
 from .streaming import journal as stream
 
 _CONTENT = f"WITH {LIVE}, {CONTENTS}, " + postings_sql(names.TEXT_EXTENSIONS)
@@ -158,6 +159,24 @@ def _(spark, sf_dir):
     return search.content_in_order(found.live(), found.table("postings"), "of the", "C")
 
 
+# Many searches at once
+
+
+_ASKED = "(SELECT DISTINCT p_brand || ':' || p_type || ':' || k AS query_id, substr(replace(p_name, ' ', '-'), 1, k) AS text FROM part, (SELECT unnest([2, 5, 9]) AS k))"
+
+
+@query(
+    "q16_batch_ranked",
+    f"""WITH {LIVE}, asked AS {_ASKED}, hits AS (SELECT query_id, volume, file_id, name, flags, {score_sql("@").replace("'@'", "text")} AS score FROM live JOIN asked ON starts_with(nn, text))
+    SELECT query_id, volume, file_id, name, flags, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, strlen(name), volume, file_id)::INT AS rank FROM hits QUALIFY rank <= 10""",
+)
+def _(spark, sf_dir):
+    """Ranked searches for the starts of all parts' names, by brand and type."""
+    parts = table(spark, sf_dir, "part").select("p_brand", "p_type", "p_name", F.explode(F.array(F.lit(2), F.lit(5), F.lit(9))).alias("k"))
+    asked = parts.select(F.concat_ws(":", "p_brand", "p_type", F.col("k").cast("string")).alias("query_id"), F.expr("substr(replace(p_name, ' ', '-'), 1, k)").alias("text")).distinct()
+    return search.ranked_batch(published(spark, sf_dir).live(), asked, 10)
+
+
 # Duplicates by file
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import email
+import email.policy
 import io
 import re
 import zipfile
@@ -34,11 +36,46 @@ def visible(markup: str) -> str:
     return " ".join(out)
 
 
+#: Destinations of a rich text that hold no text of the reader's, and control words that stand for a character.
+_RTF_HIDDEN = re.compile(rb"\{\\(?:\*|fonttbl|colortbl|stylesheet|info|pict)(?:[^{}]|\{[^{}]*\})*\}")
+_RTF = re.compile(rb"\\'([0-9a-fA-F]{2})|\\u(-?[0-9]+) ?\??|\\(par|line|tab|cell|row)\b ?|\\[a-zA-Z]+-?[0-9]* ?|\\(.)|([{}\r\n])", re.DOTALL)
+
+
+def rich_text(data: bytes) -> str:
+    """A rich text file's text: characters by code page or number, breaks as blanks, control words left out."""
+
+    def plain(m: re.Match) -> bytes:
+        if m[1]:
+            return bytes([int(m[1], 16)]).decode("cp1252", "replace").encode()
+        if m[2]:
+            return chr(int(m[2]) % 65536).encode("utf-8", "replace")
+        return b" " if m[3] else m[4] if m[4] in (b"\\", b"{", b"}") else b""
+
+    return " ".join(_RTF.sub(plain, _RTF_HIDDEN.sub(b"", data)).decode("utf-8", "replace").split())
+
+
+def message_text(data: bytes) -> str:
+    """The text parts of a mail or web archive, those in HTML without their tags."""
+    parts = []
+    for part in email.message_from_bytes(data, policy=email.policy.default).walk():
+        if part.get_content_maintype() == "text":
+            body = (part.get_payload(decode=True) or b"").decode(part.get_content_charset() or "utf-8", "replace")
+            parts.append(visible(body) if part.get_content_subtype() in ("html", "xml") else body.strip())
+    return " ".join(filter(None, parts))
+
+
 def text_of(name: str, data: bytes) -> str | None:
     """A document's text by its extension; None where it has none that is read here, or is damaged."""
     kind = name.rpartition(".")[2].lower()
-    if kind in ("html", "htm", "xml", "mht", "mhtml"):
+    if kind in ("html", "htm", "xml"):
         return visible(data.decode("utf-8", "replace"))
+    if kind == "rtf" and data.startswith(b"{\\rtf"):
+        return rich_text(data)
+    if kind in ("eml", "mht", "mhtml"):
+        try:
+            return message_text(data)
+        except (LookupError, ValueError):  # an unknown character set, a header that can't be read
+            return None
     if kind not in PARTS:
         return None if b"\0" in data[:4096] else data.decode("utf-8", "replace")
     try:

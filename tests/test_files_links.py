@@ -49,3 +49,11 @@ def test_packages_are_read_back(spark):
     rows = spark.createDataFrame([(1, "<p>a &amp; b</p>"), (2, None)], "page_id long, html string")
     got = files.extracted(files.packaged(rows, "page_id", "html"), "page_id", "name", "content").collect()
     assert {r.page_id: r.text for r in got} == {1: "a & b", 2: ""}
+
+
+def test_rich_texts_and_messages():
+    rtf = rb"{\rtf1\ansi{\fonttbl{\f0 Arial;}}{\*\generator x;}\f0\fs20 caf\'e9 \u8364? \{ok\}\par next\tab line}"
+    assert files.text_of("a.rtf", rtf) == "café € {ok} next line"
+    mail = b"Subject: s\r\nContent-Type: multipart/mixed; boundary=b\r\n\r\n--b\r\nContent-Type: text/plain; charset=latin-1\r\n\r\ncaf\xe9\r\n--b\r\nContent-Type: text/html\r\n\r\n<p>a &lt; b</p>\r\n--b\r\nContent-Type: image/png\r\n\r\nxx\r\n--b--\r\n"
+    assert files.text_of("a.eml", mail) == "café a < b" == files.text_of("a.mht", mail)
+    assert files.text_of("a.eml", b"Content-Type: text/plain; charset=nowhere\r\n\r\nx") is None
