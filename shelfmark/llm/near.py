@@ -242,6 +242,18 @@ def alone(sets: DataFrame) -> DataFrame:
     return once.groupBy("rep").agg(F.count("*").alias("alone"))
 
 
+#: A bucket with more than one in FULL of all members is full; there are fewer than FULL such buckets.
+FULL = 1000
+
+
+def by_bucket_of(rows: DataFrame, buckets: DataFrame, full: int) -> DataFrame:
+    """``rows`` joined to ``buckets``, a row each with its count ``cnt``. Rows of full buckets, of which there are fewer than
+    FULL, meet them where they are; others are dealt by bucket, so that no task gets all rows of a full one."""
+    hot = F.broadcast(written(buckets.filter(F.col("cnt") > full), "full"))
+    cold = rows.join(hot.select("bucket"), "bucket", "left_anti").join(buckets.filter(F.col("cnt") <= full), "bucket")
+    return rows.join(hot, "bucket").unionByName(cold)
+
+
 def linked(docs: DataFrame, reps: DataFrame, size: int, percent: int, block: int = 2048) -> DataFrame:
     """(child, parent): classes that are linked, directly or through others, with the least of them.
 
@@ -252,11 +264,12 @@ def linked(docs: DataFrame, reps: DataFrame, size: int, percent: int, block: int
     So each pair that shares a bucket is linked, or in one component already, or known to be apart.
     """
     placed = reps.select("rep", "n", F.explode("bands").alias("bucket"))
-    sizes = placed.groupBy("bucket").agg(F.count("*").alias("cnt")).filter("cnt > 1")
-    members = written(placed.join(sizes, "bucket"), "members")
+    sizes = written(placed.groupBy("bucket").agg(F.count("*").alias("cnt")).filter("cnt > 1"), "sizes")
+    full = (sizes.agg(F.coalesce(F.sum("cnt"), F.lit(0))).first()[0]) // FULL + 1
+    members = written(by_bucket_of(placed, sizes, full), "members")
     middle = members.groupBy("rep").agg(F.sum("cnt").alias("fullness"))
-    pivots = members.join(middle, "rep").groupBy("bucket").agg(F.max(F.struct("fullness", -F.col("rep"), "n")).alias("top")).select("bucket", (-F.col("top.col2")).alias("pivot"), F.col("top.n").alias("pivot_n"))
-    members = written(members.join(pivots, "bucket").filter(F.col("rep") != F.col("pivot")), "members")
+    pivots = members.join(middle, "rep").groupBy("bucket").agg(F.max(F.struct("fullness", -F.col("rep"), "n")).alias("top"), F.max("cnt").alias("cnt")).select("bucket", "cnt", (-F.col("top.col2")).alias("pivot"), F.col("top.n").alias("pivot_n"))
+    members = written(by_bucket_of(members.drop("cnt"), pivots, full).filter(F.col("rep") != F.col("pivot")), "members")
     alike = 100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")
     pairs = members.filter(alike).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     wanted = members.select("rep").union(members.select("pivot")).distinct()
@@ -265,8 +278,8 @@ def linked(docs: DataFrame, reps: DataFrame, size: int, percent: int, block: int
     found = components(links)
     # Pivots were compared with everyone, so a bucket of two is done.
     in_component = members.filter("cnt > 2").join(found.select(F.col("child").alias("rep"), F.col("parent").alias("component")), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed_up = in_component.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("bucket")
-    rows = written(in_component.join(mixed_up, "bucket", "left_semi").select("bucket", "rep", "n", "cnt", "component"), "rows")
+    mixed_up = in_component.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("cnt").alias("cnt")).filter("low != high").select("bucket", "cnt")
+    rows = written(by_bucket_of(in_component.drop("cnt"), mixed_up, full).select("bucket", "rep", "n", "cnt", "component"), "rows")
     left = sets.join(rows.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
     rows = rows.join(alone(left), "rep", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
     rows = rows.filter(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n"))
