@@ -626,10 +626,10 @@ def _(spark, sf_dir):
     return cache.select(F.col("seq").alias("last_page"), F.col("results")[0]["link"].alias("url"))
 
 
-@query("q14_web_lookup", f"SELECT f.doc_id, p.url AS link FROM (SELECT doc_id, {C_NAME} AS name, 'page-' || (doc_id % 50) AS target FROM documents) f LEFT JOIN (SELECT {_PAGE_NAME} AS target, arg_max(url, page_id) AS url FROM pages GROUP BY 1) p USING (target)")
+@query("q14_web_lookup", f"SELECT f.doc_id, p.url AS link FROM (SELECT doc_id, (doc_id % 1000)::VARCHAR AS target FROM documents) f LEFT JOIN (SELECT {_PAGE_NAME} AS target, arg_max(url, page_id) AS url FROM pages GROUP BY 1) p USING (target)")
 def _(spark, sf_dir):
-    """What the cache of answers has for each document's page; nothing is asked of a network."""
-    asked = table(spark, sf_dir, "documents").select("doc_id", web.cache_key(web.search_text(F.concat(F.lit("C:\\pages\\page-"), (F.col("doc_id") % 50).cast("string")))).alias("key"))
+    """What the cache of answers has for a page named by each document's number; nothing is asked of a network."""
+    asked = table(spark, sf_dir, "documents").select("doc_id", web.cache_key(web.search_text(F.concat(F.lit("C:\\pages\\"), (F.col("doc_id") % 1000).cast("string")))).alias("key"))
     return asked.join(web.latest(web.page_cache(spark, sf_dir)), "key", "left").select("doc_id", F.col("results")[0]["link"].alias("link"))
 
 

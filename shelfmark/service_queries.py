@@ -64,9 +64,15 @@ def _(spark, sf_dir):
     return search.smart(published(spark, sf_dir), "cleanup of old build trees", BLANK)
 
 
-@query("q9_smart_web", "SELECT url AS title, url AS link, html AS snippet FROM pages WHERE page_id = (SELECT max(page_id) FROM pages WHERE regexp_extract(url, '[^/]*$') = 'page-7.html' OR regexp_extract(url, '[^/]*$') = 'page-7')")
+_NAMED = "SELECT *, substr(trim(regexp_extract(url, '[^\\/]*$')), 1, 260) AS name FROM pages"
+
+
+@query("q9_smart_web", f"WITH n AS ({_NAMED}) SELECT url AS title, url AS link, html AS snippet FROM n WHERE name = (SELECT max(name) FROM n WHERE regexp_matches(name, '^[0-9]{{3}}$')) QUALIFY row_number() OVER (ORDER BY page_id DESC) = 1")
 def _(spark, sf_dir):
-    return search.smart(published(spark, sf_dir), "search web page-7", BLANK)
+    """A lookup of the page whose name is the greatest number of three digits."""
+    name = names.lookup_name(F.col("url"))
+    target = table(spark, sf_dir, "pages").filter(name.rlike("^[0-9]{3}$")).agg(F.coalesce(F.max(name), F.lit("none"))).first()[0]
+    return search.smart(published(spark, sf_dir), f"search web {target}", BLANK)
 
 
 @query("q10_route_explain")
