@@ -20,7 +20,7 @@ U64 = np.uint64
 
 
 #: Bytes of an Arrow batch: it is held by the JVM and by a Python worker, on either way, for each task at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(df: DataFrame) -> None:
@@ -56,6 +56,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBa
         for batch in batches:
             if batch.num_rows:
                 yield from fn(batch)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -116,21 +116,22 @@ def sliced(texts: Iterator[str]) -> Iterator[list[str]]:
         yield held
 
 
-def encoded(docs: DataFrame, model_file: str, keep: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256), and with ``keep`` the ids and the decoded text."""
+def encoded(docs: DataFrame, model_file: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), and of ``ids`` and ``decoded`` those that ``keep`` names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(model_file)
         for batch in batches:
-            out: list[tuple] = []
-            whole = (x.as_py().decode("utf-8", "replace") for x in batch.column(1))
-            for ids, text in (found for part in sliced(whole) for found in table.encode(part)):
-                row = ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
-                out.append((*row, np.fromstring(ids, np.int32, sep=" "), text) if keep else row)
-            columns = zip(*out, strict=True) if out else [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, (_, k) in zip(columns, kinds, strict=True))], ["doc_id", *(n for n, _ in kinds)])
-
-    kinds = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-    if keep:
-        kinds += [("ids", pa.list_(pa.int32())), ("decoded", pa.string())]
-    return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep)
+            at = 0
+            for part in sliced(x.as_py().decode("utf-8", "replace") for x in batch.column(1)):
+                out: list[tuple] = []
+                for ids, text in table.encode(part):
+                    more = {"ids": lambda: np.fromstring(ids, np.int32, sep=" "), "decoded": lambda: text}  # noqa: B023
+                    out.append((ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), *(more[k]() for k in keep)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), *(pa.array(x, k) for x, (_, k) in zip(zip(*out, strict=True), kinds, strict=True))], ["doc_id", *(n for n, _ in kinds)])
+                at += len(part)
+        pa.default_memory_pool().release_unused()
+
+    types = {"ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string())}
+    kinds = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *((k, types[k][1]) for k in keep)]
+    return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", {k} {types[k][0]}" for k in keep))

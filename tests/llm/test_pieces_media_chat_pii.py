@@ -25,7 +25,7 @@ def test_pieces_match_the_library(spark):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=piece_model())
-    got = {r.doc_id: r for r in pieces.encoded(cases.frame(spark), piece_model(), keep=True).collect()}
+    got = {r.doc_id: r for r in pieces.encoded(cases.frame(spark), piece_model(), keep=("ids", "decoded")).collect()}
     assert len(got) == len(cases.texts())
     for d, t in cases.texts().items():
         ids = sp.encode(t, add_eos=True)
