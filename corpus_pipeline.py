@@ -39,7 +39,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids with an end id."""
-    return pieces.encoded(docs, piece_model(), keep=True).drop("decoded")
+    return pieces.encoded(docs, piece_model(), keep=("ids",))
 
 
 STAGES: list[tuple[str, Stage]] = [
