@@ -36,7 +36,11 @@ def normal_path(path: Column) -> Column:
 
 def classified(path: Column, flags: Column) -> Column:
     """struct(class, risk, confidence)."""
-    p = normal_path(path)
+    return class_of(normal_path(path), flags)
+
+
+def class_of(p: Column, flags: Column) -> Column:
+    """``classified`` of a path in its normal form."""
     parts = F.split(p, r"\\")
     out = None
     for name, risk, confidence, components, inside, ends in CLASSES:
@@ -51,16 +55,24 @@ def classified(path: Column, flags: Column) -> Column:
 
 
 def protected(path: Column) -> Column:
-    p = normal_path(path)
+    return guarded(normal_path(path))
+
+
+def guarded(p: Column) -> Column:
+    """``protected`` of a path in its normal form."""
     return any_of([F.contains(p, F.lit(x)) for x in PROTECTED_INSIDE] + [F.endswith(p, F.lit(x)) for x in PROTECTED_ENDS])
 
 
 def cleanup_action(path: Column, kind: Column) -> Column:
     """struct(action, confidence) for a path of ``classified`` kind."""
+    return action_of(protected(path), kind)
+
+
+def action_of(is_protected: Column, kind: Column) -> Column:
     name, sure = kind["class"], kind["confidence"]
     value = lambda action, confidence: F.struct(F.lit(action).alias("action"), confidence.alias("confidence"))
     return (
-        F.when(protected(path) | (kind["risk"] == "Critical"), value("Deny", F.lit(100)))
+        F.when(is_protected | (kind["risk"] == "Critical"), value("Deny", F.lit(100)))
         .when(name.isin("Cache", "Temporary"), value("Quarantine", sure))
         .when(name.isin("BuildArtifact", "Log"), value("RecommendOnly", sure))
         .when(name == "Unknown", value("Keep", F.lit(20)))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.safety import classified, cleanup_action
+from ..functions.safety import action_of, class_of, guarded, normal_path
+from ..storage import written
 from .live import KEY, latest_changes, live_view, with_paths
 
 #: Name prefixes that a cleanup looks for, and the report's names of each and rows in all.
@@ -15,9 +16,11 @@ PER_PATTERN, IN_ALL = 128, 500
 
 
 def decisions(rows: DataFrame, *keep: str) -> DataFrame:
-    """(volume, file_id, path, class, risk, action, confidence) of rows with paths and flags, and the columns ``keep``."""
-    kind = rows.withColumn("kind", classified(F.col("path"), F.col("flags")))
-    return kind.withColumn("do", cleanup_action(F.col("path"), F.col("kind"))).select("volume", "file_id", "path", "kind.class", "kind.risk", "do.action", "do.confidence", *keep)
+    """(volume, file_id, path, class, risk, action, confidence) of rows with paths and flags, and the columns ``keep``. The path's
+    normal form, its kind and what to do are made below each other, each once a row."""
+    found = rows.select("volume", "file_id", "path", "flags", *keep, normal_path(F.col("path")).alias("normal"))
+    found = found.withColumn("kind", class_of(F.col("normal"), F.col("flags"))).withColumn("guarded", guarded(F.col("normal")))
+    return found.withColumn("do", action_of(F.col("guarded"), F.col("kind"))).select("volume", "file_id", "path", "kind.class", "kind.risk", "do.action", "do.confidence", *keep)
 
 
 def candidates(live: DataFrame, directories: DataFrame | None = None) -> DataFrame:
@@ -27,7 +30,8 @@ def candidates(live: DataFrame, directories: DataFrame | None = None) -> DataFra
     for i, p in reversed(list(enumerate(PATTERNS))):
         number = F.when(F.startswith("name_norm", F.lit(p)), i).otherwise(number)
     found = live.withColumn("pattern", number).filter("pattern is not null")
-    return decisions(with_paths(found, live, directories), "pattern", "name_norm").filter("action != 'Keep'")
+    # Written first: a filter on a decision would be pushed below it, and with it all that decides.
+    return written(decisions(with_paths(found, live, directories), "pattern", "name_norm"), "candidates").filter("action != 'Keep'")
 
 
 def cleanup(live: DataFrame, per_pattern: int = PER_PATTERN, in_all: int = IN_ALL, directories: DataFrame | None = None) -> DataFrame:

@@ -40,8 +40,8 @@ def manifest(spark: SparkSession, root: str) -> DataFrame:
         return spark.createDataFrame([], MANIFEST)
 
 
-def publish(rows: DataFrame, root: str, kind: str, position: int | None = None) -> int:
-    """Write the next generation of a table, sorted, then its line in the manifest; gives the generation's number."""
+def publish(rows: DataFrame, root: str, kind: str, position: int | None = None) -> DataFrame:
+    """Write the next generation of a table, sorted, then its line in the manifest; gives the generation's rows."""
     spark = rows.sparkSession
     schema, order = TABLES[kind]
     columns = [c.split()[0] for c in schema.split(", ")]
@@ -49,9 +49,9 @@ def publish(rows: DataFrame, root: str, kind: str, position: int | None = None)
     generation = 1 if before is None else before + 1
     path = f"{root}/{kind}/generation={generation:010d}-{uuid.uuid4().hex}"
     rows.select(*columns).repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
-    records = spark.read.schema(schema).parquet(path).count()
-    spark.createDataFrame([(kind, generation, path, records, position)], MANIFEST).coalesce(1).write.mode("append").parquet(f"{root}/manifest")
-    return generation
+    found = spark.read.schema(schema).parquet(path)
+    spark.createDataFrame([(kind, generation, path, found.count(), position)], MANIFEST).coalesce(1).write.mode("append").parquet(f"{root}/manifest")
+    return found
 
 
 def whole(spark: SparkSession, kind: str, path: str, records: int) -> DataFrame | None:
@@ -105,8 +105,7 @@ class Catalog:
             rows = newest(self.spark, self.root, kind)
             if rows is None:
                 position = None if kind in ("base", "by_id") else self.journal_position()
-                publish(self.sources(kind), self.root, kind, position)
-                rows = newest(self.spark, self.root, kind)
+                rows = publish(self.sources(kind), self.root, kind, position)
             self.found[kind] = rows
         return self.found[kind]
 
@@ -127,8 +126,7 @@ class Catalog:
         return position_of(self.spark, self.root, "base")
 
     def put(self, rows: DataFrame, kind: str, position: int | None) -> None:
-        self.found.pop(kind, None)
-        publish(rows, self.root, kind, position)
+        self.found[kind] = publish(rows, self.root, kind, position)
 
     def pending(self) -> bool:
         """Whether the journal went on since the overlay was published."""
