@@ -1,6 +1,7 @@
 """Published tables, routing, models, web answers, quarantine and the service around the journal."""
 
 import shutil
+import time
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import names, web
 from shelfmark.operators import live, maintenance, model, published, search
+from shelfmark.sources import catalog as src
 from shelfmark.streaming import journal as stream
 
 BASE = "volume string, file_id long, parent_id long, size_bytes long, flags int, name string"
@@ -29,7 +31,7 @@ def rows(df):
 
 def test_published_view_is_the_live_view(spark, tables, tmp_path):
     found = published.Catalog(spark, tables, str(tmp_path / "store"))
-    want = live.live_view(found.sources("base"), __import__("shelfmark.sources.catalog", fromlist=["changes"]).changes(spark, tables))
+    want = live.live_view(found.sources("base"), src.changes(spark, tables))
     columns = sorted(want.columns)
     assert rows(found.live().select(columns)) == rows(want.select(columns)) and rows(found.live("by_id").select(columns)) == rows(want.select(columns))
     assert rows(found.with_paths(found.live()).select("volume", "file_id", "path")) == rows(live.with_paths(want, want).select("volume", "file_id", "path"))
@@ -216,7 +218,7 @@ def test_service_state(spark, tmp_path):
     for _ in range(100):
         if any(r[1] == "Stopped" for r in listener.rows):
             break
-        __import__("time").sleep(0.1)
+        time.sleep(0.1)
     spark.streams.removeListener(listener)
     states = [r.state for r in listener.table(spark).collect()]
     assert states[0] == "Started" and states[-1] == "Stopped" and "Progress" in states
