@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -54,7 +55,7 @@ def test_measured_patterns(spark):
 
 def test_more_rules_by_brute_force():
     words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
-    r = __import__("random").Random(2)
+    r = random.Random(2)
     for _ in range(2000):
         text = "".join(r.choice(["a ", "1 ", "é", "- ", "...", "… ", "\n", "• ", "* ", "ab ", "\x0b"]) for _ in range(r.randint(0, 25)))
         t, w = rules.Text(text.encode()), words(text)
