@@ -219,10 +219,15 @@ def dense(at: list[np.ndarray], rows: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+#: Shingles of a block's sets together, 8 bytes each.
+BLOCK_SHINGLES = 4 << 20
+
+
 def blocked(rows: DataFrame, size: int) -> DataFrame:
-    """Rows of a bucket of more than ``size`` in blocks: each row once for each block that its own is compared with."""
+    """Rows of a bucket of more than ``size``, or with more than BLOCK_SHINGLES in all (``weight``), in blocks: each row once for
+    each block that its own is compared with."""
     own = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("rep"), F.col("blocks"))).otherwise(F.lit(0)).cast("int")
-    rows = rows.withColumn("blocks", F.ceil(F.col("cnt") / size).cast("int")).withColumn("own", own)
+    rows = rows.withColumn("blocks", F.ceil(F.greatest(F.col("cnt") / size, F.col("weight") / BLOCK_SHINGLES)).cast("int")).withColumn("own", own)
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.select("bucket", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "rep", "n", "component", "alone")
 
@@ -280,6 +285,8 @@ def linked(docs: DataFrame, reps: DataFrame, size: int, percent: int, block: int
     in_component = members.filter("cnt > 2").join(found.select(F.col("child").alias("rep"), F.col("parent").alias("component")), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed_up = in_component.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("cnt").alias("cnt")).filter("low != high").select("bucket", "cnt")
     rows = written(by_bucket_of(in_component.drop("cnt"), mixed_up, full).select("bucket", "rep", "n", "cnt", "component"), "rows")
+    weights = rows.groupBy("bucket").agg(F.sum("n").alias("weight"), F.max("cnt").alias("cnt"))
+    rows = by_bucket_of(rows.drop("cnt"), weights, full)
     left = sets.join(rows.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
     rows = rows.join(alone(left), "rep", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
     rows = rows.filter(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n"))

@@ -210,10 +210,16 @@ def test_near_duplicates(spark, seed):
     assert {r.doc_id: tuple(r)[1:] for r in near.near_duplicates(docs, 4, 80).collect()} == alike(rows)
 
 
-def test_blocks_of_full_buckets_lose_nothing(spark, monkeypatch):
+@pytest.mark.parametrize("limit", ["rows", "shingles", "full"])
+def test_blocks_of_full_buckets_lose_nothing(spark, monkeypatch, limit):
     rows = copies(5)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(near.linked, "__defaults__", (8,))
+    if limit == "rows":
+        monkeypatch.setattr(near.linked, "__defaults__", (8,))
+    elif limit == "shingles":
+        monkeypatch.setattr(near, "BLOCK_SHINGLES", 900)
+    else:
+        monkeypatch.setattr(near, "FULL", 100_000)  # every bucket counts as full
     assert {r.doc_id: tuple(r)[1:] for r in near.near_duplicates(docs, 4, 80).collect()} == alike(rows)
 
 
