@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, classifier, media, mixing, near, pieces, pii, rlz, rules, substring_sa
+from . import chat, classifier, fim, media, mixing, near, periods, pieces, pii, rlz, rules, substring_sa, topk
 from .base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,8 +64,21 @@ def op10_relative_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz.deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.transformed(table(spark, sf_dir, "documents")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digests(periods.found(table(spark, sf_dir, "documents"), rewriting=periods.planted))
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.search(topk.index(rows, "vec_id", "embedding"), rows.filter("vec_id % 100 = 0"), "vec_id", "embedding")
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_source_mixing, op2_suffix_array_dedup, op3_quality_rules, op4_minhash_near_dedup, op5_quality_classifier, op6_sentencepiece, op7_media_columns, op8_chat_formatting, op9_pii, op10_relative_lempel_ziv]
+    found = [op1_source_mixing, op2_suffix_array_dedup, op3_quality_rules, op4_minhash_near_dedup, op5_quality_classifier, op6_sentencepiece, op7_media_columns, op8_chat_formatting, op9_pii, op10_relative_lempel_ziv, op11_fill_in_middle, op12_periodic_runs, op13_exact_top_k]
     return {f.__name__: f for f in found}
 
 
@@ -167,6 +180,42 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(ran
 FROM d LEFT JOIN l USING (doc_id)
 """
 
+OP11 = """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+  list_transform(range(0, 4), lambda k: ('0x' || substr(sha256('1:' || coalesce(doc_id::VARCHAR, '')), 8 * k + 1, 8))::BIGINT) AS h FROM documents),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS z,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, z - a) AS middle, substr(t, z + 1) AS suffix FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN z - a END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p
+"""
+
+#: Equal words q apart, for each q in stretches of successive places; a stretch that two distances give has the smaller period.
+OP12 = f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, c: list_reduce([xor(crc, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295) AS h FROM documents),
+g AS (SELECT doc_id, w, len(w) AS n, h, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS parts FROM d),
+x AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // parts) END]) ELSE w END AS w FROM g),
+o AS (SELECT doc_id, word, i FROM (SELECT doc_id, unnest(w) AS word, unnest(range(0, n)) AS i FROM x)),
+e AS (SELECT l.doc_id, r.i - l.i AS q, l.i FROM o l JOIN o r ON l.doc_id IS NOT DISTINCT FROM r.doc_id AND l.word = r.word AND r.i > l.i),
+s AS (SELECT doc_id, q, min(i) AS start, max(i) + 1 + q AS stop FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e) GROUP BY doc_id, q, island),
+r AS (SELECT doc_id, start, stop, min(q) AS q FROM s WHERE stop - start >= greatest(12, 2 * q) GROUP BY doc_id, start, stop),
+y AS (SELECT doc_id, count(*) AS n_runs, min({{'less': start - stop, 'start': start, 'q': q}}) AS best, string_agg(start || ',' || (stop - start) || ',' || q || chr(10), '' ORDER BY start, q) AS lines FROM r GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + q, stop)) AS i FROM r),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM o ANTI JOIN gone ON o.doc_id IS NOT DISTINCT FROM gone.doc_id AND o.i = gone.i GROUP BY doc_id)
+SELECT x.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start::BIGINT AS start, (-best.less)::BIGINT AS length, best.q::BIGINT AS period, (-1000 * best.less // best.q)::BIGINT AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM x LEFT JOIN y ON x.doc_id IS NOT DISTINCT FROM y.doc_id LEFT JOIN k ON x.doc_id IS NOT DISTINCT FROM k.doc_id
+"""
+
+OP13 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE))) = len(embedding))
+SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.v, c.v) DESC, c.vec_id)::INT AS rank, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v) QUALIFY rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": OP1, "op2_suffix_array_dedup": OP2, "op3_quality_rules": OP3, "op8_chat_formatting": OP8, "op10_relative_lempel_ziv": OP10}
+    return {"op1_source_mixing": OP1, "op2_suffix_array_dedup": OP2, "op3_quality_rules": OP3, "op8_chat_formatting": OP8, "op10_relative_lempel_ziv": OP10, "op11_fill_in_middle": OP11, "op12_periodic_runs": OP12, "op13_exact_top_k": OP13}
