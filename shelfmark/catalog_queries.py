@@ -13,7 +13,7 @@ from .operators import duplicates, live, maintenance, model, search
 from .operators.published import catalog as published
 from .plans import uri
 from .sources import catalog as src
-from .sources import files
+from .sources import files, journal_log
 from .storage import shared_dir, table
 from .streaming import journal as stream
 
@@ -23,6 +23,9 @@ SQL: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    if name in QUERIES:
+        raise ValueError(f"{name} is taken")
+
     def add(f: Query) -> Query:
         QUERIES[name] = f
         if sql:
@@ -223,7 +226,7 @@ def _(spark, sf_dir):
 
 @query("q6_filtered_size", f"WITH {LIVE}, {ATTRIBUTES} " + ranked_sql("", "regexp_matches(nn, '[.]md$') AND a.size_bytes >= 501", 50, extra="JOIN (SELECT volume, file_id, size_bytes, modified_unix_secs FROM attributes) a USING (volume, file_id)"))
 def _(spark, sf_dir):
-    return search.filtered(stored(spark, sf_dir), published(spark, sf_dir).table("attributes"), "ext:md size:>500")
+    return search.filtered(stored(spark, sf_dir), published(spark, sf_dir).attributes("size:>500"), "ext:md size:>500")
 
 
 @query(
@@ -231,7 +234,7 @@ def _(spark, sf_dir):
     f"WITH RECURSIVE {LIVE}, {PATHS}, {ATTRIBUTES} " + ranked_sql("doc", "starts_with(nn, 'doc') AND contains(lower(path), 'fr') AND a.modified_unix_secs >= 1704844800", 50, extra="JOIN paths USING (volume, file_id) JOIN (SELECT volume, file_id, modified_unix_secs FROM attributes) a USING (volume, file_id)"),
 )
 def _(spark, sf_dir):
-    return search.filtered(stored(spark, sf_dir), published(spark, sf_dir).table("attributes"), "doc path:fr date:>=2024-01-10", directories=published(spark, sf_dir).table("directories"))
+    return search.filtered(stored(spark, sf_dir), published(spark, sf_dir).attributes("date:>=2024-01-10"), "doc path:fr date:>=2024-01-10", directories=published(spark, sf_dir).table("directories"))
 
 
 @query("q6_filtered_type", f"WITH {LIVE} " + ranked_sql("", "flags & 1 <> 0", 50))
@@ -269,16 +272,6 @@ def _(spark, sf_dir):
     return search.content(stored(spark, sf_dir), published(spark, sf_dir).table("postings"), "of the")
 
 
-@query(
-    "q8_ranked_by_volume",
-    f"""WITH {LIVE}, s AS (SELECT volume, file_id, name, flags, {score_sql("r")} AS score FROM live WHERE starts_with(nn, 'r')),
-    o AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY volume ORDER BY score DESC, strlen(name), file_id) <= 20)
-    SELECT *, row_number() OVER (ORDER BY score DESC, strlen(name), volume, file_id)::INT AS rank FROM o QUALIFY rank <= 20""",
-)
-def _(spark, sf_dir):
-    return search.ranked_by_volume(stored(spark, sf_dir), "r", 20, 2)
-
-
 @query(
     "q3_ranked_bounded",
     f"""WITH {LIVE}, b AS (SELECT * FROM live WHERE starts_with(nn, 'red') QUALIFY row_number() OVER (PARTITION BY volume ORDER BY nn, file_id) <= 160) """ + ranked_sql("red", "true", 20, rows="b"),
@@ -650,6 +643,52 @@ def _(spark, sf_dir):
     return stream.state(spark, f"{home}/changes")
 
 
+def _logged(spark: SparkSession, records: DataFrame, path: str, journal: str) -> str:
+    """A raw log of journal records below a shared folder."""
+    journal_log.append(records, path, journal)
+    return path
+
+
+def _caught_up(started) -> None:
+    """Wait until a stream has read all there is, and stop it."""
+    started.processAllAvailable()
+    started.stop()
+
+
+@query("s2_journal_log", f"WITH {CHANGES} SELECT * FROM changes")
+def _(spark, sf_dir):
+    """The journal written as a raw log, and read back by the data source."""
+    records = src.timed_journal(table(spark, sf_dir, "events"))
+    path = _logged(spark, records, f"{shared_dir(spark)}/log-{uuid.uuid4().hex}", "first")
+    spark.dataSource.register(journal_log.JournalSource)
+    return src.changes_of(spark.read.format("journal").option("path", path).load())
+
+
+@query("t3_keyed_state", f"WITH {CHANGES} SELECT * FROM latest")
+def _(spark, sf_dir):
+    """The journal followed as a stream with keyed state, stopped at its half and started again, in batches of a tenth."""
+    home = f"{shared_dir(spark)}/keyed-{uuid.uuid4().hex}"
+    records = src.timed_journal(table(spark, sf_dir, "events"))
+    half = (records.agg(F.max("seq")).first()[0] or 0) // 2
+    for part in (records.filter(F.col("seq") < half), records.filter(F.col("seq") >= half)):
+        log = _logged(spark, part, f"{home}/log", "first")
+        _caught_up(stream.follow(stream.log_stream(spark, log, max(half // 5, 1)), f"{home}/checkpoint"))
+    return stream.kept_state(spark, f"{home}/checkpoint")
+
+
+@query("t5_state_after_reset", f"WITH {CHANGES} SELECT * FROM latest")
+def _(spark, sf_dir):
+    """A followed journal is replaced by another: its stream stops with JournalReset, and a new one follows the other from its
+    beginning."""
+    home = f"{shared_dir(spark)}/reset-{uuid.uuid4().hex}"
+    records = src.timed_journal(table(spark, sf_dir, "events"))
+    log = _logged(spark, records.filter("seq % 2 = 0"), f"{home}/log", "first")
+    _caught_up(stream.follow(stream.log_stream(spark, log), f"{home}/checkpoint"))
+    records.limit(0).select(F.lit("").alias("value")).write.mode("overwrite").text(log)
+    _logged(spark, records, log, "second")
+    return stream.followed_or_rebuilt(spark, log, f"{home}/checkpoint", f"{home}/again")
+
+
 def queries() -> dict[str, Query]:
     from . import service_queries  # noqa: F401  registers its own
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import qualified
+from ..functions.names import qualified, within_scope
 from ..sources.catalog import named
 from ..storage import written
 
@@ -13,9 +13,10 @@ KEY = ["volume", "file_id"]
 CHAIN = 256
 
 
-def latest_changes(changes: DataFrame) -> DataFrame:
-    """The last change by sequence of each file: a partial aggregate in every task, then one row a key is shuffled."""
-    last = F.max_by(F.struct("op", "parent_id", "size_bytes", "flags", "name"), "seq")
+def latest_changes(changes: DataFrame, *more: str) -> DataFrame:
+    """The last change by sequence of each file, with the columns ``more``: a partial aggregate in every task, then one row a
+    key is shuffled."""
+    last = F.max_by(F.struct("op", "parent_id", "size_bytes", "flags", "name", *more), "seq")
     return changes.groupBy(*KEY).agg(last.alias("c"), F.max("seq").alias("seq")).select(*KEY, "seq", "c.*")
 
 
@@ -58,6 +59,25 @@ def joined_names(chain) -> F.Column:
     return F.array_join(F.reverse(F.transform(fresh, lambda x: x["name"])), "\\")
 
 
+def with_scopes(directories: DataFrame) -> DataFrame:
+    """Directories with the key that they are sorted by: the whole path in lower case with a separator behind. What lies below
+    a directory is then a range of keys, as an interval of entry and exit numbers would be, and a new name or place of a
+    directory changes the keys of its subtree alone."""
+    return directories.withColumn("scope", F.concat(F.lower(F.replace(qualified(F.col("volume"), F.col("path")), F.lit("/"), F.lit("\\"))), F.lit("\\")))
+
+
+def in_scope(rows: DataFrame, live: DataFrame, directories: DataFrame, scope: str) -> DataFrame:
+    """``rows`` with their paths, of those that are the scope or lie below it. The scope's directories are a range of the
+    directories' keys, which is pushed to their scan; rows are below one of them, or have the scope's own name, and only
+    these get paths. A scope that is a drive takes all of its rows."""
+    key = scope.replace("/", "\\").lower().rstrip("\\") + "\\"
+    if key.count("\\") > 1:
+        below = directories.filter(F.startswith("scope", F.lit(key))).select("volume", F.col("file_id").alias("parent_id"))
+        named = F.col("name_norm") == key.split("\\")[-2]
+        rows = rows.filter(named).unionByName(rows.filter(~named).join(below, ["volume", "parent_id"], "left_semi").select(rows.columns))
+    return with_paths(rows, live, directories).filter(within_scope(F.col("path"), scope))
+
+
 def with_paths(rows: DataFrame, live: DataFrame, directories: DataFrame | None = None) -> DataFrame:
     """``rows`` of the live view with their paths, each with its drive; ``directories`` are its ``directory_paths``, made here
     if they are not given."""

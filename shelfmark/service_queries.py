@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .catalog_queries import _NODE, ATTRIBUTES, CATALOG, CHANGES, CLEANUP, CONTENTS, DECIDED, LIVE, PATHS, PLAN, _files, _log, _plan, postings_sql, query, ranked_sql, score_sql
 from .functions import names, safety
 from .operators import duplicates, maintenance, model, search
+from .operators.published import TABLES, Catalog, commits, snapshot_of
 from .operators.published import catalog as published
 from .sources import catalog as src
-from .storage import table
+from .storage import shared_dir, table
 from .streaming import journal as stream
 
 _CONTENT = f"WITH {LIVE}, {CONTENTS}, " + postings_sql(names.TEXT_EXTENSIONS)
@@ -145,7 +148,7 @@ def _(spark, sf_dir):
 @query("q8_filtered_by_volume", f"WITH {LIVE}, {ATTRIBUTES} " + by_volume_sql("", "a.size_bytes >= 1001", _SCORED, 30, "JOIN (SELECT volume, file_id, size_bytes FROM attributes) a USING (volume, file_id)"))
 def _(spark, sf_dir):
     found = published(spark, sf_dir)
-    return search.filtered_by_volume(found.live(), found.table("attributes"), "size:>1000", 30, 2)
+    return search.filtered_by_volume(found.live(), found.attributes("size:>1000"), "size:>1000", 30, 2)
 
 
 @query("q8_content_by_volume", f"{_CONTENT} " + by_volume_sql("of the", hits_sql("the", "of"), "file_id", 30))
@@ -230,6 +233,41 @@ def _(spark, sf_dir):
     return published(spark, sf_dir).table("base")
 
 
+def _history(spark, sf_dir) -> Catalog:
+    """A store of its own with three commits: a scan when half of the journal was written, a refresh, and a compaction."""
+    root = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    end = src.changes(spark, sf_dir).agg(F.max("seq")).first()[0]
+    Catalog(spark, sf_dir, root, upto=(end or 0) // 2).snapshot()
+    later = Catalog(spark, sf_dir, root)
+    later.refresh()
+    later.maintain()
+    return later
+
+
+def _damage(store: Catalog, kind: str, newest: int) -> None:
+    """Empty a table's generation in each of the newest commits."""
+    for row in commits(store.spark, store.root).orderBy(F.desc("version")).limit(newest).collect():
+        line = snapshot_of(row).tables[kind]
+        store.spark.createDataFrame([], TABLES[kind][0]).write.mode("overwrite").parquet(f"{store.root}/{line.path}")
+
+
+@query("m2_recovered_view", f"WITH {LIVE} SELECT volume, file_id, parent_id, size_bytes, flags, name, nn AS name_norm FROM live")
+def _(spark, sf_dir):
+    """The newest commit lost its base: the view is the one before it, of one snapshot throughout."""
+    store = _history(spark, sf_dir)
+    _damage(store, "base", 1)
+    return Catalog(spark, sf_dir, store.root).live()
+
+
+@query("m2_recovered_behind", f"WITH RECURSIVE {LIVE}, {PATHS} SELECT volume, file_id, path FROM paths")
+def _(spark, sf_dir):
+    """All commits but the first lost their overlay: that one is brought forward by the journal after it."""
+    store = _history(spark, sf_dir)
+    _damage(store, "overlay", 2)
+    found = Catalog(spark, sf_dir, store.root)
+    return found.with_paths(found.live()).select("volume", "file_id", "path")
+
+
 @query("s6_id_scan", f"WITH {CATALOG} SELECT volume, file_id, name, lag(file_id) OVER (PARTITION BY volume ORDER BY file_id) IS NULL AS first FROM catalog")
 def _(spark, sf_dir):
     """The base in the order of its ids, from the table that is stored so."""
@@ -240,7 +278,9 @@ def _(spark, sf_dir):
 
 @query("s15_content_index", f"WITH {CONTENTS}, {postings_sql(names.TEXT_EXTENSIONS)} SELECT token, count(*) AS files, min(file_id) AS first_file FROM postings GROUP BY token")
 def _(spark, sf_dir):
-    return published(spark, sf_dir).table("postings").groupBy("token").agg(F.count("*").alias("files"), F.min("file_id").alias("first_file"))
+    """Of the posting lists alone: their counts and first places, without opening a list."""
+    first = F.shiftleft("block", search.BLOCK_BITS) + F.col("offsets")[0]
+    return published(spark, sf_dir).table("postings").groupBy("token").agg(F.sum("files").alias("files"), F.min(first).alias("first_file"))
 
 
 @query("s16_discovered_volumes", f"WITH {CATALOG} SELECT upper(volume) AS volume, count(*) AS records FROM catalog WHERE regexp_matches(volume, '^[A-Za-z]$') GROUP BY 1")

@@ -6,7 +6,7 @@ only attributes know them. Flags: 1 directory, 2 hidden, 4 system, 8 reparse poi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import normalized
@@ -81,19 +81,25 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.lit("C").alias("volume"), (F.lit(1_000_000) + F.col("doc_id")).alias("file_id"), F.expr(f"concat('doc-', lpad(cast(doc_id as string), 7, '0'), element_at({strings(EXTENSIONS)}, cast(doc_id % 10 as int) + 1))").alias("name"), "text")
 
 
-def journal(events: DataFrame) -> DataFrame:
-    """Journal records (seq, file_id, reason, name) of volume D from an events table, batch or stream."""
+def journal(events: DataFrame, *more: Column) -> DataFrame:
+    """Journal records (seq, file_id, reason, name) of volume D from an events table, batch or stream, and the columns ``more``."""
     reason = F.expr(f"case event_type when 'signup' then {CREATE} when 'purchase' then {RENAME_NEW} when 'error' then {DELETE} when 'click' then {RENAME_OLD} else {DATA} end")
-    return events.select(F.col("event_id").alias("seq"), (F.lit(1_000_000) + F.col("user_id")).alias("file_id"), reason.alias("reason"), F.concat(F.lit("renamed-"), F.col("event_id").cast("string"), F.lit(".txt")).alias("name"))
+    return events.select(F.col("event_id").alias("seq"), (F.lit(1_000_000) + F.col("user_id")).alias("file_id"), reason.alias("reason"), F.concat(F.lit("renamed-"), F.col("event_id").cast("string"), F.lit(".txt")).alias("name"), *more)
 
 
-def changes_of(records: DataFrame) -> DataFrame:
-    """Relevant records as changes: a deletion has no name, anything else is an upsert; a rename's old name alone is none."""
+def timed_journal(events: DataFrame) -> DataFrame:
+    """Journal records with the milliseconds of their time, as logs hold them."""
+    return journal(events, F.unix_millis(F.col("ts").cast("timestamp")).alias("millis"))
+
+
+def changes_of(records: DataFrame, *more: str) -> DataFrame:
+    """Relevant records as changes: a deletion has no name, anything else is an upsert; a rename's old name alone is none. The
+    columns ``more`` go along."""
     relevant = (F.col("reason").bitwiseAND(RELEVANT) != 0) & ~((F.col("reason").bitwiseAND(RENAME_OLD) != 0) & (F.col("reason").bitwiseAND(RENAME_NEW) == 0))
     gone = F.col("reason").bitwiseAND(DELETE) != 0
     return records.filter(relevant).select(
         F.lit("D").alias("volume"), "seq", F.when(gone, "Delete").otherwise("Upsert").alias("op"), "file_id", F.lit(5).cast("long").alias("parent_id"),
-        F.lit(0).cast("long").alias("size_bytes"), F.lit(0).alias("flags"), F.when(gone, "").otherwise(F.col("name")).alias("name"),
+        F.lit(0).cast("long").alias("size_bytes"), F.lit(0).alias("flags"), F.when(gone, "").otherwise(F.col("name")).alias("name"), *more,
     )
 
 

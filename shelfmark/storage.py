@@ -39,5 +39,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def claimed(df: DataFrame, path: str, staged: str) -> bool:
+    """Write ``df`` and rename it to ``path``, which only one of several writers can do; whether this one did. A rename to a
+    folder that is there fails, on HDFS as on a local disk."""
+    spark = df.sparkSession
+    df.coalesce(1).write.json(staged)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    source, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (staged, path))
+    fs = target.getFileSystem(conf)
+    fs.mkdirs(target.getParent())
+    if fs.exists(target) or not fs.rename(source, target):
+        return False
+    # A writer that was passed after it looked may have landed inside the winner's folder: then it isn't the winner.
+    return not fs.exists(jvm.org.apache.hadoop.fs.Path(target, source.getName()))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

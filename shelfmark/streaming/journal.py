@@ -7,13 +7,19 @@ are seen whole.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from ..operators.live import latest_changes
 from ..sources.catalog import changes_of, journal
+from ..sources.journal_log import JournalReset, JournalSource
 
 CHANGES = "volume string, seq long, op string, file_id long, parent_id long, size_bytes long, flags int, name string"
 
@@ -43,6 +49,87 @@ def state(spark: SparkSession, target: str) -> DataFrame:
     return latest_changes(ingested(spark, target))
 
 
+#: A file's latest change as it is kept, and as it is given.
+KEPT = "seq long, op string, parent_id long, size_bytes long, flags int, name string"
+GIVEN = "volume string, file_id long, " + KEPT
+
+
+def log_stream(spark: SparkSession, path: str, records_per_batch: int | None = None) -> DataFrame:
+    """Changes of a raw journal log, with the milliseconds of their time."""
+    spark.dataSource.register(JournalSource)
+    reader = spark.readStream.format("journal").option("path", path)
+    return changes_of((reader if records_per_batch is None else reader.option("records_per_batch", records_per_batch)).load(), "millis")
+
+
+def combined(changes: DataFrame) -> DataFrame:
+    """The last change of each file in each Arrow batch, before any shuffle, so that a file that changes all the time is few
+    rows a task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield rows.sort_values("seq").drop_duplicates(["volume", "file_id"], keep="last")
+
+    return changes.mapInPandas(run, changes.schema)
+
+
+def keyed(changes: DataFrame, keep_millis: int | None = None) -> DataFrame:
+    """The latest change of each file as keyed state of a stream: a batch gives a row for each file that it changes, and costs
+    in proportion to its own records and not to all that came before. An older record that comes late changes nothing.
+
+    A deletion stays as a tombstone, so that an older record can't bring its file back. With ``keep_millis`` it goes once the
+    stream's watermark is so far past it; records older than the watermark are dropped by then."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = state.get if state.exists else None
+        before, millis = held, 0
+        for rows in frames:
+            last = rows.loc[rows["seq"].idxmax()]
+            if held is None or last["seq"] > held[0]:
+                held, millis = (int(last["seq"]), last["op"], int(last["parent_id"]), int(last["size_bytes"]), int(last["flags"]), last["name"]), int(last["millis"])
+        if held is None or held == before:
+            return
+        state.update(held)
+        if keep_millis is not None and held[1] == "Delete":
+            state.setTimeoutTimestamp(max(millis + keep_millis, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(*key, *held)], columns=[c.split()[0] for c in GIVEN.split(", ")])
+
+    rows = combined(changes)
+    if keep_millis is not None:
+        rows = rows.withColumn("time", F.timestamp_millis("millis")).withWatermark("time", "0 seconds")
+    timeout = GroupStateTimeout.NoTimeout if keep_millis is None else GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy("volume", "file_id").applyInPandasWithState(run, GIVEN, KEPT, "update", timeout)
+
+
+def follow(changes: DataFrame, checkpoint: str, keep_millis: int | None = None) -> StreamingQuery:
+    """Keep ``keyed`` state under ``checkpoint``, from where it was left."""
+    return keyed(changes, keep_millis).writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).start()
+
+
+def kept_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The state as of the last batch, read from its store: (volume, file_id, seq, op, ...), a row a file."""
+    rows = spark.read.format("statestore").load(checkpoint)
+    return rows.select("key.*", "value.groupState.*")
+
+
+def followed_or_rebuilt(spark: SparkSession, log: str, checkpoint: str, again: str) -> DataFrame:
+    """The state of a log's files: followed from where ``checkpoint`` left it, or, where that place is gone, from the log's
+    beginning under a checkpoint of its own."""
+    for place in (checkpoint, again):
+        started = follow(log_stream(spark, log), place)
+        try:
+            started.processAllAvailable()
+            return kept_state(spark, place)
+        except StreamingQueryException as e:
+            if place == again or JournalReset.__name__ not in str(e):
+                raise
+        finally:
+            started.stop()
+    raise AssertionError
+
+
 def needs_rebuild(position: DataFrame, journals: DataFrame) -> DataFrame:
     """(volume, rebuild): whether a checkpoint names another journal, or a place that its journal no longer or not yet has."""
     j = journals.select("volume", F.col("journal_id").alias("now"), "lowest_usn", F.col("next_usn").alias("newest"))

@@ -72,8 +72,8 @@ def test_fuzzy_and_related(spark):
 def test_content(spark):
     files = spark.createDataFrame([("C", 1, "rust search engine fast index"), ("C", 2, "python search engine"), ("C", 3, "rust compiler")], "volume string, file_id long, text string")
     rows = base(spark, [("C", i, 5, 0, 0, f"n{i}") for i in (1, 2, 3)])
-    assert [r.file_id for r in search.content(rows, search.postings(files), "rust search").collect()] == [1]
-    assert search.content(rows, search.postings(files), "!").count() == 0
+    assert [r.file_id for r in search.content(rows, search.posting_lists(search.postings(files)), "rust search").collect()] == [1]
+    assert search.content(rows, search.posting_lists(search.postings(files)), "!").count() == 0
 
 
 def test_tokens(spark):

@@ -15,13 +15,18 @@ from shelfmark.streaming import journal as stream
 BASE = "volume string, file_id long, parent_id long, size_bytes long, flags int, name string"
 
 
+def fill(spark, home):
+    """Small source tables."""
+    spark.createDataFrame([(i, f"some text {i} of it", ["de", "en"][i % 2], f"src{i % 3}", 20) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(home / "documents.parquet"))
+    spark.createDataFrame([(i, f"red part{i}", f"Brand#1{i % 3}", i % 9) for i in range(300)], "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(str(home / "part.parquet"))
+    spark.createDataFrame([(i, i % 7, ["signup", "error", "view"][i % 3]) for i in range(60)], "event_id long, user_id long, event_type string").write.parquet(str(home / "events.parquet"))
+    spark.createDataFrame([(i, f"http://x/a/page-{i % 4}", f"<p>{i}</p>") for i in range(9)], "page_id long, url string, html string").write.parquet(str(home / "pages.parquet"))
+
+
 @pytest.fixture
 def tables(spark, tmp_path):
     """A folder of small source tables."""
-    spark.createDataFrame([(i, f"some text {i} of it", ["de", "en"][i % 2], f"src{i % 3}", 20) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(i, f"red part{i}", f"Brand#1{i % 3}", i % 9) for i in range(300)], "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
-    spark.createDataFrame([(i, i % 7, ["signup", "error", "view"][i % 3]) for i in range(60)], "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
-    spark.createDataFrame([(i, f"http://x/a/page-{i % 4}", f"<p>{i}</p>") for i in range(9)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    fill(spark, tmp_path)
     return str(tmp_path)
 
 
@@ -31,7 +36,7 @@ def rows(df):
 
 def test_published_view_is_the_live_view(spark, tables, tmp_path):
     found = published.Catalog(spark, tables, str(tmp_path / "store"))
-    want = live.live_view(found.sources("base"), src.changes(spark, tables))
+    want = live.live_view(src.catalog(spark, tables), src.changes(spark, tables))
     columns = sorted(want.columns)
     assert rows(found.live().select(columns)) == rows(want.select(columns)) and rows(found.live("by_id").select(columns)) == rows(want.select(columns))
     assert rows(found.with_paths(found.live()).select("volume", "file_id", "path")) == rows(live.with_paths(want, want).select("volume", "file_id", "path"))
@@ -46,32 +51,188 @@ def test_searches_push_their_filters(spark, tables, tmp_path):
     assert "EqualTo(token,some)" in plan(search.holding(found.table("postings"), "some")) or "In(token" in plan(search.holding(found.table("postings"), "some"))
 
 
-def test_a_broken_generation_is_passed_over(spark, tables, tmp_path):
+def append_event(spark, tables, *events):
+    spark.createDataFrame(list(events), "event_id long, user_id long, event_type string").write.mode("append").parquet(f"{tables}/events.parquet")
+    spark.catalog.refreshByPath(f"{tables}/events.parquet")
+
+
+def damage(spark, root, line, kind, how):
+    path = f"{root}/{line.path}"
+    if how == "missing":
+        shutil.rmtree(path)
+    elif how == "short":
+        spark.createDataFrame([], published.TABLES[kind][0]).write.mode("overwrite").parquet(path)
+    else:
+        spark.range(3).write.mode("overwrite").parquet(path)
+    spark.catalog.refreshByPath(path)
+
+
+def everything(found):
+    """The view by name and by id, its paths, its postings and its attributes."""
+    lists = found.table("postings").select("token", "volume", "block", F.explode("offsets").alias("o"))
+    view = found.live().select("volume", "file_id", "parent_id", "name", "flags")
+    return rows(view), rows(found.live("by_id").select(view.columns)), rows(found.with_paths(found.live()).select("volume", "file_id", "path")), rows(lists), rows(found.attributes("size:>0"))
+
+
+@pytest.fixture(scope="module")
+def history(spark, tmp_path_factory):
+    """Source tables and a store with three stages: a scan in the journal's middle, a refresh, a compaction with all tables."""
+    home = tmp_path_factory.mktemp("history")
+    fill(spark, home)
+    root = str(home / "store")
+    published.Catalog(spark, str(home), root, upto=30).snapshot()
+    found = published.Catalog(spark, str(home), root)
+    found.refresh()
+    found.maintain()
+    for kind in published.TABLES:
+        found.table(kind)
+    return str(home), root, everything(found)
+
+
+@pytest.mark.parametrize("kind", sorted(published.TABLES))
+def test_damage_of_any_table_leaves_one_snapshot(spark, history, tmp_path, kind):
+    """After a compaction one table of its commit is damaged: whoever opens the catalog sees all of an older commit, with the
+    journal after it, and never a base of one with an overlay of another."""
+    tables, before, want = history
+    root = str(tmp_path / "store")
+    shutil.copytree(before, root)
+    last = published.snapshot_of(published.commits(spark, root).orderBy(F.desc("version")).first())
+    damage(spark, root, last.tables[kind], kind, ["missing", "short", "other"][len(kind) % 3])
+    fresh = published.Catalog(spark, tables, root)
+    assert everything(fresh) == want and not fresh.pending()
+
+
+def test_a_snapshot_behind_is_brought_forward(spark, history, tmp_path):
+    """Only the scan in the journal's middle is left whole."""
+    tables, before, want = history
+    root = str(tmp_path / "store")
+    shutil.copytree(before, root)
+    first = published.snapshot_of(published.commits(spark, root).orderBy("version").first())
+    for row in published.commits(spark, root).collect():
+        overlay = published.snapshot_of(row).tables["overlay"]
+        if overlay != first.tables["overlay"]:
+            shutil.rmtree(f"{root}/{overlay.path}", ignore_errors=True)
+    assert published.newest(spark, root) == first
+    fresh = published.Catalog(spark, tables, root)
+    assert everything(fresh) == want and fresh.snapshot().version > first.version and not fresh.pending()
+
+
+def test_repair_commits_whole_tables(spark, tables, tmp_path):
     root = str(tmp_path / "store")
     found = published.Catalog(spark, tables, root)
-    want = rows(found.table("base"))
-    for damage in ("missing", "short", "other"):
-        published.publish(found.sources("base").limit(3), root, "base")
-        line = published.manifest(spark, root).filter("kind = 'base'").orderBy(F.desc("generation")).first()
-        if damage == "missing":
-            shutil.rmtree(line.path)
-        elif damage == "short":
-            spark.createDataFrame([], published.TABLES["base"][0]).write.mode("overwrite").parquet(line.path)
-        else:
-            spark.range(3).write.mode("overwrite").parquet(line.path)
-        assert rows(published.newest(spark, root, "base")) == want
-    assert published.newest(spark, root, "postings") is None
+    want = everything(found)
+    assert found.repair() == []
+    last = published.snapshot_of(published.commits(spark, root).orderBy(F.desc("version")).first())
+    for kind in ("base", "postings"):
+        damage(spark, root, last.tables[kind], kind, "missing")
     fresh = published.Catalog(spark, tables, root)
-    assert fresh.repair() == ["base"] and fresh.repair() == [] and rows(fresh.table("base")) == want
+    assert fresh.repair() == ["base", "postings"] and fresh.repair() == [] and everything(fresh) == want
+    for t in {t.path for r in published.commits(spark, root).collect() for k, t in published.snapshot_of(r).tables.items() if k == "overlay"}:
+        shutil.rmtree(f"{root}/{t}")
+    assert published.newest(spark, root) is None
+    assert everything(published.Catalog(spark, tables, root)) == want
 
 
-def test_refresh_guard_and_maintenance(spark, tables, tmp_path):
+def test_of_two_publishers_one_wins(spark, tables, tmp_path):
+    root = str(tmp_path / "store")
+    one, two = published.Catalog(spark, tables, root), published.Catalog(spark, tables, root)
+    one.table("overlay"), two.table("overlay")
+    append_event(spark, tables, (902, 5, "signup"))
+    assert one.refresh()
+    with pytest.raises(published.Conflict):
+        two.refresh()
+    with pytest.raises(published.Conflict):
+        two.maintain()
+    again = published.Catalog(spark, tables, root)
+    assert rows(again.live()) == rows(one.live()) and not again.pending()
+    assert published.commits(spark, root).filter(f"version = {again.snapshot().version}").count() == 1
+    # Derived tables join what another has added meanwhile.
+    one.table("attributes")
+    again.table("postings")
+    assert {"attributes", "postings"} <= set(published.newest(spark, root).tables)
+
+
+def test_many_claims_of_one_number(spark, tmp_path):
+    """Eight threads rename to one path at once."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from shelfmark.storage import claimed
+
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda k: claimed(spark.range(k, k + 1), str(tmp_path / "commits" / "version=1"), str(tmp_path / "staged" / f"t{k}")), range(8)))
+    assert sum(won) == 1
+    assert [r.id for r in spark.read.json(str(tmp_path / "commits/version=1/part-*")).collect()] == [won.index(True)]
+
+
+def test_stale_tables_are_refused_or_built_again(spark, tables, tmp_path):
+    root = str(tmp_path / "store")
+    found = published.Catalog(spark, tables, root, stale="refuse")
+    for kind in ("attributes", "by_size", "postings", "directories"):
+        found.table(kind)
+    append_event(spark, tables, (903, 6, "signup"))
+    found.refresh()
+    for query in ("x", "size:>1"):
+        with pytest.raises(published.Stale):
+            found.attributes(query)
+    with pytest.raises(published.Stale):
+        search.by_mode(found, "Content", "some text")
+    found.table("directories")  # a file's new name touches no directory
+    found.build("attributes")
+    found.attributes("x")
+    assert published.Catalog(spark, tables, root).attributes("size:>1").count() == 340
+
+
+def test_refresh_reads_the_journals_new_part(spark, tables, tmp_path):
+    found = published.Catalog(spark, tables, str(tmp_path / "store"))
+    found.table("directories")
+    before = found.snapshot()
+    append_event(spark, tables, (904, 2, "error"), (905, 3, "purchase"))
+    plan = found.changes(before.position, 905)._jdf.queryExecution().executedPlan().toString()
+    assert f"GreaterThan(event_id,{before.position})" in plan
+    assert found.refresh() and found.snapshot().tables["base"] == before.tables["base"]
+    assert found.snapshot().tables["directories"].path == before.tables["directories"].path
+    want = live.live_view(src.catalog(spark, tables), src.changes(spark, tables))
+    assert rows(found.live().select(want.columns)) == rows(want)
+
+
+def test_another_journal_means_a_new_scan(spark, tables, tmp_path):
+    found = published.Catalog(spark, tables, str(tmp_path / "store"))
+    found.table("overlay")
+    spark.createDataFrame([(7, 1, "signup"), (8, 2, "error")], "event_id long, user_id long, event_type string").write.mode("overwrite").parquet(f"{tables}/events.parquet")
+    spark.catalog.refreshByPath(f"{tables}/events.parquet")
+    assert found.pending() and found.refresh() and not found.refresh()
+    want = live.live_view(src.catalog(spark, tables), src.changes(spark, tables))
+    assert rows(found.live().select(want.columns)) == rows(want)
+
+
+def test_scopes_are_ranges_of_keys(spark, tables, tmp_path):
+    """A scope is pushed to the directories' scan, and its rows are those whose paths say so, orphans too."""
+    found = published.Catalog(spark, tables, str(tmp_path / "store"))
+    view, directories = found.live(), found.table("directories")
+    assert "StringStartsWith(scope,c:\\en\\)" in live.in_scope(view, view, directories, "C:/EN")._jdf.queryExecution().executedPlan().toString()
+    orphans = spark.createDataFrame([("C", 70, 69, 0, 0, "EN", "en")], view.schema)
+    view = view.unionByName(orphans)
+    for scope in ("C:/EN", "c:\\en\\src1", "C:", "D:\\Brand#11\\", "D:/nothing"):
+        want = live.with_paths(view, view, directories).filter(names.within_scope(F.col("path"), scope))
+        assert rows(live.in_scope(view, view, directories, scope).select("volume", "file_id", "path")) == rows(want.select("volume", "file_id", "path")), scope
+
+
+def test_lists_of_several_blocks(spark):
+    """Ids of many blocks, repeated rows, and tokens of very different frequency."""
+    files = spark.createDataFrame([("C", i * 7001, f"every {'some ' if i % 3 == 0 else ''}{'rare' if i in (30, 33) else ''}") for i in range(300)] + [("C", 0, "every some ")], "volume string, file_id long, text string")
+    lists = search.posting_lists(search.postings(files))
+    ids = lambda text: sorted(r.file_id for r in search.holding(lists, text).collect())
+    assert ids("every") == [i * 7001 for i in range(300)] and ids("some every") == [i * 7001 for i in range(0, 300, 3)]
+    assert ids("rare some every") == [30 * 7001, 33 * 7001] and ids("rare none") == [] and ids("!") == []
+    assert lists.agg(F.max(F.size("offsets"))).first()[0] <= 1 << search.BLOCK_BITS and lists.filter("files != size(offsets)").isEmpty()
+
+
+def test_maintenance_and_guard(spark, tables, tmp_path):
     found = published.Catalog(spark, tables, str(tmp_path / "store"))
     before = found.live()
     old = rows(before.select("volume", "file_id", "name"))
     assert not found.refresh()
-    spark.createDataFrame([(900, 3, "signup")], "event_id long, user_id long, event_type string").write.mode("append").parquet(f"{tables}/events.parquet")
-    spark.catalog.refreshByPath(f"{tables}/events.parquet")
+    append_event(spark, tables, (900, 3, "signup"))
     with pytest.raises(RuntimeError):
         found.build("postings")
     assert found.refresh() and not found.refresh()
@@ -197,6 +358,7 @@ def test_quarantine_records(spark):
 def test_content_of_one_volume_in_order(spark):
     tree = spark.createDataFrame([("C", k, 5, 0, 0, f"n{9 - k}") for k in range(6, 9)], BASE).withColumn("name_norm", F.lower("name"))
     index = spark.createDataFrame([("C", 8, "rust"), ("C", 6, "rust"), ("D", 7, "rust"), ("C", 7, "other")], "volume string, file_id long, token string")
+    index = search.posting_lists(index)
     assert [r.file_id for r in search.content_in_order(tree, index, "rust", "C").orderBy("rank").collect()] == [6, 8]
 
 

@@ -46,7 +46,7 @@ def test_every_token_of_a_long_file(spark, tmp_path):
     files = spark.createDataFrame([("C", 1, text)], "volume string, file_id long, text string")
     live = named(spark.createDataFrame([("C", 1, 5, 0, 0, "n1")], "volume string, file_id long, parent_id long, size_bytes long, flags int, name string"))
     assert search.postings(files).count() == words + 1
-    assert [r.file_id for r in search.content(live, search.postings(files), "last w1").collect()] == [1]
+    assert [r.file_id for r in search.content(live, search.posting_lists(search.postings(files)), "last w1").collect()] == [1]
     spark.createDataFrame([(1, text, "en", "src1", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert entry.queries()["s13_postings"](spark, str(tmp_path)).count() == words + 1
     assert [r.tokens for r in entry.queries()["s14_rich_token_counts"](spark, str(tmp_path)).collect()] == [words + 1]
