@@ -7,10 +7,13 @@ the one before shows a template that rewrites history, and spans are then null.
 Rendering every prefix costs the square of a conversation's length. A template may declare (by an attribute ``local``) that
 what a turn adds depends on so many turns before it only; then these are rendered with and without the turn, at every
 length, and the pieces are held against a rendering of the whole. Where they differ, the declaration was wrong, and every
-prefix is rendered after all. ``marked`` is local, as it writes each turn by itself.
+prefix is rendered after all. ``marked`` declares nothing; ``marked_local`` is the same template for conversations of very
+many turns, as it writes each turn by itself.
 
 Turns are sorted by (turn, role, text), nulls first; a null role or text counts as empty. Repeated rows are turns of their
-own. Rows with a null conv_id are one conversation. Conversations are streamed from sorted partitions, one at a time.
+own. Rows with a null conv_id are one conversation. Conversations are streamed from sorted partitions, one at a time; one with
+very long texts is held whole by its task. An empty table gives no rows. Columns besides conv_id, turn, role and text are left
+out, whatever their names.
 """
 
 from __future__ import annotations
@@ -52,7 +55,12 @@ def marked(turns: Turns) -> str:
     return "".join(f"{START}{escape_role(role)}\n{escape(text)}{END}\n" for role, text in turns)
 
 
-marked.local = 0
+def marked_local(turns: Turns) -> str:
+    """``marked``, with the declaration that what a turn adds depends on no turn before it."""
+    return marked(turns)
+
+
+marked_local.local = 0
 
 
 def parse_marked(output: str) -> Turns:

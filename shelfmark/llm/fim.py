@@ -42,7 +42,7 @@ def word_starts(block: np.ndarray, before: np.ndarray) -> np.ndarray:
     """Which of a block's bytes start a unit of one word and the whitespace after it; the text's first unit has what stands
     before its word too, and is found by ``Blocks``."""
     space = _SPACE[block]
-    return ~space & np.r_[_SPACE[before[-1:]] if len(before) else False, space[:-1]]
+    return ~space & np.r_[_SPACE[before[-1:]] if len(before) else True, space[:-1]]
 
 
 UNITS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {"code_points": code_point_starts, "words": word_starts}
@@ -142,9 +142,15 @@ def restored(output: Column, form: Column, marks: tuple[str, str, str] = MARKS)
     p, s, m = (F.lit(x) for x in marks)
     after = lambda x, mark: F.split_part(x, mark, F.lit(2))
     before = lambda x, mark: F.split_part(x, mark, F.lit(1))
-    psm = F.concat(before(after(output, p), s), after(output, m), before(after(output, s), m))
-    spm = F.concat(before(after(output, p), m), after(output, m), before(after(output, s), p))
-    return F.when(form == "psm", psm).when(form == "spm", spm).otherwise(output)
+
+    def parts(x: Column) -> Column:
+        psm = F.concat(before(after(x, p), s), after(x, m), before(after(x, s), m))
+        spm = F.concat(before(after(x, p), m), after(x, m), before(after(x, s), p))
+        return F.when(form == "psm", psm).when(form == "spm", spm).otherwise(x)
+
+    # Bytes that are no UTF-8 are split as characters of one byte each.
+    single = F.encode(parts(F.decode(output.cast("binary"), "ISO-8859-1")), "ISO-8859-1").cast("string")
+    return F.when(F.is_valid_utf8(output), parts(output)).otherwise(single)
 
 
 def digests(rows: DataFrame, marks: tuple[str, str, str] = MARKS) -> DataFrame:

@@ -2,7 +2,10 @@
 with difference hashes.
 
 ``media`` turns a binary column of images into tiles and features; ``text_media`` first stores texts as 8-bit greymaps.
-Damaged or unknown images give null results instead of failing the job. Empty texts become one row of zero bytes.
+Damaged or unknown images give null results instead of failing the job, and so do foreign ones of more than MOST_PIXELS.
+Null texts count as empty, and empty texts become one row of zero bytes. Texts of any length are stored whole; a task holds a
+few copies of one text. Repeated rows are treated alike, each for itself. An empty table gives no rows. Columns besides the
+key and the text or image are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,12 +29,12 @@ _HEADER = re.compile(rb"(P[1-6])((?:[\x20\x09-\x0D]|#[^\n\r]*[\n\r])+)")
 _NUMBER = re.compile(rb"(?:[\x20\x09-\x0D]|#[^\n\r]*[\n\r])*([0-9]+)")
 
 
-#: Pixels of the largest image that is read.
+#: Pixels of the largest foreign image that is read; greymaps that hold texts are read at any size.
 MOST_PIXELS = 1 << 28
 
 
-def sized(width: int, height: int) -> None:
-    if not (0 < width and 0 < height and width * height <= MOST_PIXELS):
+def sized(width: int, height: int, most: int | None) -> None:
+    if not (0 < width and 0 < height and (most is None or width * height <= most)):
         raise ValueError("an image of this size is not read")
 
 
@@ -42,9 +45,9 @@ def taken(data: bytes, size: int, at: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8, size, at)
 
 
-def decode_netpbm(data: bytes) -> np.ndarray:
-    """P1 to P6 with at most 8 bits a sample, as (height, width, channels); bitmaps give 0 for black and 255 for white. Samples
-    above the maximum that the header gives are an error."""
+def decode_netpbm(data: bytes, most: int | None = MOST_PIXELS) -> np.ndarray:
+    """P1 to P6 with at most 8 bits a sample and ``most`` pixels (None: any number), as (height, width, channels); bitmaps give 0
+    for black and 255 for white. Samples above the maximum that the header gives are an error."""
     head = _HEADER.match(data)
     if not head:
         raise ValueError("not a Netpbm image")
@@ -56,7 +59,7 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         sizes.append(int(m[1]))
         at = m.end()
     width, height = sizes[:2]
-    sized(width, height)
+    sized(width, height, most)
     if kind == b"P4":
         row = (width + 7) // 8
         bits = np.unpackbits(taken(data, row * height, at + 1).reshape(height, row), axis=1)[:, :width]
@@ -91,7 +94,7 @@ def decode_bmp(data: bytes) -> np.ndarray:
     start, header, width, height, bits, packed = number(10, 4), number(14, 4), number(18, 4, True), number(22, 4, True), number(28, 2), number(30, 4)
     if header < 40 or packed not in (0, 3) or bits not in (8, 24, 32) or (packed == 3 and bits != 32):
         raise ValueError("this kind of BMP is not read")
-    sized(width, abs(height))
+    sized(width, abs(height), MOST_PIXELS)
     row = (width * bits // 8 + 3) // 4 * 4
     rows = taken(data, row * abs(height), start).reshape(abs(height), row)[:, : width * bits // 8]
     rows = rows[::-1] if height > 0 else rows
@@ -184,7 +187,7 @@ def text_media(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, tiles): each whole text through a greymap into NPY tiles."""
 
     def one(data: bytes) -> tuple:
-        return len(data), npy_tiles(decode(text_image(data))[..., 0])
+        return len(data), npy_tiles(decode_netpbm(text_image(data), None)[..., 0])
 
     return map_arrow(texts(docs), rows_by_text(one, [("n_bytes", pa.int64()), ("tiles", pa.binary())]), "doc_id long, n_bytes long, tiles binary")
 
