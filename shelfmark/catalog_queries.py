@@ -660,7 +660,7 @@ def _(spark, sf_dir):
     """The journal written as a raw log, and read back by the data source."""
     records = src.timed_journal(table(spark, sf_dir, "events"))
     path = _logged(spark, records, f"{shared_dir(spark)}/log-{uuid.uuid4().hex}", "first")
-    spark.dataSource.register(journal_log.JournalSource)
+    journal_log.register(spark)
     return src.changes_of(spark.read.format("journal").option("path", path).load())
 
 

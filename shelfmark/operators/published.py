@@ -8,12 +8,15 @@ as its line says), and takes every table from it, never one from another: after
 that one forward by the journal after it.
 
 The base is sorted by (volume, name_norm), posting lists by token and attributes once more by size and by date, so that
-Parquet's statistics skip what a pushed prefix, token or range rules out.
+Parquet's statistics skip what a pushed prefix, token or range rules out. What meets by id (the base by id, the overlay,
+attributes) is bucketed alike by (volume, file_id) and sorted within: the live view and attribute joins over it shuffle nothing.
+How many buckets there are is chosen at the first scan and stands in the commits.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from dataclasses import dataclass, field, replace
 
@@ -38,11 +41,14 @@ TABLES = {
     "by_size": (_ATTRIBUTES, ["size_bytes", "volume", "file_id"]),
     "by_date": (_ATTRIBUTES, ["modified_unix_secs", "volume", "file_id"]),
     "postings": ("token string, volume string, block long, files long, offsets array<int>", ["token", "volume", "block"]),
+    "dictionary": ("head string, length int, part int, segment string, form string, name_norm string", ["head", "length", "part", "segment"]),
     "directories": ("volume string, file_id long, path string, scope string", ["scope", "volume", "file_id"]),
 }
+#: The tables that are bucketed by id.
+BUCKETED = ("by_id", "overlay", "attributes")
 #: The tables that a view is made of; the others are derived, and are stale once the view has moved on.
 CORE = ("base", "by_id", "overlay")
-COMMIT = "version long, token string, journal string, position long, compacted long, tables array<struct<kind:string,path:string,records:bigint,position:bigint>>"
+COMMIT = "version long, token string, journal string, position long, compacted long, buckets int, tables array<struct<kind:string,path:string,records:bigint,position:bigint>>"
 
 
 class Conflict(RuntimeError):
@@ -68,6 +74,7 @@ class Snapshot:
     journal: str
     position: int | None
     compacted: int | None
+    buckets: int
     tables: dict[str, Line] = field(default_factory=dict)
 
 
@@ -80,32 +87,55 @@ def commits(spark: SparkSession, root: str) -> DataFrame:
 
 
 def snapshot_of(row) -> Snapshot:
-    return Snapshot(row.version, row.journal, row.position, row.compacted, {t.kind: Line(t.path, t.records, t.position) for t in row.tables})
+    return Snapshot(row.version, row.journal, row.position, row.compacted, row.buckets, {t.kind: Line(t.path, t.records, t.position) for t in row.tables})
 
 
 def commit(spark: SparkSession, root: str, s: Snapshot) -> None:
     """Put a snapshot's line in place, or raise Conflict if its number is taken."""
     token = uuid.uuid4().hex
-    row = [(s.version, token, s.journal, s.position, s.compacted, [(k, t.path, t.records, t.position) for k, t in sorted(s.tables.items())])]
+    row = [(s.version, token, s.journal, s.position, s.compacted, s.buckets, [(k, t.path, t.records, t.position) for k, t in sorted(s.tables.items())])]
     if not claimed(spark.createDataFrame(row, COMMIT), f"{root}/commits/version={s.version:010d}", f"{root}/staged/{token}"):
         raise Conflict(f"commit {s.version} is another publisher's")
 
 
-def generation(rows: DataFrame, root: str, kind: str, position: int | None) -> Line:
-    """Write a generation of a table, sorted. It counts once a commit names it."""
+def generation(rows: DataFrame, root: str, kind: str, position: int | None, buckets: int) -> Line:
+    """Write a generation of a table, sorted, in buckets if it is one of those. It counts once a commit names it."""
     schema, order = TABLES[kind]
     columns = [c.split()[0] for c in schema.split(", ")]
-    path = f"{kind}/{uuid.uuid4().hex}"
-    rows.select(*columns).repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{root}/{path}")
+    name = uuid.uuid4().hex
+    path = f"{kind}/{name}"
+    if kind in BUCKETED:
+        dealt = rows.select(*columns).repartition(buckets, *live.KEY)
+        dealt.write.bucketBy(buckets, *live.KEY).sortBy(*live.KEY).option("path", f"{root}/{path}").saveAsTable(f"{kind}_{name}")
+    else:
+        rows.select(*columns).repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{root}/{path}")
     return Line(path, rows.sparkSession.read.schema(schema).parquet(f"{root}/{path}").count(), position)
 
 
+def opened(spark: SparkSession, root: str, kind: str, line: Line, buckets: int) -> DataFrame:
+    """A generation's rows. Buckets are known to Spark by a table in the session's catalog, which is made if another
+    application wrote the generation; the table is external, so that no files go with it."""
+    schema = TABLES[kind][0]
+    if kind not in BUCKETED:
+        return spark.read.schema(schema).parquet(f"{root}/{line.path}")
+    name, keys = line.path.replace("/", "_"), ", ".join(live.KEY)
+    if not spark.catalog.tableExists(name):
+        spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {buckets} BUCKETS LOCATION '{root}/{line.path}'")
+    return spark.table(name)
+
+
 def whole(spark: SparkSession, root: str, kind: str, line: Line) -> bool:
     """Whether a generation's folder is there with its columns and as many rows as it should have."""
-    wanted = [(f.name, f.dataType) for f in spark.createDataFrame([], TABLES[kind][0]).schema]
+    wanted = spark.createDataFrame([], TABLES[kind][0]).schema
     try:
-        found = spark.read.parquet(f"{root}/{line.path}")
-        return [(f.name, f.dataType) for f in found.schema] == wanted and found.count() == line.records
+        found = spark.read.schema(wanted).parquet(f"{root}/{line.path}")
+        files = found.inputFiles()
+        if not files:
+            return line.records == 0
+        if kind in BUCKETED and not all(re.search(r"_[0-9]+(\.[^/]*)?$", f) for f in files):
+            return False
+        stands = spark.read.parquet(f"{root}/{line.path}").schema
+        return [(f.name, f.dataType) for f in stands] == [(f.name, f.dataType) for f in wanted] and found.count() == line.records
     except Exception as e:  # noqa: BLE001  a damaged file shows itself as whatever its reader raises
         if isinstance(e, (KeyboardInterrupt, SystemExit)):
             raise
@@ -131,12 +161,13 @@ class Catalog:
     and a catalog that is opened again sees the winner's tables.
 
     ``stale`` says what becomes of derived tables that are older than the view: "rebuild" publishes them again when they are
-    asked for, "refuse" raises Stale. ``upto`` bounds the journal: the catalog as it was then."""
+    asked for, "refuse" raises Stale. ``upto`` bounds the journal: the catalog as it was then. ``buckets`` is for a first scan;
+    without it, there are as many as the session has shuffle partitions."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, root: str, stale: str = "rebuild", upto: int | None = None):
+    def __init__(self, spark: SparkSession, sf_dir: str, root: str, stale: str = "rebuild", upto: int | None = None, buckets: int | None = None):
         if stale not in ("rebuild", "refuse"):
             raise ValueError("stale is rebuild or refuse")
-        self.spark, self.sf_dir, self.root, self.stale, self.upto = spark, sf_dir, root, stale, upto
+        self.spark, self.sf_dir, self.root, self.stale, self.upto, self.buckets = spark, sf_dir, root, stale, upto, buckets
         self.at: Snapshot | None = None
 
     # The journal
@@ -178,8 +209,9 @@ class Catalog:
         position, spark, root = self.journal_position(), self.spark, self.root
         base = src.catalog(spark, self.sf_dir)
         rows = {"base": base, "by_id": base, "overlay": src.named(live.latest_changes(self.changes(until=position)))}
-        tables = {k: generation(r, root, k, position) for k, r in rows.items()}
-        self.put(Snapshot(0, self.journal_id(), position, None, tables))
+        buckets = self.buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        tables = {k: generation(r, root, k, position, buckets) for k, r in rows.items()}
+        self.put(Snapshot(0, self.journal_id(), position, None, buckets, tables))
 
     def put(self, s: Snapshot) -> None:
         """Commit under the next number. The parent's number was read when this catalog was opened, so that whoever committed
@@ -199,11 +231,13 @@ class Catalog:
             return src.attributes(spark, sf_dir)
         if kind == "postings":
             return search.posting_lists(search.postings(src.contents(spark, sf_dir).filter(is_text_candidate(F.col("name")))))
+        if kind == "dictionary":
+            return search.dictionary(self.live())
         return live.with_scopes(live.directory_paths(self.live()))
 
     def add(self, kind: str) -> None:
         """Publish a derived table for the opened view. If only other derived tables were added meanwhile, it joins them."""
-        line = generation(self.derived(kind), self.root, kind, self.snapshot().position)
+        line = generation(self.derived(kind), self.root, kind, self.snapshot().position, self.at.buckets)
         for _ in range(8):
             try:
                 return self.put(replace(self.at, tables={**self.at.tables, kind: line}))
@@ -224,7 +258,7 @@ class Catalog:
 
     def read(self, kind: str) -> DataFrame:
         """A table of the opened snapshot as it stands there."""
-        return self.spark.read.schema(TABLES[kind][0]).parquet(f"{self.root}/{self.at.tables[kind].path}")
+        return opened(self.spark, self.root, kind, self.at.tables[kind], self.at.buckets)
 
     def attributes(self, query: str) -> DataFrame:
         """The attributes in the order that serves a query's filters: by size, by date, or by id where it has neither."""
@@ -259,7 +293,7 @@ class Catalog:
             return False
         old, fresh = self.table("overlay"), src.named(live.latest_changes(self.changes(s.position, now)))
         overlay = live.latest_changes(old.unionByName(fresh), "name_norm")
-        tables = {**s.tables, "overlay": generation(overlay, self.root, "overlay", now)}
+        tables = {**s.tables, "overlay": generation(overlay, self.root, "overlay", now, s.buckets)}
         if "directories" in tables and not self.moves_directories(fresh):
             tables["directories"] = replace(tables["directories"], position=now)
         self.put(replace(s, position=now, tables=tables))
@@ -284,7 +318,7 @@ class Catalog:
         s = self.snapshot()
         if not self.table("overlay").isEmpty():
             rows = {"base": self.live(), "by_id": self.live("by_id"), "overlay": self.table("overlay").limit(0)}
-            self.put(replace(s, compacted=s.position, tables={**s.tables, **{k: generation(r, self.root, k, s.position) for k, r in rows.items()}}))
+            self.put(replace(s, compacted=s.position, tables={**s.tables, **{k: generation(r, self.root, k, s.position, s.buckets) for k, r in rows.items()}}))
         self.repair()
         base = self.table("base")
         return maintenance.verify(base, self.table("overlay").select("volume", "file_id")).join(maintenance.deep_verify(base).select("volume", "ids_repeated", "parent_links_missing"), "volume")

@@ -97,7 +97,7 @@ class ParsedQuery:
 
 def words(query: str) -> list[str]:
     """Split at blanks; quotes group anywhere and vanish, an open one runs to the end."""
-    found, current, quote, begun = [], "", "", False
+    found, current, quote = [], "", ""
     for c in query:
         if quote:
             if c == quote:
@@ -105,11 +105,11 @@ def words(query: str) -> list[str]:
             else:
                 current += c
         elif c in "'\"":
-            quote, begun = c, True
+            quote = c
         elif c.isspace():
             if current:
                 found.append(current)
-            current, begun = "", False
+            current = ""
         else:
             current += c
     return found + [current] * bool(current)
@@ -119,7 +119,8 @@ def size_of(text: str) -> int | None:
     m = re.fullmatch(r"([0-9]*\.?[0-9]+|[0-9]+\.)\s*([a-z]*)", text.strip().lower())
     if not m or m[2] not in UNITS:
         return None
-    return min(math.floor(float(m[1]) * UNITS[m[2]] + 0.5), MOST)
+    size = math.floor(float(m[1]) * UNITS[m[2]] + 0.5)
+    return size if size <= MOST else None
 
 
 def day_of(text: str) -> int | None:

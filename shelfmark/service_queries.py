@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .catalog_queries import _NODE, ATTRIBUTES, CATALOG, CHANGES, CLEANUP, CONTENTS, DECIDED, LIVE, PATHS, PLAN, _files, _log, _plan, postings_sql, query, ranked_sql, score_sql
 from .functions import names, safety
-from .operators import duplicates, maintenance, model, search
+from .operators import duplicates, live, maintenance, model, search
 from .operators.published import TABLES, Catalog, commits, snapshot_of
 from .operators.published import catalog as published
 from .sources import catalog as src
@@ -186,6 +186,28 @@ def _(spark, sf_dir):
     return search.ranked_batch(published(spark, sf_dir).live(), asked, 10)
 
 
+def _misspelt() -> tuple[str, str]:
+    """Names of parts with a letter missing, a letter changed, or two letters too many, in Spark's SQL and DuckDB's."""
+    name = "replace(p_name, ' ', '-')"
+    text = f"CASE p_partkey % 3 WHEN 0 THEN substr({name}, 1, 3) || substr({name}, 5) WHEN 1 THEN substr({name}, 1, 5) || 'x' || substr({name}, 7) ELSE substr({name}, 1, 4) || 'zz' || substr({name}, 5) END"
+    return text, text
+
+
+@query(
+    "q17_batch_fuzzy",
+    f"""WITH {LIVE}, asked AS (SELECT p_partkey AS query_id, {_misspelt()[1]} AS text FROM part), texts AS (SELECT DISTINCT text FROM asked), words AS (SELECT DISTINCT nn, st FROM live),
+    near AS (SELECT text, nn, least(levenshtein(text, nn), levenshtein(text, st))::INT AS distance FROM texts JOIN words ON substr(text, 1, 2) = substr(nn, 1, 2)),
+    hits AS (SELECT text, volume, file_id, name, flags, distance, {score_sql("@").replace("'@'", "text")} AS score FROM live JOIN (SELECT * FROM near WHERE distance <= 2) USING (nn)),
+    best AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY distance, score DESC, volume, file_id)::INT AS rank FROM hits QUALIFY rank <= 10)
+    SELECT query_id, volume, file_id, name, flags, distance, score, rank FROM asked JOIN best USING (text)""",
+)
+def _(spark, sf_dir):
+    """A typo-tolerant search for every part by its misspelt name, through the dictionary of names."""
+    found = published(spark, sf_dir)
+    asked = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.expr(_misspelt()[0]).alias("text"))
+    return search.fuzzy_batch(found.live(), found.table("dictionary"), asked, 10)
+
+
 # Duplicates by file
 
 
@@ -201,6 +223,28 @@ def _(spark, sf_dir):
     return rows.select("size_bytes", "sha256", "copies", "volume", "file_id", "path", safety.protected(F.col("path")).alias("protected"))
 
 
+@query("q12_staged_files", "SELECT n_chars AS size_bytes, sha256(text) AS hash, 'C' AS volume, 1000000 + doc_id AS file_id, 1000000 + min(doc_id) OVER (PARTITION BY n_chars, text) AS first_file FROM documents WHERE n_chars >= 1 QUALIFY count(*) OVER (PARTITION BY n_chars, text) >= 2")
+def _(spark, sf_dir):
+    """Members of duplicate sets by size, sample, hash and a comparison of bytes, each stage on what the one before left."""
+    return duplicates.staged(_files(spark, sf_dir), 1)["bytes"].select("size_bytes", "hash", "volume", "file_id", F.col("first.file_id").alias("first_file"))
+
+
+_ENDS = f"substr(text, 1, {duplicates.SAMPLE}), CASE WHEN length(text) > {duplicates.SAMPLE} THEN right(text, {duplicates.SAMPLE}) ELSE '' END"
+
+
+@query(
+    "a5_bytes_by_stage",
+    f"""WITH d AS (SELECT * FROM documents WHERE n_chars >= 1), a AS (SELECT * FROM d QUALIFY count(*) OVER (PARTITION BY n_chars) >= 2),
+    b AS (SELECT * FROM a QUALIFY count(*) OVER (PARTITION BY n_chars, {_ENDS}) >= 2), c AS (SELECT * FROM b QUALIFY count(*) OVER (PARTITION BY n_chars, text) >= 2)
+    SELECT 'size' AS stage, count(*) AS files, 0::BIGINT AS bytes FROM d UNION ALL SELECT 'sample', count(*), coalesce(sum(least(n_chars, {2 * duplicates.SAMPLE})), 0)::BIGINT FROM a
+    UNION ALL SELECT 'hash', count(*), coalesce(sum(n_chars), 0)::BIGINT FROM b UNION ALL SELECT 'bytes', count(*), coalesce(sum(n_chars), 0)::BIGINT FROM c""",
+)
+def _(spark, sf_dir):
+    """How many files each stage of the duplicate check opens, and how many bytes of them it reads."""
+    files = _files(spark, sf_dir)
+    return duplicates.read_by_stage(files, duplicates.staged(files, 1), 1)
+
+
 # Quarantine
 
 
@@ -268,6 +312,18 @@ def _(spark, sf_dir):
     return found.with_paths(found.live()).select("volume", "file_id", "path")
 
 
+@query("j1_bucketed_view", f"WITH {LIVE} SELECT volume, file_id, parent_id, size_bytes, flags, name, nn AS name_norm FROM live")
+def _(spark, sf_dir):
+    """The live view over the tables bucketed by id: no exchange above the base."""
+    return published(spark, sf_dir).live("by_id")
+
+
+@query("j2_bucketed_attributes", f"WITH {LIVE}, {ATTRIBUTES} SELECT l.volume, l.file_id, a.size_bytes AS attr_size, a.modified_unix_secs AS attr_modified FROM live l LEFT JOIN attributes a USING (volume, file_id)")
+def _(spark, sf_dir):
+    found = published(spark, sf_dir)
+    return live.with_attributes(found.live("by_id"), found.table("attributes")).select("volume", "file_id", "attr_size", "attr_modified")
+
+
 @query("s6_id_scan", f"WITH {CATALOG} SELECT volume, file_id, name, lag(file_id) OVER (PARTITION BY volume ORDER BY file_id) IS NULL AS first FROM catalog")
 def _(spark, sf_dir):
     """The base in the order of its ids, from the table that is stored so."""

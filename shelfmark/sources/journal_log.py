@@ -4,7 +4,7 @@ A log is a folder of text files. A line is one record: the journal's identity, i
 (in base64), and a CRC of what stands before it, between tabs. Positions grow within a file and from file to file, whatever
 the files are called.
 
-    spark.dataSource.register(JournalSource)
+    journal_log.register(spark)
     spark.readStream.format("journal").option("path", log).option("records_per_batch", 10_000).load()
 
 A stream's offset is an identity and the next position. A line that does not end yet is held back until it does, as its writer
@@ -19,12 +19,14 @@ Paths are URIs that pyarrow's file systems know (local, HDFS, object stores), or
 from __future__ import annotations
 
 import base64
+import sys
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as stores
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
@@ -202,3 +204,10 @@ class JournalSource(DataSource):
     def streamReader(self, schema) -> JournalStream:
         per_batch = self.options.get("records_per_batch")
         return JournalStream(self.options["path"], None if per_batch is None else int(per_batch))
+
+
+def register(spark: SparkSession) -> None:
+    """Make the source known to a session. Its code goes with it by value, as the process that plans a stream sees neither
+    shipped files nor the driver's path."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    spark.dataSource.register(JournalSource)

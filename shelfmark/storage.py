@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,17 +28,33 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_LOCK, _WRITES = threading.Lock(), {"now": 0, "before": None}
+
+
+@contextlib.contextmanager
+def cleaned_up(spark: SparkSession) -> Iterator[None]:
+    """Holds CLEANUP while any thread writes; the last to end gives back what the session had."""
+    with _LOCK:
+        if not _WRITES["now"]:
+            _WRITES["before"] = spark.conf.get(CLEANUP, None)
+            spark.conf.set(CLEANUP, "true")
+        _WRITES["now"] += 1
+    try:
+        yield
+    finally:
+        with _LOCK:
+            _WRITES["now"] -= 1
+            if not _WRITES["now"]:
+                spark.conf.unset(CLEANUP) if _WRITES["before"] is None else spark.conf.set(CLEANUP, _WRITES["before"])
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: it survives lost executors and cuts the lineage. The shuffle files of
     the write go at its end, as the table stands for them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with cleaned_up(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

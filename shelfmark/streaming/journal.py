@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.live import latest_changes
 from ..sources.catalog import changes_of, journal
-from ..sources.journal_log import JournalReset, JournalSource
+from ..sources.journal_log import JournalReset, register
 
 CHANGES = "volume string, seq long, op string, file_id long, parent_id long, size_bytes long, flags int, name string"
 
@@ -56,7 +56,7 @@ GIVEN = "volume string, file_id long, " + KEPT
 
 def log_stream(spark: SparkSession, path: str, records_per_batch: int | None = None) -> DataFrame:
     """Changes of a raw journal log, with the milliseconds of their time."""
-    spark.dataSource.register(JournalSource)
+    register(spark)
     reader = spark.readStream.format("journal").option("path", path)
     return changes_of((reader if records_per_batch is None else reader.option("records_per_batch", records_per_batch)).load(), "millis")
 

@@ -24,7 +24,7 @@ def some(spark, low, high, files=5):
 
 
 def read(spark, path):
-    spark.dataSource.register(journal_log.JournalSource)
+    journal_log.register(spark)
     return spark.read.format("journal").option("path", path).load()
 
 
