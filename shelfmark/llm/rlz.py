@@ -1,15 +1,16 @@
 """Substring deduplication over words by relative Lempel-Ziv parsing.
 
-Every document is cut into blocks at sampled words (see windows.py), and every block is indexed: blocks are sorted by their
-words from the anchor on, and by those before it, so that the block that goes on alike for longest stands next to it in one
-of the two orders. A block is parsed greedily: from the anchor, its factor is extended word by word in both directions
-against the reference blocks next to it. A factor of 35 words or more is a duplicate span. Windows at a factor's boundary,
-which it does not hold but which another block may, are checked by their words against the other blocks' windows. A block
-that equals another as a whole is one factor.
+Every document is cut into blocks at sampled words (see windows.py), and every block is indexed as a reference: by its words
+from the anchor on, and by those before it. Blocks are parsed greedily from left to right against all others: at each place
+the factor is the longest that any reference block goes on with. A factor of 35 words or more is a duplicate span; at its
+boundary the parse goes on with the first window that it does not hold, so that windows across two factors are checked too.
+A block that equals another as a whole is one factor. Where a range's border cuts a run of equal k-grams, windows on both
+sides of it are compared by their words.
 
 A word goes if a window of 35 words that covers it also starts anywhere else, in the same document or another. Null and empty
 texts and texts of under 35 words lose nothing. A row that repeats another's doc_id and text is a place of its own. Words are
 told apart by 48 bits of their hashes, so that two windows of which one word differs are held for equal once in 3e14 times.
+Empty tables give no rows; texts of any length are read whole, and other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .base import U64, mixed, word_hashes
-from .windows import SPAN, Contexts, Kind, agree, repeated_of, repeated_spans
+from .windows import SPAN, Contexts, Kind, agree, repeated_spans
 
 WINDOW, GRAM = 35, 4
 BITS = 48
@@ -41,36 +42,52 @@ def grams(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def factors(c: Contexts, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How many words of blocks ``x`` their reference blocks ``y`` go on with, before the anchor and from it on; none if their
-    anchors differ."""
-    back = np.minimum(agree(c.left[x], c.left[y]), np.minimum(c.n_left[x], c.n_left[y]))
-    far = np.minimum(agree(c.right[x], c.right[y]), np.minimum(c.n_right[x], c.n_right[y]))
-    alike = c.run[x] == c.run[y]
-    return np.where(alike, back, 0), np.where(alike, far, 0)
+def factors(c: Contexts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The greedy parse of a range's blocks: factors of a window's length at least, as (block, words before the anchor at its
+    start, words from the anchor to its end, reference block).
+
+    Blocks are parsed from left to right, all of them at once. Those with equal words from a place up to the anchor follow one
+    another in the order of what stands before anchors; among them, in the order of what follows, the neighbour goes on alike
+    for longest. Where that is a window or more, the factor holds every window up to its end, and the parse goes on at the
+    first window across that end; else it goes on at the next word."""
+    w, none = c.kind.window, np.zeros(0, np.int64)
+    if len(c.some) < 2:
+        return none, none, none, none
+    rows = c.some[c.by_left(c.some)[0]]
+    run, back = c.run[rows], c.back[rows]
+    common = np.r_[0, agree(c.left[rows[1:]], c.left[rows[:-1]])]
+    apart = np.r_[True, run[1:] != run[:-1]]
+    place, found = back.copy(), []
+    for before in range(int(back.max()), -1, -1):
+        here = (back >= before) & (c.far[rows] >= w - before)
+        due = here & (place >= before)
+        if not due.any():
+            continue
+        group = np.cumsum(apart | (common < before))
+        asked = np.zeros(group[-1] + 1, bool)
+        asked[group[due]] = True
+        at = np.flatnonzero(here & asked[group])
+        at = at[np.lexsort((rows[at], group[at]))]
+        x, g = rows[at], group[at]
+        far = np.minimum(agree(c.right[x[1:]], c.right[x[:-1]]), np.minimum(c.n_right[x[1:]], c.n_right[x[:-1]]))
+        far[g[1:] != g[:-1]] = 0
+        ahead, behind = np.r_[0, far], np.r_[far, 0]
+        longest = np.maximum(ahead, behind)
+        reference = np.where(ahead >= behind, np.roll(x, 1), np.roll(x, -1))
+        long = due[at] & (before + longest >= w)
+        found.append((x[long], np.full(np.count_nonzero(long), before), longest[long], reference[long]))
+        place[at[long]] = w - longest[long] - 1
+    return tuple(np.concatenate(y) for y in zip((none,) * 4, *found, strict=True))
 
 
 def parsed(c: Contexts) -> tuple[np.ndarray, np.ndarray]:
-    """The windows of each block that a factor holds, or that another block has at a factor's boundary."""
-    some = c.some
-    row, before = c.windows(some, c.far[some], c.back[some])
-    if len(some) < 2:
-        some = some[:0]
-    held = np.zeros(len(row), bool)
-    place = np.searchsorted(some, row) if len(some) else row
-    for order in (np.arange(len(some)), c.by_left(some)[0] if len(some) else some):
-        for step in (1, -1):
-            reference = np.empty(len(some), np.int64)
-            reference[order] = some[np.roll(order, step)]
-            back, far = factors(c, some, reference)
-            long = (back + far >= WINDOW) & (reference != some)
-            if len(some):
-                held |= long[place] & (before <= back[place]) & (WINDOW - before <= far[place])
-    # At boundaries, what no factor holds is compared with all windows of the blocks that share the anchor.
-    unsure = np.isin(c.run[row], c.run[row[~held]])
-    at = np.flatnonzero(unsure)
-    held[at] |= repeated_of(c, row[at], before[at])
-    return row[held], before[held]
+    """The windows that factors hold."""
+    block, before, far, _ = factors(c)
+    count = before + far - c.kind.window + 1
+    row = np.repeat(block, count)
+    held = np.arange(len(row)) - np.repeat(np.cumsum(count) - count - (c.kind.window - far), count)
+    order = np.lexsort((held, row))
+    return row[order], held[order]
 
 
 WORDS = Kind(WINDOW, GRAM, False, word_codes, grams, parsed, False)

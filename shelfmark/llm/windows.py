@@ -16,7 +16,10 @@ the context's own windows reach.
 
 Contexts take several times their text's bytes, so steps 1 to 3 are done in PASSES, each for its share of the k-grams: the
 text is read once more for each, and only one share's contexts are on disk at a time. Rows through each shuffle follow the
-input's size, a group of copies of any size travels as one row a batch, and nothing is paired. Rows are told apart by their doc_id and 32 bits of a hash of their text; a null doc_id is later than all others.
+input's size, a group of copies of any size travels as one row a batch, and nothing is paired; so does a run of one token or of
+a short period within a document. Rows are told apart by their doc_id and 32 bits of a hash of their text; a null doc_id is
+later than all others. Empty tables give no rows; texts of any length are cut into pieces that overlap by a window; columns
+besides doc_id and text are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +42,9 @@ PIECE = 1 << 16
 HELD, RANGE_BYTES, PASSES = 32 << 20, 6 << 20, 2
 #: The doc_id that a null one counts as.
 LAST = (1 << 63) - 1
-IDS = [("doc", "<i8"), ("tie", "<u4"), ("at", "<u4"), ("many", "<u1")]
+#: Of a context: its document, its first window's place, whether others were the same, and how much further the places reach
+#: that it stands for: those of a document's equal contexts that lie a window apart at most.
+IDS = [("doc", "<i8"), ("tie", "<u4"), ("at", "<u4"), ("many", "<u1"), ("more", "<u4")]
 SPAN = [("doc", "<i8"), ("tie", "<u4"), ("at", "<u4"), ("size", "<u4")]
 PACKETS = "kind string, bucket int, packet binary"
 
@@ -315,10 +320,28 @@ def merged(s: np.ndarray) -> np.ndarray:
 
 def spans(ids: np.ndarray, at: np.ndarray, size: np.ndarray | int) -> np.ndarray:
     out = np.zeros(len(ids), SPAN)
-    out["doc"], out["tie"], out["at"], out["size"] = ids["doc"], ids["tie"], at, size
+    out["doc"], out["tie"], out["at"], out["size"] = ids["doc"], ids["tie"], at, size + ids["more"].astype(np.int64)
     return merged(out)
 
 
+def collapsed(kind: Kind, number: np.ndarray, ids: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the records to keep, sorted so that equal contexts share a number: one for each stretch of equal contexts of a
+    document, no two neighbours of which are more than a window apart, so that whatever repeats in one repeats in all and
+    covers them without a gap. A run of one byte or of a short period is a record, however long it is."""
+    at = np.flatnonzero(keep)
+    own = ids[at]
+    order = np.lexsort((own["at"], own["tie"], own["doc"], number[at]))
+    at, own = at[order], own[order]
+    n, start, reach = number[at], own["at"].astype(np.int64), own["at"].astype(np.int64) + own["more"]
+    new = np.r_[True, (n[1:] != n[:-1]) | (own["doc"][1:] != own["doc"][:-1]) | (own["tie"][1:] != own["tie"][:-1]) | (start[1:] - reach[:-1] > kind.window)][: len(at)]
+    first = np.flatnonzero(new)
+    out = own[first]
+    if len(first):
+        out["more"] = np.maximum.reduceat(reach, first) - start[first]
+    order = np.argsort(at[first], kind="stable")
+    return at[first][order], out[order]
+
+
 def sides(kind: Kind, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How many tokens each context has from its anchor on, and before it."""
     at = kind.window, kind.window + 1 + kind.left
@@ -529,7 +552,11 @@ def context_packets(kind: Kind, docs: DataFrame, splitters: np.ndarray, buckets:
                 keep |= first
             right, left = sides(kind, keys)
             s = spans(ids[gone], ids["at"][gone], (right + left)[gone])
-            keys, ids = keys[keep], ids[keep]
+            if kind.earlier:
+                at, ids = collapsed(kind, number, ids, keep)
+                keys = keys[at]
+            else:
+                keys, ids = keys[keep], ids[keep]
             cuts = [0, *lower_bounds(keys, splitters), len(ids)]
             rows = [("context", k, pack_rows(as_rows(kind, keys[a:b]), ids[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
             return packets([*rows, *deal(s, by_document(s, buckets), "span")])
@@ -621,7 +648,7 @@ PER_BORDER, SAMPLED_DOCS = 24, 1000
 
 
 def sampled_splitters(kind: Kind, docs: DataFrame, count: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Range borders by distinct contexts of about SAMPLED_DOCS documents, and which of them lie inside a run of one k-gram.
+    """Range borders by distinct contexts of about SAMPLED_DOCS documents, or more where ranges are many, and which of them lie inside a run of one k-gram.
     A sampled text gives contexts of its first 64 KiB: that moves borders, which only sets how evenly ranges fill, and no
     result."""
 
@@ -632,7 +659,8 @@ def sampled_splitters(kind: Kind, docs: DataFrame, count: int, buckets: int) ->
             keys = keys[:: len(keys) // (each * max(len(doc), 1)) + 1]
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in keys], pa.binary())], ["row"])
 
-    share, each = max(1, count // SAMPLED_DOCS), PER_BORDER * buckets // SAMPLED_DOCS + 1
+    wanted = max(SAMPLED_DOCS, buckets // 8)
+    share, each = max(1, count // wanted), PER_BORDER * buckets // wanted + 1
     found = docs.filter(F.pmod(F.xxhash64("doc"), F.lit(share)) == 0).mapInArrow(run, "row binary").distinct().toArrow().column(0).to_pylist()
     keys = np.frombuffer(b"".join(found), U64).reshape(-1, kind.columns)
     if not len(keys):

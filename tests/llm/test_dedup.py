@@ -135,17 +135,64 @@ def test_common_prefixes_and_endings(kind):
         assert c.back[i] == min(c.n_left[i], max(common(c.left[i], c.left[j]) for j in others))
 
 
-def test_factors_are_what_two_blocks_share():
+def test_factors_are_the_longest_at_each_place():
+    """A left-to-right parse by brute force: the longest agreement with any other block at each place that no factor holds."""
     c = contexts(rlz.WORDS, [(t or "").encode() for t in corpus(6, 25)])
-    r = np.random.default_rng(1)
-    x, y = r.integers(0, len(c.n_left), (2, 3000))
-    y[:1500] = np.maximum(x[:1500] - 1, 0)
-    back, far = rlz.factors(c, x, y)
-    for i, j, b, f in zip(x, y, back, far, strict=True):
-        a, z = c.right[i, : c.n_right[i]].tolist(), c.right[j, : c.n_right[j]].tolist()
-        p, q = c.left[i, : c.n_left[i]].tolist(), c.left[j, : c.n_left[j]].tolist()
-        alike = lambda u, v: next((k for k, (s, t) in enumerate(zip(u, v, strict=False)) if s != t), min(len(u), len(v)))
-        assert (b, f) == ((alike(p, q), alike(a, z)) if a[:4] == z[:4] else (0, 0))
+    alike = lambda u, v: next((k for k, (s, t) in enumerate(zip(u, v, strict=False)) if s != t), min(len(u), len(v)))
+    right = [c.right[i, : c.n_right[i]].tolist() for i in range(len(c.n_right))]
+    left = [c.left[i, : c.n_left[i]].tolist() for i in range(len(c.n_right))]
+    want = {}
+    for i in range(len(right)):
+        others = [j for j in range(len(right)) if j != i and right[j][:4] == right[i][:4]]
+        shared = {j: (alike(left[i], left[j]), alike(right[i], right[j])) for j in others}
+        before = len(left[i])
+        while before >= 0:
+            longest = max((f for b, f in shared.values() if b >= before), default=0)
+            if before + longest >= 35:
+                want[i, before] = longest
+                before = 35 - longest - 1
+            else:
+                before -= 1
+    block, before, far, reference = rlz.factors(c)
+    assert {(i, b): f for i, b, f in zip(block.tolist(), before.tolist(), far.tolist(), strict=True)} == want and len(want) > 20
+    for i, b, f, j in zip(block, before, far, reference, strict=True):
+        assert i != j and left[i][:b] == left[j][:b] and right[i][:f] == right[j][:f]
+
+
+def test_without_the_parse_spans_are_lost(spark, monkeypatch):
+    rows = list(enumerate(corpus(2)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = words_left(rows)
+    none = np.zeros(0, np.int64)
+    monkeypatch.setattr(rlz, "factors", lambda c: (none,) * 4)
+    # In this process, range by range: tasks import the module anew.
+    c = contexts(rlz.WORDS, [(t or "").encode() for _, t in rows])
+    assert not len(rlz.parsed(c)[0])
+    monkeypatch.undo()
+    assert len(rlz.parsed(c)[0]) > 100
+    kept = lambda kind: windows.Kind(kind.window, kind.gram, kind.earlier, kind.tokens, kind.grams, lambda c: (none, none), kind.bytewise)
+    monkeypatch.setattr(rlz, "WORDS", kept(rlz.WORDS))
+    got = {x.doc_id: tuple(x)[1:] for x in rlz.deduplicated(docs).collect()}
+    assert sum(want[d][1] > got[d][1] for d in want) > 10 and all(want[d][1] >= got[d][1] for d in want)
+
+
+@pytest.mark.parametrize("period", [1, 3, 70])
+def test_a_long_periodic_text_is_few_records(spark, period):
+    """Ten million bytes of a short period are a handful of records to sort and to send, and lose what they should."""
+    unit = "".join(chr(97 + (i * 7) % 26) for i in range(period))
+    long = (unit * (10_000_000 // period + 1))[:10_000_000]
+    rows = [(0, unit * 90), (1, long), (2, "x" + long[:5000])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {x.doc_id: tuple(x)[1:] for x in substring_sa.deduplicated(docs).collect()}
+    whole = sha(b"")
+    if period * 90 >= 50 + period:
+        assert got[0][1:3] == (0, 0) and got[1] == (len(long), len(long), 1, whole) and got[2] == (5001, 5000, 1, sha(b"x"))
+    text = long[:2_000_000].encode()
+    kept = 0
+    for keys, ids in windows.records(substring_sa.BYTES, np.array([1]), np.array([0]), [np.frombuffer(text, np.uint8)]):
+        keys, ids, number, gone = windows.settled(substring_sa.BYTES, keys, ids)
+        kept += len(windows.collapsed(substring_sa.BYTES, number, ids, ~gone)[0])
+    assert kept <= (period if period <= 50 else len(text)) * (len(text) // windows.PIECE + 2)
 
 
 @pytest.mark.parametrize("ranges", [60])
