@@ -5,6 +5,7 @@ shards, runs FTRL-proximal updates over each, and averages the shards' weights b
 every n-gram of a whole text as a sparse dot product: features are word 1- and 2-grams, each counted by its share of the
 text, so that long texts do not saturate.
 
+Empty tables give no rows, texts of any length are read whole, and other columns are left out, whatever their names.
 A null or empty text has the intercept alone and gets its score. Without labelled rows every weight is 0 and every score
 0.5. Rows of labels without a document, or with a null label, are left out; a document labelled twice counts twice.
 """

@@ -8,7 +8,9 @@ while they fit, then documents of the block that does not.
 
 Tokens are words. A null source counts as the source '', a null text as empty. Sources without a word get weight 0. Rows
 that share a doc_id are placed alike. A budget is undershot by less than one document for each source. Sources are counted
-before their table is broadcast; beyond ``BROADCAST`` sources it is joined by shuffles instead.
+before their table is broadcast; beyond ``BROADCAST`` sources it is joined by shuffles instead. Empty tables give no rows.
+Texts of any length are counted whole. Columns besides those that are asked for are left out, or kept as they are where whole
+rows are mixed, whatever their names.
 """
 
 from __future__ import annotations

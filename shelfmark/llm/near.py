@@ -10,7 +10,8 @@ Equal sets are one class and are worked on once. Pairs are never listed within a
 bucket's pivots, and what a pivot links is grouped before the next pivots are chosen (see ``linked``). Documents without
 words have no shingles and are linked with nothing. A null doc_id is left as its own group, linked with nothing. Rows that
 share a doc_id are told apart by their texts: each text is linked by itself, and its group is named by the least doc_id.
-Texts are read whole.
+Texts of any length are read whole, an empty table gives no
+rows, and other columns are kept or left out as they are, whatever their names.
 
 With 24 bands of 4 slots, a pair at the limit of 0.8 shares no bucket with a chance of (1 - 0.8 ** 4) ** 24 = 3e-6.
 """

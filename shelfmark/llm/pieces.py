@@ -4,7 +4,8 @@ Where no piece of a model has a whitespace marker after another character, merge
 markers, so a text's ids are the ids of its marked words in order. Each task segments a distinct marked word once through
 the library, keeps it in a table, and joins ids back by position. A model without that property is run on whole texts.
 
-Null and empty texts give the end id alone and decode to an empty text. The table forgets what was not asked for lately,
+Null and empty texts give the end id alone and decode to an empty text. Empty tables give no rows, texts of any length are
+encoded whole, and rows that repeat another are encoded alike; other columns are kept or left out, whatever their names. The table forgets what was not asked for lately,
 which costs time and changes no result.
 """
 

@@ -7,7 +7,9 @@ sign stand before; the program runs over the tokens near these, and text far fro
 trained once on the driver by the likelihood's gradient, over a fixed number of generated lines, and its few thousand
 weights go to the tasks in the closure. ``train`` takes any other annotated lines.
 
-Base spans always stay; a segment of the field counts where it overlaps none of them. Null and empty texts have no spans.
+Base spans always stay; a segment of the field counts where it overlaps none of them. Null and empty texts have no spans, and
+an empty table gives no rows. Texts of any length are searched whole; repeated rows are treated alike, and other columns are
+kept or left out, whatever their names.
 Base patterns are matched in time linear in the text, however long its runs are. Offsets are code points, ends exclusive;
 bytes that are no UTF-8 count as one character each run that a decoder replaces, and redaction leaves them as they are.
 """
@@ -45,6 +47,12 @@ _TRIGGER = re.compile("[0-9@]|(?<![^\\W_])(?i:" + "|".join(sorted(HINTS)) + ")(?
 _TOKEN = re.compile(r"[^\W_]+|\S")
 
 
+def trigger(text: str) -> re.Pattern:
+    """What entities can be near in this text: the full pattern only where one of the words is somewhere in it, in any case."""
+    folded = text.casefold()
+    return _TRIGGER if any(h in folded for h in HINTS) else _HOT
+
+
 def emails(text: str) -> Iterator[Span]:
     at, end = text.find("@"), 0
     while at >= 0:
@@ -88,7 +96,8 @@ def base_spans(text: str) -> list[Span]:
 
 def islands(text: str) -> Iterator[list[tuple[int, int]]]:
     """Runs of tokens within NEAR tokens of one with a digit or an at-sign."""
-    lines_at, done = [m.start() for m in _TRIGGER.finditer(text)], 0
+    pattern = trigger(text)
+    lines_at, done = [m.start() for m in pattern.finditer(text)], 0
     k = 0
     while k < len(lines_at):
         # Text around a trigger, widened while other triggers are near.
@@ -105,7 +114,7 @@ def islands(text: str) -> Iterator[list[tuple[int, int]]]:
         end = min(end, len(text))
         done = end
         tokens = [m.span() for m in _TOKEN.finditer(text, start, end)]
-        hot = [i for i, (a, b) in enumerate(tokens) if _TRIGGER.search(text, a, b)]
+        hot = [i for i, (a, b) in enumerate(tokens) if pattern.search(text, a, b)]
         run: list[tuple[int, int]] = []
         last = -1
         for i in hot:
@@ -190,6 +199,31 @@ def score(w: Weights, kind: str, feats: list[str]) -> float:
     return w.get((kind, "bias"), 0.0) + sum(w.get((kind, f), 0.0) for f in feats)
 
 
+class Scores:
+    """Weights by feature: one look-up gives a feature's weights for every kind."""
+
+    def __init__(self, w: Weights):
+        self.move = moves(w)
+        self.bias = [w.get((k, "bias"), 0.0) for k in KINDS]
+        self.rows = {f: tuple(w.get((k, f), 0.0) for k in KINDS) for kind, f in w if kind and f != "bias"}
+
+    def of(self, feats: list[str]) -> list[float]:
+        """What ``score`` gives for each kind."""
+        rows = self.rows
+        known = [rows[f] for f in feats if f in rows]
+        return [b + sum(c) for b, c in zip(self.bias, zip(*known, strict=True), strict=True)] if known else self.bias
+
+
+_SCORES: list[tuple[Weights, Scores]] = []
+
+
+def scores(w: Weights) -> Scores:
+    """The weights by feature, made once for weights that are used again and again."""
+    if not _SCORES or _SCORES[0][0] is not w:
+        _SCORES[:] = [(w, Scores(w))]
+    return _SCORES[0][1]
+
+
 def moves(w: Weights) -> list[list[float]]:
     """What each label (a row) adds before each other."""
     return [[w.get(("", f"{a}>{b}"), 0.0) for b in LABELS] for a in LABELS]
@@ -198,7 +232,8 @@ def moves(w: Weights) -> list[list[float]]:
 def decode(text: str, tokens: list[tuple[int, int]], w: Weights) -> list[Span]:
     """The best segmentation's entities. Segments come by their first token, where the best scores of what lies before are
     final, so nothing is kept of them but each end's best of every label."""
-    n, m, move = len(tokens), len(LABELS), moves(w)
+    every = scores(w)
+    n, m, move = len(tokens), len(LABELS), every.move
     best = [[-math.inf] * m for _ in range(n + 1)]
     back: list[list[tuple[int, int]]] = [[(0, 0)] * m for _ in range(n + 1)]
     best[0][0] = 0.0
@@ -216,8 +251,8 @@ def decode(text: str, tokens: list[tuple[int, int]], w: Weights) -> list[Span]:
 
     for i, j, feats in candidates(text, tokens):
         reach(i)
-        for k, kind in enumerate(KINDS, 1):
-            s = enter[k][0] + score(w, kind, feats)
+        for k, own in enumerate(every.of(feats), 1):
+            s = enter[k][0] + own
             if s > best[j + 1][k]:
                 best[j + 1][k], back[j + 1][k] = s, (i, enter[k][1])
     reach(n)
@@ -353,7 +388,7 @@ def model(lines: int = 500) -> Weights:
 
 def all_spans(text: str, w: Weights) -> tuple[list[Span], list[Span]]:
     """Base spans, and these with the field's, both by kind and start."""
-    if not _TRIGGER.search(text):
+    if not trigger(text).search(text):
         return [], []
     base = base_spans(text)
     starts, ends = [], []
