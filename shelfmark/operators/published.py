@@ -306,6 +306,13 @@ class Catalog:
         parents = changes.filter("op = 'Upsert'").select("volume", F.col("parent_id").alias("file_id")).distinct().join(known, live.KEY, "left_anti")
         return not own.select(*live.KEY).union(parents).isEmpty()
 
+    def freshness(self) -> DataFrame:
+        """(kind, position, fresh) of every table of the opened snapshot: whether it is at the view's position. A search that
+        needs one that isn't builds it again, or refuses."""
+        s = self.snapshot()
+        rows = [(k, t.position, k in CORE or t.position == s.position) for k, t in sorted(s.tables.items())]
+        return self.spark.createDataFrame(rows, "kind string, position long, fresh boolean")
+
     def build(self, kind: str) -> None:
         """Publish a derived table again. Refused while changes wait, as it would be older than the view beside it."""
         if self.pending():

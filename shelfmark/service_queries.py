@@ -312,6 +312,23 @@ def _(spark, sf_dir):
     return found.with_paths(found.live()).select("volume", "file_id", "path")
 
 
+@query(
+    "m8_table_freshness",
+    f"""WITH {CHANGES}, ends AS (SELECT max(seq) AS now, max(seq) FILTER (seq <= (SELECT max(seq) // 2 FROM changes)) AS half FROM changes)
+    SELECT kind, CASE WHEN kind IN ('overlay', 'directories') THEN now ELSE half END AS position, kind <> 'attributes' OR now = half AS fresh
+    FROM ends, (SELECT unnest(['attributes', 'base', 'by_id', 'directories', 'overlay']) AS kind)""",
+)
+def _(spark, sf_dir):
+    """Tables published when half of the journal was written, after a refresh: what the changes do not touch is still fresh."""
+    root = f"{shared_dir(spark)}/freshness-{uuid.uuid4().hex}"
+    end = src.changes(spark, sf_dir).agg(F.max("seq")).first()[0]
+    before = Catalog(spark, sf_dir, root, upto=(end or 0) // 2)
+    before.table("attributes"), before.table("directories")
+    later = Catalog(spark, sf_dir, root)
+    later.refresh()
+    return later.freshness()
+
+
 @query("j1_bucketed_view", f"WITH {LIVE} SELECT volume, file_id, parent_id, size_bytes, flags, name, nn AS name_norm FROM live")
 def _(spark, sf_dir):
     """The live view over the tables bucketed by id: no exchange above the base."""

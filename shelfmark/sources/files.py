@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import email
+import email.message
 import email.policy
 import io
 import re
@@ -48,10 +49,15 @@ def rich_text(data: bytes) -> str:
         if m[1]:
             return bytes([int(m[1], 16)]).decode("cp1252", "replace").encode()
         if m[2]:
-            return chr(int(m[2]) % 65536).encode("utf-8", "replace")
+            return chr(int(m[2]) % 65536).encode("utf-8", "surrogatepass")
         return b" " if m[3] else m[4] if m[4] in (b"\\", b"{", b"}") else b""
 
-    return " ".join(_RTF.sub(plain, _RTF_HIDDEN.sub(b"", data)).decode("utf-8", "replace").split())
+    raw = _RTF.sub(plain, _RTF_HIDDEN.sub(b"", data))
+    try:
+        found = raw.decode("utf-8", "surrogatepass").encode("utf-16", "surrogatepass").decode("utf-16", "replace")  # halves of a pair meet
+    except UnicodeDecodeError:
+        found = raw.decode("utf-8", "replace")
+    return " ".join(found.split())
 
 
 def message_text(data: bytes) -> str:
@@ -98,19 +104,72 @@ def extracted(files: DataFrame, key: str, name: str, content: str) -> DataFrame:
     return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, text string")
 
 
+def _cut(markup: str, parts: int) -> list[str]:
+    """A markup in pieces that end before a tag, so that each has its own text."""
+    cuts = [0]
+    for k in range(1, parts):
+        at = markup.find("<", max(len(markup) * k // parts, cuts[-1]))
+        cuts.append(len(markup) if at < 0 else at)
+    return [markup[x:y] for x, y in zip(cuts, [*cuts[1:], len(markup)], strict=True)]
+
+
+def _package(names: list[str], markup: str) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
+        z.writestr("[Content_Types].xml", "<Types>not text</Types>")
+        for name, part in zip(names, _cut(markup, len(names)), strict=True):
+            z.writestr(name, part)
+    return out.getvalue()
+
+
+def _rich(markup: str) -> bytes:
+    """Rich text with fonts and colours that are no text, and every character beyond ASCII by its number or code page."""
+
+    def escaped(c: str) -> str:
+        if c in "\\{}":
+            return "\\" + c
+        if c in "\n\r":
+            return "\\par "
+        if c.isascii():
+            return c
+        code = c.encode("cp1252", "ignore")
+        return f"\\'{code[0]:02x}" if code and code.decode("cp1252") == c else "".join(f"\\u{u - (u >> 15 << 16)}?" for u in memoryview(c.encode("utf-16-le")).cast("H"))
+
+    return ("{\\rtf1\\ansi{\\fonttbl{\\f0 Font;}}{\\colortbl;\\red0\\green0\\blue0;}\\f0\\fs24 " + "".join(map(escaped, visible(markup))) + "\\par}").encode("ascii")
+
+
+def _message(markup: str) -> bytes:
+    """A mail of two parts in HTML, one in base64 and one as quoted printable text."""
+    mail = email.message.EmailMessage()
+    mail["Subject"], mail["From"] = "not text", "a@example.com"
+    first, second = _cut(markup, 2)
+    mail.set_content(first, subtype="html", cte="base64")
+    mail.make_mixed()
+    mail.add_attachment(second, subtype="html", cte="quoted-printable")
+    return mail.as_bytes()
+
+
+#: What a text is packed into, by a number: an ending and how its bytes are made.
+PACKERS = [
+    ("docx", lambda m: _package(["word/header1.xml", "word/document.xml", "word/footnotes.xml"], m)),
+    ("pptx", lambda m: _package(["ppt/slides/slide1.xml", "ppt/slides/slide2.xml", "ppt/notesSlides/notesSlide1.xml"], m)),
+    ("xlsx", lambda m: _package(["xl/sharedStrings.xml", "xl/worksheets/sheet1.xml"], m)),
+    ("html", lambda m: m.encode()),
+    ("rtf", _rich),
+    ("eml", _message),
+]
+
+
 def packaged(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, name, content): texts as word-processor packages of one part, for tests and as a sink of extracted corpora."""
+    """(key, name, content): marked-up texts as documents of all kinds, by their key: word-processor, slide and table packages of
+    several parts, web pages, rich text and mail. For tests and as a sink of extracted corpora."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            packed = []
-            for data in b.column(1).to_pylist():
-                out = io.BytesIO()
-                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
-                    z.writestr("word/document.xml", data or "")
-                packed.append(out.getvalue())
-            names = pa.array([f"page-{k}.docx" for k in b.column(0).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), names, pa.array(packed, pa.binary())], [key, "name", "content"])
+            kinds = [PACKERS[(k or 0) % len(PACKERS)] for k in b.column(0).to_pylist()]
+            packed = [make(data or "") for (_, make), data in zip(kinds, b.column(1).to_pylist(), strict=True)]
+            names = [f"page-{k}.{ending}" for k, (ending, _) in zip(b.column(0).to_pylist(), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(packed, pa.binary())], [key, "name", "content"])
 
     rows = texts.select(key, text)
     return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, name string, content binary")

@@ -57,3 +57,15 @@ def test_rich_texts_and_messages():
     mail = b"Subject: s\r\nContent-Type: multipart/mixed; boundary=b\r\n\r\n--b\r\nContent-Type: text/plain; charset=latin-1\r\n\r\ncaf\xe9\r\n--b\r\nContent-Type: text/html\r\n\r\n<p>a &lt; b</p>\r\n--b\r\nContent-Type: image/png\r\n\r\nxx\r\n--b--\r\n"
     assert files.text_of("a.eml", mail) == "café a < b" == files.text_of("a.mht", mail)
     assert files.text_of("a.eml", b"Content-Type: text/plain; charset=nowhere\r\n\r\nx") is None
+
+
+def test_documents_of_all_kinds(spark):
+    """Several parts, encodings and characters beyond 16 bits come back from the bytes; damaged rich text is no error."""
+    markup = "<p>één {brace} \\\\ back</p><p>two &amp; 中文 😀</p><table><td>three</td></table><p>fo  ur</p>"
+    rows = spark.createDataFrame([(k, markup) for k in range(6)] + [(6, ""), (7, None), (10, "no tags")], "page_id long, html string")
+    packed = files.packaged(rows, "page_id", "html")
+    assert {r.name.split(".")[1] for r in packed.collect()} == {ending for ending, _ in files.PACKERS}
+    got = {r.page_id: r.text for r in files.extracted(packed, "page_id", "name", "content").collect()}
+    want = files.visible(markup)
+    assert got == {k: " ".join(want.split()) if k == 4 else want for k in range(6)} | {6: "", 7: "", 10: "no tags"}
+    assert files.rich_text(b"{\\rtf1 \\u-10179? a\xff\xfe b}").endswith("b")
