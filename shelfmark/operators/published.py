@@ -169,6 +169,7 @@ class Catalog:
             raise ValueError("stale is rebuild or refuse")
         self.spark, self.sf_dir, self.root, self.stale, self.upto, self.buckets = spark, sf_dir, root, stale, upto, buckets
         self.at: Snapshot | None = None
+        self.seen = 0
 
     # The journal
 
@@ -192,18 +193,21 @@ class Catalog:
         """The opened snapshot: the newest whole one, brought forward if newer ones are damaged; the first one is published
         from the sources."""
         if self.at is None:
-            self.at = newest(self.spark, self.root)
-            if self.at is None:
-                try:
+            self.reopen()
+            try:
+                if self.at is None:
                     self.scan()
-                except Conflict:  # someone else's first commit
-                    self.at = newest(self.spark, self.root)
-                    if self.at is None:
-                        raise
-            elif self.at.version < last_version(self.spark, self.root):
-                self.refresh()
+                elif self.at.version < self.seen:
+                    self.refresh()
+            except Conflict:  # someone else did so first
+                self.reopen()
+                if self.at is None:
+                    raise
         return self.at
 
+    def reopen(self) -> None:
+        self.seen, self.at = last_version(self.spark, self.root), newest(self.spark, self.root)
+
     def scan(self) -> None:
         """A snapshot from the sources as they are, with all changes over it."""
         position, spark, root = self.journal_position(), self.spark, self.root
@@ -214,15 +218,13 @@ class Catalog:
         self.put(Snapshot(0, self.journal_id(), position, None, buckets, tables))
 
     def put(self, s: Snapshot) -> None:
-        """Commit under the next number. The parent's number was read when this catalog was opened, so that whoever committed
-        in the meantime is found out."""
-        parent = self.at.version if self.at is not None else 0
-        behind = last_version(self.spark, self.root)
-        if parent < behind and self.at is not None and newest(self.spark, self.root) not in (None, self.at):
-            raise Conflict(f"commit {behind} came after {parent}")
-        s = replace(s, version=max(parent, behind) + 1)
+        """Commit under the next number, unless there are commits that this catalog hasn't seen and that are whole."""
+        last = last_version(self.spark, self.root)
+        if last > self.seen and newest(self.spark, self.root) != self.at:
+            raise Conflict(f"commit {last} came after {self.seen}")
+        s = replace(s, version=last + 1)
         commit(self.spark, self.root, s)
-        self.at = s
+        self.at, self.seen = s, s.version
 
     def derived(self, kind: str) -> DataFrame:
         """Rows of a derived table for the opened view."""
@@ -245,7 +247,7 @@ class Catalog:
                 other = newest(self.spark, self.root)
                 if other is None or any(other.tables.get(k) != self.at.tables[k] for k in CORE):
                     raise
-                self.at = other
+                self.at, self.seen = other, last_version(self.spark, self.root)
         raise Conflict(f"{kind}: others commit all the time")
 
     def table(self, kind: str) -> DataFrame:
@@ -337,7 +339,7 @@ class Catalog:
         last = None if row is None else snapshot_of(row)
         broken = [] if last is None else sorted(k for k, t in last.tables.items() if not whole(self.spark, self.root, k, t))
         if broken:
-            self.at = newest(self.spark, self.root)
+            self.seen, self.at = last.version, newest(self.spark, self.root)
             if self.at is None:
                 self.scan()
             elif not self.refresh():
