@@ -232,7 +232,7 @@ class Catalog:
         if kind in ("attributes", "by_size", "by_date"):
             return src.attributes(spark, sf_dir)
         if kind == "postings":
-            return search.posting_lists(search.postings(src.contents(spark, sf_dir).filter(is_text_candidate(F.col("name")))))
+            return search.content_index(src.contents(spark, sf_dir).filter(is_text_candidate(F.col("name"))))
         if kind == "dictionary":
             return search.dictionary(self.live())
         return live.with_scopes(live.directory_paths(self.live()))
