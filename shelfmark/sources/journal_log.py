@@ -19,6 +19,7 @@ Paths are URIs that pyarrow's file systems know (local, HDFS, object stores), or
 from __future__ import annotations
 
 import base64
+import bisect
 import sys
 import zlib
 from collections.abc import Iterator
@@ -34,6 +35,8 @@ RECORD = "seq long, file_id long, reason int, name string, millis long"
 _ARROW = pa.schema([("seq", pa.int64()), ("file_id", pa.int64()), ("reason", pa.int32()), ("name", pa.string()), ("millis", pa.int64())])
 #: Bytes that are read of a file at once, and rows of a batch.
 PIECE, ROWS = 1 << 20, 8192
+#: Bytes of a file that a task reads.
+SPAN = 4 << 20
 
 
 class JournalReset(RuntimeError):
@@ -69,14 +72,21 @@ def store_of(path: str) -> tuple[stores.FileSystem, str]:
     return stores.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (stores.LocalFileSystem(), path)
 
 
-def lines(path: str) -> Iterator[bytes]:
-    """A file's whole lines, read piece by piece."""
+def lines(path: str, begin: int = 0, end: int | None = None) -> Iterator[bytes]:
+    """A file's whole lines that start at the bytes from ``begin`` to before ``end``, read piece by piece."""
     store, place = store_of(path)
-    with store.open_input_stream(place) as source:
+    with store.open_input_file(place) as source:
+        at, inside = max(begin - 1, 0), begin == 0  # what starts a byte earlier ends before the first line that counts
+        source.seek(at)
         rest = b""
         while piece := source.read(PIECE):
             *found, rest = (rest + piece).split(b"\n")
-            yield from found
+            for line in found:
+                if inside:
+                    if end is not None and at >= end:
+                        return
+                    yield line
+                at, inside = at + len(line) + 1, True
 
 
 def last_line(store: stores.FileSystem, place: str, size: int) -> bytes | None:
@@ -98,6 +108,7 @@ class Log:
         store, place = store_of(path)
         self.journal: str | None = None
         self.files: list[tuple[int, int, str]] = []
+        self.sizes: dict[str, int] = {}
         infos = store.get_file_info(stores.FileSelector(place, allow_not_found=True))
         scheme = path[: path.index("://") + 3] if "://" in path and store.type_name not in ("local", "hdfs") else ""
         for x in infos:
@@ -106,6 +117,7 @@ class Log:
                 if last:
                     first = decoded(next(lines(scheme + x.path if scheme else x.path)))
                     self.files.append((first[1], decoded(last)[1], scheme + x.path))
+                    self.sizes[scheme + x.path] = x.size
                     self.journal = first[0]
         self.files.sort()
         if self.files:
@@ -121,13 +133,24 @@ class Log:
         return self.files[-1][1] + 1 if self.files else 0
 
     def spans(self, start: int, end: int) -> list[InputPartition]:
-        return [InputPartition((path, start, end, self.journal)) for first, last, path in self.files if first < end and last >= start]
-
-
-def records(path: str, start: int, end: int, journal: str) -> Iterator[pa.RecordBatch]:
-    """A file's records from ``start`` to before ``end``."""
+        """Parts of files, SPAN bytes each, that hold the positions from ``start`` to before ``end``: a batch reads what it
+        takes and not all of a file, by as many tasks as that fills."""
+        found = []
+        for first, last, path in self.files:
+            if first < end and last >= start:
+                cuts = range(0, self.sizes[path], SPAN)
+                # A line before a cut's may be longer than a part; a cut without a line behind it is behind everything.
+                position = lambda cut: next((decoded(x)[1] for x in lines(path, cut)), last + 1)  # noqa: B023, E731
+                low = max(bisect.bisect_right(cuts, start, key=position) - 1, 0)
+                high = bisect.bisect_left(cuts, end, key=position)
+                found += [InputPartition((path, start, end, self.journal, cut, cut + SPAN)) for cut in cuts[low:high]]
+        return found
+
+
+def records(path: str, start: int, end: int, journal: str, begin: int = 0, stop: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The records from ``start`` to before ``end`` of a file's lines between two bytes."""
     held: list[tuple] = []
-    for line in lines(path):
+    for line in lines(path, begin, stop):
         own, *row = decoded(line)
         if row[0] >= end:
             break

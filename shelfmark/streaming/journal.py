@@ -52,6 +52,7 @@ def state(spark: SparkSession, target: str) -> DataFrame:
 #: A file's latest change as it is kept, and as it is given.
 KEPT = "seq long, op string, parent_id long, size_bytes long, flags int, name string"
 GIVEN = "volume string, file_id long, " + KEPT
+KEPT_COLUMNS = [c.split()[0] for c in KEPT.split(", ")]
 
 
 def log_stream(spark: SparkSession, path: str, records_per_batch: int | None = None) -> DataFrame:
@@ -73,11 +74,14 @@ def combined(changes: DataFrame) -> DataFrame:
 
 
 def keyed(changes: DataFrame, keep_millis: int | None = None) -> DataFrame:
-    """The latest change of each file as keyed state of a stream: a batch gives a row for each file that it changes, and costs
+    """The latest change of each file as keyed state of a stream: a batch gives a row for each file that it names, and costs
     in proportion to its own records and not to all that came before. An older record that comes late changes nothing.
 
     A deletion stays as a tombstone, so that an older record can't bring its file back. With ``keep_millis`` it goes once the
-    stream's watermark is so far past it; records older than the watermark are dropped by then."""
+    stream's watermark is so far past it; records older than the watermark are dropped by then. Only that takes a timer for
+    each file, and a Python call with it; without, the state is an aggregate's that Spark keeps and merges."""
+    if keep_millis is None:
+        return changes.groupBy("volume", "file_id").agg(F.max(F.struct(*KEPT_COLUMNS)).alias("kept")).select("volume", "file_id", "kept.*")
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -92,15 +96,12 @@ def keyed(changes: DataFrame, keep_millis: int | None = None) -> DataFrame:
         if held is None or held == before:
             return
         state.update(held)
-        if keep_millis is not None and held[1] == "Delete":
+        if held[1] == "Delete":
             state.setTimeoutTimestamp(max(millis + keep_millis, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(*key, *held)], columns=[c.split()[0] for c in GIVEN.split(", ")])
 
-    rows = combined(changes)
-    if keep_millis is not None:
-        rows = rows.withColumn("time", F.timestamp_millis("millis")).withWatermark("time", "0 seconds")
-    timeout = GroupStateTimeout.NoTimeout if keep_millis is None else GroupStateTimeout.EventTimeTimeout
-    return rows.groupBy("volume", "file_id").applyInPandasWithState(run, GIVEN, KEPT, "update", timeout)
+    rows = combined(changes).withColumn("time", F.timestamp_millis("millis")).withWatermark("time", "0 seconds")
+    return rows.groupBy("volume", "file_id").applyInPandasWithState(run, GIVEN, KEPT, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def follow(changes: DataFrame, checkpoint: str, keep_millis: int | None = None) -> StreamingQuery:
@@ -111,7 +112,8 @@ def follow(changes: DataFrame, checkpoint: str, keep_millis: int | None = None)
 def kept_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The state as of the last batch, read from its store: (volume, file_id, seq, op, ...), a row a file."""
     rows = spark.read.format("statestore").load(checkpoint)
-    return rows.select("key.*", "value.groupState.*")
+    kept = "groupState" if "groupState" in rows.schema["value"].dataType.names else rows.schema["value"].dataType.names[0]
+    return rows.select("key.*", f"value.{kept}.*")
 
 
 def followed_or_rebuilt(spark: SparkSession, log: str, checkpoint: str, again: str) -> DataFrame:

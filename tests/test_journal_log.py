@@ -127,3 +127,33 @@ def test_a_reset_stops_the_stream_and_a_rebuild_goes_on(spark, tmp_path, how):
 def test_combined_before_the_shuffle(spark):
     rows = src.changes_of(some(spark, 0, 700, files=1).coalesce(1), "millis")
     assert stream.combined(rows).count() == 1 and stream.combined(rows).select(F.max("seq")).first()[0] == rows.select(F.max("seq")).first()[0]
+
+
+def test_parts_of_a_file_hold_each_record_once(spark, tmp_path, monkeypatch):
+    """A batch reads the parts of a file that hold its positions, whatever lines the cuts fall on."""
+    log = str(tmp_path / "log")
+    journal_log.append(some(spark, 0, 300, files=1).coalesce(1), log, "one")
+    for span in (1, 37, 500, 1 << 20):
+        monkeypatch.setattr(journal_log, "SPAN", span)
+        for low, high in ((0, 300), (0, 1), (17, 18), (120, 180), (299, 300), (250, 900)):
+            spans = journal_log.Log(log).spans(low, high)
+            got = [x for s in spans for b in journal_log.records(*s.value) for x in b.column("seq").to_pylist()]
+            assert got == list(range(low, min(high, 300)))
+            assert span != 500 or len(spans) <= (min(high, 300) - low) // 5 + 3
+    assert len(journal_log.Log(log).spans(0, 300)) == len(journal_log.Log(log).files)
+
+
+def test_state_without_tombstones_ageing_makes_no_call_a_file(spark, tmp_path):
+    """Thousands of files in a batch: their state is Spark's own aggregate."""
+    log = str(tmp_path / "log")
+    journal_log.append(records(spark, *[(i, i, src.CREATE, f"n{i}", i) for i in range(3000)]), log, "one")
+    changes = stream.log_stream(spark, log)
+    assert "FlatMapGroupsInPandasWithState" not in stream.keyed(changes)._jdf.queryExecution().analyzed().toString()
+    started = stream.follow(changes, str(tmp_path / "checkpoint"))
+    stream_done(started)
+    assert stream.kept_state(spark, str(tmp_path / "checkpoint")).count() == 3000
+
+
+def stream_done(started):
+    started.processAllAvailable()
+    started.stop()
