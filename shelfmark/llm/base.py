@@ -14,22 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..storage import shared_dir, table, written
+from ..storage import shared_dir, small_batches, table, written
 
 U64 = np.uint64
 
 
-#: Bytes of an Arrow batch: it is held by the JVM and by a Python worker, on either way, for each task at once.
-BATCH_BYTES = 4 << 20
-
-
-def small_batches(df: DataFrame) -> None:
-    """Lower the session's bytes for each Arrow batch to BATCH_BYTES, where they are still at Spark's default or above."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(conf.get(key).rstrip("b") or 0) > BATCH_BYTES:
-        conf.set(key, f"{BATCH_BYTES}b")
-
-
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text as UTF-8 binary); null texts become empty. Every other column of ``docs`` is left out."""
     small_batches(docs)

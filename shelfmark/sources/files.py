@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import small_batches
+
 #: Parts of office packages that hold text.
 PARTS = {"docx": r"word/(document|header\d*|footer\d*|footnotes|endnotes|comments)\.xml", "xlsx": r"xl/(sharedStrings|worksheets/sheet\d+)\.xml", "pptx": r"ppt/(slides/slide|notesSlides/notesSlide)\d+\.xml"}
 ENTITIES = [("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
@@ -93,13 +95,14 @@ def text_of(name: str, data: bytes) -> str | None:
 
 
 def extracted(files: DataFrame, key: str, name: str, content: str) -> DataFrame:
-    """(key, text) of binary documents, extracted in Python workers apart from the JVM."""
+    """(key, text) of binary documents, extracted in Python workers apart from the JVM, a few megabytes at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = [None if d.as_py() is None else text_of(n.as_py() or "", d.as_py()) for n, d in zip(b.column(1), b.column(2), strict=True)]
+            text = [None if data is None else text_of(n.as_py() or "", data) for n, data in zip(b.column(1), (d.as_py() for d in b.column(2)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string())], [key, "text"])
 
+    small_batches(files)
     rows = files.select(key, name, content)
     return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, text string")
 
@@ -171,6 +174,7 @@ def packaged(texts: DataFrame, key: str, text: str) -> DataFrame:
             names = [f"page-{k}.{ending}" for k, (ending, _) in zip(b.column(0).to_pylist(), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(packed, pa.binary())], [key, "name", "content"])
 
+    small_batches(texts)
     rows = texts.select(key, text)
     return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, name string, content binary")
 

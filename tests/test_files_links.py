@@ -69,3 +69,14 @@ def test_documents_of_all_kinds(spark):
     want = files.visible(markup)
     assert got == {k: " ".join(want.split()) if k == 4 else want for k in range(6)} | {6: "", 7: "", 10: "no tags"}
     assert files.rich_text(b"{\\rtf1 \\u-10179? a\xff\xfe b}").endswith("b")
+
+
+def test_documents_come_in_small_batches(spark):
+    """Neither way holds thousands of whole documents at once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    pages = spark.range(64, numPartitions=1).select(F.col("id").alias("page_id"), F.concat(F.lit("<p>"), F.repeat(F.lit("x"), 1 << 20), F.lit("</p>")).alias("html"))
+    for made in (lambda: files.packaged(pages, "page_id", "html"), lambda: files.extracted(pages.withColumn("name", F.lit("a.html")), "page_id", "name", "html")):
+        spark.conf.unset(key)
+        made()
+        assert int(spark.conf.get(key).rstrip("b")) <= 4 << 20
+    assert files.extracted(files.packaged(pages, "page_id", "html"), "page_id", "name", "content").filter(F.length("text") == 1 << 20).count() == 64
